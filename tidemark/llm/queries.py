@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, sharding, url_filters
-from tidemark.llm.common import table
+from tidemark.llm import mixing, sharding, token_output, url_filters, warc
+from tidemark.llm.common import table, work_dir
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,24 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_dir(spark)}/warc"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_dir(spark)}/tokens"
+    token_output.write(table(spark, sf_dir, "documents"), path)
+    return token_output.digests(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_url_filters": op5_url_filters,
     "op6_sharding": op6_sharding,
+    "op9_warc": op9_warc,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLES: dict[str, str] = {
@@ -65,7 +79,7 @@ ruled as (select *, case
 select page_id, host, path, rule, case
     when rule in ('net/', 'example.com/de/') then 'block'
     when rule in ('example.net/en/', 'org/fr/') then 'allow'
-    when regexp_matches(host || after, '(\.ads-track\.|^([^/]*\.)?ads-track\.|^([^/]*\.)?adserver\.|\?.*phpsessid=|/login\?|/cart/add\?)') then 'block'
+    when regexp_matches(host || after, '(\.ads-track\.|^([^/]*\.)?ads-track\.|^([^/]*\.)?adserver\.|[?&]phpsessid=|/login\?|/cart/add\?)') then 'block'
     else 'allow' end as verdict from ruled
 """,
 }

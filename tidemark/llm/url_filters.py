@@ -4,7 +4,7 @@ A rule is a pattern in the usual blocking-list notation: `||` anchors at a host
 for anything, all else is literal.  Its literal tokens are the alphanumeric runs that the pattern bounds on both sides,
 so any URL that fits has them as whole tokens.  Token frequencies over all URLs pick each rule's rarest token; the
 URL's tokens fetch the candidate rules by a join, and only those run their regular expression.  A rule without a
-literal token is a candidate for every URL.  All work on URLs is DataFrame functions.
+literal token would be a candidate for every URL and is refused.  All work on URLs is DataFrame functions.
 
 The verdict of a URL is that of the fitting host rule with the longest pattern; without one, `block` if any other
 pattern rule fits, else `allow`.
@@ -46,7 +46,8 @@ PATTERN_RULES = (
     Rule("tracker", ".ads-track.", "block", "pattern"),
     Rule("tracker-host", "||ads-track.", "block", "pattern"),
     Rule("adserver", "||adserver.", "block", "pattern"),
-    Rule("session", "?*phpsessid=", "block", "pattern"),
+    Rule("session-first", "?phpsessid=", "block", "pattern"),
+    Rule("session-later", "&phpsessid=", "block", "pattern"),
     Rule("login", "/login?", "block", "pattern"),
     Rule("cart", "/cart/add?", "block", "pattern"),
 )
@@ -87,7 +88,9 @@ def parts(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    """One row per rule; `tokens` is empty where the pattern has no whole literal token."""
+    """One row per rule."""
+    if bare := [r.name for r in rules if not tokens_of(r.pattern)]:
+        raise ValueError(f"rules without a literal token: {bare}")
     rows = [(i, r.name, r.verdict, r.kind, len(r.pattern), regex_of(r.pattern), tokens_of(r.pattern)) for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, "rule_no int, rule string, verdict string, kind string, length int, regex string, tokens array<string>")
 
@@ -97,7 +100,7 @@ def index_by_rarest(urls: DataFrame, rules: DataFrame, n_rules: int) -> DataFram
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
     seen = urls.select(F.explode(_tokens()).alias("token"))
     counts = seen.join(broadcast_if_small(wanted, n_rules, BROADCAST_RULES), "token").groupBy("token").agg(F.count("*").alias("n"))
-    each = rules.withColumn("token", F.explode_outer("tokens")).join(counts, "token", "left")
+    each = rules.withColumn("token", F.explode("tokens")).join(counts, "token", "left")
     best = F.row_number().over(Window.partitionBy("rule_no").orderBy(F.coalesce("n", F.lit(0)), "token"))
     return each.withColumn("_best", best).filter("_best = 1").drop("_best", "tokens", "n")
 
@@ -113,13 +116,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     urls = split.select("_subject").filter("_subject <> ''").distinct()
     table = rule_table(spark, rules)
     index = index_by_rarest(urls, table, len(rules))
-    keyed = broadcast_if_small(index.filter("token is not null"), len(rules), BROADCAST_RULES)
+    keyed = broadcast_if_small(index, len(rules), BROADCAST_RULES)
     by_token = urls.withColumn("token", F.explode(_tokens())).join(keyed, "token").drop("token")
-    bare = [r for r in rules if not tokens_of(r.pattern)]
-    if bare:
-        always = spark.createDataFrame([([i for i, r in enumerate(rules) if r in bare],)], "nos array<int>")
-        anyway = urls.join(F.broadcast(always.select(F.explode("nos").alias("rule_no")).join(table.drop("tokens"), "rule_no")), F.lit(True))
-        by_token = by_token.unionByName(anyway.select(*by_token.columns))
     fits = by_token.filter(F.expr("rlike(_subject, regex)"))
     best = lambda kind, order: F.max(F.when(F.col("kind") == kind, F.struct(order, F.col("rule"), F.col("verdict"))))
     won = fits.groupBy("_subject").agg(best("host", F.col("length")).alias("_host"), best("pattern", -F.col("rule_no")).alias("_pattern"))
