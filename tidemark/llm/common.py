@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,7 +69,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words of some texts as codes: (code of each word, number of words of each text, the distinct words)."""
-    split = [text.translate(SPACES).split(" ") if text else [] for text in texts]
+    split = [_blanks(text).split(" ") if text else [] for text in texts]
     counts = np.fromiter((len(w) for w in split), np.int64, len(split))
     flat = np.empty(int(counts.sum()), object)
     at = 0
@@ -85,5 +85,47 @@ def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, counts, words
 
 
-#: ASCII white space, to a blank.
-SPACES = dict.fromkeys(range(9, 14), " ")
+def _blanks(text: str) -> str:
+    """ASCII white space, and no other, as blanks."""
+    for space in "\n\t\r\x0b\x0c":
+        if space in text:
+            text = text.replace(space, " ")
+    return text
+
+
+class WordTable:
+    """Token ids of the distinct words that a worker has met, in flat arrays.
+
+    `encode` maps new words to their lists of ids.  When the table has `most` words it is emptied: it saves work, and
+    has no part in results.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 600_000) -> None:
+        self.encode, self.most = encode, most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, number of ids) of each word, and the ids that the places count into."""
+        if len(self.place) > self.most:
+            self._empty()
+        place = self.place
+        fresh = [w for w in words if w not in place]
+        if fresh:
+            got = [x for i in range(0, len(fresh), 20_000) for x in self.encode(fresh[i : i + 20_000])]
+            place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            flat = np.fromiter((i for x in got for i in x), np.int32, int(size.sum()))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+            self.ids = np.concatenate([self.ids, flat])
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        return self.starts[at], self.starts[at + 1] - self.starts[at], self.ids
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of runs of given sizes, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
