@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, wherever a contract speaks of words: a run of bytes other than ASCII white space.
@@ -41,6 +42,26 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
+    """`df` with `rank`, the place of each row in the order of some columns, from 0; nulls first.
+
+    Range partitions number their rows locally; a table with one row per partition gives the offsets.
+    """
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for batch in batches:
+            yield batch.assign(_local=np.arange(n, n + len(batch)))
+            n += len(batch)
+
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema) + ", _local long"
+    laid = materialise(laid.mapInPandas(number, schema))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = laid.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return laid.join(parts, "_part").withColumn("rank", F.col("_before") + F.col("_local")).drop("_part", "_before", "_local")
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast where the counted rows are within the limit; beyond it, Spark joins by a shuffle."""
     return F.broadcast(df) if rows <= limit else df
@@ -96,11 +117,11 @@ def _blanks(text: str) -> str:
 class WordTable:
     """Token ids of the distinct words that a worker has met, in flat arrays.
 
-    `encode` maps new words to their lists of ids.  When the table has `most` words it is emptied: it saves work, and
+    `encode` maps new words to all their ids, one word after the other, and the number of ids of each.  When the table has `most` words it is emptied: it saves work, and
     has no part in results.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 600_000) -> None:
         self.encode, self.most = encode, most
         self._empty()
 
@@ -115,16 +136,20 @@ class WordTable:
         place = self.place
         fresh = [w for w in words if w not in place]
         if fresh:
-            got = [x for i in range(0, len(fresh), 20_000) for x in self.encode(fresh[i : i + 20_000])]
             place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.int32, int(size.sum()))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
-            self.ids = np.concatenate([self.ids, flat])
+            for i in range(0, len(fresh), 50_000):
+                flat, size = self.encode(fresh[i : i + 50_000])
+                self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+                self.ids = np.concatenate([self.ids, flat])
         at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
         return self.starts[at], self.starts[at + 1] - self.starts[at], self.ids
 
 
+def flatten(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size
+
+
 def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places first, first + 1, ... of runs of given sizes, one run after the other."""
     ends = np.cumsum(size)

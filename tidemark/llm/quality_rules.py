@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordTable, materialise, mix64, pieces, spread, word_codes
+from tidemark.llm.common import WordTable, flatten, materialise, mix64, pieces, spread, word_codes
 
 #: Fixed value: characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -46,7 +46,7 @@ class Band:
     high: bool = True
 
 
-SHORT = 300
+SHORT = 600
 
 BANDS = {
     "chars_per_piece": Band(3.0, 0.1),
@@ -70,10 +70,10 @@ class Vocabularies:
         self.is_byte = np.array([self.piece.is_byte(i) for i in range(self.piece.get_piece_size())])
         self.table = WordTable(self._encode)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids in the first vocabulary, led by the number of tokens in the second."""
         ids = self.piece.encode(words, num_threads=1)
-        return [[len(self.byte.encode_ordinary(" " + w)), *x] for w, x in zip(words, ids, strict=True)]
+        return flatten([[len(self.byte.encode_ordinary(" " + w)), *x] for w, x in zip(words, ids, strict=True)])
 
 
 _LOADED: dict[tuple, Vocabularies] = {}
