@@ -51,10 +51,11 @@ def statistics(text: Column) -> dict[str, Column]:
         "stops": share(count(r"[.,;:]"), words),
         "digits": share(count(r"\p{Nd}"), length),
         "lines": share(count(r"\n"), words),
+        "echoes": share(count(r"(?<![^ ])([^ ]+) \1(?![^ ])"), words),
     }
 
 
-NAMES = ("log_words", "word_length", "distinct", "distinct_growth", "symbols", "upper", "marks", "stops", "digits", "lines")
+NAMES = ("log_words", "word_length", "distinct", "distinct_growth", "symbols", "upper", "marks", "stops", "digits", "lines", "echoes")
 
 
 @dataclass(frozen=True)
