@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, mix64, pieces, word_codes
+from tidemark.llm.common import grams, materialise, pieces, word_codes
 
 #: Words of a seed, consecutive n-grams of which the rarest is one, and the least score.
 N, STRIDE, LEAST = 4, 4, 0.5
@@ -52,30 +52,6 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, counts
 
 
-def grams(flat: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the n-grams within texts; a non-empty text of fewer words is one n-gram."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    starts = max(0, len(flat) - n + 1)
-    name = np.zeros(starts, np.uint64)
-    for k in range(n):
-        name = mix64(name * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + starts])
-    at = np.flatnonzero(owner[:starts] == owner[n - 1 :]) if starts else np.zeros(0, np.int64)
-    name = name[at]
-    short = np.flatnonzero((counts > 0) & (counts < n))
-    if len(short):
-        first = np.cumsum(counts) - counts
-        own = [np.uint64(0)] * len(short)
-        for i, s in enumerate(short):
-            h = np.zeros(1, np.uint64)
-            for w in flat[first[s] : first[s] + counts[s]]:
-                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w)
-            own[i] = mix64(h + np.uint64(counts[s]))[0]
-        name, at = np.r_[name, np.array(own, np.uint64)], np.r_[at, first[short]]
-        order = np.argsort(at, kind="stable")
-        name, at = name[order], at[order]
-    return name, at
-
-
 def item_grams(items: DataFrame, n: int) -> DataFrame:
     """(item_id, place, gram, words) for each n-gram of each item; `words` is the whole item."""
 
