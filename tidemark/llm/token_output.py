@@ -15,20 +15,30 @@ written next to each other in text order; an empty table gives an empty result;
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, word_codes
+from tidemark.llm.common import WordTable, flatten, materialise, pieces, spread, word_codes
 
 END_ID = 2
 
-#: Words whose ids a worker keeps; the oldest go when there are more.
-CACHE_WORDS = 400_000
+#: Words that a worker keeps.
+KNOWN = 500_000
+
+#: Marks that may follow a word; the apostrophe is not one, since the vocabulary's first split knows endings like 's.
+MARKS = "".join(c for c in string.punctuation if c not in "'<>|")
+
+#: Byte-level vocabularies write a byte as its Latin-1 character where that is visible, the others from U+0100 on in turn.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+BYTE_LEVEL = {c: "".join(_BYTE.get(b, chr(b)) for b in chr(c).encode()) for c in range(128, 256)}
 
 #: Options of the files.
 LAYOUT = {
@@ -38,7 +48,7 @@ LAYOUT = {
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#ids.list.element": "false",
     "parquet.enable.dictionary#doc_id": "false",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 SCHEMA = "doc_id long, source string, n_tokens int, ids array<int>"
@@ -56,40 +66,52 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[str, np.ndarray] = {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        known = self.known
-        fresh = [w for w in words if w not in known]
-        if len(known) + len(fresh) > CACHE_WORDS:
-            for old in list(known)[: len(known) // 2]:
-                if len(known) + len(fresh) > CACHE_WORDS:
-                    del known[old]
-            fresh = [w for w in words if w not in known]
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.int32)
-        out = [known[w] for w in words]
-        return out
+        self.table = WordTable(self._encode, KNOWN)
+
+    def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of keys.  A word of Latin-1 letters in lower case is one run that no normaliser changes, so it goes to the model at once."""
+        tokenize = self.tokenizer.model.tokenize
+        lists = [([t.id for t in tokenize(k if k.isascii() else k.translate(BYTE_LEVEL))] if _plain(k) else None) for k in keys]
+        others = [i for i, x in enumerate(lists) if x is None]
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([keys[i] for i in others], add_special_tokens=False), strict=True):
+            lists[i] = e.ids
+        return flatten(lists)
+
+    def _words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, number of ids) of each distinct word, and the ids that the places count into.
+
+        Marks after a word of letters are a run of their own, so such a word is its letters, in lower case, and its marks.
+        """
+        stems = [w.rstrip(MARKS).lower() for w in words]
+        keys = [s if _plain(s) else w for s, w in zip(stems, words, strict=True)]
+        codes, kinds = pd.factorize(np.array(keys, object))
+        first, size, flat = self.table.look_up(list(kinds))
+        first, size = first[codes], size[codes]
+        tail_codes, tails = pd.factorize(np.array([w[len(k) :] for w, k in zip(words, keys, strict=True)], object))
+        tail_ids, tail_size = flatten([e.ids for e in self.tokenizer.encode_batch_fast(list(tails), add_special_tokens=False)])
+        tail_first, tail_size = (np.cumsum(tail_size) - tail_size)[tail_codes], tail_size[tail_codes]
+        total = size + tail_size
+        start = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), np.int32)
+        out[spread(start, size)] = flat[spread(first, size)]
+        out[spread(start + size, tail_size)] = tail_ids[spread(tail_first, tail_size)]
+        return start, total, out
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, with the end id after each, and the number of ids of each."""
         codes, counts, words = word_codes(texts)
-        each = self.words(list(words))
-        size = np.fromiter((len(x) for x in each), np.int64, len(each))
-        flat = np.concatenate([*each, np.empty(0, np.int32)])
-        first = np.r_[0, np.cumsum(size)[:-1]] if len(size) else size
+        first, size, flat = self._words(words)
         per_word = size[codes]
-        ends = np.cumsum(per_word)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(first[codes] - (ends - per_word), per_word) + np.arange(total)
-        ids = flat[at]
-        bounds = np.r_[0, ends][np.cumsum(counts)]
+        ids = flat[spread(first[codes], per_word)]
+        bounds = np.r_[0, np.cumsum(per_word)][np.cumsum(counts)]
         n = np.diff(np.r_[0, bounds])
         return np.insert(ids, bounds, END_ID), n + 1
 
 
+def _plain(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -109,15 +131,17 @@ def word_bpe_path() -> str:
 def tokenise(docs: DataFrame, file: str | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, ids) for each row of `docs` (doc_id, text, source), partition by partition."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file or word_bpe_path())
         for batch in batches:
-            texts = batch["text"].where(batch["text"].notna(), "").tolist()
+            texts = [t or "" for t in batch["text"].to_pylist()]
             for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 4 << 20):
                 ids, n = own.texts(texts[part])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].values, "source": batch["source"].iloc[part].values, "n_tokens": n.astype(np.int32), "ids": np.split(ids, np.cumsum(n)[:-1])})
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), ids.astype(np.int32, copy=False))
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["source"], pa.array(n.astype(np.int32)), lists], ["doc_id", "source", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "source", "text").mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", "source", "text").mapInArrow(run, SCHEMA)
 
 
 def write(docs: DataFrame, path: str, file: str | None = None) -> None:
@@ -135,13 +159,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            crc = [zlib.crc32(np.asarray(ids, "<u4").tobytes()) for ids in b["ids"]]
-            yield b.assign(n_tokens=[len(ids) for ids in b["ids"]], ids_crc32=np.array(crc, np.int64))[["file", "row", "doc_id", "n_tokens", "ids_crc32"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["ids"]
+            places = lists.offsets.to_numpy()
+            ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            crc = np.array([zlib.crc32(ids[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([batch["file"], batch["row"], batch["doc_id"], pa.array(np.diff(places).astype(np.int64)), pa.array(crc)], ["file", "row", "doc_id", "n_tokens", "ids_crc32"])
 
     rows = read(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    each = rows.mapInPandas(run, "file string, row long, doc_id long, n_tokens long, ids_crc32 long")
+    each = materialise(rows.mapInArrow(run, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"))
     totals = each.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     # File names carry the partition number, so their order is the order of doc_id.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
