@@ -50,9 +50,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
         .withColumn("_capped", F.coalesce(F.sum("_cap").over(filled), F.lit(0.0)))
         .withColumn("_free", F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(filled), F.lit(0.0)))
         .withColumn("_level", (F.col("_words") - F.col("_capped")) / F.col("_free"))
-        # The first source, in this order, whose cap is not below the level fixes the level of all that follow.
+        # The first source, in this order, whose cap is not below the level fixes the level of all that follow; capping
+        # more sources than that would only lower it, so it is the highest.
         .withColumn("_open", F.when(F.col("_level") <= F.col("_ratio"), F.col("_level")))
-        .withColumn("_level", F.min("_open").over(everything))
+        .withColumn("_level", F.max("_open").over(everything))
     )
     target = F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_weight"), F.col("_cap")))
     return out.select("source", "source_size", F.round(target, 6).alias("target"))

@@ -85,7 +85,7 @@ filled as (select *, cap / weight as ratio, (sum(source_size) over ())::double *
     coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0) as capped,
     sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0) as free from weighted),
 levels as (select *, case when (words - capped) / free <= ratio then (words - capped) / free end as open from filled),
-targets as (select source, source_size, round(least(cap, coalesce(min(open) over () * weight, cap)), 6) as target from levels),
+targets as (select source, source_size, round(least(cap, coalesce(max(open) over () * weight, cap)), 6) as target from levels),
 placed as (select d.doc_id, d.source, d.size, t.source_size, t.target,
     row_number() over (partition by d.source order by d.size, d.doc_id) - 1 as place,
     case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
