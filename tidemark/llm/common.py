@@ -30,6 +30,8 @@ def materialise(df: DataFrame, **options: object) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark)
     df.write.options(**options).parquet(path)
+    # Spark deletes the shuffle files of what went before once the driver's garbage collector has seen them go.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,6 +64,18 @@ def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
     return laid.join(parts, "_part").withColumn("rank", F.col("_before") + F.col("_local")).drop("_part", "_before", "_local")
 
 
+#: Bits of a bitmap of 64-bit names, by their first bits.
+BITS = 24
+
+
+def bitmap(df: DataFrame, name: Column) -> np.ndarray:
+    """A bitmap of the first BITS bits of a column of 64-bit names.  At most 2 ** BITS values come to the driver."""
+    places = df.select(F.shiftrightunsigned(name, 64 - BITS).alias("place")).distinct().toPandas()["place"].to_numpy(np.int64)
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    np.bitwise_or.at(bits, places >> 3, np.left_shift(np.uint8(1), (places & 7).astype(np.uint8)))
+    return bits
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast where the counted rows are within the limit; beyond it, Spark joins by a shuffle."""
     return F.broadcast(df) if rows <= limit else df
@@ -141,31 +155,38 @@ def _blanks(text: str) -> str:
 class WordTable:
     """Token ids of the distinct words that a worker has met, in flat arrays.
 
-    `encode` maps new words to all their ids, one word after the other, and the number of ids of each.  When the table has `most` words it is emptied: it saves work, and
-    has no part in results.
+    `encode` maps new words to all their ids, one word after the other, and the number of ids of each.  Beyond `most`
+    words, those met in one piece only are dropped: the table saves work, and has no part in results.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 300_000) -> None:
         self.encode, self.most = encode, most
-        self._empty()
-
-    def _empty(self) -> None:
         self.place: dict[str, int] = {}
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.starts, self.ids, self.met = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _drop(self) -> None:
+        keep = np.flatnonzero(self.met > 1)[-self.most // 2 :]
+        words = list(self.place)
+        size = np.diff(self.starts)[keep]
+        self.ids = self.ids[spread(self.starts[keep], size)]
+        self.starts = np.r_[0, np.cumsum(size)]
+        self.met = np.ones(len(keep), np.int32)
+        self.place = {words[k]: i for i, k in enumerate(keep)}
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first place, number of ids) of each word, and the ids that the places count into."""
+        """(first place, number of ids) of each of some distinct words, and the ids that the places count into."""
         if len(self.place) > self.most:
-            self._empty()
+            self._drop()
         place = self.place
         fresh = [w for w in words if w not in place]
         if fresh:
             place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-            for i in range(0, len(fresh), 50_000):
-                flat, size = self.encode(fresh[i : i + 50_000])
-                self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
-                self.ids = np.concatenate([self.ids, flat])
+            flat, size = self.encode(fresh)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+            self.ids = np.concatenate([self.ids, flat])
+            self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int32)])
         at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        self.met[at] += 1
         return self.starts[at], self.starts[at + 1] - self.starts[at], self.ids
 
 

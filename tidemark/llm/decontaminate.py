@@ -25,14 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import grams, materialise, pieces, word_codes
+from tidemark.llm.common import BITS, bitmap, grams, materialise, pieces, word_codes
 
 #: Words of a seed, consecutive n-grams of which the rarest is one, and the least score.
 N, STRIDE, LEAST = 4, 4, 0.5
 
-#: Bits of the bitmap of the items' n-grams.
-BITS = 24
-
 #: Words of a passage beyond which it is cut into overlapping ones.
 LONGEST = 2048
 
@@ -167,10 +164,7 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N, stride: int = STRIDE,
     known = materialise(item_grams(items, n))
     bound = known.agg(F.max(F.size("words"))).first()[0] or 0
     margin = int(bound * 1.25) + n
-    # At most 2 ** BITS values come to the driver, whatever the size of the benchmark.
-    places = known.select(F.shiftrightunsigned("gram", 64 - BITS).alias("place")).distinct().toPandas()["place"].to_numpy(np.int64)
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    np.bitwise_or.at(bits, places >> 3, np.left_shift(np.uint8(1), (places & 7).astype(np.uint8)))
+    bits = bitmap(known, F.col("gram"))
     found = passages(docs, bits, margin, n).withColumn("passage", F.xxhash64("doc_id", "at", "words"))
     found = materialise(found)
     hits = found.select("passage", "doc_id", F.explode(F.array_distinct("grams")).alias("gram"))

@@ -3,19 +3,20 @@
 A document's set holds the hashes of its distinct n-word shingles.  Two documents link when
 100 * intersection >= percent * union.  Equal sets are one class, and all work below is on classes.
 
-1. Of each class, the least hashes that a linked class must share one of: size - ceil(percent * size / 100) + 1 of
-   them.  A class none of whose prefix hashes occurs in another class links with nothing; most leave here.
-2. The shingles of the others get a global order, rarest first, by their counts over those classes.  A shingle that no
-   other class has cannot match, so a set is kept as its shared shingles in order, and its size.  The class's index
-   shingles are those of the order's prefix; a class with more unshared shingles than its prefix links with nothing.
-3. Hub round: of the classes with an index shingle, the one with the fewest unshared shingles is the hub.  Each class is
-   compared with the hubs of its index shingles.  That joins most copies of a text, however many, in work that grows
-   with their number.
-4. What is left is the pairs of classes in different components that share an index shingle.  Only shingles with two
-   components or more go on, once for each distinct set of classes.  Their sets are stored in a trie (most frequent
-   shingle first, so that copies share paths).  A class walks the trie with the overlap of the path so far; a subtree is
+1. Shingles get a global order from the corpus counts of their rarest word (a shingle is no more frequent than that),
+   then by hash.  Linked classes share `least` or more of a set's `size` shingles, least = ceil(percent * size / 100),
+   so they share one of its first p = size - least + 1, and k of its first p + k - 1.  With k = 1 + p / 2, that prefix
+   is kept of each class; a class with fewer than k prefix shingles that occur in other prefixes links with nothing, and
+   most leave here.  Its index are the shared ones of the first p.
+2. Hub round: of the classes with an index shingle, the one with the largest share of its prefix in the index is the
+   hub.  Each class is compared with the hubs of its index shingles: by prefix, then exactly by whole sets, which are
+   computed for the classes left.  That joins most copies of a text, however many, in work that grows with their number.
+3. What is left is the pairs of classes in different components that share an index shingle.  Only shingles with two
+   components or more go on, once for each distinct group of classes.  Groups of the same copies differ by a few classes
+   each, so they are gathered: a class names its largest group, a group goes to the one that most of its classes name.
+   The sets gathered there are stored in a trie (most frequent shingle first, so that copies share paths).  A class walks the trie with the overlap of the path so far; a subtree is
    left when its remaining length cannot reach the needed overlap, or when it is in the walker's component.
-   The largest component of a shingle needs no comparison within itself, and classes are dealt to tasks in chunks of
+   The largest component gathered needs no comparison within itself, and classes are dealt to tasks in chunks of
    bounded weight, pairwise, so no group is whole in one task and no pair is lost.
 
 Links found inside one component are not all listed: the result is each document's component.
@@ -35,62 +36,113 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import grams, materialise, mix64, pieces, word_codes
+from tidemark.llm.common import BITS, bitmap, grams, materialise, mix64, pieces, word_codes
 from tidemark.llm.components import components
 
 #: Shingles in all the sets that a task compares on one side.
 WEIGHT = 500_000
 
+#: Bits of the table of word counts.
+BUCKETS = 18
+
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 
-def shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, ascending, one text after the other, and the number of each text."""
-    codes, counts, words = word_codes(texts)
+def _hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of words, A-Z in lower case."""
     lower = np.array([w.lower() if w.isascii() else w.translate(UPPER) for w in words], object)
-    hashes = pd.util.hash_array(lower, categorize=False) | np.uint64(1) if len(lower) else np.zeros(0, np.uint64)
-    name, at = grams(hashes[codes] if len(codes) else np.zeros(0, np.uint64), counts, n)
+    return pd.util.hash_array(lower, categorize=False) | np.uint64(1) if len(lower) else np.zeros(0, np.uint64)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """Of each bucket of words, the binary logarithm of its count over all texts.
+
+    Words share buckets, so the table's size is fixed; that only blurs the order of shingles, which any order keeps right.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << BUCKETS, np.int64)
+        for batch in batches:
+            texts = batch["text"].where(batch["text"].notna(), "").tolist()
+            for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 3 << 20):
+                codes, _, words = word_codes(texts[part])
+                np.add.at(total, _bucket(_hashes(words)), np.bincount(codes, minlength=len(words)))
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": seen, "n": total[seen]})
+
+    counts = docs.select("text").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    levels = np.zeros(1 << BUCKETS, np.uint64)
+    levels[counts["bucket"].to_numpy(np.int64)] = np.log2(counts["n"].to_numpy(float)).astype(np.uint64) + 1
+    return np.minimum(levels, np.uint64(63))
+
+
+def shingles(texts: list[str], n: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text in ascending order, one text after the other, and the number of each text.
+
+    A shingle is a 58-bit hash below the 6-bit level of its rarest word; a text of fewer words is of level 0.
+    """
+    codes, counts, words = word_codes(texts)
+    hashes = _hashes(words)
+    flat = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
+    name, at = grams(flat, counts, n)
     owner = np.searchsorted(np.cumsum(counts), at, side="right")
+    level = np.r_[levels[_bucket(hashes)][codes], np.zeros(n, np.uint64)] if len(codes) else np.zeros(n, np.uint64)
+    least = level[at]
+    for k in range(1, n):
+        least = np.minimum(least, level[at + k])
+    least[counts[owner] < n] = 0
+    name = (least << np.uint64(58)) | (name >> np.uint64(6))
     order = np.lexsort((name, owner))
     name, owner = name[order], owner[order]
     new = np.r_[True, (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])][: len(name)]
     return name[new], np.bincount(owner[new], minlength=len(texts)).astype(np.int64)
 
 
-def needed(size: Column | np.ndarray, percent: int):
-    """Least number of shingles that a set shares with any that it links with."""
-    if isinstance(size, Column):
-        return F.floor((size * percent + 99) / 100)
-    return (size * percent + 99) // 100
+def prefix(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """p and k of sets: the first p shingles have one that a linked set shares, the first p + k - 1 have k."""
+    p = size - (size * percent + 99) // 100 + 1
+    return p, 1 + p // 2
 
 
-def sets(docs: DataFrame, n: int, percent: int | None) -> DataFrame:
-    """(key, doc_id, size, cid, hashes) of each row of `docs` (doc_id, text).
+def sets(docs: DataFrame, n: int, percent: int, levels: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+    """(key, doc_id, size, p, k, cid, hashes) of each row of `docs` (doc_id, text).
 
-    `cid` names the set; `hashes` is its prefix in hash order, or the whole set where `percent` is None.
+    `cid` names the set; `hashes` is its prefix.  With `only`, a bitmap of keys, it is the whole set, of rows in it.
     """
+    shared = docs.sparkSession.sparkContext.broadcast((levels, only))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        levels, only = shared.value
         for batch in batches:
+            if only is not None:
+                place = batch["key"].to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+                batch = batch[(only[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
             texts = batch["text"].where(batch["text"].notna(), "").tolist()
             for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 3 << 20):
-                name, size = shingles(texts[part], n)
+                name, size = shingles(texts[part], n, levels)
                 ends = np.cumsum(size)
                 total = np.r_[np.uint64(0), np.cumsum(mix64(name + np.uint64(7)))]
                 cid = mix64(total[ends] - total[ends - size] + mix64(size.astype(np.uint64)))
-                wanted = size if percent is None else np.where(size > 0, size - needed(size, percent) + 1, 0)
+                p, k = prefix(size, percent)
+                wanted = size if only is not None else np.minimum(size, p + k - 1)
                 name = name.view(np.int64)
                 yield pd.DataFrame(
                     {
                         "key": batch["key"].values[part],
                         "doc_id": batch["doc_id"].values[part],
                         "size": size,
+                        "p": p,
+                        "k": k,
                         "cid": cid.view(np.int64),
                         "hashes": [name[e - s : e - s + w] for e, s, w in zip(ends, size, wanted, strict=True)],
                     }
                 )
 
-    return docs.select(row_key().alias("key"), "doc_id", "text").mapInPandas(run, "key long, doc_id long, size long, cid long, hashes array<long>")
+    return docs.select(row_key().alias("key"), "doc_id", "text").mapInPandas(run, "key long, doc_id long, size long, p long, k long, cid long, hashes array<long>")
 
 
 def row_key() -> Column:
@@ -98,37 +150,34 @@ def row_key() -> Column:
 
 
 def survivors(classes: DataFrame) -> DataFrame:
-    """The classes (cid, rep) that share a prefix hash with another class."""
-    each = classes.select("cid", F.explode("hashes").alias("hash"))
+    """The classes that share k prefix shingles with others, with their `index`."""
+    each = classes.select("cid", "p", "k", F.posexplode("hashes").alias("place", "hash"))
     shared = each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    return classes.select("cid", "rep").join(each.join(shared, "hash").select("cid").distinct(), "cid")
-
-
-def ordered_sets(full: DataFrame, percent: int) -> DataFrame:
-    """(cid, size, unshared, shared, index) of the classes `full` (cid, size, hashes) that may link.
-
-    `shared` are the shingles that other classes have too, rarest first; `index` those of the order's prefix.
-    """
-    each = full.select("cid", "size", F.explode("hashes").alias("hash"))
-    counts = each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    listed = each.join(counts, "hash").groupBy("cid", "size").agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("pairs"))
-    listed = listed.select("cid", "size", (F.col("size") - F.size("pairs")).alias("unshared"), F.col("pairs.hash").alias("shared"))
-    left = F.col("size") - needed(F.col("size"), percent) + 1 - F.col("unshared")
-    return listed.filter(left > 0).withColumn("index", F.slice("shared", F.lit(1), left.cast("int")))
+    index = F.collect_list(F.when(F.col("place") < F.col("p"), F.col("hash")))
+    found = each.join(shared, "hash").groupBy("cid", "k").agg(F.count("*").alias("n"), index.alias("index"))
+    return classes.join(found.filter("n >= k and size(index) > 0").select("cid", "index"), "cid")
 
 
 def linked(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     return overlap * 100 >= (a + b - overlap) * percent
 
 
-def hub_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of classes with the hubs of their index shingles."""
-    each = rows.select("cid", "size", "unshared", F.explode("index").alias("hash"))
-    hubs = each.groupBy("hash").agg(F.min(F.struct("unshared", F.col("cid").alias("hub"))).alias("best"), F.count("*").alias("n")).filter("n > 1")
+def hub_pairs(near: DataFrame) -> DataFrame:
+    """(cid, hub) of classes and the hubs of their index shingles that may link, by their prefixes."""
+    share = -F.size("index") / F.col("p")
+    each = near.select("cid", share.alias("rank"), F.explode("index").alias("hash"))
+    hubs = each.groupBy("hash").agg(F.min(F.struct("rank", F.col("cid").alias("hub"))).alias("best"), F.count("*").alias("n")).filter("n > 1")
     pairs = each.join(hubs.select("hash", F.col("best.hub").alias("hub")), "hash").filter("cid <> hub").select("cid", "hub").distinct()
-    hub = rows.select(F.col("cid").alias("hub"), F.col("size").alias("hub_size"), F.col("shared").alias("hub_shared"))
-    both = pairs.join(rows.select("cid", "size", "shared"), "cid").join(hub, "hub")
-    overlap = F.size(F.array_intersect("shared", "hub_shared")).cast("long")
+    hub = near.select(F.col("cid").alias("hub"), F.col("k").alias("hub_k"), F.col("hashes").alias("hub_hashes"))
+    both = pairs.join(near.select("cid", "k", "hashes"), "cid").join(hub, "hub")
+    return both.filter(F.size(F.array_intersect("hashes", "hub_hashes")) >= F.least("k", "hub_k")).select("cid", "hub")
+
+
+def hub_edges(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among pairs, by whole sets."""
+    hub = full.select(F.col("cid").alias("hub"), F.col("size").alias("hub_size"), F.col("hashes").alias("hub_hashes"))
+    both = pairs.join(full.select("cid", "size", "hashes"), "cid").join(hub, "hub")
+    overlap = F.size(F.array_intersect("hashes", "hub_hashes")).cast("long")
     return both.filter(linked(overlap, F.col("size"), F.col("hub_size"), percent)).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
 
 
@@ -191,10 +240,10 @@ def walk(root: Trie, probe: frozenset, size: int, me: int, find, sizes: np.ndarr
 
 
 def trie_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the walkers and the others of one task, as a forest; rows are (cid, size, comp, shared, walks, inner)."""
+    """Links between the walkers and the others of one task, as a forest; rows are (cid, size, comp, hashes, walks, inner)."""
     rows = rows.drop_duplicates("cid")
     cid, sizes, walks = rows["cid"].to_numpy(), rows["size"].to_numpy(), rows["walks"].to_numpy()
-    paths = [list(map(int, x))[::-1] for x in rows["shared"]]
+    paths = [list(map(int, x))[::-1] for x in rows["hashes"]]
     parent = list(range(len(rows)))
 
     def find(x: int) -> int:
@@ -226,13 +275,26 @@ def trie_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def rest_edges(rows: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def gathered(near: DataFrame, comps: DataFrame) -> DataFrame:
+    """(place, cid, comp, weight): the classes to compare at each place, all pairs that share an index shingle and are
+    in different components being together at one place."""
+    labelled = near.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    each = labelled.select("cid", "comp", F.col("size").alias("weight"), F.explode("index").alias("hash"))
+    by_comp = each.groupBy("hash", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sign"))
+    groups = by_comp.groupBy("hash").agg(F.count("*").alias("n_comps"), F.sum("n").alias("n"), F.sum("sign").alias("sign"))
+    groups = groups.filter("n_comps > 1").groupBy("n", "sign").agg(F.min("hash").alias("hash"))
+    members = materialise(each.join(groups.select("hash", "n"), "hash"))
+    named = members.groupBy("cid").agg(F.max(F.struct("n", "hash")).alias("top")).select("cid", F.col("top.hash").alias("top"))
+    votes = members.join(named, "cid").groupBy("hash", "top").agg(F.count("*").alias("n"))
+    place = votes.groupBy("hash").agg(F.max(F.struct("n", "top")).alias("best")).select("hash", F.col("best.top").alias("place"))
+    return members.join(place, "hash").select("place", "cid", "comp", "weight").distinct()
+
+
+def rest_edges(near: DataFrame, full: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Links between classes of different components that share an index shingle."""
-    labelled = rows.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    each = labelled.select("cid", "comp", F.size("shared").cast("long").alias("weight"), F.explode("index").alias("hash"))
-    by_comp = each.groupBy("hash", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sign"))
-    groups = by_comp.groupBy("hash").agg(F.max(F.struct("n", "comp", "weight")).alias("main"), F.count("*").alias("n_comps"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.sum("sign").alias("sign"))
-    groups = groups.filter("n_comps > 1").groupBy("n", "sign", "weight", "main").agg(F.min("hash").alias("hash"))
+    each = materialise(gathered(near, comps)).withColumnRenamed("place", "hash")
+    by_comp = each.groupBy("hash", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    groups = by_comp.groupBy("hash").agg(F.max(F.struct("n", "comp", "weight")).alias("main"), F.sum("weight").alias("weight"))
     chunks = lambda w: F.greatest(F.lit(1), F.ceil(w / WEIGHT)).cast("int")
     groups = groups.select("hash", F.col("main.comp").alias("main"), chunks(F.col("weight") - F.col("main.weight")).alias("n_walk"), chunks(F.col("main.weight")).alias("n_main"))
     members = each.join(groups, "hash").withColumn("walks", F.col("comp") != F.col("main"))
@@ -249,20 +311,23 @@ def rest_edges(rows: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     from_walk = F.transform(earlier, lambda a: one(a, 1, F.col("chunk"), False, F.lit(False)))
     dealt = members.withColumn("task", F.explode(F.when(F.col("walks"), F.concat(to_main, to_walk, from_walk)).otherwise(as_main)))
     dealt = dealt.select("hash", "cid", "comp", "task.a", "task.side", "task.b", F.col("task.role").alias("walks"), "task.inner")
-    full = dealt.join(rows.select("cid", "size", "shared"), "cid")
-    return full.groupBy("hash", "a", "side", "b").applyInPandas(lambda rows: trie_links(rows, percent), "a long, b long")
+    whole = dealt.join(full.select("cid", "size", "hashes"), "cid")
+    return whole.groupBy("hash", "a", "side", "b").applyInPandas(lambda rows: trie_links(rows, percent), "a long, b long")
 
 
 def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(key, doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
-    slim = materialise(sets(docs, n, percent))
-    classes = materialise(slim.filter("size > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.first("hashes").alias("hashes")))
-    near = materialise(survivors(classes.withColumn("rep", F.col("key"))))
-    chosen = docs.select("doc_id", "text").withColumn("_rep", row_key()).join(near.select(F.col("rep").alias("_rep")).distinct(), "_rep")
-    full = sets(chosen, n, None).dropDuplicates(["cid"])
-    rows = materialise(ordered_sets(materialise(full.select("cid", "size", "hashes")), percent))
-    hubs = materialise(hub_edges(rows, percent))
-    more = materialise(rest_edges(rows, components(hubs), percent))
+    levels = word_levels(docs)
+    slim = materialise(sets(docs, n, percent, levels))
+    first = F.min(F.struct("key", "size", "p", "k")).alias("of")
+    classes = slim.filter("size > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), first, F.first("hashes").alias("hashes"))
+    classes = materialise(classes.select("cid", "rep", "of.*", "hashes"))
+    near = materialise(survivors(classes))
+    # The bitmap only saves work: rows that it lets through by chance leave at the join.
+    full = sets(docs, n, percent, levels, bitmap(near, F.col("key"))).select("key", "cid", "size", "hashes")
+    full = materialise(full.join(near.select("key", "cid"), ["key", "cid"]).dropDuplicates(["cid"]).drop("key"))
+    hubs = materialise(hub_edges(materialise(hub_pairs(near)), full, percent))
+    more = materialise(rest_edges(near, full, components(hubs), percent))
     comps = components(hubs.unionByName(more))
     joined = classes.select("cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
