@@ -45,7 +45,7 @@ def lineage(edges: DataFrame, max_depth: int = 50) -> DataFrame:
     """(destination, depth, dst, src) of every table: its own edges at depth 0, then those of its sources.
 
     A step goes on while the current edge stays within a dataset, and never returns to a table on its path.  Then each
-    edge's source brings its own lineage from other datasets, once.  Users' queries have depth -1.  Edges may have a
+    edge's source brings its own lineage from other datasets, once.  Users' queries are at depth -1 of what they read.  Edges may have a
     null source.  One join per depth; it ends when no edge is added.
     """
     plain = edges.select("dst", "src")
@@ -65,7 +65,7 @@ def lineage(edges: DataFrame, max_depth: int = 50) -> DataFrame:
     across = compact.filter(F.col("src").isNotNull() & ((F.col("dst.project") != F.col("src.project")) | (F.col("dst.dataset") != F.col("src.dataset"))))
     theirs = compact.select(F.col("destination").alias("via"), F.col("dst").alias("d2"), F.col("src").alias("s2"), F.col("depth").alias("more"))
     far = across.join(theirs, name(F.col("src")) == F.col("via")).groupBy("destination", F.col("d2").alias("dst"), F.col("s2").alias("src")).agg(F.max(F.col("depth") + 1 + F.col("more")).alias("depth"))
-    users = plain.filter(F.col("dst.table") == USER).select(F.lit(USER).alias("destination"), "dst", "src", F.lit(-1).alias("depth"))
+    users = plain.filter(F.col("dst.table") == USER).select(name(F.col("src")).alias("destination"), "dst", "src", F.lit(-1).alias("depth"))
     parts = [x.select("destination", "depth", "dst", "src") for x in (compact, far, users)]
     return reduce(DataFrame.unionByName, parts).groupBy("destination", "dst", "src").agg(F.max("depth").alias("depth")).select("destination", "depth", "dst", "src")
 

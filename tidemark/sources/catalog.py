@@ -42,7 +42,7 @@ def set_description(spark: SparkSession, database: str, text: str) -> None:
 
 
 def tables(spark: SparkSession, database: str) -> DataFrame:
-    return spark.sql(f"SHOW TABLES IN `{database}`")
+    return spark.sql(f"SHOW TABLES IN `{database}`").filter("not isTemporary")
 
 
 @contextmanager
