@@ -77,7 +77,7 @@ class Model:
         return 1 / (1 + np.exp(-odds))
 
 
-def fit(labelled: DataFrame, shrink: float = 0.1, diagonal: float = 0.1, floor: float = 1e-4) -> Model:
+def fit(labelled: DataFrame, shrink: float = 0.2, diagonal: float = 0.2, floor: float = 3e-3) -> Model:
     """Fit to rows with the statistics and `label` (0 or 1).  One aggregate; its result has a row per class."""
     pairs = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
     sums = [F.sum(n) for n in NAMES] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])) for i, j in pairs]
