@@ -38,7 +38,7 @@ def name(node: Column) -> Column:
 
 def _settled(df: DataFrame) -> DataFrame:
     """A table computed once: in the session's checkpoint folder if it has one, else kept by the executors."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
 def lineage(edges: DataFrame, max_depth: int = 50) -> DataFrame:
