@@ -157,6 +157,7 @@ class HistoryTable:
     """A history stored as Parquet, with the current rows in a partition of their own.
 
     An update appends closed rows to `state=closed` and overwrites `state=open`; only open rows are read and rewritten.
+    What it writes is staged in `<path>__staged`, which may be deleted when no update runs.
     """
 
     spark: SparkSession
@@ -188,20 +189,20 @@ class HistoryTable:
         """Rows closed plus rows opened."""
         if not self.same_columns(df):
             raise ValueError("the columns have changed: move the history away and begin a new one")
-        at = self.clock()
-        fresh = snapshot(df, self.key, at, self.new_id())
-        new_rows = update(self.read(), fresh, at).filter((F.col("valid_to").isNull()) | (F.col("valid_to") == instant(at))).persist()
-        try:
-            closed = new_rows.filter("valid_to is not null")
-            opened = new_rows.filter("valid_to is null")
-            written = closed.count() + opened.filter(F.col("valid_from") == instant(at)).count()
-            if not written and not allow_unchanged:
-                raise NothingChanged(self.path)
-            # Closed rows first: if the second write fails, a retry finds the open rows as they were.
-            closed.withColumn("state", F.lit("closed")).write.mode("append").partitionBy("state").parquet(self.path)
-            opened.write.mode("overwrite").parquet(f"{self.path}/state=open")
-        finally:
-            new_rows.unpersist()
+        at, revision = self.clock(), self.new_id()
+        fresh = snapshot(df, self.key, at, revision)
+        new_rows = update(self.read(), fresh, at).filter((F.col("valid_to").isNull()) | (F.col("valid_to") == instant(at)))
+        # Staged in files: the open rows are overwritten below, so nothing may be computed from them again.
+        staged = f"{self.path}__staged/{revision}"
+        new_rows.write.parquet(staged)
+        new_rows = self.spark.read.schema(new_rows.schema).parquet(staged)
+        closed, opened = new_rows.filter("valid_to is not null"), new_rows.filter("valid_to is null")
+        written = closed.count() + opened.filter(F.col("valid_from") == instant(at)).count()
+        if not written and not allow_unchanged:
+            raise NothingChanged(self.path)
+        # Closed rows first: if the second write fails, the open rows are as they were.
+        closed.withColumn("state", F.lit("closed")).write.mode("append").partitionBy("state").parquet(self.path)
+        opened.write.mode("overwrite").parquet(f"{self.path}/state=open")
         return written
 
     def views(self, name: str) -> None:

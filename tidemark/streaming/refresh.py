@@ -39,11 +39,7 @@ def keep_history(stream: DataFrame, table: HistoryTable, key: str, at: str, chec
             return
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), at).alias("r")).select("r.*")
         if table.exists():
-            # The store is read and rewritten, so what is laid over it is fixed first.
-            whole = overlay(table.read(), snapshot(newest, key, datetime.now(), "batch")).persist()
-            whole.count()
-            table.update(whole, allow_unchanged=True)
-            whole.unpersist()
+            table.update(overlay(table.read(), snapshot(newest, key, datetime.now(), "batch")), allow_unchanged=True)
         else:
             table.init(newest)
 
