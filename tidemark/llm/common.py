@@ -64,16 +64,24 @@ def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
     return laid.join(parts, "_part").withColumn("rank", F.col("_before") + F.col("_local")).drop("_part", "_before", "_local")
 
 
-#: Bits of a bitmap of 64-bit names, by their first bits.
+#: Bits of a bitmap of 64-bit names, by their last bits.
 BITS = 24
 
 
 def bitmap(df: DataFrame, name: Column) -> np.ndarray:
-    """A bitmap of the first BITS bits of a column of 64-bit names.  At most 2 ** BITS values come to the driver."""
-    places = df.select(F.shiftrightunsigned(name, 64 - BITS).alias("place")).distinct().toPandas()["place"].to_numpy(np.int64)
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    np.bitwise_or.at(bits, places >> 3, np.left_shift(np.uint8(1), (places & 7).astype(np.uint8)))
-    return bits
+    """A bitmap of the last BITS bits of a column of 64-bit names; it comes to the driver in blocks of 4 KB, 2 MB in all."""
+    place = df.select(name.bitwiseAND(F.lit((1 << BITS) - 1)).alias("place"))
+    blocks = place.groupBy(F.shiftright("place", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
+    bits = np.zeros((1 << (BITS - 15), 4096), np.uint8)
+    for block, data in blocks.collect():
+        bits[block] = np.frombuffer(data, np.uint8)
+    return bits.ravel()
+
+
+def in_bitmap(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which of some 64-bit names the bitmap may have."""
+    place = names.view(np.uint64) & np.uint64((1 << BITS) - 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:

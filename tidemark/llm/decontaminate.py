@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BITS, bitmap, grams, materialise, pieces, word_codes
+from tidemark.llm.common import bitmap, grams, in_bitmap, materialise, pieces, word_codes
 
 #: Words of a seed, consecutive n-grams of which the rarest is one, and the least score.
 N, STRIDE, LEAST = 4, 4, 0.5
@@ -88,8 +88,7 @@ def passages(docs: DataFrame, bits: np.ndarray, margin: int, n: int) -> DataFram
             for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 4 << 20):
                 flat, counts = hashed_words(texts[part])
                 name, at = grams(flat, counts, n)
-                place = name >> np.uint64(64 - BITS)
-                hit = np.flatnonzero(known[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                hit = np.flatnonzero(in_bitmap(known, name))
                 if not len(hit):
                     continue
                 name, at = name[hit], at[hit]

@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BITS, bitmap, grams, materialise, mix64, pieces, word_codes
+from tidemark.llm.common import bitmap, grams, in_bitmap, materialise, mix64, pieces, word_codes
 from tidemark.llm.components import components
 
 #: Shingles in all the sets that a task compares on one side.
@@ -74,9 +75,9 @@ def word_levels(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": seen, "n": total[seen]})
 
-    counts = docs.select("text").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select("text").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     levels = np.zeros(1 << BUCKETS, np.uint64)
-    levels[counts["bucket"].to_numpy(np.int64)] = np.log2(counts["n"].to_numpy(float)).astype(np.uint64) + 1
+    levels[counts["bucket"].to_numpy()] = np.log2(counts["n"].to_numpy()).astype(np.uint64) + 1
     return np.minimum(levels, np.uint64(63))
 
 
@@ -119,8 +120,7 @@ def sets(docs: DataFrame, n: int, percent: int, levels: np.ndarray, only: np.nda
         levels, only = shared.value
         for batch in batches:
             if only is not None:
-                place = batch["key"].to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
-                batch = batch[(only[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                batch = batch[in_bitmap(only, batch["key"].to_numpy())]
             texts = batch["text"].where(batch["text"].notna(), "").tolist()
             for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 3 << 20):
                 name, size = shingles(texts[part], n, levels)
@@ -149,28 +149,47 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def survivors(classes: DataFrame) -> DataFrame:
-    """The classes that share k prefix shingles with others, with their `index`."""
-    each = classes.select("cid", "p", "k", F.posexplode("hashes").alias("place", "hash"))
-    shared = each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    index = F.collect_list(F.when(F.col("place") < F.col("p"), F.col("hash")))
-    found = each.join(shared, "hash").groupBy("cid", "k").agg(F.count("*").alias("n"), index.alias("index"))
-    return classes.join(found.filter("n >= k and size(index) > 0").select("cid", "index"), "cid")
+def survivors(slim: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes that share k prefix shingles with others, with their `index`.
+
+    A shingle is shared if it occurs under two names of sets.  A bitmap of the shared ones thins out the shingles before
+    they are joined; those that it lets through by chance leave at the join.
+    """
+    each = slim.select("cid", F.explode("hashes").alias("hash"))
+    shared = each.groupBy("hash").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("hash")
+    shared = materialise(shared)
+    bits = slim.sparkSession.sparkContext.broadcast(bitmap(shared, F.col("hash")))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["hashes"]
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(in_bitmap(bits.value, flat))
+            owner = np.searchsorted(np.cumsum(size), at, side="right")
+            place = at - (np.cumsum(size) - size)[owner]
+            column = lambda name: batch[name].to_numpy(zero_copy_only=False)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(column("cid")), pa.array(place < column("p")), pa.array(flat[at])], ["cid", "indexed", "hash"])
+
+    found = slim.select("cid", "p", "hashes").mapInArrow(hits, "cid long, indexed boolean, hash long").distinct().join(shared, "hash")
+    found = found.groupBy("cid").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("indexed"), F.col("hash"))).alias("index"))
+    return classes.join(found, "cid").filter("n >= k and size(index) > 0").drop("n")
 
 
 def linked(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     return overlap * 100 >= (a + b - overlap) * percent
 
 
-def hub_pairs(near: DataFrame) -> DataFrame:
+def hub_pairs(near: DataFrame, full: DataFrame) -> DataFrame:
     """(cid, hub) of classes and the hubs of their index shingles that may link, by their prefixes."""
     share = -F.size("index") / F.col("p")
     each = near.select("cid", share.alias("rank"), F.explode("index").alias("hash"))
     hubs = each.groupBy("hash").agg(F.min(F.struct("rank", F.col("cid").alias("hub"))).alias("best"), F.count("*").alias("n")).filter("n > 1")
     pairs = each.join(hubs.select("hash", F.col("best.hub").alias("hub")), "hash").filter("cid <> hub").select("cid", "hub").distinct()
-    hub = near.select(F.col("cid").alias("hub"), F.col("k").alias("hub_k"), F.col("hashes").alias("hub_hashes"))
-    both = pairs.join(near.select("cid", "k", "hashes"), "cid").join(hub, "hub")
-    return both.filter(F.size(F.array_intersect("hashes", "hub_hashes")) >= F.least("k", "hub_k")).select("cid", "hub")
+    starts = full.select("cid", "k", F.slice("hashes", F.lit(1), (F.col("p") + F.col("k") - 1).cast("int")).alias("start"))
+    hub = starts.select(F.col("cid").alias("hub"), F.col("k").alias("hub_k"), F.col("start").alias("hub_start"))
+    both = pairs.join(starts, "cid").join(hub, "hub")
+    return both.filter(F.size(F.array_intersect("start", "hub_start")) >= F.least("k", "hub_k")).select("cid", "hub")
 
 
 def hub_edges(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -319,14 +338,13 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(key, doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
     levels = word_levels(docs)
     slim = materialise(sets(docs, n, percent, levels))
-    first = F.min(F.struct("key", "size", "p", "k")).alias("of")
-    classes = slim.filter("size > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), first, F.first("hashes").alias("hashes"))
-    classes = materialise(classes.select("cid", "rep", "of.*", "hashes"))
-    near = materialise(survivors(classes))
+    of = F.min(F.struct("key", "size", "p", "k")).alias("of")
+    classes = materialise(slim.filter("size > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), of).select("cid", "rep", "of.*"))
+    near = materialise(survivors(slim, classes))
     # The bitmap only saves work: rows that it lets through by chance leave at the join.
-    full = sets(docs, n, percent, levels, bitmap(near, F.col("key"))).select("key", "cid", "size", "hashes")
+    full = sets(docs, n, percent, levels, bitmap(near, F.col("key"))).select("key", "cid", "size", "p", "k", "hashes")
     full = materialise(full.join(near.select("key", "cid"), ["key", "cid"]).dropDuplicates(["cid"]).drop("key"))
-    hubs = materialise(hub_edges(materialise(hub_pairs(near)), full, percent))
+    hubs = materialise(hub_edges(materialise(hub_pairs(near, full)), full, percent))
     more = materialise(rest_edges(near, full, components(hubs), percent))
     comps = components(hubs.unionByName(more))
     joined = classes.select("cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
