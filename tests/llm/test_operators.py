@@ -113,6 +113,22 @@ def test_decontamination_finds_edited_copies_and_no_others(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == dirty
 
 
+def test_decontamination_finds_every_edited_copy_beside_an_exact_one(spark):
+    rng = random.Random(11)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(rng.randint(16, 59))] for _ in range(60)]
+    rows, wanted = [], set()
+    for i, item in enumerate(items):
+        for k in range(6):
+            copy = [w if k == 0 or rng.random() > 0.2 else f"x{rng.randrange(10**6)}" for w in item]
+            rows.append((6 * i + k, " ".join(copy)))
+            kept = any(copy[j : j + 4] == item[j : j + 4] for j in range(len(item) - 3))
+            a, b = (np.array([[int(w[1:]) + (10**7 if w[0] == "x" else 2) for w in words]]) for words in (item, copy))
+            if kept and decontaminate.align(a, b)[0][0] >= len(item):
+                wanted.add((6 * i + k, i))
+    tables = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(*tables).collect()} == wanted
+
+
 def test_alignment_scores_as_a_plain_table_does():
     def plain(a, b):
         h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0

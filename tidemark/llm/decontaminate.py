@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Texts are read as normalised words (lower case, letters and digits only).  One pass over the corpus finds the n-grams
 that any test item has, by a bitmap of fixed size, and keeps the passages around them; a join with the items' n-grams
-removes the bitmap's false hits.  The passages give each n-gram's document frequency, and each item's seeds are the
-rarest n-gram of every `stride` consecutive ones, so each part of an item has a seed, however often the item is copied.
-Seeds join passages to items.  Smith-Waterman alignment of words (match 2, mismatch and gap -1) scores each pair; the
+removes the bitmap's false hits.  Every n-gram of an item is a seed: which ones an edited copy has kept is not known
+before, and the rarest of a stretch may be just the one that it has lost.  So a copy that keeps any n-gram is aligned.
+Seeds join passages to items, each pair once.  Smith-Waterman alignment of words (match 2, mismatch and gap -1) scores each pair; the
 score is a share of the item's perfect score, and pairs from `least` on are contamination.
 
 Joins are by n-gram or passage, never of all with all.  An item found in a third of all documents gives one row per
@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bitmap, grams, in_bitmap, materialise, pieces, word_codes
 
-#: Words of a seed, consecutive n-grams of which the rarest is one, and the least score.
-N, STRIDE, LEAST = 4, 4, 0.5
+#: Words of a seed, and the least score.
+N, LEAST = 4, 0.5
 
 #: Words of a passage beyond which it is cut into overlapping ones.
 LONGEST = 2048
@@ -158,7 +158,7 @@ def score_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = N, stride: int = STRIDE, least: float = LEAST) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of the copies of items in documents."""
     known = materialise(item_grams(items, n))
     bound = known.agg(F.max(F.size("words"))).first()[0] or 0
@@ -166,12 +166,8 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N, stride: int = STRIDE,
     bits = bitmap(known, F.col("gram"))
     found = passages(docs, bits, margin, n).withColumn("passage", F.xxhash64("doc_id", "at", "words"))
     found = materialise(found)
-    hits = found.select("passage", "doc_id", F.explode(F.array_distinct("grams")).alias("gram"))
-    frequency = hits.join(known.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.approx_count_distinct("doc_id").alias("n"))
-    seen = known.select("item_id", "place", "gram").join(frequency, "gram")
-    stretch = Window.partitionBy("item_id", F.floor(F.col("place") / stride)).orderBy("n", "place")
-    seeds = seen.withColumn("rank", F.row_number().over(stretch)).filter("rank = 1").select("item_id", "gram").distinct()
-    pairs = hits.select("passage", "gram").join(seeds, "gram").select("passage", "item_id").distinct()
+    hits = found.select("passage", F.explode(F.array_distinct("grams")).alias("gram"))
+    pairs = hits.join(known.select("item_id", "gram").distinct(), "gram").select("passage", "item_id").distinct()
     whole = known.select("item_id", F.col("words").alias("item")).distinct()
     joined = pairs.join(found.select("passage", "doc_id", "at", "words").dropDuplicates(["passage"]), "passage").join(whole, "item_id")
     scored = joined.mapInPandas(score_pairs, "doc_id long, item_id long, score double, first_word long, last_word long").filter(F.col("score") >= least)
