@@ -375,6 +375,20 @@ def test_bands_reject_what_leaves_a_languages_range(spark):
     assert "fallback_share" in out[1000] and sum(bool(v) for k, v in out.items() if k < 1000) <= 2
 
 
+def test_bands_reject_junk_words_and_keep_prose(spark):
+    # 1000 texts of prose, with chars per byte token from 2.0 to 2.3 (quartiles near 2.11 and 2.19), and junk below.
+    rng = random.Random(12)
+    row = lambda i, per_byte, n, ratio=0.7: (i, "en", n, n, 0, n, 2.2 + rng.gauss(0, 0.04), per_byte, 0.0, ratio + rng.gauss(0, 0.03))
+    good = [row(i, 2.15 + max(-0.15, min(0.15, rng.gauss(0, 0.06))), rng.choice([200, 600, 2000])) for i in range(1000)]
+    junk = [row(2000 + i, 1.93, rng.choice([400, 700, 2000])) for i in range(20)]
+    loops = [row(3000 + i, 2.15, 600, 0.35) for i in range(20)]
+    schema = "doc_id long, lang string, n_words long, word_chars long, n_repeat_words long, n_tokens long, chars_per_piece double, chars_per_byte_token double, fallback_share double, entropy_ratio double"
+    out = {r.doc_id: r.failed for r in quality_rules.judge(spark.createDataFrame(good + junk + loops, schema)).collect()}
+    assert all(out[2000 + i] == ["chars_per_byte_token"] for i in range(20))
+    assert all(out[3000 + i] == ["entropy_ratio"] for i in range(20))
+    assert sum(bool(out[i]) for i in range(1000)) <= 10
+
+
 # --- 9
 
 

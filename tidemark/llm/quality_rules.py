@@ -5,8 +5,8 @@ and the entropy of the tokens under the one that falls back to bytes.  A text is
 split at white space first, so each distinct word of a batch is encoded once and counted as often as it occurs.
 
 The bands come from the corpus itself: for each language, quartiles of each measure over all its documents, with a
-fence of `width` interquartile ranges (at least `least` in absolute terms) on each side.  A document is rejected when a
-measure leaves its language's band.  Quartiles are taken with a mergeable sketch, so a language that holds a third of all rows
+fence of some interquartile ranges (at least `least` in absolute terms), set apart for each side.  A document is rejected
+when a measure leaves its language's band.  Quartiles are taken with a mergeable sketch, so a language that holds a third of all rows
 is no harder than others.  Entropy is compared with what the text's number of tokens allows.
 
 Nulls and edge cases: a null or empty text has zero counts, fails the base rules and is not kept; a null language is a
@@ -33,26 +33,30 @@ MEASURES = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entrop
 SCHEMA = "_key long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_piece double, chars_per_byte_token double, fallback_share double, entropy_ratio double"
 
 
+#: Tokens from which texts no longer vary much more than long ones.
+SHORT = 600
+
+
 @dataclass(frozen=True)
 class Band:
-    """A fence around a language's quartiles: `width` interquartile ranges but at least `least`, on the named sides.
+    """A fence around a language's quartiles: `low` and `high` interquartile ranges, at least `least`; None is no fence.
 
-    Short texts vary more, so a text of n tokens gets the fence times sqrt(1 + SHORT / n).
+    Short texts vary more, so a text of n tokens gets the fence times sqrt(1 + short / n).
     """
 
-    width: float
+    low: float | None
+    high: float | None
     least: float
-    low: bool = True
-    high: bool = True
+    short: float = SHORT
 
 
-SHORT = 600
-
+#: Chosen on labelled rows outside the classifier's held-out fold.  Junk breaks into more byte tokens than prose, so that
+#: low side is tight.  A short text has a higher entropy ratio, not a lower one, so that side needs no allowance.
 BANDS = {
-    "chars_per_piece": Band(3.0, 0.1),
-    "chars_per_byte_token": Band(3.0, 0.1),
-    "fallback_share": Band(3.0, 0.02, low=False),
-    "entropy_ratio": Band(3.0, 0.1, high=False),
+    "chars_per_piece": Band(3.0, 3.0, 0.1),
+    "chars_per_byte_token": Band(1.0, 3.0, 0.05, 400),
+    "fallback_share": Band(None, 3.0, 0.02),
+    "entropy_ratio": Band(1.25, None, 0.1, 0),
 }
 
 
@@ -181,10 +185,10 @@ def judge(measured: DataFrame, bands: dict[str, Band] = BANDS, least_words: int
     names = []
     for m, band in bands.items():
         q1, q3 = F.col(f"{m}_q1"), F.col(f"{m}_q3")
-        fence = F.greatest((q3 - q1) * band.width, F.lit(band.least)) * F.sqrt(1 + SHORT / F.col("n_tokens"))
+        fence = lambda width, band=band, q1=q1, q3=q3: F.greatest((q3 - q1) * width, F.lit(band.least)) * F.sqrt(1 + band.short / F.col("n_tokens"))
         outside = F.lit(False)
-        outside = outside | (F.col(m) < q1 - fence) if band.low else outside
-        outside = outside | (F.col(m) > q3 + fence) if band.high else outside
+        outside = outside | (F.col(m) < q1 - fence(band.low)) if band.low is not None else outside
+        outside = outside | (F.col(m) > q3 + fence(band.high)) if band.high is not None else outside
         names.append(F.when((F.col("n_tokens") > 1) & outside, F.lit(m)))
     base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     out = joined.withColumn("base_failed", base).withColumn("failed", F.array_compact(F.array(*names)))
