@@ -238,6 +238,16 @@ def test_join_of_many_near_copies_in_small_chunks(spark, monkeypatch):
     assert found == components_by_hand(rows, 3, 90)
 
 
+@pytest.mark.parametrize(("n", "percent", "size"), [(3, 90, 11), (5, 80, 8), (1, 50, 1), (3, 90, 29)])
+def test_join_of_a_text_and_the_same_with_one_word_more(spark, n, percent, size):
+    rows = []
+    for i in range(20):
+        words = [f"t{i}w{j}" for j in range(size + 1)]
+        rows += [(2 * i, " ".join(words[:-1])), (2 * i + 1, " ".join(words))]
+    out = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()
+    assert {r.doc_id: r.component_id for r in out} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_one_of_each(docs, odd, empty):
     kept = {r.doc_id for r in jaccard_join.one_of_each(docs).collect()}
     assert kept == {d for d, (size, c) in components_by_hand(ROWS, 5, 80).items() if size == 0 or c == d}

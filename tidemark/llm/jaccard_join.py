@@ -6,8 +6,8 @@ A document's set holds the hashes of its distinct n-word shingles.  Two document
 1. Shingles get a global order from the corpus counts of their rarest word (a shingle is no more frequent than that),
    then by hash.  Linked classes share `least` or more of a set's `size` shingles, least = ceil(percent * size / 100),
    so they share one of its first p = size - least + 1, and k of its first p + k - 1.  With k = 1 + p / 2, that prefix
-   is kept of each class; a class with fewer than k prefix shingles that occur in other prefixes links with nothing, and
-   most leave here.  Its index are the shared ones of the first p.
+   is kept of each class.  Two classes share the lesser of their k's, so a class with fewer prefix shingles in other
+   prefixes than the k of the smallest size that can link with it links with nothing, and most leave here.  Its index are the shared ones of the first p.
 2. Hub round: of the classes with an index shingle, the one with the largest share of its prefix in the index is the
    hub.  Each class is compared with the hubs of its index shingles: by prefix, then exactly by whole sets, which are
    computed for the classes left.  That joins most copies of a text, however many, in work that grows with their number.
@@ -149,8 +149,15 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def survivors(slim: DataFrame, classes: DataFrame) -> DataFrame:
-    """The classes that share k prefix shingles with others, with their `index`.
+def needed(size: Column, percent: int) -> Column:
+    """Prefix shingles that a set shares with any set that links with it: the k of the smallest size that can."""
+    least = lambda n: F.floor((n * percent + 99) / 100)
+    smallest = least(size)
+    return 1 + F.floor((smallest - least(smallest) + 1) / 2)
+
+
+def survivors(slim: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The classes that share enough prefix shingles with others to link, with their `index`.
 
     A shingle is shared if it occurs under two names of sets.  A bitmap of the shared ones thins out the shingles before
     they are joined; those that it lets through by chance leave at the join.
@@ -173,7 +180,7 @@ def survivors(slim: DataFrame, classes: DataFrame) -> DataFrame:
 
     found = slim.select("cid", "p", "hashes").mapInArrow(hits, "cid long, indexed boolean, hash long").distinct().join(shared, "hash")
     found = found.groupBy("cid").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("indexed"), F.col("hash"))).alias("index"))
-    return classes.join(found, "cid").filter("n >= k and size(index) > 0").drop("n")
+    return classes.join(found, "cid").filter((F.col("n") >= needed(F.col("size"), percent)) & (F.size("index") > 0)).drop("n")
 
 
 def linked(overlap: Column, a: Column, b: Column, percent: int) -> Column:
@@ -340,7 +347,7 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     slim = materialise(sets(docs, n, percent, levels))
     of = F.min(F.struct("key", "size", "p", "k")).alias("of")
     classes = materialise(slim.filter("size > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), of).select("cid", "rep", "of.*"))
-    near = materialise(survivors(slim, classes))
+    near = materialise(survivors(slim, classes, percent))
     # The bitmap only saves work: rows that it lets through by chance leave at the join.
     full = sets(docs, n, percent, levels, bitmap(near, F.col("key"))).select("key", "cid", "size", "p", "k", "hashes")
     full = materialise(full.join(near.select("key", "cid"), ["key", "cid"]).dropDuplicates(["cid"]).drop("key"))
