@@ -129,6 +129,17 @@ def test_decontamination_finds_every_edited_copy_beside_an_exact_one(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(*tables).collect()} == wanted
 
 
+def test_decontamination_finds_short_items_and_scripts_without_spaces(spark):
+    han, thai = "山川日月水火木金土天地人", "กขคงจฉชซ"
+    items = [(1, "quick Brown fox"), (2, "zyzzyva"), (3, han), (4, "two words"), (5, thai), (6, "山川")]
+    docs = [
+        (1, "the quick, brown fox ran home today"), (2, "quick brown fox"), (3, "a zyzzyva here and - more words"), (4, "quick brown dog fox and more"), (5, "前文前文" + han + "後文、後文"),
+        (6, "two - words of few"), (7, "x y " + "ดต" + thai + "ถ"), (8, "quick brown"), (9, "fox"), (10, "two"), (11, "words quick"), (12, "brown fox ran"),
+    ]
+    found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 2), (5, 3), (5, 6), (6, 4), (7, 5)}
+
+
 def test_alignment_scores_as_a_plain_table_does():
     def plain(a, b):
         h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0

@@ -1,6 +1,6 @@
 """Benchmark decontamination: n-gram seeds, then local alignment.
 
-Texts are read as normalised words (lower case, letters and digits only).  One pass over the corpus finds the n-grams
+Texts are read as normalised words (lower case, letters and digits only; in scripts without spaces each character is one).  One pass over the corpus finds the n-grams
 that any test item has, by a bitmap of fixed size, and keeps the passages around them; a join with the items' n-grams
 removes the bitmap's false hits.  Every n-gram of an item is a seed: which ones an edited copy has kept is not known
 before, and the rarest of a stretch may be just the one that it has lost.  So a copy that keeps any n-gram is aligned.
@@ -11,7 +11,7 @@ Joins are by n-gram or passage, never of all with all.  An item found in a third
 document and item; nothing is capped.
 
 Nulls and edge cases: null or empty texts and items have no n-grams and match nothing; an item shorter than n words is
-its own single n-gram; items or documents that repeat are matched separately, and rows that repeat doc_id and item_id
+one seed, looked for in documents as a run of that many words (so an item of one common word is found wherever it is); items or documents that repeat are matched separately, and rows that repeat doc_id and item_id
 are one row with the best score; empty tables give an empty result.
 """
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bitmap, grams, in_bitmap, materialise, pieces, word_codes
+from tidemark.llm.common import bitmap, grams, in_bitmap, materialise, mix64, pieces, spread, word_codes
 
 #: Words of a seed, and the least score.
 N, LEAST = 4, 0.5
@@ -35,18 +35,46 @@ LONGEST = 2048
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
+#: Characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Bopomofo, Han.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_HAS_ALONE, _WORDS = re.compile(f"[{_ALONE}]"), re.compile(f"[{_ALONE}]|[^{_ALONE}]+")
+
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the normalised words of texts, one text after the other, and the number of words of each."""
     codes, counts, words = word_codes(texts)
     bare = np.array([w.lower() if w.isalnum() else _NOT_WORD.sub("", w.lower()) for w in words], object)
-    hashes = np.where(bare == "", np.uint64(0), pd.util.hash_array(bare, categorize=False) | np.uint64(1)) if len(bare) else np.zeros(0, np.uint64)
-    flat = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
-    full = flat != 0
-    if not full.all():
-        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[full], minlength=len(counts))
-        flat = flat[full]
-    return flat, counts
+    size = (bare != "").astype(np.int64)
+    alone = {i: _WORDS.findall(w) for i, w in enumerate(bare) if not w.isascii() and _HAS_ALONE.search(w)}
+    for i, w in alone.items():
+        size[i] = len(w)
+    kinds = np.array([x for i, w in enumerate(bare) if w for x in alone.get(i, (w,))], object) if alone else bare[size > 0]
+    hashes = pd.util.hash_array(kinds, categorize=False) | np.uint64(1) if len(kinds) else np.zeros(0, np.uint64)
+    if not len(codes) or (size == 1).all():
+        return hashes[codes] if len(codes) else np.zeros(0, np.uint64), counts
+    each = size[codes]
+    total = np.r_[0, np.cumsum(each)]
+    ends = np.cumsum(counts)
+    return hashes[spread((np.cumsum(size) - size)[codes], each)], total[ends] - total[ends - counts]
+
+
+def seeds(flat: np.ndarray, counts: np.ndarray, n: int, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of the n-grams within texts and of the runs of some lesser lengths, by place."""
+    found = [grams(flat, counts, n)]
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for size in lengths:
+        starts = max(0, len(flat) - size + 1)
+        name = np.zeros(starts, np.uint64)
+        for k in range(size):
+            name = mix64(name * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + starts])
+        at = np.flatnonzero(owner[:starts] == owner[size - 1 :]) if starts else np.zeros(0, np.int64)
+        # As `grams` names a text that is shorter than n.
+        found.append((mix64(name[at] + np.uint64(size)), at))
+    if len(found) == 1:
+        return found[0]
+    name, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    return name[order], at[order]
 
 
 def item_grams(items: DataFrame, n: int) -> DataFrame:
@@ -65,8 +93,8 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
     return items.select("item_id", "text").mapInPandas(run, "item_id long, place int, gram long, words array<long>")
 
 
-def passages(docs: DataFrame, bits: np.ndarray, margin: int, n: int) -> DataFrame:
-    """(doc_id, at, words, grams, places) of the passages that have an n-gram of the bitmap, with a margin on each side."""
+def passages(docs: DataFrame, bits: np.ndarray, margin: int, n: int, lengths: list[int]) -> DataFrame:
+    """(doc_id, at, words, grams) of the passages that have an n-gram of the bitmap, with a margin on each side."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def cut(hits: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -87,7 +115,7 @@ def passages(docs: DataFrame, bits: np.ndarray, margin: int, n: int) -> DataFram
             texts = batch["text"].where(batch["text"].notna(), "").tolist()
             for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 4 << 20):
                 flat, counts = hashed_words(texts[part])
-                name, at = grams(flat, counts, n)
+                name, at = seeds(flat, counts, n, lengths)
                 hit = np.flatnonzero(in_bitmap(known, name))
                 if not len(hit):
                     continue
@@ -163,8 +191,9 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N, least: float = LEAST)
     known = materialise(item_grams(items, n))
     bound = known.agg(F.max(F.size("words"))).first()[0] or 0
     margin = int(bound * 1.25) + n
+    short = known.filter(F.size("words") < n).select(F.size("words").alias("size")).distinct().collect()
     bits = bitmap(known, F.col("gram"))
-    found = passages(docs, bits, margin, n).withColumn("passage", F.xxhash64("doc_id", "at", "words"))
+    found = passages(docs, bits, margin, n, sorted(r["size"] for r in short)).withColumn("passage", F.xxhash64("doc_id", "at", "words"))
     found = materialise(found)
     hits = found.select("passage", F.explode(F.array_distinct("grams")).alias("gram"))
     pairs = hits.join(known.select("item_id", "gram").distinct(), "gram").select("passage", "item_id").distinct()
