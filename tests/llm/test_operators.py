@@ -267,6 +267,24 @@ def test_one_of_each(docs, odd, empty):
     assert jaccard_join.one_of_each(empty).count() == 0
 
 
+def test_stages_go_by_row_where_doc_ids_are_null_or_repeated(spark):
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    item, twins, other, nulls = text(), text(), text(), text()
+    rows = [
+        (None, item + " and more"), (None, other), (7, item), (7, other + " own"), (8, text()),
+        (3, twins), (3, twins + " more"), (None, nulls), (None, nulls + " more"), (9, ""), (9, ""), (9, None), (5, "same text twice"), (5, "same text twice"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter(map(tuple, clean.collect())) == Counter(r for r in rows if not (r[1] or "").startswith(item))
+    # Copies in a component: one row each, with a doc_id where there is one.  Texts without words all stay.
+    kept = [tuple(r) for r in jaccard_join.one_of_each(docs).collect()]
+    starts = lambda x: sum((t or "").startswith(x) for _, t in kept)
+    assert [starts(x) for x in (item, twins, other, nulls, "same")] == [1] * 5 and len(kept) == 9
+    assert (7, item) in kept and (7, other + " own") in kept and kept.count((9, "")) == 2
+
+
 # --- 5
 
 

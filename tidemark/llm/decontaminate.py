@@ -11,8 +11,9 @@ Joins are by n-gram or passage, never of all with all.  An item found in a third
 document and item; nothing is capped.
 
 Nulls and edge cases: null or empty texts and items have no n-grams and match nothing; an item shorter than n words is
-one seed, looked for in documents as a run of that many words (so an item of one common word is found wherever it is); items or documents that repeat are matched separately, and rows that repeat doc_id and item_id
-are one row with the best score; empty tables give an empty result.
+one seed, looked for in documents as a run of that many words (so an item of one common word is found wherever it is); items or documents that repeat are matched separately.  A document is known by its doc_id and text: rows that
+repeat both are one, a repeated or null doc_id says nothing of other texts, and an item_id that repeats gives one row with
+the best score; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bitmap, grams, in_bitmap, materialise, mix64, pieces, spread, word_codes
@@ -93,8 +94,12 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
     return items.select("item_id", "text").mapInPandas(run, "item_id long, place int, gram long, words array<long>")
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def passages(docs: DataFrame, bits: np.ndarray, margin: int, n: int, lengths: list[int]) -> DataFrame:
-    """(doc_id, at, words, grams) of the passages that have an n-gram of the bitmap, with a margin on each side."""
+    """(key, doc_id, at, words, grams) of the passages that have an n-gram of the bitmap, with a margin on each side."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def cut(hits: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -127,11 +132,11 @@ def passages(docs: DataFrame, bits: np.ndarray, margin: int, n: int, lengths: li
                     o = owner[own[0]]
                     for a, b in cut(at[own]):
                         low, high = max(first[o], at[own[a]] - margin), min(first[o] + counts[o], at[own[b - 1]] + n + margin)
-                        rows.append((batch["doc_id"].iloc[part.start + o], low - first[o], flat[low:high].view(np.int64), name[own[a:b]].view(np.int64)))
-                out = pd.DataFrame(rows, columns=["doc_id", "at", "words", "grams"])
+                        rows.append((batch["key"].iloc[part.start + o], batch["doc_id"].iloc[part.start + o], low - first[o], flat[low:high].view(np.int64), name[own[a:b]].view(np.int64)))
+                out = pd.DataFrame(rows, columns=["key", "doc_id", "at", "words", "grams"])
                 yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, at int, words array<long>, grams array<long>")
+    return docs.select(row_key().alias("key"), "doc_id", "text").mapInPandas(run, "key long, doc_id long, at int, words array<long>, grams array<long>")
 
 
 def align(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +162,7 @@ def align(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def score_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Align (doc_id, at, words, item_id, item) pairs; adds score, first_word and last_word of the copy."""
+    """Align (key, doc_id, at, words, item_id, item) pairs; adds score, first_word and last_word of the copy."""
     for batch in batches:
         width = batch["words"].map(len).to_numpy()
         tall = batch["item"].map(len).to_numpy()
@@ -177,7 +182,8 @@ def score_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = batch["at"].to_numpy()[rows]
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"].iloc[rows].values,
+                    "key": batch["key"].iloc[rows].values,
+                    "doc_id": batch["doc_id"].iloc[rows].astype("Int64").values,
                     "item_id": batch["item_id"].iloc[rows].values,
                     "score": best / (2.0 * tall[rows]),
                     "first_word": at + np.minimum(start, end),
@@ -186,25 +192,30 @@ def score_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
-    """(doc_id, item_id, score, first_word, last_word) of the copies of items in documents."""
+def row_matches(docs: DataFrame, items: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
+    """(key, doc_id, item_id, score, first_word, last_word) of the copies of items in documents."""
     known = materialise(item_grams(items, n))
     bound = known.agg(F.max(F.size("words"))).first()[0] or 0
     margin = int(bound * 1.25) + n
     short = known.filter(F.size("words") < n).select(F.size("words").alias("size")).distinct().collect()
     bits = bitmap(known, F.col("gram"))
-    found = passages(docs, bits, margin, n, sorted(r["size"] for r in short)).withColumn("passage", F.xxhash64("doc_id", "at", "words"))
+    found = passages(docs, bits, margin, n, sorted(r["size"] for r in short)).withColumn("passage", F.xxhash64("key", "at", "words"))
     found = materialise(found)
     hits = found.select("passage", F.explode(F.array_distinct("grams")).alias("gram"))
     pairs = hits.join(known.select("item_id", "gram").distinct(), "gram").select("passage", "item_id").distinct()
     whole = known.select("item_id", F.col("words").alias("item")).distinct()
-    joined = pairs.join(found.select("passage", "doc_id", "at", "words").dropDuplicates(["passage"]), "passage").join(whole, "item_id")
-    scored = joined.mapInPandas(score_pairs, "doc_id long, item_id long, score double, first_word long, last_word long").filter(F.col("score") >= least)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("best"))
-    return best.select("doc_id", "item_id", "best.score", "best.first_word", "best.last_word")
+    joined = pairs.join(found.select("passage", "key", "doc_id", "at", "words").dropDuplicates(["passage"]), "passage").join(whole, "item_id")
+    scored = joined.mapInPandas(score_pairs, "key long, doc_id long, item_id long, score double, first_word long, last_word long").filter(F.col("score") >= least)
+    best = scored.groupBy("key", "doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("best"))
+    return best.select("key", "doc_id", "item_id", "best.score", "best.first_word", "best.last_word")
+
+
+def matches(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
+    """(doc_id, item_id, score, first_word, last_word) of the copies of items, for each document that differs."""
+    return row_matches(docs, items, **options).drop("key")
 
 
 def clean(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
     """The rows of `docs` without a copy of an item."""
-    dirty = matches(docs, items, **options).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty")), "left_anti")
+    dirty = row_matches(docs, items, **options).select(F.col("key").alias("_dirty")).distinct()
+    return docs.withColumn("_key", row_key()).join(dirty, F.col("_key") == F.col("_dirty"), "left_anti").select(*docs.columns)

@@ -23,7 +23,8 @@ Links found inside one component are not all listed: the result is each document
 
 Nulls and edge cases: a text without words, or null, has an empty set and links with nothing (its component is its own
 doc_id); a text of fewer words than a shingle is one shingle, of its whole sequence; rows that repeat a doc_id are
-separate documents; rows with a null doc_id get the component's smallest doc_id, or null; an empty table gives an empty
+separate documents; rows with a null doc_id get the component's smallest doc_id, or null; one_of_each goes by rows, so
+neither makes it keep two of a component; an empty table gives an empty
 result.
 """
 
@@ -343,34 +344,42 @@ def rest_edges(near: DataFrame, full: DataFrame, comps: DataFrame, percent: int)
 
 def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(key, doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
+    return rows_linked(docs, n, percent).drop("first_key")
+
+
+def rows_linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """`link` with `first_key`, the key of the component's first row by doc_id (nulls last), then key."""
     levels = word_levels(docs)
     slim = materialise(sets(docs, n, percent, levels))
     of = F.min(F.struct("key", "size", "p", "k")).alias("of")
-    classes = materialise(slim.filter("size > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), of).select("cid", "rep", "of.*"))
-    near = materialise(survivors(slim, classes, percent))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    classes = materialise(slim.filter("size > 0").groupBy("cid").agg(first, of).select("cid", "first", "of.*"))
+    near = materialise(survivors(slim, classes.drop("first"), percent))
     # The bitmap only saves work: rows that it lets through by chance leave at the join.
     full = sets(docs, n, percent, levels, bitmap(near, F.col("key"))).select("key", "cid", "size", "p", "k", "hashes")
     full = materialise(full.join(near.select("key", "cid"), ["key", "cid"]).dropDuplicates(["cid"]).drop("key"))
     hubs = materialise(hub_edges(materialise(hub_pairs(near, full)), full, percent))
     more = materialise(rest_edges(near, full, components(hubs), percent))
     comps = components(hubs.unionByName(more))
-    joined = classes.select("cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = joined.join(least, "comp").select("cid", "component_id")
+    joined = classes.select("cid", "first").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    least = joined.groupBy("comp").agg(F.min("first").alias("least"))
+    named = joined.join(least, "comp").select("cid", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key"))
     out = slim.select("key", "doc_id", "size", "cid").join(named, "cid", "left")
     own = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("key", "doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
+    return out.select("key", "doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), "first_key")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that are the first, by doc_id, of their component; texts without words all stay.
+    """The rows of `docs` that are the first of their component; texts without words all stay.
 
-    Rows that repeat doc_id and text are copies too: one stays.  Rows whose component has no doc_id stay.
+    The first is that with the least doc_id, nulls last, then key.  Rows that repeat doc_id and text are copies too: one
+    stays.
     """
-    found = link(docs, n, percent)
-    first = found.filter("n_shingles = 0 or component_id is null or doc_id = component_id")
-    keys = materialise(first.select(F.col("key").alias("_keep")).distinct())
-    kept = docs.withColumn("_keep", row_key()).join(keys, "_keep", "left_semi")
-    if found.filter("n_shingles > 0").groupBy("key").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_keep"])
+    found = rows_linked(docs, n, percent)
+    first = found.filter("n_shingles = 0 or key = first_key").groupBy(F.col("key").alias("_keep"))
+    keys = materialise(first.agg(F.max(F.expr("n_shingles = 0")).alias("_bare"), F.count("*").alias("_n")))
+    kept = docs.withColumn("_keep", row_key()).join(keys, "_keep")
+    # Only rows that repeat a key need the shuffle that tells them apart.
+    if keys.filter("not _bare and _n > 1").limit(1).count():
+        kept = kept.filter("_bare").unionByName(kept.filter("not _bare").dropDuplicates(["_keep"]))
     return kept.select(*docs.columns)
