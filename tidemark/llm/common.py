@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -16,22 +15,29 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's setting that deletes a query's shuffle files when it ends; a table that is written needs them no more.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that the session names; a temporary one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder below the shared one that the session names, or else below its warehouse, which is shared too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/tidemark/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, **options: object) -> DataFrame:
-    """Write a table to the shared folder and read it again, which cuts its lineage and survives lost executors."""
+    """Write a table to the shared folder and read it again, which cuts its lineage and survives lost executors.
+
+    The shuffle files of the write go with it.
+    """
     spark = df.sparkSession
     path = work_dir(spark)
-    df.write.options(**options).parquet(path)
-    # Spark deletes the shuffle files of what went before once the driver's garbage collector has seen them go.
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

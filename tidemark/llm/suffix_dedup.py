@@ -3,26 +3,33 @@
 A byte is removed if a string of `length` bytes that covers it also starts earlier (in a smaller document, or earlier in
 the same one).  Texts are UTF-8 bytes; strings never cross documents and are judged on the input.
 
-A suffix array over every position would sort each byte of the corpus many times.  Only some positions need a rank:
-of the NAME-byte strings in each window of `length` bytes, the one whose hash is least is the window's anchor.  Equal
-windows have equal anchors at equal places, so a repeated window always shows as two anchors with an equal name.
-
-Round one sorts the anchors by the pair (name of NAME bytes, name of the anchor's whole reach), then by place in the
-corpus.  The reach is all that the windows through the anchor can cover, `length` - NAME bytes before to `length` after.
- * A name that is unique drops out.
- * An anchor whose whole pair equals the one before it is not the first of its kind: all windows through it are repeats.
- * Anchors that share the name but not the reach go on; where all anchors of a name have one reach, the first is first.
-Round two takes the windows of those that go on and sorts them by the pair (name of the first half, name at the offset
-of half a window): past the threshold, a window that follows an equal one is a repeat.
-
-Names are 64-bit hashes of bytes in place of dense ranks, so no round needs a global numbering; a window is compared by
-two of them.  Sorts are range-partitioned with the place as last key, so a string that a third of all documents share is
-spread over many tasks.  No run needs to be whole in one task: in round one a run cut in two only makes more anchors go
-on; in round two the first row of each partition is compared with the last rows of the partitions before.
+Each round sorts positions by a pair of ranks, the rank that the last round gave and the name of the bytes at the next
+offset, and numbers the classes anew.  A position whose string is unique drops out; one whose string has reached the
+threshold and is not the first of its class is a repeat.
+
+Positions are thinned first, without loss: of the NAME-byte strings in a window of `length` bytes, the one whose hash is
+least (the leftmost of equal ones) is the window's anchor, so equal windows have equal anchors at equal places, and only
+anchors need a rank.  The windows that an anchor stands for are a run of starts at or before it.
+
+1. Anchors are sorted by (name of their NAME bytes, name of the bytes from there to `length`), which ranks the strings of
+   NAME and of `length` bytes.  An anchor with a unique name drops out, with its windows.
+2. Anchors are sorted by (rank of `length` bytes, distance to the next anchor, its rank).  A pair that is not the first of
+   its class is a longer string that starts earlier, and every window in it is a repeat.  So the inside of long
+   repeats is settled.  Anchors whose windows are not, and that share their name with another such, go on.
+3. Their windows, in blocks of BLOCK neighbours, are sorted by (rank of the anchor's name, name of the bytes that all
+   windows of the block have, name of the bytes that any has).  Unique ones drop out, whole blocks that are not first
+   are repeats, and what shares its inner bytes only goes on.
+4. Single windows are sorted by (rank of those bytes, name of the rest): past the threshold, one that is not first is a
+   repeat.
+
+Sorts are range-partitioned with the position as last key, so a string that a third of all documents share is spread
+over many tasks.  Ranks are dense: two rows for each partition, with its first and its last pair, tell where its numbers
+start and whether its first class began before.  Names are 64-bit hashes of bytes.
 
 Nulls and edge cases: a null text is empty; documents shorter than `length` bytes keep all; rows with equal doc_ids are
 separate documents, in the order of their texts' hashes, and equal rows in any order (only the first keeps a shared
-string); null doc_ids come first; an empty table gives an empty result.
+string); null doc_ids come first; a very long text is read in segments; other columns, whatever their names, are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import global_rank, materialise, mix64, pieces
+from tidemark.llm.common import global_rank, materialise, mix64, pieces, spread
 
-LENGTH, NAME = 100, 40
+LENGTH, NAME, BLOCK = 100, 40, 16
 
 #: Bytes that are worked on at once.
 PIECE = 2 << 20
@@ -72,90 +79,125 @@ class Names:
         return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size)) if n > 0 else np.zeros(0, np.uint64)
 
 
-def _sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
-    """`of` over every `width` consecutive items."""
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` consecutive items."""
     span = 1
     while span * 2 <= width:
-        x = of(x[:-span], x[span:])
+        x = np.minimum(x[:-span], x[span:])
         span *= 2
     rest = width - span
-    return of(x[: len(x) - rest], x[rest:]) if rest else x
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, name: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, each place's value, and the least value of the window that begins at each place.
+def anchors(names: Names, ends: np.ndarray, own: np.ndarray, length: int, name: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first start, last start, value) of each anchor and the run of windows that it stands for.
 
-    `ends` are the ends of the texts; values of 0 mark windows that would cross one.
+    `ends` are the ends of the texts; each has `own` starts to look at.
     """
-    width = length - name + 1
-    value = Names(data).all(name) | np.uint64(1)
-    starts = len(data) - length + 1
-    if starts <= 0:
-        return np.zeros(0, np.int64), value, np.zeros(0, np.uint64)
-    least = _sliding(value, width, np.minimum)
-    for end in ends[:-1]:
-        least[max(0, end - length + 1) : end] = 0
-    padded = np.r_[np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]
-    return np.flatnonzero(_sliding(padded, width, np.maximum) == value), value, least
+    none = np.zeros(0, np.int64)
+    value = names.all(name) | np.uint64(1)
+    if len(names.sums) - 1 < length:
+        return none, none, none, none.view(np.uint64)
+    least = _least(value, length - name + 1)
+    for first, end, n in zip(np.r_[0, ends[:-1]], ends, own, strict=True):
+        least[max(first, min(first + n, end - length + 1)) : end] = 0
+    # A run ends where the least value changes, or where its anchor is the start itself.
+    new = np.r_[True, (least[1:] != least[:-1]) | (value[: len(least) - 1] == least[:-1])]
+    low = np.flatnonzero(new)
+    high = np.r_[low[1:], len(least)] - 1
+    low, high = low[least[low] > 0], high[least[low] > 0]
+    wanted = least[low]
+    at = high.copy()
+    left = np.flatnonzero(value[at] != wanted)
+    while len(left):
+        at[left] += 1
+        left = left[value[at[left]] != wanted[left]]
+    return at, low, high, wanted
+
+
+def _segments(batch: pd.DataFrame, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, base, own, ends, data) of texts joined to pieces of bounded size; long texts come in segments."""
+    found = []
+    for row, text in enumerate(_texts(batch)):
+        for base in range(0, max(1, len(text)), PIECE):
+            found.append((row, base, PIECE, text if len(text) <= PIECE else text[base : base + PIECE + 2 * length]))
+    for part in pieces(np.array([len(x[3]) for x in found], np.int64), PIECE):
+        row, base, own, texts = zip(*found[part], strict=True)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        yield np.array(row), np.array(base, np.int64), np.array(own, np.int64), np.cumsum(np.array([len(t) for t in texts], np.int64)), data
 
 
 def _texts(batch: pd.DataFrame) -> list[bytes]:
     return [b"" if t is None else bytes(t) for t in batch["data"]]
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+def _longs(**columns: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({k: v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64) for k, v in columns.items()})
 
 
-def reach(at: np.ndarray, first: np.ndarray, end: np.ndarray, length: int, name: int) -> tuple[np.ndarray, np.ndarray]:
-    """What the windows through anchors can cover, within texts from `first` to `end`."""
-    return np.maximum(first, at - (length - name)), np.minimum(end, at + length)
+def spot(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A place with its run of starts, in one number that orders by place."""
+    return (at << 16) | ((at - high) << 8) | (high - low)
 
 
-def anchor_rows(docs: DataFrame, length: int, name: int) -> DataFrame:
-    """(name, around, uid, at) of every anchor of `docs` (uid, data)."""
+def run_of(column: str = "spot") -> tuple[Column, Column, Column]:
+    """(place, first start, last start) of a spot."""
+    at = F.shiftright(column, 16)
+    high = at - F.shiftright(column, 8).bitwiseAND(F.lit(255))
+    return at, high - F.col(column).bitwiseAND(F.lit(255)), high
+
+
+def positions(docs: DataFrame, length: int, name: int) -> DataFrame:
+    """(name, rest, uid, spot) of every anchor of `docs` (uid, data)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = _texts(batch)
-            for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), PIECE):
-                data, ends = _joined(texts[part])
-                at, value, _ = anchors(data, ends, length, name)
+            uid = batch["uid"].to_numpy()
+            for row, base, own, ends, data in _segments(batch, length):
+                names = Names(data)
+                at, low, high, value = anchors(names, ends, own, length, name)
                 owner = np.searchsorted(ends, at, side="right")
-                first = np.r_[0, ends][owner]
-                low, high = reach(at, first, ends[owner], length, name)
-                around = Names(data).of(low, high) + mix64((at - low).astype(np.uint64))
-                yield pd.DataFrame({"name": value[at].view(np.int64), "around": around.view(np.int64), "uid": batch["uid"].values[part][owner], "at": (at - first).astype(np.int32)})
+                shift = base[owner] - np.r_[0, ends][owner]
+                rest = names.of(at + name, np.minimum(ends[owner], at + length))
+                yield _longs(name=value, rest=rest, uid=uid[row[owner]], spot=spot(at + shift, low + shift, high + shift))
 
-    return docs.select("uid", "data").mapInPandas(run, "name long, around long, uid long, at int")
+    return docs.select("uid", "data").mapInPandas(run, "name long, rest long, uid long, spot long")
 
 
-def _same(column: np.ndarray, last: int | None) -> np.ndarray:
-    """Whether each item equals the one before it; `last` is the item before the first."""
-    return np.r_[last is not None and len(column) > 0 and column[0] == last, column[1:] == column[:-1]][: len(column)]
+def _numbered(outer: list[str], inner: list[str], carry: list[str]):
+    """Numbers the classes of a sorted partition, drops those unique by their outer keys and adds the partition's ends."""
+    keys = [*outer, *inner]
 
-
-def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From a sorted partition of anchors: repeats (again) and those that go on (not again); the rest drop out."""
-    held = None
-    for batch in _with_end(batches):
-        rows = pd.concat([x for x in (held, batch) if x is not None], ignore_index=True) if held is not None or batch is not None else pd.DataFrame()
-        if not len(rows):
-            continue
-        name = rows["name"].to_numpy()
-        # Runs of a name that end in this batch are settled; the last one waits for the next batch, but never for long.
-        cut = len(rows) if batch is None or len(rows) > 200_000 and name[0] == name[-1] else int(np.searchsorted(name, name[-1]))
-        held, rows, name = rows.iloc[cut:], rows.iloc[:cut], name[:cut]
-        if not cut:
-            continue
-        again = _same(rows["around"].to_numpy(), None) & _same(name, None)
-        new = np.flatnonzero(~_same(name, None))
-        size = np.diff(np.r_[new, cut])
-        kinds = np.add.reduceat(~again, new)
-        run = np.repeat(np.arange(len(new)), size)
-        edge = (run == 0) | (run == len(new) - 1)
-        keep = again | (kinds[run] > 1) | edge & ~again
-        yield pd.DataFrame({"uid": rows["uid"].to_numpy()[keep], "at": rows["at"].to_numpy()[keep], "again": again[keep]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = first = last = None
+        n_outer = n_inner = -1
+        for batch in _with_end(batches):
+            rows = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            part = rows["part"].iloc[0]
+            key = rows[keys].to_numpy(np.int64)
+            before = np.vstack([key[:1] - 1 if last is None else last, key[:-1]])
+            same = key == before
+            if last is None:
+                same[0] = False
+            same_outer, same_inner = same[:, : len(outer)].all(axis=1), same.all(axis=1)
+            a, b = n_outer + np.cumsum(~same_outer), n_inner + np.cumsum(~same_inner)
+            # The last row waits for the one after it.
+            cut = len(rows) - (batch is not None)
+            unique = ~same_outer & ~np.r_[same_outer[1:], False]
+            keep = np.flatnonzero((~unique | (a == 0) | (np.arange(len(rows)) == len(rows) - 1))[:cut])
+            first = key[:1] if first is None else first
+            if cut:
+                last, n_outer, n_inner = key[cut - 1 : cut], a[cut - 1], b[cut - 1]
+                out = rows.iloc[keep][["uid", "spot", *carry]]
+                yield out.assign(outer=a[keep], inner=b[keep], first=~same_inner[keep], part=part, ends=None)
+            held = rows.iloc[cut:]
+        if last is not None:
+            blank = {c: [None, None] for c in carry}
+            yield pd.DataFrame({"uid": 0, "spot": 0, **blank, "outer": [0, n_outer], "inner": [0, n_inner], "first": False, "part": part, "ends": [list(first[0]), list(last[0])]})
+
+    return run
 
 
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
@@ -163,71 +205,133 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
-def window_rows(open_docs: DataFrame, length: int, name: int) -> DataFrame:
-    """(head, tail, uid, start) of the windows through the anchors `places` of each row (uid, data, places)."""
-    half = length // 2
+def rerank(rows: DataFrame, outer: list[str], inner: list[str], carry: str = "") -> DataFrame:
+    """(uid, spot, carried columns, outer, inner, first): rows sorted by the keys, then by position, with dense ranks.
+
+    `outer` and `inner` become the ranks by the outer keys and by all keys; `first` tells the first position of an inner
+    class.  Rows that are unique by their outer keys drop out (but at the ends of partitions).
+    """
+    order = [*outer, *inner, "uid", "spot"]
+    names = [c.split()[0] for c in carry.split(",") if c.strip()]
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    schema = f"uid long, spot long, {carry + ', ' if carry else ''}outer long, inner long, first boolean, part int, ends array<long>"
+    made = materialise(laid.mapInPandas(_numbered(outer, inner, names), schema))
+    ends: dict[int, list] = {}
+    for r in made.filter("ends is not null").select("part", "outer", "inner", "ends").orderBy("part", "inner").collect():
+        ends.setdefault(r["part"], []).append(r)
+    starts, a, b, last = [], 0, 0, None
+    for part, found in sorted(ends.items()):
+        head, tail = found[0]["ends"], found[-1]["ends"]
+        goes_on_outer, goes_on = last is not None and head[: len(outer)] == last[: len(outer)], head == last
+        starts.append((part, a - goes_on_outer, b - goes_on, goes_on))
+        a, b, last = a - goes_on_outer + found[-1]["outer"] + 1, b - goes_on + found[-1]["inner"] + 1, tail
+    # One row for each partition.
+    table = rows.sparkSession.createDataFrame(starts, "part int, a long, b long, goes_on boolean")
+    out = made.filter("ends is null").join(F.broadcast(table), "part")
+    first = F.col("first") & ~((F.col("inner") == 0) & F.col("goes_on"))
+    return out.select("uid", "spot", *names, (F.col("outer") + F.col("a")).alias("outer"), (F.col("inner") + F.col("b")).alias("inner"), first.alias("first"))
+
+
+def shared(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key occurs twice or more."""
+    return rows.join(rows.groupBy(key).count().filter("count > 1").select(key), key)
+
+
+def chained(ranked: DataFrame, length: int) -> DataFrame:
+    """(uid, rank, at, low, high, start, ends): each anchor of `ranked` with its open windows and its chain of repeats.
+
+    An anchor that the one before leads to by a repeated pair is in its chain, which begins at `start`; `ends` tells
+    the last anchor of a chain.  In a chain of two or more, windows from `start` on are settled; those from `low` to
+    `high` are open.
+    """
+    by_place = Window.partitionBy("uid").orderBy("spot")
+    pairs = ranked.withColumn("next", F.lead("inner").over(by_place)).withColumn("gap", F.shiftright(F.lead("spot").over(by_place), 16) - F.shiftright("spot", 16))
+    pairs = pairs.filter(F.col("gap") <= length).select(F.col("inner").alias("rank"), "gap", "next", "uid", "spot")
+    again = rerank(pairs, ["rank", "gap"], ["next"]).filter("not first")
+    both = ranked.select("uid", "spot", F.col("outer").alias("rank"), F.lit(0).alias("kind")).unionByName(again.select("uid", "spot", F.lit(None).cast("long").alias("rank"), F.lit(1).alias("kind")))
+    by_kind = Window.partitionBy("uid").orderBy("spot", "kind")
+    leads = (F.lead("kind").over(by_kind) == 1) & (F.lead("spot").over(by_kind) == F.col("spot"))
+    rows = both.withColumn("leads", F.coalesce(leads, F.lit(False))).filter("kind = 0")
+    at, low, high = run_of()
+    broken = ~F.coalesce(F.lag("leads").over(by_place), F.lit(False))
+    start = F.max(F.when(F.col("broken"), at)).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("broken", broken).withColumn("start", start)
+    chain = F.col("leads") | ~F.col("broken")
+    high = F.when(chain, F.least(high, F.col("start") - 1)).otherwise(high)
+    return rows.select("uid", "rank", at.alias("at"), low.alias("low"), high.alias("high"), "start", (~F.col("leads")).alias("ends"))
+
+
+def blocks(docs: DataFrame, length: int, name: int) -> DataFrame:
+    """(rank, block, core, hull, uid, spot, reach) of the open windows of each row (uid, data, open), in blocks.
+
+    A block has the windows at BLOCK neighbouring distances from their anchor; `reach` are their bytes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = _texts(batch)
-            for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), PIECE):
-                data, ends = _joined(texts[part])
-                own = [np.asarray(p, np.int64) for p in batch["places"].iloc[part]]
-                first = np.r_[0, ends[:-1]]
-                _, value, least = anchors(data, ends, length, name)
-                at = np.concatenate([p + f for p, f in zip(own, first, strict=True)])
-                owner = np.repeat(np.arange(len(own)), [len(p) for p in own])
-                low = np.maximum(first[owner], at - (length - name))
-                high = np.minimum(ends[owner] - length, at) + 1
-                n = np.maximum(0, high - low)
-                start = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                anchor, owner = np.repeat(at, n), np.repeat(owner, n)
-                mine = least[start] == value[anchor]
-                start, owner = start[mine], owner[mine]
-                start, once = np.unique(start, return_index=True)
-                owner = owner[once]
-                names = Names(data)
-                head, tail = names.of(start, start + half), names.of(start + half, start + length)
-                yield pd.DataFrame({"head": head.view(np.int64), "tail": tail.view(np.int64), "uid": batch["uid"].values[part][owner], "start": (start - first[owner]).astype(np.int32)})
-
-    return open_docs.select("uid", "data", "places").mapInPandas(run, "head long, tail long, uid long, start int")
+            for uid, data, found in zip(batch["uid"], _texts(batch), batch["open"], strict=True):
+                rank, at, low, high = (np.array([x[c] for x in found], np.int64) for c in ("rank", "at", "low", "high"))
+                first, last = (at - high) // BLOCK, (at - low) // BLOCK
+                each = last - first + 1
+                rank, at, low, high = (np.repeat(x, each) for x in (rank, at, low, high))
+                block = spread(first, each)
+                near, far = block * BLOCK, np.minimum(block * BLOCK + BLOCK - 1, length - name)
+                low, high = np.maximum(low, at - far), np.minimum(high, at - near)
+                a, b = np.maximum(0, at - far), np.minimum(len(data), at - near + length)
+                # Names of a bounded stretch of the text at a time.
+                for part in pieces(np.r_[0, np.diff(at)], PIECE):
+                    shift = int(a[part].min())
+                    names = Names(np.frombuffer(data, np.uint8, int(b[part].max()) - shift, shift))
+                    core = names.of(at[part] - near[part] - shift, at[part] - far[part] + length - shift)
+                    hull = names.of(a[part] - shift, b[part] - shift) + mix64((at[part] - a[part]).astype(np.uint64))
+                    out = _longs(rank=rank[part], block=block[part], core=core, hull=hull, uid=np.full(len(core), uid), spot=spot(at[part], low[part], high[part]))
+                    yield out.assign(reach=[data[x : y + length] for x, y in zip(low[part], high[part], strict=True)])
+
+    return docs.select("uid", "data", "open").mapInPandas(run, "rank long, block long, core long, hull long, uid long, spot long, reach binary")
+
+
+def windows(rows: DataFrame, length: int, name: int) -> DataFrame:
+    """(rank, offset, name, uid, spot) of each window of blocks (outer, uid, spot, reach); its spot is its start."""
 
-
-def second_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From a sorted partition of windows: its repeats, its first window and its last one."""
-    last, latest = None, None
-    for batch in batches:
-        if not len(batch):
-            continue
-        head, tail = batch["head"].to_numpy(), batch["tail"].to_numpy()
-        again = _same(head, last and last[0]) & _same(tail, last and last[1])
-        kind = np.where(again, 0, 3)
-        if last is None:
-            kind[0] = 1
-        out = batch[kind < 3].assign(kind=kind[kind < 3])
-        last, latest = (head[-1], tail[-1]), batch.iloc[-1:]
-        yield out
-    if latest is not None:
-        yield latest.assign(kind=2)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in pieces(batch["reach"].map(len).to_numpy(), PIECE):
+                rows = batch.iloc[part]
+                data = [bytes(x) for x in rows["reach"]]
+                size = np.array([len(x) for x in data], np.int64)
+                each = size - length + 1
+                names = Names(np.frombuffer(b"".join(data), np.uint8))
+                start = spread(np.cumsum(size) - size, each)
+                packed, rank, uid = (np.repeat(rows[c].to_numpy(), each) for c in ("spot", "outer", "uid"))
+                at = packed >> 16
+                s = at - ((packed >> 8) & 255) - (packed & 255) + spread(np.zeros(len(each), np.int64), each)
+                near = (at - s) // BLOCK * BLOCK
+                far = np.minimum(near + BLOCK - 1, length - name)
+                # The window's bytes before and after those that all windows of its block have.
+                begin, end = start + (at - near - s), start + (at - far + length - s)
+                rest = mix64(names.of(start, begin) * _BASE + names.of(end, start + length))
+                yield _longs(rank=rank, offset=at - s, name=rest, uid=uid, spot=s)
+
+    return rows.select("outer", "uid", "spot", "reach").mapInPandas(run, "rank long, offset long, name long, uid long, spot long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME) -> DataFrame:
-    """(uid, low, high): spans, which may overlap, of bytes to remove, of `docs` (uid, data); uids are unique and ordered."""
-    order = ["name", "around", "uid", "at"]
-    laid = anchor_rows(docs, length, name).repartitionByRange(*order).sortWithinPartitions(*order)
-    judged = materialise(laid.mapInPandas(first_round, "uid long, at int, again boolean"))
-    known = judged.filter("again").select("uid", F.greatest(F.lit(0), F.col("at") - (length - name)).alias("low"), (F.col("at") + length).alias("high"))
-    goes_on = judged.filter("not again").groupBy("uid").agg(F.collect_set("at").alias("places"))
-    order = ["head", "tail", "uid", "start"]
-    windows = window_rows(docs.join(goes_on, "uid"), length, name)
-    laid = windows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialise(laid.mapInPandas(second_round, "head long, tail long, uid long, start int, kind int").withColumn("part", F.spark_partition_id()))
-    firsts = found.filter("kind = 1").alias("f")
-    lasts = found.filter("kind = 2").select("head", "tail", F.col("part").alias("before")).alias("l")
-    # One row for each partition on either side.
-    late = firsts.join(lasts, (F.col("f.head") == F.col("l.head")) & (F.col("f.tail") == F.col("l.tail")) & (F.col("before") < F.col("part")), "left_semi")
-    more = found.filter("kind = 0").unionByName(late).select("uid", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
-    return known.unionByName(more)
+    """(uid, low, high): spans, which may overlap, of bytes to remove, of `docs` (uid, data); uids are unique and ordered.
+
+    A span may reach past the end of its text; what is left of it counts if it has a whole window.
+    """
+    if not 0 <= length - name < 256:
+        raise ValueError("a window may have 255 bytes more than a name at most")
+    ranked = rerank(positions(docs, length, name), ["name"], ["rest"])
+    chains = materialise(chained(ranked, length))
+    inside = chains.filter("ends and start < at").select("uid", F.col("start").alias("low"), (F.col("at") + length).alias("high"))
+    goes_on = shared(chains.filter("low <= high").select("rank", "uid", "at", "low", "high"), "rank")
+    goes_on = goes_on.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high", "rank"))).alias("open"))
+    edges = rerank(blocks(docs.join(goes_on, "uid"), length, name), ["rank", "block", "core"], ["hull"], "reach binary")
+    _, low, high = run_of()
+    whole = edges.filter("not first").select("uid", low.alias("low"), (high + length).alias("high"))
+    single = rerank(windows(shared(edges.filter("first"), "outer"), length, name), ["rank", "offset"], ["name"]).filter("not first")
+    return inside.unionByName(whole).unionByName(single.select("uid", F.col("spot").alias("low"), (F.col("spot") + length).alias("high")))
 
 
 def remove(docs: DataFrame, length: int = LENGTH, name: int = NAME, texts: bool = False) -> DataFrame:
@@ -237,12 +341,9 @@ def remove(docs: DataFrame, length: int = LENGTH, name: int = NAME, texts: bool
     rows = docs.select("doc_id", data.alias("data"))
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if odd:
-        slim = materialise(rows.select("doc_id", F.xxhash64("doc_id", "data").alias("_key"), "data"))
-        ranked = global_rank(slim.select("doc_id", "_key"), ["doc_id", "_key"]).withColumnRenamed("rank", "uid")
-        # Equal rows share a key: the key's uids are handed out over its rows.
-        uids = ranked.groupBy("_key").agg(F.sort_array(F.collect_list("uid")).alias("_uids"))
-        texts_of = slim.dropDuplicates(["_key"]).join(uids, "_key").withColumn("uid", F.explode("_uids"))
-        rows = materialise(texts_of.select("doc_id", "uid", "data"))
+        keyed = materialise(rows.select("doc_id", F.xxhash64("doc_id", "data").alias("key"), "data"))
+        # Equal rows are told apart by any number, so that many of them are spread over tasks.
+        rows = global_rank(keyed.withColumn("tie", F.monotonically_increasing_id()), ["doc_id", "key", "tie"]).select("doc_id", F.col("rank").alias("uid"), "data")
     else:
         rows = rows.withColumn("uid", F.col("doc_id"))
     spans = repeats(rows.select("uid", "data"), length, name)
@@ -252,28 +353,27 @@ def remove(docs: DataFrame, length: int = LENGTH, name: int = NAME, texts: bool
         for batch in batches:
             out = []
             for doc_id, raw, found in zip(batch["doc_id"], _texts(batch), batch["spans"], strict=True):
-                merged = union(found, len(raw))
-                keep = np.ones(len(raw), bool)
-                for a, b in merged:
-                    keep[a:b] = False
-                kept = np.frombuffer(raw, np.uint8)[keep].tobytes() if len(merged) else raw
-                out.append((doc_id, len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), [list(map(int, m)) for m in merged], kept))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame if texts else frame.drop(columns=["spans", "kept"])
+                merged = union(found, len(raw), length)
+                view, ends = memoryview(raw), [0, *(x for m in merged for x in m), len(raw)]
+                kept = b"".join(view[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if merged else raw
+                out.append((doc_id, len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), *(([list(m) for m in merged], kept) if texts else ())))
+            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("spans", "kept") if texts else ())])
+            yield frame.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.join(each, "uid", "left").select("doc_id", "data", "spans").mapInPandas(run, schema + (", spans array<array<int>>, kept binary" if texts else ""))
+    return rows.join(each, "uid", "left").select("doc_id", "data", "spans").mapInPandas(run, schema + (", spans array<array<long>>, kept binary" if texts else ""))
 
 
-def union(found: list | None, size: int) -> list[tuple[int, int]]:
-    """Maximal runs that the spans cover; spans that touch are one run."""
+def union(found: list | None, size: int, length: int) -> list[tuple[int, int]]:
+    """Maximal runs that the spans cover, of those that have a whole window; spans that touch are one run."""
     if found is None or len(found) == 0:
         return []
-    pairs = sorted((x["low"], min(x["high"], size)) for x in found)
-    out = [pairs[0]]
-    for low, high in pairs[1:]:
-        if low <= out[-1][1]:
+    pairs = sorted((int(x["low"]), min(int(x["high"]), size)) for x in found)
+    out: list[tuple[int, int]] = []
+    for low, high in pairs:
+        if high - low < length:
+            continue
+        if out and low <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], high))
         else:
             out.append((low, high))
