@@ -262,32 +262,42 @@ def chained(ranked: DataFrame, length: int) -> DataFrame:
 
 
 def blocks(docs: DataFrame, length: int, name: int) -> DataFrame:
-    """(rank, block, core, hull, uid, spot, reach) of the open windows of each row (uid, data, open), in blocks.
+    """(rank, block, core, hull, uid, spot, reach) of the open windows of each row (uid, data, rank, at, low, high), in
+    blocks; the last four are arrays with an item for each anchor, by place.
 
     A block has the windows at BLOCK neighbouring distances from their anchor; `reach` are their bytes.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for uid, data, found in zip(batch["uid"], _texts(batch), batch["open"], strict=True):
-                rank, at, low, high = (np.array([x[c] for x in found], np.int64) for c in ("rank", "at", "low", "high"))
+            cut = []
+            for row, (text, at) in enumerate(zip(_texts(batch), batch["at"], strict=True)):
+                # Of a long text, the anchors of a segment and what is around them.
+                for base in range(0, len(text), PIECE):
+                    one = slice(*np.searchsorted(at, (base, base + PIECE))) if len(text) > PIECE else slice(0, len(at))
+                    start = max(0, base - length)
+                    cut.append((row, one, start, text[start : base + PIECE + 2 * length] if len(text) > PIECE else text))
+            for part in pieces(np.array([len(x[3]) for x in cut], np.int64), PIECE):
+                row, each, start, texts = zip(*cut[part], strict=True)
+                size = np.array([len(t) for t in texts], np.int64)
+                data = b"".join(texts)
+                n = np.array([x.stop - x.start for x in each], np.int64)
+                # Places count into `data`; `shift` leads back to the text's own.
+                begin, end, shift = (np.repeat(x, n) for x in (np.cumsum(size) - size, np.cumsum(size), np.cumsum(size) - size - np.array(start, np.int64)))
+                uid = np.repeat(batch["uid"].to_numpy()[list(row)], n)
+                rank, at, low, high = (np.concatenate([batch[c].iloc[r][x] for r, x in zip(row, each, strict=True)]) for c in ("rank", "at", "low", "high"))
                 first, last = (at - high) // BLOCK, (at - low) // BLOCK
-                each = last - first + 1
-                rank, at, low, high = (np.repeat(x, each) for x in (rank, at, low, high))
-                block = spread(first, each)
+                block = spread(first, last - first + 1)
+                rank, at, low, high, begin, end, shift, uid = (np.repeat(x, last - first + 1) for x in (rank, at + shift, low + shift, high + shift, begin, end, shift, uid))
                 near, far = block * BLOCK, np.minimum(block * BLOCK + BLOCK - 1, length - name)
                 low, high = np.maximum(low, at - far), np.minimum(high, at - near)
-                a, b = np.maximum(0, at - far), np.minimum(len(data), at - near + length)
-                # Names of a bounded stretch of the text at a time.
-                for part in pieces(np.r_[0, np.diff(at)], PIECE):
-                    shift = int(a[part].min())
-                    names = Names(np.frombuffer(data, np.uint8, int(b[part].max()) - shift, shift))
-                    core = names.of(at[part] - near[part] - shift, at[part] - far[part] + length - shift)
-                    hull = names.of(a[part] - shift, b[part] - shift) + mix64((at[part] - a[part]).astype(np.uint64))
-                    out = _longs(rank=rank[part], block=block[part], core=core, hull=hull, uid=np.full(len(core), uid), spot=spot(at[part], low[part], high[part]))
-                    yield out.assign(reach=[data[x : y + length] for x, y in zip(low[part], high[part], strict=True)])
+                names = Names(np.frombuffer(data, np.uint8))
+                a, b = np.maximum(begin, at - far), np.minimum(end, at - near + length)
+                core, hull = names.of(at - near, at - far + length), names.of(a, b) + mix64((at - a).astype(np.uint64))
+                out = _longs(rank=rank, block=block, core=core, hull=hull, uid=uid, spot=spot(at - shift, low - shift, high - shift))
+                yield out.assign(reach=[data[x:y] for x, y in zip(low.tolist(), (high + length).tolist(), strict=True)])
 
-    return docs.select("uid", "data", "open").mapInPandas(run, "rank long, block long, core long, hull long, uid long, spot long, reach binary")
+    return docs.select("uid", "data", "rank", "at", "low", "high").mapInPandas(run, "rank long, block long, core long, hull long, uid long, spot long, reach binary")
 
 
 def windows(rows: DataFrame, length: int, name: int) -> DataFrame:
@@ -327,7 +337,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME) -> DataFram
     inside = chains.filter("ends and start < at").select("uid", F.col("start").alias("low"), (F.col("at") + length).alias("high"))
     goes_on = shared(chains.filter("low <= high").select("rank", "uid", "at", "low", "high"), "rank")
     goes_on = goes_on.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high", "rank"))).alias("open"))
-    edges = rerank(blocks(docs.join(goes_on, "uid"), length, name), ["rank", "block", "core"], ["hull"], "reach binary")
+    goes_on = goes_on.select("uid", *[F.col(f"open.{c}").alias(c) for c in ("rank", "at", "low", "high")])
+    edges = rerank(materialise(blocks(docs.join(goes_on, "uid"), length, name)), ["rank", "block", "core"], ["hull"], "reach binary")
     _, low, high = run_of()
     whole = edges.filter("not first").select("uid", low.alias("low"), (high + length).alias("high"))
     single = rerank(windows(shared(edges.filter("first"), "outer"), length, name), ["rank", "offset"], ["name"]).filter("not first")
