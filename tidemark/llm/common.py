@@ -8,8 +8,10 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: A word, wherever a contract speaks of words: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +47,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` as one struct column, `row`, beside columns made from its own; no name of the one can clash with the other's.
+
+    `select("row.*")` gives the columns back.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -56,15 +66,14 @@ def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
     Range partitions number their rows locally; a table with one row per partition gives the offsets.
     """
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            yield batch.assign(_local=np.arange(n, n + len(batch)))
-            n += len(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(n, n + batch.num_rows))], [*batch.schema.names, "_local"])
+            n += batch.num_rows
 
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema) + ", _local long"
-    laid = materialise(laid.mapInPandas(number, schema))
+    laid = materialise(laid.mapInArrow(number, StructType([*laid.schema.fields, StructField("_local", LongType())])))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = laid.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return laid.join(parts, "_part").withColumn("rank", F.col("_before") + F.col("_local")).drop("_part", "_before", "_local")

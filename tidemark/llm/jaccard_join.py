@@ -7,25 +7,27 @@ A document's set holds the hashes of its distinct n-word shingles.  Two document
    then by hash.  Linked classes share `least` or more of a set's `size` shingles, least = ceil(percent * size / 100),
    so they share one of its first p = size - least + 1, and k of its first p + k - 1.  With k = 1 + p / 2, that prefix
    is kept of each class.  Two classes share the lesser of their k's, so a class with fewer prefix shingles in other
-   prefixes than the k of the smallest size that can link with it links with nothing, and most leave here.  Its index are the shared ones of the first p.
-2. Hub round: of the classes with an index shingle, the one with the largest share of its prefix in the index is the
-   hub.  Each class is compared with the hubs of its index shingles: by prefix, then exactly by whole sets, which are
-   computed for the classes left.  That joins most copies of a text, however many, in work that grows with their number.
-3. What is left is the pairs of classes in different components that share an index shingle.  Only shingles with two
-   components or more go on, once for each distinct group of classes.  Groups of the same copies differ by a few classes
-   each, so they are gathered: a class names its largest group, a group goes to the one that most of its classes name.
-   The sets gathered there are stored in a trie (most frequent shingle first, so that copies share paths).  A class walks the trie with the overlap of the path so far; a subtree is
-   left when its remaining length cannot reach the needed overlap, or when it is in the walker's component.
-   The largest component gathered needs no comparison within itself, and classes are dealt to tasks in chunks of
-   bounded weight, pairwise, so no group is whole in one task and no pair is lost.
+   prefixes than the k of the smallest size that can link with it links with nothing, and most leave here.  Its index
+   are the shared ones of the first p.
+2. All links come from tries.  A trie stores whole sets as paths in the global order (most frequent shingle first, so
+   that copies share paths).  A class walks it with the overlap of the path so far; a subtree is left when its remaining
+   length cannot reach the needed overlap, or when it is in the walker's component.
+3. First tries: a class goes home to the index shingle that most classes have.  The home's sets are dealt to chunks of
+   bounded weight, and the one with the largest share of its prefix in the index stands first in each chunk's trie, so
+   most copies of a text, however many, become one component, each stored once.
+4. Second tries: what is left is the pairs of classes in different components that share an index shingle.  Only
+   shingles with two components or more go on, once for each distinct group of classes.  Groups of the same copies
+   differ by a few classes each, so they are gathered: a class names its largest group, a group goes to the one that
+   most of its classes name.  The largest component gathered needs no comparison within itself, and classes are dealt to
+   tasks in chunks of bounded weight, pairwise, so no group is whole in one task and no pair is lost.
 
 Links found inside one component are not all listed: the result is each document's component.
 
 Nulls and edge cases: a text without words, or null, has an empty set and links with nothing (its component is its own
-doc_id); a text of fewer words than a shingle is one shingle, of its whole sequence; rows that repeat a doc_id are
-separate documents; rows with a null doc_id get the component's smallest doc_id, or null; one_of_each goes by rows, so
-neither makes it keep two of a component; an empty table gives an empty
-result.
+doc_id); a text of fewer words than a shingle is one shingle, of its whole sequence; a text of any length is one set;
+rows that repeat a doc_id are separate documents; rows with a null doc_id get the component's smallest doc_id, or null;
+one_of_each goes by rows, so neither makes it keep two of a component; other columns, whatever their names, come through
+it as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,16 +36,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bitmap, grams, in_bitmap, materialise, mix64, pieces, word_codes
+from tidemark.llm.common import grams, materialise, mix64, packed, pieces, word_codes
 from tidemark.llm.components import components
 
 #: Shingles in all the sets that a task compares on one side.
 WEIGHT = 500_000
 
+#: Shingles of a path that are compared at once.
+STEP = 32
+
 #: Bits of the table of word counts.
 BUCKETS = 18
 
@@ -110,40 +114,30 @@ def prefix(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return p, 1 + p // 2
 
 
-def sets(docs: DataFrame, n: int, percent: int, levels: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
-    """(key, doc_id, size, p, k, cid, hashes) of each row of `docs` (doc_id, text).
+def sets(docs: DataFrame, n: int, percent: int, levels: np.ndarray, whole: bool = False) -> DataFrame:
+    """(key, size, p, k, cid, hashes and the other columns) of each row of `docs` (key, text and others).
 
-    `cid` names the set; `hashes` is its prefix.  With `only`, a bitmap of keys, it is the whole set, of rows in it.
+    `cid` names the set; `hashes` is its prefix, or all of it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((levels, only))
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    others = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels, only = shared.value
         for batch in batches:
-            if only is not None:
-                batch = batch[in_bitmap(only, batch["key"].to_numpy())]
             texts = batch["text"].where(batch["text"].notna(), "").tolist()
             for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 3 << 20):
-                name, size = shingles(texts[part], n, levels)
+                name, size = shingles(texts[part], n, shared.value)
                 ends = np.cumsum(size)
                 total = np.r_[np.uint64(0), np.cumsum(mix64(name + np.uint64(7)))]
                 cid = mix64(total[ends] - total[ends - size] + mix64(size.astype(np.uint64)))
                 p, k = prefix(size, percent)
-                wanted = size if only is not None else np.minimum(size, p + k - 1)
+                wanted = size if whole else np.minimum(size, p + k - 1)
                 name = name.view(np.int64)
-                yield pd.DataFrame(
-                    {
-                        "key": batch["key"].values[part],
-                        "doc_id": batch["doc_id"].values[part],
-                        "size": size,
-                        "p": p,
-                        "k": k,
-                        "cid": cid.view(np.int64),
-                        "hashes": [name[e - s : e - s + w] for e, s, w in zip(ends, size, wanted, strict=True)],
-                    }
-                )
+                out = {f.name: batch[f.name].values[part] for f in others}
+                yield pd.DataFrame(out | {"size": size, "p": p, "k": k, "cid": cid.view(np.int64), "hashes": [name[e - s : e - s + w] for e, s, w in zip(ends, size, wanted, strict=True)]})
 
-    return docs.select(row_key().alias("key"), "doc_id", "text").mapInPandas(run, "key long, doc_id long, size long, p long, k long, cid long, hashes array<long>")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
+    return docs.mapInPandas(run, f"{schema}, size long, p long, k long, cid long, hashes array<long>")
 
 
 def row_key() -> Column:
@@ -160,52 +154,13 @@ def needed(size: Column, percent: int) -> Column:
 def survivors(slim: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The classes that share enough prefix shingles with others to link, with their `index`.
 
-    A shingle is shared if it occurs under two names of sets.  A bitmap of the shared ones thins out the shingles before
-    they are joined; those that it lets through by chance leave at the join.
+    A shingle is shared if it occurs under two names of sets.
     """
-    each = slim.select("cid", F.explode("hashes").alias("hash"))
+    each = slim.select("cid", F.posexplode("hashes").alias("place", "hash"), "p").select("cid", (F.col("place") < F.col("p")).alias("indexed"), "hash")
     shared = each.groupBy("hash").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("hash")
-    shared = materialise(shared)
-    bits = slim.sparkSession.sparkContext.broadcast(bitmap(shared, F.col("hash")))
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch["hashes"]
-            size = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(in_bitmap(bits.value, flat))
-            owner = np.searchsorted(np.cumsum(size), at, side="right")
-            place = at - (np.cumsum(size) - size)[owner]
-            column = lambda name: batch[name].to_numpy(zero_copy_only=False)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(column("cid")), pa.array(place < column("p")), pa.array(flat[at])], ["cid", "indexed", "hash"])
-
-    found = slim.select("cid", "p", "hashes").mapInArrow(hits, "cid long, indexed boolean, hash long").distinct().join(shared, "hash")
-    found = found.groupBy("cid").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("indexed"), F.col("hash"))).alias("index"))
-    return classes.join(found, "cid").filter((F.col("n") >= needed(F.col("size"), percent)) & (F.size("index") > 0)).drop("n")
-
-
-def linked(overlap: Column, a: Column, b: Column, percent: int) -> Column:
-    return overlap * 100 >= (a + b - overlap) * percent
-
-
-def hub_pairs(near: DataFrame, full: DataFrame) -> DataFrame:
-    """(cid, hub) of classes and the hubs of their index shingles that may link, by their prefixes."""
-    share = -F.size("index") / F.col("p")
-    each = near.select("cid", share.alias("rank"), F.explode("index").alias("hash"))
-    hubs = each.groupBy("hash").agg(F.min(F.struct("rank", F.col("cid").alias("hub"))).alias("best"), F.count("*").alias("n")).filter("n > 1")
-    pairs = each.join(hubs.select("hash", F.col("best.hub").alias("hub")), "hash").filter("cid <> hub").select("cid", "hub").distinct()
-    starts = full.select("cid", "k", F.slice("hashes", F.lit(1), (F.col("p") + F.col("k") - 1).cast("int")).alias("start"))
-    hub = starts.select(F.col("cid").alias("hub"), F.col("k").alias("hub_k"), F.col("start").alias("hub_start"))
-    both = pairs.join(starts, "cid").join(hub, "hub")
-    return both.filter(F.size(F.array_intersect("start", "hub_start")) >= F.least("k", "hub_k")).select("cid", "hub")
-
-
-def hub_edges(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among pairs, by whole sets."""
-    hub = full.select(F.col("cid").alias("hub"), F.col("size").alias("hub_size"), F.col("hashes").alias("hub_hashes"))
-    both = pairs.join(full.select("cid", "size", "hashes"), "cid").join(hub, "hub")
-    overlap = F.size(F.array_intersect("hashes", "hub_hashes")).cast("long")
-    return both.filter(linked(overlap, F.col("size"), F.col("hub_size"), percent)).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    found = each.join(materialise(shared), "hash").groupBy("cid").agg(F.collect_set("hash").alias("found"), F.collect_set(F.when(F.col("indexed"), F.col("hash"))).alias("index"))
+    out = classes.join(found, "cid").filter((F.size("found") >= needed(F.col("size"), percent)) & (F.size("index") > 0))
+    return out.drop("found")
 
 
 class Trie:
@@ -250,11 +205,16 @@ def walk(root: Trie, probe: frozenset, size: int, me: int, find, sizes: np.ndarr
     stack = [(root, 0)]
     while stack:
         node, overlap = stack.pop()
-        if node.edge:
-            overlap += len(probe.intersection(node.edge))
-        # The overlap can still grow by what is left on either side.
-        most = overlap + min(node.longest, len(probe) - overlap)
-        if most * (100 + percent) < percent * (size + max(node.least, -(-size * percent // 100))):
+        wanted = percent * (size + max(node.least, -(-size * percent // 100)))
+        # The overlap can still grow by what is left on either side; a long edge is left as soon as that is too little.
+        reaches = True
+        for i in range(0, max(1, len(node.edge)), STEP):
+            overlap += len(probe.intersection(node.edge[i : i + STEP]))
+            most = overlap + min(node.longest + max(0, len(node.edge) - i - STEP), len(probe) - overlap)
+            reaches = most * (100 + percent) >= wanted
+            if not reaches:
+                break
+        if not reaches:
             continue
         mine = find(me)
         if len(node.below) <= 256 and all(find(x) == mine for x in node.below):
@@ -302,14 +262,31 @@ def trie_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
+TRIE_LINKS = "a long, b long"
+
+
+def home_edges(near: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links among the classes that have the same home."""
+    each = near.select("cid", "size", (F.size("index") / F.col("p")).alias("share"), F.explode("index").alias("hash"))
+    counts = each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    members = each.join(counts, "hash").groupBy("cid", "size", "share").agg(F.max(F.struct("n", "hash")).alias("top")).select("cid", "size", "share", F.col("top.hash").alias("home"))
+    members = materialise(members)
+    homes = members.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.max(F.struct("share", "cid")).alias("hub")).filter("n > 1")
+    homes = homes.select("home", F.col("hub.cid").alias("hub"), F.ceil(F.col("weight") / WEIGHT).cast("int").alias("chunks"))
+    chunk = F.when(F.col("cid") == F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks")).cast("int")))
+    dealt = members.join(homes, "home").select("home", F.explode(chunk).alias("chunk"), "cid", F.col("cid").alias("comp"), (F.col("cid") != F.col("hub")).alias("walks"), F.lit(True).alias("inner"))
+    whole = dealt.join(full.select("cid", "size", "hashes"), "cid")
+    return whole.groupBy("home", "chunk").applyInPandas(lambda rows: trie_links(rows, percent), TRIE_LINKS)
+
+
 def gathered(near: DataFrame, comps: DataFrame) -> DataFrame:
     """(place, cid, comp, weight): the classes to compare at each place, all pairs that share an index shingle and are
     in different components being together at one place."""
     labelled = near.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    each = labelled.select("cid", "comp", F.col("size").alias("weight"), F.explode("index").alias("hash"))
-    by_comp = each.groupBy("hash", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sign"))
-    groups = by_comp.groupBy("hash").agg(F.count("*").alias("n_comps"), F.sum("n").alias("n"), F.sum("sign").alias("sign"))
-    groups = groups.filter("n_comps > 1").groupBy("n", "sign").agg(F.min("hash").alias("hash"))
+    each = materialise(labelled.select("cid", "comp", F.col("size").alias("weight"), F.explode("index").alias("hash")))
+    sign = F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sign")
+    groups = each.groupBy("hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), sign)
+    groups = groups.filter("low <> high").groupBy("n", "sign").agg(F.min("hash").alias("hash"))
     members = materialise(each.join(groups.select("hash", "n"), "hash"))
     named = members.groupBy("cid").agg(F.max(F.struct("n", "hash")).alias("top")).select("cid", F.col("top.hash").alias("top"))
     votes = members.join(named, "cid").groupBy("hash", "top").agg(F.count("*").alias("n"))
@@ -339,7 +316,7 @@ def rest_edges(near: DataFrame, full: DataFrame, comps: DataFrame, percent: int)
     dealt = members.withColumn("task", F.explode(F.when(F.col("walks"), F.concat(to_main, to_walk, from_walk)).otherwise(as_main)))
     dealt = dealt.select("hash", "cid", "comp", "task.a", "task.side", "task.b", F.col("task.role").alias("walks"), "task.inner")
     whole = dealt.join(full.select("cid", "size", "hashes"), "cid")
-    return whole.groupBy("hash", "a", "side", "b").applyInPandas(lambda rows: trie_links(rows, percent), "a long, b long")
+    return whole.groupBy("hash", "a", "side", "b").applyInPandas(lambda rows: trie_links(rows, percent), TRIE_LINKS)
 
 
 def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -350,17 +327,18 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def rows_linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """`link` with `first_key`, the key of the component's first row by doc_id (nulls last), then key."""
     levels = word_levels(docs)
-    slim = materialise(sets(docs, n, percent, levels))
+    keyed = docs.select(row_key().alias("key"), "doc_id", "text")
+    slim = materialise(sets(keyed, n, percent, levels))
     of = F.min(F.struct("key", "size", "p", "k")).alias("of")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     classes = materialise(slim.filter("size > 0").groupBy("cid").agg(first, of).select("cid", "first", "of.*"))
-    near = materialise(survivors(slim, classes.drop("first"), percent))
-    # The bitmap only saves work: rows that it lets through by chance leave at the join.
-    full = sets(docs, n, percent, levels, bitmap(near, F.col("key"))).select("key", "cid", "size", "p", "k", "hashes")
-    full = materialise(full.join(near.select("key", "cid"), ["key", "cid"]).dropDuplicates(["cid"]).drop("key"))
-    hubs = materialise(hub_edges(materialise(hub_pairs(near, full)), full, percent))
-    more = materialise(rest_edges(near, full, components(hubs), percent))
-    comps = components(hubs.unionByName(more))
+    near = materialise(survivors(slim.select("cid", "p", "hashes"), classes.drop("first"), percent))
+    # Only the texts that stand for a class that is left are read again, for their whole sets.
+    full = sets(keyed.select("key", "text").join(near.select("key").distinct(), "key", "left_semi"), n, percent, levels, whole=True)
+    full = materialise(full.select("cid", "size", "hashes").dropDuplicates(["cid"]))
+    homes = materialise(home_edges(near, full, percent))
+    more = materialise(rest_edges(near, full, components(homes), percent))
+    comps = components(homes.unionByName(more))
     joined = classes.select("cid", "first").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = joined.groupBy("comp").agg(F.min("first").alias("least"))
     named = joined.join(least, "comp").select("cid", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key"))
@@ -376,10 +354,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stays.
     """
     found = rows_linked(docs, n, percent)
-    first = found.filter("n_shingles = 0 or key = first_key").groupBy(F.col("key").alias("_keep"))
-    keys = materialise(first.agg(F.max(F.expr("n_shingles = 0")).alias("_bare"), F.count("*").alias("_n")))
-    kept = docs.withColumn("_keep", row_key()).join(keys, "_keep")
+    first = found.filter("n_shingles = 0 or key = first_key").groupBy("key")
+    keys = materialise(first.agg(F.max(F.expr("n_shingles = 0")).alias("bare"), F.count("*").alias("n")))
+    kept = packed(docs, key=row_key()).join(keys, "key")
     # Only rows that repeat a key need the shuffle that tells them apart.
-    if keys.filter("not _bare and _n > 1").limit(1).count():
-        kept = kept.filter("_bare").unionByName(kept.filter("not _bare").dropDuplicates(["_keep"]))
-    return kept.select(*docs.columns)
+    if keys.filter("not bare and n > 1").limit(1).count():
+        kept = kept.filter("bare or n = 1").unionByName(kept.filter("not bare and n > 1").dropDuplicates(["key"]))
+    return kept.select("row.*")
