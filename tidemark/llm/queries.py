@@ -106,7 +106,8 @@ ruled as (select *, case
 select page_id, host, path, rule, case
     when rule in ('net/', 'example.com/de/') then 'block'
     when rule in ('example.net/en/', 'org/fr/') then 'allow'
-    when regexp_matches(host || after, '(\.ads-track\.|^([^/]*\.)?ads-track\.|^([^/]*\.)?adserver\.|[?&]phpsessid=|/login\?|/cart/add\?)') then 'block'
+    when regexp_matches(host || after, '(^([^/?#]*\.)?(%s|adserver)\.|[?&]phpsessid=|/login\?|/cart/add\?)') then 'block'
     else 'allow' end as verdict from ruled
-""",
+"""
+    % "|".join(f"({'|'.join(first.split())})-({'|'.join(second.split())})" for first, second in url_filters.JUNK_HOSTS.values()),
 }

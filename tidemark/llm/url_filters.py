@@ -1,24 +1,26 @@
 """URL filters: pattern rules looked up by their rarest literal token.
 
-A rule is a pattern in the usual blocking-list notation: `||` anchors at a host or any of its subdomains, `*` stands
-for anything, all else is literal.  Its literal tokens are the alphanumeric runs that the pattern bounds on both sides,
-so any URL that fits has them as whole tokens.  Token frequencies over all URLs pick each rule's rarest token; the
-URL's tokens fetch the candidate rules by a join, and only those run their regular expression.  A rule without a
-literal token would be a candidate for every URL and is refused.  All work on URLs is DataFrame functions.
-
-The verdict of a URL is that of the fitting host rule with the longest pattern; without one, `block` if any other
-pattern rule fits, else `allow`.
-
-Nulls and edge cases: a null URL, or one without `://`, has empty host and path, fits no rule and is allowed; repeated
-rows get the same verdict; an empty table gives an empty result; columns named like the results are replaced.
+A rule is a pattern in the usual blocking-list notation: `||` anchors at a host or any of its subdomains, a last `|` at
+the end, `*` stands for anything, `^` for a separator or the end, all else is literal; rules of verdict `allow` are
+exceptions.  Its literal tokens are the alphanumeric runs that the pattern bounds on both sides, so any URL that fits
+has them as whole tokens.  Token frequencies over all URLs pick each rule's rarest token; the URL's tokens fetch the
+candidate rules by a join, and only those run their regular expression.  A rule without a literal token would be a
+candidate for every URL and is refused.  Rules are a table, read by DataFrame functions as URLs are.
+
+The verdict of a URL is that of the fitting host rule with the longest pattern; without one, that of the first other
+rule that fits, exceptions first; without any, `allow`.
+
+Nulls and edge cases: a null URL, or one without `://`, has empty host and path, fits no rule and is allowed; a rule
+with a null pattern is refused; repeated rows get the same verdict; an empty table gives an empty result; columns named
+like the results are replaced, and all other columns, whatever their names, come through as they are.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
+from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import broadcast_if_small
@@ -34,6 +36,9 @@ class Rule:
     kind: str = "host"
 
 
+RULE_SCHEMA = "rule string, pattern string, verdict string, kind string"
+
+
 def host_rule(name: str, verdict: str) -> Rule:
     return Rule(name, f"||{name}", verdict)
 
@@ -41,10 +46,17 @@ def host_rule(name: str, verdict: str) -> Rule:
 #: The host and path rules of the contract.
 HOST_RULES = (host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow"))
 
-#: Pattern rules for tracking hosts, session ids and sign-in pages.
+#: First and second words of the names of junk hosts, by category.
+JUNK_HOSTS = {
+    "gambling": ("casino free best lucky online vegas", "win bets slots poker jackpot roulette"),
+    "pills": ("cheap discount generic online", "pills meds pharmacy viagra"),
+    "adult": ("adult xxx hot", "x cams dating video"),
+    "links": ("spam link seo article", "farm exchange directory spinner"),
+    "trackers": ("ads ad click", "track tracker server pixel count"),
+}
+
 PATTERN_RULES = (
-    Rule("tracker", ".ads-track.", "block", "pattern"),
-    Rule("tracker-host", "||ads-track.", "block", "pattern"),
+    *(Rule(f"{kind}:{a}-{b}", f"||{a}-{b}.", "block", "pattern") for kind, (first, second) in JUNK_HOSTS.items() for a, b in product(first.split(), second.split())),
     Rule("adserver", "||adserver.", "block", "pattern"),
     Rule("session-first", "?phpsessid=", "block", "pattern"),
     Rule("session-later", "&phpsessid=", "block", "pattern"),
@@ -58,41 +70,33 @@ RULES = HOST_RULES + PATTERN_RULES
 BROADCAST_RULES = 50_000
 
 
-def regex_of(pattern: str) -> str:
-    """The regular expression of a rule, on host + path + rest of a URL."""
-    head, body = ("^(?:[^/]*\\.)?", pattern[2:]) if pattern.startswith("||") else ("", pattern)
-    return "(?s)" + head + ".*".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", part) for part in body.split("*"))
-
-
-def tokens_of(pattern: str) -> list[str]:
-    """Literal tokens that every fitting URL has whole."""
-    anchored = pattern.startswith("||")
-    body = pattern[2:] if anchored else pattern
-    found = []
-    for m in re.finditer(r"[A-Za-z0-9]+", body):
-        left = (m.start() == 0 and anchored) or (m.start() > 0 and body[m.start() - 1] != "*")
-        right = m.end() < len(body) and body[m.end()] != "*"
-        if left and right:
-            found.append(m.group())
-    return sorted(set(found))
+def compiled(rules: DataFrame) -> DataFrame:
+    """`rules` with rule_no (in the order of pattern and name), length, regex (on host + path + rest) and tokens."""
+    anchored, ended = F.col("pattern").startswith("||"), F.col("pattern").rlike(r"[^|]\|$")
+    body = F.regexp_replace("pattern", r"^\|\||\|$", "")
+    # A host rule never looks past the host for its anchor.
+    head = F.when(anchored, r"^(?:[^/?#]*\.)?").otherwise("")
+    literal = F.regexp_replace(body, r"([^A-Za-z0-9_*^])", r"\\$1")
+    literal = F.replace(F.replace(literal, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit("(?:[^A-Za-z0-9_.%-]|$)"))
+    bounded = F.concat(F.when(anchored, "").otherwise("*"), body, F.when(ended, "").otherwise("*"))
+    tokens = F.array_distinct(F.regexp_extract_all(bounded, F.lit(r"(?<![*A-Za-z0-9])[A-Za-z0-9]+(?![*A-Za-z0-9])"), F.lit(0)))
+    out = rules.select("rule", "pattern", "verdict", "kind", F.length("pattern").alias("length"))
+    out = out.withColumn("regex", F.concat(F.lit("(?s)"), head, literal, F.when(ended, "$").otherwise(""))).withColumn("tokens", tokens)
+    return out.distinct().withColumn("rule_no", F.xxhash64("pattern", "rule", "verdict", "kind"))
 
 
-def parts(pages: DataFrame, url: str = "url") -> DataFrame:
-    """`pages` with host (A-Z lower-cased), path, and `_subject`: host, path and the rest of the URL."""
-    rest = F.when(F.instr(F.col(url), "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)"))
-    host = F.coalesce(F.regexp_extract(F.col("_rest"), r"^([^/?#]*)", 1), F.lit(""))
-    lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.coalesce(F.regexp_extract(F.col("_rest"), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
-    after = F.coalesce(F.regexp_replace(F.col("_rest"), r"^[^/?#]*", ""), F.lit(""))
-    return pages.withColumn("_rest", rest).withColumn("host", lower).withColumn("path", path).withColumn("_subject", F.concat("host", after)).drop("_rest")
+def parts(url: Column) -> Column:
+    """(host, path, subject) of a URL: A-Z of the host lower-cased; the subject is host, path and the rest."""
+    rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3))
+    host = F.translate(F.coalesce(F.regexp_extract(rest, r"^([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
+    after = F.coalesce(F.regexp_replace(rest, r"^[^/?#]*", ""), F.lit(""))
+    return F.struct(host.alias("host"), path.alias("path"), F.concat(host, after).alias("subject"))
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     """One row per rule."""
-    if bare := [r.name for r in rules if not tokens_of(r.pattern)]:
-        raise ValueError(f"rules without a literal token: {bare}")
-    rows = [(i, r.name, r.verdict, r.kind, len(r.pattern), regex_of(r.pattern), tokens_of(r.pattern)) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "rule_no int, rule string, verdict string, kind string, length int, regex string, tokens array<string>")
+    return spark.createDataFrame([astuple(r) for r in rules], RULE_SCHEMA)
 
 
 def index_by_rarest(urls: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
@@ -109,18 +113,27 @@ def _tokens() -> F.Column:
     return F.array_distinct(F.split("_subject", "[^A-Za-z0-9]+"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`pages` (with a `url`) and host, path, rule, verdict, pattern_rule (the first fitting rule of the other kind)."""
-    spark = pages.sparkSession
-    split = parts(pages.drop("host", "path", "rule", "verdict", "pattern_rule"))
-    urls = split.select("_subject").filter("_subject <> ''").distinct()
-    table = rule_table(spark, rules)
-    index = index_by_rarest(urls, table, len(rules))
-    keyed = broadcast_if_small(index, len(rules), BROADCAST_RULES)
+def judge(pages: DataFrame, rules: DataFrame | tuple[Rule, ...] = RULES, url: str = "url") -> DataFrame:
+    """`pages` with host, path, rule, verdict, pattern_rule (the first fitting rule of the other kind).
+
+    `rules` is a table as RULE_SCHEMA, read from wherever it is kept, or a tuple of rules.
+    """
+    table = compiled(rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules))
+    sizes = table.agg(F.count("*"), F.min(F.when(F.coalesce(F.size("tokens"), F.lit(0)) < 1, F.coalesce("rule", "pattern", F.lit("null"))))).first()
+    if sizes[1] is not None:
+        raise ValueError(f"a rule without a literal token: {sizes[1]}")
+    given = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "pattern_rule")]
+    split = pages.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"), parts(F.col(f"`{url}`")).alias("parts"))
+    urls = split.select(F.col("parts.subject").alias("_subject")).filter("_subject <> ''").distinct()
+    index = index_by_rarest(urls, table, sizes[0])
+    keyed = broadcast_if_small(index, sizes[0], BROADCAST_RULES)
     by_token = urls.withColumn("token", F.explode(_tokens())).join(keyed, "token").drop("token")
     fits = by_token.filter(F.expr("rlike(_subject, regex)"))
-    best = lambda kind, order: F.max(F.when(F.col("kind") == kind, F.struct(order, F.col("rule"), F.col("verdict"))))
-    won = fits.groupBy("_subject").agg(best("host", F.col("length")).alias("_host"), best("pattern", -F.col("rule_no")).alias("_pattern"))
-    joined = split.join(won, "_subject", "left")
-    verdict = F.coalesce(F.col("_host.verdict"), F.col("_pattern.verdict"), F.lit("allow"))
-    return joined.withColumns({"rule": F.col("_host.rule"), "verdict": verdict, "pattern_rule": F.col("_pattern.rule")}).drop("_subject", "_host", "_pattern")
+    best = lambda kind, order, pick: pick(F.when((F.col("kind") == "host") == kind, F.struct(order.alias("order"), F.col("rule"), F.col("verdict"))))
+    won = fits.groupBy("_subject").agg(
+        best(True, F.struct(F.col("length"), F.col("rule")), F.max).alias("host"),
+        best(False, F.struct((F.col("verdict") != "allow").alias("blocks"), F.col("pattern"), F.col("rule")), F.min).alias("other"),
+    )
+    joined = split.join(won, F.col("parts.subject") == F.col("_subject"), "left")
+    verdict = F.coalesce("host.verdict", "other.verdict", F.lit("allow"))
+    return joined.select("row.*", "parts.host", "parts.path", F.col("host.rule").alias("rule"), verdict.alias("verdict"), F.col("other.rule").alias("pattern_rule"))
