@@ -13,7 +13,8 @@ document and item; nothing is capped.
 Nulls and edge cases: null or empty texts and items have no n-grams and match nothing; an item shorter than n words is
 one seed, looked for in documents as a run of that many words (so an item of one common word is found wherever it is); items or documents that repeat are matched separately.  A document is known by its doc_id and text: rows that
 repeat both are one, a repeated or null doc_id says nothing of other texts, and an item_id that repeats gives one row with
-the best score; empty tables give an empty result.
+the best score; a text of any length is read in passages; other columns, whatever their names, come through `clean` as
+they are; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bitmap, grams, in_bitmap, materialise, mix64, pieces, spread, word_codes
+from tidemark.llm.common import bitmap, grams, in_bitmap, materialise, mix64, packed, pieces, spread, word_codes
 
 #: Words of a seed, and the least score.
 N, LEAST = 4, 0.5
@@ -196,7 +197,8 @@ def row_matches(docs: DataFrame, items: DataFrame, n: int = N, least: float = LE
     """(key, doc_id, item_id, score, first_word, last_word) of the copies of items in documents."""
     known = materialise(item_grams(items, n))
     bound = known.agg(F.max(F.size("words"))).first()[0] or 0
-    margin = int(bound * 1.25) + n
+    # A copy that scores enough has matched words and gaps: matches count 2, gaps cost 1, and 2 a word is perfect.
+    margin = int(bound * (3 - 2 * least)) + n
     short = known.filter(F.size("words") < n).select(F.size("words").alias("size")).distinct().collect()
     bits = bitmap(known, F.col("gram"))
     found = passages(docs, bits, margin, n, sorted(r["size"] for r in short)).withColumn("passage", F.xxhash64("key", "at", "words"))
@@ -217,5 +219,5 @@ def matches(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
     """The rows of `docs` without a copy of an item."""
-    dirty = row_matches(docs, items, **options).select(F.col("key").alias("_dirty")).distinct()
-    return docs.withColumn("_key", row_key()).join(dirty, F.col("_key") == F.col("_dirty"), "left_anti").select(*docs.columns)
+    dirty = row_matches(docs, items, **options).select("key").distinct()
+    return packed(docs, key=row_key()).join(dirty, "key", "left_anti").select("row.*")
