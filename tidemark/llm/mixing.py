@@ -10,8 +10,9 @@ of all rows is spread over many tasks; each partition sums locally, and a small
 offsets.
 
 Nulls and edge cases: a null or empty text has size 0 and is still laid out (its copies take no words); a null source
-is a source of its own, ordered last; repeated rows are separate documents with adjacent intervals; an empty table
-gives an empty result; columns of the input named like the results are replaced.
+is a source of its own, ordered last; repeated rows are separate documents with adjacent intervals; a text of any
+length is one document; other columns, whatever their names, come through `mix` as they are; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, n_words
+from tidemark.llm.common import global_rank, materialise, n_words, packed
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -99,18 +100,22 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """The mixed table: each row of `docs` as often as the sampling takes it, with the columns of `docs`.
 
-    Copies are looked up by doc_id and text size.  Rows that repeat a doc_id, size and source share the sum of their
-    copies evenly, rounded so that the sum is kept in whole rows.
+    Copies are looked up by doc_id, source and text size.  Rows that repeat all three share the sum of their copies
+    evenly, in the order of their texts.
     """
-    columns = docs.columns
-    taken = copies(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("n_copies").alias("_n"), F.count("*").alias("_rows"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "_n", "_rows").filter("_n > 0")
-    sized = docs.withColumn("_size", n_words(F.col("text")))
-    joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_sz")))
-    single = joined.filter("_rows = 1").withColumn("_k", F.col("_n"))
-    order = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    place = F.row_number().over(order)
-    share = F.floor(F.col("_n") * place / F.col("_rows")) - F.floor(F.col("_n") * (place - 1) / F.col("_rows"))
-    many = joined.filter("_rows > 1").withColumn("_k", share)
-    repeated = single.unionByName(many).filter("_k > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))))
-    return repeated.select(*columns)
+    taken = copies(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("n_copies").alias("n"), F.count("*").alias("rows"))
+    taken = materialise(taken.filter("n > 0")).withColumnsRenamed({"doc_id": "id_", "source": "source_", "size": "size_"})
+    each = packed(docs, id=F.col("doc_id"), source=F.col("source"), size=n_words(F.col("text")))
+    joined = each.join(taken, F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_")))
+    out = joined.filter("rows = 1").select("row", F.col("n").alias("k"))
+    if taken.filter("rows > 1").limit(1).count():
+        many = materialise(joined.filter("rows > 1").select("id", "source", "size", "row", "n", "rows", F.xxhash64("row.text").alias("text")))
+        # A range sort, so that rows that are all alike are spread over tasks; any number tells them apart.
+        order = ["id", "source", "size", "text", "tie"]
+        placed = global_rank(many.withColumn("tie", F.monotonically_increasing_id()), order)
+        first = placed.groupBy("id", "source", "size").agg(F.min("rank").alias("first")).withColumnsRenamed({"id": "id_", "source": "source_", "size": "size_"})
+        placed = placed.join(first, F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_")))
+        place = F.col("rank") - F.col("first")
+        share = F.floor(F.col("n") * (place + 1) / F.col("rows")) - F.floor(F.col("n") * place / F.col("rows"))
+        out = out.unionByName(placed.select("row", share.alias("k")))
+    return out.filter("k > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("k").cast("int")))).select("row.*")

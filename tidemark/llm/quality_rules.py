@@ -10,7 +10,8 @@ when a measure leaves its language's band.  Quartiles are taken with a mergeable
 is no harder than others.  Entropy is compared with what the text's number of tokens allows.
 
 Nulls and edge cases: a null or empty text has zero counts, fails the base rules and is not kept; a null language is a
-language of its own; repeated rows are judged separately and alike; an empty table gives an empty result.
+language of its own; repeated rows are judged separately and alike; a text of any length is read whole; other columns,
+whatever their names, come through `keep` as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordTable, flatten, materialise, mix64, pieces, spread, word_codes
+from tidemark.llm.common import WordTable, flatten, materialise, mix64, packed, pieces, spread, word_codes
 
 #: Fixed value: characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -206,8 +207,8 @@ def keep(docs: DataFrame, **files: str) -> DataFrame:
 
     The verdicts are joined by doc_id, language and a hash of the text, so rows that repeat a doc_id keep their own.
     """
-    verdicts = judge(materialise(measures(docs, **files))).filter("kept").select(F.col("_key").alias("_kept")).distinct()
-    return docs.withColumn("_kept", row_key()).join(verdicts, "_kept", "left_semi").select(*docs.columns)
+    verdicts = judge(materialise(measures(docs, **files))).filter("kept").select("_key").distinct()
+    return packed(docs, _key=row_key()).join(verdicts, "_key", "left_semi").select("row.*")
 
 
 def row_key() -> Column:

@@ -10,7 +10,8 @@ Only DataFrame functions touch the rows.  All random numbers come from the seed
 task or a rerun deals alike.
 
 Law `rows`: shard sizes differ by at most one.  Nulls and edge cases: null columns are ordinary values; repeated rows
-are separate rows and may land in different shards; an empty table gives an empty result.
+are separate rows and may land in different shards; rows of any size are dealt whole; columns named shard and slot are
+replaced, and all others, whatever their names, come through as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialise, packed
+
+#: Equal rows beyond which they are told apart by number.
+MANY = 10_000
+
 #: Logical partitions: one for each so many rows, within these bounds.
 ROWS_PER_PARTITION, FEWEST, MOST = 50_000, 256, 65_536
 
@@ -62,32 +68,43 @@ def communication_matrix(counts: list[int], n_shards: int, seed: int) -> list[li
     return matrix
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` (row, hash) with `copy`, which tells apart the rows that are equal in very many.
+
+    Equal rows would all be dealt alike.  Where more than MANY rows share a hash, they are counted and written out
+    again from their count, in chunks, so no task has them all.  Nothing depends on the order in which rows come.
+    """
+    many = materialise(rows.groupBy("hash").count().filter(F.col("count") > MANY).select("hash"))
+    if not many.limit(1).count():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    counted = rows.join(many, "hash", "left_semi").groupBy("row", "hash").count()
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / MANY)))).repartition("hash", "chunk")
+    copies = F.sequence(F.col("chunk") * MANY + 1, F.least(F.col("count"), (F.col("chunk") + 1) * MANY))
+    again = chunks.select("row", "hash", F.explode(copies).alias("copy"))
+    return rows.join(many, "hash", "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(again)
+
+
 def shard(df: DataFrame, n_shards: int = 8, seed: int = 29) -> DataFrame:
     """`df` with shard (0 to n_shards - 1) and slot (gapless from 0 within the shard)."""
     spark = df.sparkSession
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    df = df.select(*names)
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in names]) if names else F.lit(0)
-    rows = df.count()
-    n_parts = int(min(MOST, max(FEWEST, rows // ROWS_PER_PARTITION)))
-    dealt = (
-        df.withColumn("_row", row_hash)
-        .withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(n_parts)).cast("int"))
-        .withColumn("_first", F.xxhash64(F.lit(seed + 1), "_row"))
-        .withColumn("_second", F.xxhash64(F.lit(seed + 2), "_row"))
-    )
-    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    df = df.select(*[F.col(f"`{c}`") for c in names])
+    rows = numbered(packed(df, hash=F.xxhash64(*[F.col(f"`{c}`") for c in names]) if names else F.lit(0).cast("long")))
+    n_parts = int(min(MOST, max(FEWEST, df.count() // ROWS_PER_PARTITION)))
+    key = lambda k: F.xxhash64(F.lit(seed + k), "hash", "copy")
+    dealt = rows.select("row", F.pmod(key(0), F.lit(n_parts)).cast("int").alias("part"), key(1).alias("first"), key(2).alias("second"), key(3).alias("third"))
+    counts = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}
     matrix = communication_matrix([counts.get(p, 0) for p in range(n_parts)], n_shards, seed)
-    cuts = spark.createDataFrame([(p, np.cumsum(row).tolist()) for p, row in enumerate(matrix)], "_part int, _cuts array<long>")
+    cuts = spark.createDataFrame([(p, np.cumsum(row).tolist()) for p, row in enumerate(matrix)], "part int, cuts array<long>")
     # One row per logical partition, at most MOST: the size of this broadcast is bounded.
-    local = dealt.join(F.broadcast(cuts), "_part").withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy("_first")))
-    sent = local.withColumn("shard", F.size(F.filter("_cuts", lambda c: c < F.col("_place"))))
+    local = dealt.join(F.broadcast(cuts), "part").withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("first")))
     n_blocks = max(1, n_parts // n_shards * 2)
-    sent = sent.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 3), "_row"), F.lit(n_blocks)).cast("int")).drop("_cuts", "_place", "_part", "_first", "_row")
-    sizes = sent.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    shard_of = F.size(F.filter("cuts", lambda c: c < F.col("place")))
+    sent = local.select("row", shard_of.alias("shard"), F.pmod(F.col("third"), F.lit(n_blocks)).cast("int").alias("block"), "second")
+    sizes = sent.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     # At most n_shards * n_blocks rows, which is within twice MOST.
-    placed = sent.withColumn("_place", F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_second")))
-    out = placed.join(F.broadcast(starts), ["shard", "_block"]).withColumn("slot", (F.col("_start") + F.col("_place") - 1).cast("long"))
-    return out.select(*names, F.col("shard").cast("int").alias("shard"), "slot")
+    placed = sent.withColumn("place", F.row_number().over(Window.partitionBy("shard", "block").orderBy("second")))
+    out = placed.join(F.broadcast(starts), ["shard", "block"]).select("row", "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"))
+    return out.select(*([F.col("row.*")] if names else []), "shard", "slot")
