@@ -1,7 +1,8 @@
 """Dictionary-compressed WARC archives, written and read by Spark.
 
-Each partition becomes one archive.  A Zstandard dictionary is built from the records of that archive and stands,
-uncompressed, in a leading skippable frame; every record is then a frame of its own, compressed with the dictionary.
+Each partition becomes archives of bounded size, so one is never too large to be read whole.  A Zstandard dictionary is
+built from the records of an archive and stands, uncompressed, in a leading skippable frame; every record is then a frame
+of its own, compressed with the dictionary.
 Spark's own text writer commits the files: a line is one frame, and the line separator is an empty skippable frame,
 which readers of Zstandard pass over.  So archives can be written to any store that Spark reaches, a retried task
 leaves no half-written file, and a reader needs only a Zstandard library and the first frame.
@@ -11,8 +12,9 @@ Records with equal payloads of at least `least_bytes` are stored once: the one w
 
 Nulls and edge cases: a null html is an empty payload; a null url leaves the record without a target; a null page_id
 sorts after all others and its record refers or is referred to as `none`; rows that repeat page_id and payload are
-written as often as they occur, all as the type of their page_id; an empty table writes no record and reads back as
-an empty result.
+written as often as they occur, all as the type of their page_id; a very long payload is one record, and ends its
+archive; other columns, whatever their names, are not written; an empty table writes no record and reads back as an
+empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ RECORD_ID, DATE = "<urn:x-page:%s>", "2024-01-01T00:00:00Z"
 #: An archive's dictionary is built from its first records up to so many bytes; this many bytes are also what a task buffers.
 DICTIONARY_SAMPLE, DICTIONARY_BYTES = 8 << 20, 64 << 10
 
+#: Bytes of records from which an archive is full.
+ARCHIVE_BYTES = 256 << 20
+
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -80,28 +85,41 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The frames of one archive: the dictionary, then one for each record."""
+def frames(archive_bytes: int):
+    """(archive, place, frame) of the archives of a partition: of each the dictionary, then one frame for each record."""
     none = lambda v: None if v is None or v != v else v
-    packer, held, size = None, [], 0
-    for batch in batches:
-        out = []
-        for page_id, url, payload, refers in zip(batch["page_id"], batch["url"], batch["payload"], batch["refers_to"], strict=True):
-            ids = [None if none(v) is None else int(v) for v in (page_id, refers)]
-            data = record(ids[0], none(url), payload, ids[1])
-            if packer is not None:
-                out.append(packer.compress(data))
-                continue
-            held.append(data)
-            size += len(data)
-            if size >= DICTIONARY_SAMPLE:
-                packer, opened = _open(held)
-                out += opened
-                held = []
-        if out:
-            yield pd.DataFrame({"frame": out})
-    if held:
-        yield pd.DataFrame({"frame": _open(held)[1]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer, held, size, archive, place = None, [], 0, 0, 0
+
+        def placed(out: list[bytes]) -> pd.DataFrame:
+            nonlocal place
+            place += len(out)
+            return pd.DataFrame({"archive": archive, "place": range(place - len(out), place), "frame": out})
+
+        for batch in batches:
+            out = []
+            for page_id, url, payload, refers in zip(batch["page_id"], batch["url"], batch["payload"], batch["refers_to"], strict=True):
+                ids = [None if none(v) is None else int(v) for v in (page_id, refers)]
+                data = record(ids[0], none(url), payload, ids[1])
+                size += len(data)
+                if packer is not None:
+                    out.append(packer.compress(data))
+                else:
+                    held.append(data)
+                    if size >= DICTIONARY_SAMPLE or size >= archive_bytes:
+                        packer, opened = _open(held)
+                        out += opened
+                        held = []
+                if size >= archive_bytes:
+                    yield placed(out)
+                    packer, out, size, archive = None, [], 0, archive + 1
+            if out:
+                yield placed(out)
+        if held:
+            yield placed(_open(held)[1])
+
+    return run
 
 
 def _open(held: list[bytes]) -> tuple[zstandard.ZstdCompressor, list[bytes]]:
@@ -110,10 +128,10 @@ def _open(held: list[bytes]) -> tuple[zstandard.ZstdCompressor, list[bytes]]:
     return packer, [DICTIONARY_MAGIC + len(made).to_bytes(4, "little") + made, *map(packer.compress, held)]
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write the archives of `pages` (page_id, url, html) to a folder."""
-    out = typed(pages, least_bytes).mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    out.write.option("lineSep", EMPTY_FRAME.decode()).text(path)
+def write(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the archives of `pages` (page_id, url, html) to a folder, the first ones of all tasks in archive=0 and so on."""
+    out = typed(pages, least_bytes).mapInPandas(frames(archive_bytes), "archive int, place long, frame binary").sortWithinPartitions("archive", "place")
+    out.select("archive", F.col("frame").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", EMPTY_FRAME.decode()).text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple]:
@@ -181,9 +199,8 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of all archives in a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    out = files.mapInPandas(_read if payloads else _read_slim, READ if payloads else READ.rpartition(",")[0])
-    return out
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
+    return files.mapInPandas(_read if payloads else _read_slim, READ if payloads else READ.rpartition(",")[0])
 
 
 def _read_slim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
