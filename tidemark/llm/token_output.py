@@ -9,7 +9,8 @@ Files are in doc_id order, since rows are range-partitioned by doc_id before the
 position in the whole stream is the sum of n_tokens of the files before, plus those before it in its file.
 
 Nulls and edge cases: a null or empty text has the end id alone; null doc_ids come first; rows with equal doc_ids are
-written next to each other in text order; an empty table gives an empty result; other columns are not written.
+written next to each other in text order; a text of any length is one row; an empty table gives an empty result; other
+columns, whatever their names, are not written.
 """
 
 from __future__ import annotations
@@ -167,10 +168,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             crc = np.array([zlib.crc32(ids[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays([batch["file"], batch["row"], batch["doc_id"], pa.array(np.diff(places).astype(np.int64)), pa.array(crc)], ["file", "row", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    each = materialise(rows.mapInArrow(run, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"))
+    # File names carry the partition number, whose order is that of doc_id.
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+    rows = read(spark, path).select("doc_id", "ids", number.cast("long").alias("file"), F.col("_metadata.row_index").alias("row"))
+    each = materialise(rows.mapInArrow(run, "file long, row long, doc_id long, n_tokens long, ids_crc32 long"))
     totals = each.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    # File names carry the partition number, so their order is the order of doc_id.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
