@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by repeated joins."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -11,18 +11,22 @@ from tidemark.llm.common import materialise
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of `edges` (a, b): comp is the least node that can be reached.
 
-    Each round gives a node the least label of itself and its neighbours, then the label of that label (so chains
-    halve), and ends when no label changes.  Aggregates are partial and joins are plain, so a node with very many edges
-    is spread over tasks.
+    Each round maps a node to the least of itself and its neighbours, and replaces the edges by those between what their
+    ends are mapped to.  A node that is mapped to itself has a neighbour that is not, so at least half of the nodes go
+    with each round, whatever the shape of the graph.  Aggregates are partial and joins are plain, so a node with very
+    many edges is spread over tasks.
     """
-    both = edges.select("a", "b").filter("a <> b")
-    both = materialise(both.union(both.select("b", "a")).distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
+    both = lambda e: e.filter("a <> b").select("a", "b").union(e.filter("a <> b").select("b", "a")).distinct()
+    rest = materialise(both(edges))
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        low = materialise(low.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
-        labels = low.drop("was")
-        if not low.filter("comp <> was").limit(1).count():
+        step = materialise(rest.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
+        if labels is None:
+            labels = step
+        else:
+            further = step.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
+            labels = materialise(labels.join(further, "comp", "left").select("node", F.coalesce("further", "comp").alias("comp")))
+        to = lambda c: step.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_to"))  # noqa: B023, E731
+        rest = materialise(both(rest.join(to("a"), "a").join(to("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))))
+        if rest.isEmpty():
             return labels

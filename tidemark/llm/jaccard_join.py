@@ -227,7 +227,7 @@ def walk(root: Trie, probe: frozenset, size: int, me: int, find, sizes: np.ndarr
 
 
 def trie_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the walkers and the others of one task, as a forest; rows are (cid, size, comp, hashes, walks, inner)."""
+    """Components that the links between the walkers and the others of one task make, as stars; rows are (cid, size, comp, hashes, walks, inner)."""
     rows = rows.drop_duplicates("cid")
     cid, sizes, walks = rows["cid"].to_numpy(), rows["size"].to_numpy(), rows["walks"].to_numpy()
     paths = [list(map(int, x))[::-1] for x in rows["hashes"]]
@@ -250,7 +250,7 @@ def trie_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     def visit(i: int) -> None:
         probe = frozenset(paths[i])
         while (hit := next(walk(root, probe, int(sizes[i]), i, find, sizes, percent), None)) is not None:
-            found.append((cid[i], cid[hit]))
+            found.append((i, hit))
             parent[find(i)] = find(hit)
 
     for i in np.flatnonzero(~walks):
@@ -259,7 +259,12 @@ def trie_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         visit(i)
         if inner:
             root.add(paths[i], i, int(sizes[i]))
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    # As stars, so that the graph of all tasks' links has no long chains.
+    centre: dict[int, int] = {}
+    for i in (i for link in found for i in link):
+        centre[find(i)] = min(centre.get(find(i), cid[i]), cid[i])
+    stars = {(cid[i], centre[find(i)]) for link in found for i in link}
+    return pd.DataFrame([x for x in stars if x[0] != x[1]], columns=["a", "b"]).astype("int64")
 
 
 TRIE_LINKS = "a long, b long"
