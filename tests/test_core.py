@@ -112,6 +112,14 @@ def test_refresh_of_a_table(spark, tmp_path):
     assert go(source + fresh[:3]).first == "20240104"
     stored = spark.read.parquet(path)
     assert {r.partition_id for r in stored.select(F.col("partition_id").cast("string")).distinct().collect()} == {"20240101", "20240102", "20240103", "20240105"}
+    # A day that loses all its rows is emptied; one that never had any is an error.
+    spark.createDataFrame([e for e in events if e[1].day not in (4, 5)], "id long, ts timestamp, kind string").createOrReplaceTempView("events_t")
+    later = [("events_t", "20240105", NOW + timedelta(hours=2))]
+    again = lambda: refresh.update_partitions(spark, path, spark.createDataFrame(source[:4] + later + fresh, schema), "daily", ["events_t"], aligned, query, F.date_format("day", "yyyyMMdd"), NOW + timedelta(hours=3))
+    assert again() == refresh.Refreshed("20240105", "20240105", 0)
+    assert {str(r.partition_id) for r in spark.read.parquet(path).select("partition_id").distinct().collect()} == {"20240101", "20240102", "20240103"}
+    with pytest.raises(refresh.NothingWritten):
+        again()
     with pytest.raises(refresh.SchemaChanged):
         refresh.update_partitions(spark, path, spark.createDataFrame(source, schema), "daily", ["events_t"], aligned, query.replace("count(*)", "1.5"), F.date_format("day", "yyyyMMdd"), NOW)
     with pytest.raises(ValueError, match="unknown options"):
@@ -145,6 +153,41 @@ def test_history_counts_rows_as_they_change(spark, tmp_path):
     assert found == {(0, 0), (0, 1)}
     with pytest.raises(ValueError, match="columns"):
         table.update(df(rows).withColumn("more", F.lit(1)))
+    assert table.update(df([*rows, (5000, "y")]), dry_run=True) == 1 and table.current().count() == 102
+    pruned = table.as_of(datetime(2024, 1, 8, 1))
+    assert sorted(map(tuple, pruned.collect())) == sorted(states[7]) and "PartitionFilters: [isnotnull(closed_on" in pruned._jdf.queryExecution().toString()
+    assert table.update(df(rows).withColumn("more", F.lit(1)), on_other_columns="recreate") == 102
+    assert table.read().count() == 102 and table.current().select("entity.more").distinct().count() == 1
+
+
+def test_history_update_that_stops_is_finished_once(spark, tmp_path, monkeypatch):
+    clock = iter(datetime(2024, 1, 1) + timedelta(days=i) for i in range(100))
+    table = scd2.HistoryTable(spark, str(tmp_path / "h"), "k", clock=lambda: next(clock))
+    df = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    table.init(df((1, "a"), (2, "b")))
+    publish = scd2.HistoryTable._publish
+
+    def closes_only(self, revision, day):
+        spark.read.parquet(f"{self.path}__staged/{revision}").filter("valid_to is not null").select(*scd2.COLUMNS).write.parquet(f"{self.path}/closed_on={day}/closed_by={revision}")
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(scd2.HistoryTable, "_publish", closes_only)
+    with pytest.raises(RuntimeError):
+        table.update(df((1, "x"), (3, "c")))
+    monkeypatch.setattr(scd2.HistoryTable, "_publish", publish)
+    assert table.update(df((1, "x"), (3, "c")), allow_unchanged=True) == 0
+    found = sorted((r.unique_key, r.entity.v, r.valid_to is None) for r in table.read().collect())
+    assert found == [(1, "a", False), (1, "x", True), (2, "b", False), (3, "c", True)]
+    assert {tuple(r)[1:] for r in scd2.validate(table.read()).collect()} == {(0, 0)} and table.recover() == 0
+
+
+def test_history_update_waits_for_its_sources(spark, tmp_path):
+    table = scd2.HistoryTable(spark, str(tmp_path / "h"), "k", clock=lambda: NOW)
+    df = spark.createDataFrame([(1, "a")], "k long, v string")
+    table.init(df)
+    meta = lambda hours: spark.createDataFrame([("history", None, NOW), ("src", None, NOW + timedelta(hours=hours))], "table_name string, partition_id string, last_modified timestamp")
+    go = lambda hours: table.update_if_stale(df.withColumn("v", F.lit("b")), meta(hours), "history", ["src"], NOW + timedelta(hours=3))
+    assert go(-1) is None and go(1) == 2
 
 
 def test_history_of_random_states(spark):
@@ -176,6 +219,7 @@ def test_diff_names_nested_fields(spark):
     new = spark.createDataFrame([(1, ("y", 1))], "k long, s struct<a:string,b:int>")
     row = scd2.diff(scd2.snapshot(old, "k", NOW, "r"), scd2.snapshot(new, "k", NOW, "s")).first()
     assert [tuple(c) for c in row.entity_changes] == [("s.a", "x", "y")] and row.action == "CHANGED"
+    assert [r.s.a for r in row.entity_comparison] == ["x", "y"]
 
 
 def test_golden(spark, tmp_path):
@@ -260,6 +304,8 @@ def test_columns_that_a_query_reads(spark, tmp_path):
     assert [t.rpartition("/")[2] for t in columns.referenced_tables(spark, query)] == ["a", "b"]
     found = {c: {t.rpartition("/")[2]: sorted(n) for t, n in reads} for c, reads in columns.column_lineage(spark, query).items()}
     assert found == {"p": {"a": ["id", "x"], "b": ["id"]}, "z": {"a": ["id"], "b": ["id", "z"]}}
+    spark.read.parquet(str(tmp_path / "a"), str(tmp_path / "b")).createOrReplaceTempView("tab")
+    assert [t.rpartition("/")[2] for t in columns.referenced_tables(spark, "SELECT id FROM tab")] == ["a", "b"]
 
 
 def test_text_helpers(spark):
@@ -275,6 +321,11 @@ def test_text_helpers(spark):
     assert [tuple(x) for x in points.select(text.format_quantiles(F.col("q"), [0, 2])).first()[0]] == [(0.0, 0.0), (50.0, 2.0)]
     small = spark.createDataFrame([(1, "it's", None), (2, None, True)], "a int, b string, c boolean")
     assert sorted(map(tuple, spark.sql(text.values_sql(small)).collect())) == sorted(map(tuple, small.collect()))
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        text.values_sql(spark.range(6), 5)
+    deep = '{"a":' * 30 + '"x"' + "}" * 30
+    odd = spark.createDataFrame([(1, deep), (2, "[1]"), (3, '{"n":1.50,"t":true,"l":[{"q":"é","z":1e3},null],"o":{}}'), (4, "no json")], "id int, j string")
+    assert {(r.id, r.key, r.value) for r in text.json_entries(odd, "j").collect()} == {(1, ".".join("a" * 30), "x"), (3, "n", "1.50"), (3, "t", "true"), (3, "l", '[{"q":"é","z":1e3},null]')}
     assert "| 0 " in text.table_text(spark.range(1).collect())
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import textwrap
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def indent(text: Column, n: int) -> Column:
@@ -40,23 +43,56 @@ def format_quantiles(points: Column, picks: list[int] | None = None, digits: int
     return F.transform(wanted, lambda i: F.struct((F.lit(100.0) * i / last).alias("key"), value(F.get(points, i)).alias("value")))
 
 
-def json_entries(df: DataFrame, column: str, max_depth: int = 8) -> DataFrame:
-    """(all columns, key, value): the leaves of a JSON object, by dotted key; arrays stay text, an empty key is `_f<place>`.
-
-    One explode for each level of nesting; levels without objects cost an empty filter.
-    """
-    parsed = lambda c: F.from_json(c, "map<string,string>")
-    level = df.select("*", F.lit("").alias("_prefix"), F.col(column).alias("_json"))
-    out = None
-    for depth in range(max_depth):
-        each = level.select(*df.columns, "_prefix", F.posexplode(F.map_entries(parsed(F.col("_json")))).alias("_i", "_e"))
-        key = F.when(F.col("_e.key") == "", F.concat(F.lit("_f"), F.col("_i").cast("string"))).otherwise(F.col("_e.key"))
-        each = each.select(*df.columns, F.concat("_prefix", key).alias("key"), F.col("_e.value").alias("value"))
-        nested = F.coalesce(F.col("value").startswith("{"), F.lit(False)) & parsed(F.col("value")).isNotNull()
-        leaf = each.filter(~nested) if depth < max_depth - 1 else each
-        out = leaf if out is None else out.unionByName(leaf)
-        level = each.filter(nested).select(*df.columns, F.concat("key", F.lit(".")).alias("_prefix"), F.col("value").alias("_json"))
-    return out
+class _Number(str):
+    """A number as it is written."""
+
+
+def _written(value: object) -> str | None:
+    """A leaf as text: texts and numbers as they stand, arrays as compact JSON."""
+    if value is None or type(value) is str or isinstance(value, _Number):
+        return None if value is None else str(value)
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, list):
+        return "[" + ",".join(_inside(v) for v in value) + "]"
+    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_inside(v)}" for k, v in value.items()) + "}"
+
+
+def _inside(value: object) -> str:
+    if value is None:
+        return "null"
+    return json.dumps(value, ensure_ascii=False) if type(value) is str else _written(value)
+
+
+def json_entries(df: DataFrame, column: str) -> DataFrame:
+    """(all columns, key, value): the leaves of a JSON object, by dotted key, of any depth; arrays stay text, an empty
+    key is `_f<place>`.  A null, and what is no JSON object, has no entry.  One pass, in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys, values = [], [], []
+            for i, text in enumerate(batch[column].to_pylist()):
+                try:
+                    value = json.loads(text, parse_int=_Number, parse_float=_Number) if text else None
+                except ValueError:
+                    continue
+                stack = [("", iter(enumerate(value.items())))] if isinstance(value, dict) else []
+                while stack:
+                    prefix, items = stack[-1]
+                    j, (key, v) = next(items, (None, (None, None)))
+                    if j is None:
+                        stack.pop()
+                    elif isinstance(v, dict) and v:
+                        stack.append((f"{prefix}{key or f'_f{j}'}.", iter(enumerate(v.items()))))
+                    elif not isinstance(v, dict):
+                        rows.append(i)
+                        keys.append(f"{prefix}{key or f'_f{j}'}")
+                        values.append(_written(v))
+            kept = batch.take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(keys, pa.string()), pa.array(values, pa.string())], [*batch.schema.names, "key", "value"])
+
+    extra = [T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra]))
 
 
 def table_text(rows: list[Row]) -> str:
@@ -73,9 +109,12 @@ def table_text(rows: list[Row]) -> str:
 
 
 def values_sql(df: DataFrame, most: int = 100) -> str:
-    """SQL that gives a small table again."""
+    """SQL that gives a small table again; a table of more than `most` rows is an error."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
     columns = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in df.schema)
     literal = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else repr(v) if isinstance(v, (int, float)) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = ",\n".join("  (" + ", ".join(literal(v) for v in r) + ")" for r in df.limit(most).collect())
+    rows = ",\n".join("  (" + ", ".join(literal(v) for v in r) + ")" for r in found)
     names = ", ".join(f"`{c}`" for c in df.columns)
     return textwrap.dedent(f"SELECT {columns}\nFROM VALUES\n") + rows + f"\nAS t({names})"

@@ -134,3 +134,46 @@ def histogram(df: DataFrame, column: str, exact: bool = False) -> DataFrame:
     high = F.when(F.col("step") <= 0, F.col("_max")).when(F.col("bucket") <= EDGES, F.col("base") + F.col("step") * F.col("bucket")).otherwise(F.lit(float("inf")))
     total = F.sum("count").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return counted.select("bucket", low.alias("low"), high.alias("high"), "count", F.round(F.col("count") / total, 4).alias("ratio"))
+
+
+def full(df: DataFrame, partition: Column | None = None, group_by: list[str] = (), columns: list[str] | None = None, exact: bool = False) -> DataFrame:
+    """`profile` with, for each number, `<column>__top_count`, `__quantiles` and `__histogram`, and for each text its top counts.
+
+    The values of all columns are stacked and counted before they are ranked, and one row for each group comes back, so
+    two more passes do for any number of columns.  Top counts are arrays of (value as text, count), quantiles of
+    (key, value) and histograms of (bucket, low, high, count); the edges are those of `histogram`, for each group.
+    """
+    keys = ["partition_key", "group_keys"]
+    chosen = [x for x in leaf_columns(df.schema, tuple(group_by)) if columns is None or x[0] in columns]
+    numbers = [(n, p) for n, p, kind in chosen if isinstance(kind, (*NUMBERS, *FLOATS))]
+    counted = [(n, p, TOP_TEXTS if isinstance(kind, T.StringType) else TOP_NUMBERS) for n, p, kind in chosen if isinstance(kind, (*NUMBERS, T.StringType))]
+    out = profile(df, partition, group_by, columns, exact)
+    same = lambda other: (F.col("partition_key").eqNullSafe(other["_p"])) & (F.col("group_keys").eqNullSafe(other["_g"]))
+
+    def joined(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+        right = right.withColumnsRenamed({"partition_key": "_p", "group_keys": "_g"})
+        return left.join(right, same(right), how).drop("_p", "_g")
+
+    if counted:
+        each = df.select(*_keys(partition, group_by), F.explode(F.array(*[F.struct(F.lit(n).alias("c"), F.col(p).cast("string").alias("value"), F.lit(most).alias("most")) for n, p, most in counted])).alias("x")).select(*keys, "x.*")
+        counts = each.groupBy(*keys, "c", "value", "most").agg(F.count("*").alias("count"))
+        rank = F.row_number().over(Window.partitionBy(*keys, "c").orderBy(F.desc("count"), "value"))
+        first = counts.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("most"))
+        listed = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("c") == n, F.struct("_rank", "value", "count")))), lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))).alias(f"{n}__top_count")
+        out = joined(out, first.groupBy(*keys).agg(*[listed(n) for n, _, _ in counted]))
+    if numbers:
+        each = df.select(*_keys(partition, group_by), F.explode(F.array(*[F.struct(F.lit(n).alias("c"), F.col(p).cast("double").alias("v")) for n, p in numbers])).alias("x")).select(*keys, "x.*").filter("v is not null")
+        points = each.groupBy(*keys, "c").agg(F.percentile_approx("v", F.array(*[F.lit(p / 1000) for p in PICKS]), 1_000_000 if exact else 10_000).alias("q"))
+        low, high = F.col("q")[PICKS.index(250)], F.col("q")[PICKS.index(750)]
+        points = points.withColumns({"base": low - 1.5 * (high - low), "step": (high - low) / 5})
+        edged = joined(each.withColumnRenamed("c", "_c"), points, "inner").filter(F.col("c") == F.col("_c"))
+        bucket = F.when(F.col("step") > 0, F.greatest(F.lit(0), F.least(F.lit(EDGES + 1), F.floor((F.col("v") - F.col("base")) / F.col("step")) + 1))).otherwise(F.lit(0)).cast("int")
+        buckets = edged.groupBy(*keys, "c", "base", "step", bucket.alias("bucket")).agg(F.count("*").alias("count"))
+        start = F.when((F.col("step") > 0) & (F.col("bucket") > 0), F.col("base") + F.col("step") * (F.col("bucket") - 1))
+        end = F.when((F.col("step") > 0) & (F.col("bucket") <= EDGES), F.col("base") + F.col("step") * F.col("bucket"))
+        one = F.struct("bucket", start.alias("low"), end.alias("high"), "count")
+        bars = buckets.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("c") == n, one))).alias(f"{n}__histogram") for n, _ in numbers])
+        pairs = F.transform(F.arrays_zip(F.array(*[F.lit(p / 10) for p in PICKS]).alias("key"), F.col("q").alias("value")), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+        quant = points.groupBy(*keys).agg(*[F.any_value(F.when(F.col("c") == n, pairs), True).alias(f"{n}__quantiles") for n, _ in numbers])
+        out = joined(joined(out, quant), bars)
+    return out

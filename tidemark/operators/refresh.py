@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -19,7 +20,7 @@ class SchemaChanged(Exception):
 
 
 class NothingWritten(Exception):
-    """A refresh that had something to do gave no row."""
+    """A refresh that had something to do neither wrote nor deleted a row."""
 
 
 @dataclass(frozen=True)
@@ -59,24 +60,34 @@ def same_schema(a: DataFrame, b: DataFrame) -> bool:
 def write_range(spark: SparkSession, path: str, fresh: DataFrame, first: str, last: str) -> int:
     """Put `fresh` (with its ids in `partition_id`) in place of the partitions of a range of the table at `path`.
 
-    Spark's dynamic overwrite replaces the partitions that have rows; those of the range that have none any more are
-    overwritten by no rows of their own, which drops them.
+    The rows are staged in files of `<path>__staged`, since the query may read the table itself.  Spark's dynamic
+    overwrite replaces the partitions that have rows; those of the range that have none any more are overwritten by no
+    rows of their own, which empties them.  A range that has no row before or after is an error.
     """
-    staged = fresh.select(*[c for c in fresh.columns if c != "partition_id"], "partition_id").persist()
-    try:
-        rows = staged.count()
-        outside = staged.filter(~in_range(F.col("partition_id"), first, last)).limit(1).count()
-        if outside:
-            raise ValueError(f"the query gave rows outside of {first} to {last}")
-        if not rows:
-            raise NothingWritten(f"no row for {first} to {last}")
+    ordered = fresh.select(*[c for c in fresh.columns if c != "partition_id"], F.col("partition_id").cast("string").alias("partition_id"))
+    place = f"{path}__staged/{uuid.uuid4().hex}"
+    ordered.write.parquet(place)
+    staged = spark.read.schema(ordered.schema).parquet(place)
+    found = staged.agg(F.count("*").alias("rows"), F.count_if(~F.coalesce(in_range(F.col("partition_id"), first, last), F.lit(False))).alias("outside")).first()
+    if found["outside"]:
+        raise ValueError(f"the query gave rows outside of {first} to {last}")
+    emptied = [r[0] for r in _stored_ids(spark, path, first, last).join(staged.select("partition_id").distinct(), "partition_id", "left_anti").collect()]
+    if not found["rows"] and not emptied:
+        raise NothingWritten(f"no row for {first} to {last}")
+    if found["rows"]:
         staged.repartition("partition_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition_id").parquet(path)
-        stored = spark.read.option("basePath", path).parquet(path).select(F.col("partition_id").cast("string")).filter(in_range(F.col("partition_id"), first, last)).distinct()
-        for row in stored.join(staged.select("partition_id").distinct(), "partition_id", "left_anti").collect():
-            _drop_partition(spark, path, row[0])
-    finally:
-        staged.unpersist()
-    return rows
+    for value in emptied:
+        _drop_partition(spark, path, value)
+    return found["rows"]
+
+
+def _stored_ids(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """(partition_id) of the partitions of a range that have rows, if the table is there."""
+    try:
+        stored = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], "partition_id string")
+    return stored.select(F.col("partition_id").cast("string").alias("partition_id")).filter(in_range(F.col("partition_id"), first, last)).distinct()
 
 
 def _drop_partition(spark: SparkSession, path: str, value: str) -> None:

@@ -9,13 +9,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.model import ANY_PARTITION, NULL_PARTITION
+from tidemark.operators.staleness import detect_staleness
+
 COLUMNS = ["unique_key", "revision_hash", "valid_from", "valid_to", "entity"]
 
 
@@ -64,20 +67,25 @@ def compared(history: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.withColumn("action", action)
 
 
+def rewritten(history: DataFrame, fresh: DataFrame, at: datetime | str) -> DataFrame:
+    """What an update makes of the current rows, with `action`: kept rows, rows closed at an instant, and new rows.
+
+    One join; a changed row gives two.
+    """
+    row = lambda side, valid_to: F.struct(F.col(f"{side}.revision_hash"), F.col(f"{side}.valid_from"), valid_to.cast("timestamp").alias("valid_to"), F.col(f"{side}.entity"))
+    kept, closed, opened = row("old", F.lit(None)), row("old", instant(at)), row("new", F.lit(None))
+    out = F.when(F.col("action") == "UNCHANGED", F.array(kept)).when(F.col("action") == "NEW", F.array(opened)).when(F.col("action") == "DELETE", F.array(closed)).otherwise(F.array(closed, opened))
+    return compared(history, fresh).select("unique_key", "action", F.explode(out).alias("row")).select("unique_key", "row.*", "action").select(*COLUMNS, "action")
+
+
 def changes(history: DataFrame, fresh: DataFrame, at: datetime | str) -> DataFrame:
     """The rows that an update writes: old rows closed at an instant, and new rows."""
-    rows = compared(history, fresh).filter("action <> 'UNCHANGED'")
-    closed = F.struct(F.col("old.revision_hash"), F.col("old.valid_from"), instant(at).alias("valid_to"), F.col("old.entity"))
-    opened = F.struct(F.col("new.revision_hash"), F.col("new.valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.col("new.entity"))
-    out = F.when(F.col("action") == "NEW", F.array(opened)).when(F.col("action") == "DELETE", F.array(closed)).otherwise(F.array(closed, opened))
-    return rows.select("unique_key", "action", F.explode(out).alias("row")).select("unique_key", "row.*", "action").select(*COLUMNS, "action")
+    return rewritten(history, fresh, at).filter("action <> 'UNCHANGED'")
 
 
 def update(history: DataFrame, fresh: DataFrame, at: datetime | str) -> DataFrame:
     """The history after an update."""
-    rows = compared(history, fresh)
-    kept = rows.filter("action = 'UNCHANGED'").select("unique_key", "old.*")
-    return history.filter("valid_to is not null").unionByName(kept.select(*COLUMNS)).unionByName(changes(history, fresh, at).drop("action"))
+    return history.filter("valid_to is not null").unionByName(rewritten(history, fresh, at).drop("action"))
 
 
 def leaves(schema: T.StructType, base: str) -> list[tuple[str, Column]]:
@@ -94,14 +102,18 @@ def leaves(schema: T.StructType, base: str) -> list[tuple[str, Column]]:
 
 
 def diff(history: DataFrame, fresh: DataFrame) -> DataFrame:
-    """(action, unique_key, entity_changes) of the keys that differ; changes are (key, before, after) by field."""
+    """(action, unique_key, entity_changes, entity_comparison) of the keys that differ.
+
+    Changes are (key, before, after) by field; the comparison has the rows before and after, as far as they are there.
+    """
     schema = history.schema["entity"].dataType
     fields = [
         F.struct(F.lit(path).alias("key"), before.alias("before"), after.alias("after"))
         for (path, before), (_, after) in zip(leaves(schema, "old.entity"), leaves(schema, "new.entity"), strict=True)
     ]
     differ = F.filter(F.array(*fields), lambda x: ~x["before"].eqNullSafe(x["after"]))
-    return compared(history, fresh).filter("action <> 'UNCHANGED'").select("action", "unique_key", differ.alias("entity_changes"))
+    rows = F.array_compact(F.array("old.entity", "new.entity"))
+    return compared(history, fresh).filter("action <> 'UNCHANGED'").select("action", "unique_key", differ.alias("entity_changes"), rows.alias("entity_comparison"))
 
 
 def validate(history: DataFrame) -> DataFrame:
@@ -154,10 +166,13 @@ class NothingChanged(Exception):
 
 @dataclass
 class HistoryTable:
-    """A history stored as Parquet, with the current rows in a partition of their own.
+    """A history stored as Parquet: current rows in one partition, closed rows by the day that they end and the update
+    that closed them, each ordered by `valid_from`.
 
-    An update appends closed rows to `state=closed` and overwrites `state=open`; only open rows are read and rewritten.
-    What it writes is staged in `<path>__staged`, which may be deleted when no update runs.
+    Only current rows are read and rewritten by an update.  Its rows are staged in `<path>__staged` first, and
+    `<path>__log` says so; then they are put in their places by overwriting, which can be done again.  An update that
+    stops in between is finished by the next one, so no row is closed twice.  Staged rows may be deleted when no update
+    runs.  Readers should not read during an update.
     """
 
     spark: SparkSession
@@ -166,52 +181,118 @@ class HistoryTable:
     clock: Callable[[], datetime] = datetime.now
     new_id: Callable[[], str] = lambda: uuid.uuid4().hex
 
+    OPEN = "closed_on=open/closed_by=open"
+
     def exists(self) -> bool:
-        try:
-            self.spark.read.parquet(self.path).limit(0).count()
-        except AnalysisException:
-            return False
-        return True
+        return _stored(self.spark, self.path) is not None
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path).select(*COLUMNS)
 
+    def current(self) -> DataFrame:
+        """The open rows, of their partition alone."""
+        return self.spark.read.parquet(f"{self.path}/{self.OPEN}").select(*COLUMNS)
+
+    def as_of(self, at: datetime | str | None) -> DataFrame:
+        """The rows that held at an instant, from the partitions that end later."""
+        if at is None:
+            return latest(self.current())
+        # A day of slack, should the session's time zone differ from the writer's.
+        later = F.col("closed_on") >= F.date_format(instant(at) - F.expr("interval 1 day"), "yyyyMMdd")
+        return as_of(self.spark.read.parquet(self.path).withColumn("closed_on", F.col("closed_on").cast("string")).filter(later), at)
+
     def init(self, df: DataFrame) -> int:
         rows = snapshot(df, self.key, self.clock(), self.new_id())
-        rows.withColumn("state", F.lit("open")).write.mode("errorifexists").partitionBy("state").parquet(self.path)
-        return self.read().count()
+        self._restart(rows, "errorifexists")
+        return self.current().count()
+
+    def _restart(self, rows: DataFrame, mode: str) -> None:
+        parted = rows.withColumns({"closed_on": F.lit("open"), "closed_by": F.lit("open")})
+        parted.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("closed_on", "closed_by").parquet(self.path)
 
     def same_columns(self, df: DataFrame) -> bool:
-        stored = self.read().schema["entity"].dataType
+        stored = self.current().schema["entity"].dataType
         return [(f.name, f.dataType) for f in stored] == [(f.name, f.dataType) for f in df.schema]
 
-    def update(self, df: DataFrame, allow_unchanged: bool = False) -> int:
-        """Rows closed plus rows opened."""
-        if not self.same_columns(df):
-            raise ValueError("the columns have changed: move the history away and begin a new one")
+    def _note(self, revision: str, step: str, at: datetime) -> None:
+        day = F.date_format(instant(at), "yyyyMMdd")
+        self.spark.range(1).select(F.lit(revision).alias("revision"), F.lit(step).alias("step"), day.alias("day"), instant(at).alias("at")).coalesce(1).write.mode("append").parquet(f"{self.path}__log")
+
+    def recover(self) -> int:
+        """Finish updates that stopped after they were staged; how many there were."""
+        log = _stored(self.spark, f"{self.path}__log")
+        if log is None:
+            return 0
+        rows = log.groupBy("revision").agg(F.min("day").alias("day"), F.min("at").alias("at"), F.count_if(F.col("step") != "staged").alias("done")).filter("done = 0").orderBy("at").collect()
+        for r in rows:
+            self._publish(r["revision"], r["day"])
+            self._note(r["revision"], "published", r["at"])
+        return len(rows)
+
+    def _publish(self, revision: str, day: str) -> None:
+        """Put staged rows in their places; to do it again changes nothing."""
+        staged = self.spark.read.parquet(f"{self.path}__staged/{revision}")
+        for rows, place in ((staged.filter("valid_to is not null"), f"closed_on={day}/closed_by={revision}"), (staged.filter("valid_to is null"), self.OPEN)):
+            rows.select(*COLUMNS).sortWithinPartitions("valid_from").write.mode("overwrite").parquet(f"{self.path}/{place}")
+
+    def update(self, df: DataFrame, allow_unchanged: bool = False, on_other_columns: str = "error", dry_run: bool = False) -> int:
+        """Rows closed plus rows opened; with `dry_run`, those that would be, and nothing is written.
+
+        If the columns have changed, that is an error, or (`recreate`) the history is copied to a table named by the
+        instant and begins anew.
+        """
+        if on_other_columns not in ("error", "recreate"):
+            raise ValueError("on_other_columns is error or recreate")
+        self.recover()
         at, revision = self.clock(), self.new_id()
         fresh = snapshot(df, self.key, at, revision)
-        new_rows = update(self.read(), fresh, at).filter((F.col("valid_to").isNull()) | (F.col("valid_to") == instant(at)))
-        # Staged in files: the open rows are overwritten below, so nothing may be computed from them again.
+        if not self.same_columns(df):
+            if on_other_columns == "error" or dry_run:
+                raise ValueError("the columns have changed: move the history away and begin a new one")
+            return self._begin_anew(fresh, at)
+        if dry_run:
+            return changes(self.current(), fresh, at).count()
         staged = f"{self.path}__staged/{revision}"
-        new_rows.write.parquet(staged)
-        new_rows = self.spark.read.schema(new_rows.schema).parquet(staged)
-        closed, opened = new_rows.filter("valid_to is not null"), new_rows.filter("valid_to is null")
-        written = closed.count() + opened.filter(F.col("valid_from") == instant(at)).count()
-        if not written and not allow_unchanged:
+        rewritten(self.current(), fresh, at).write.parquet(staged)
+        written = self.spark.read.parquet(staged).filter("action <> 'UNCHANGED'").count()
+        if written:
+            self._note(revision, "staged", at)
+            self._publish(revision, self.spark.range(1).select(F.date_format(instant(at), "yyyyMMdd")).first()[0])
+            self._note(revision, "published", at)
+        elif not allow_unchanged:
             raise NothingChanged(self.path)
-        # Closed rows first: if the second write fails, the open rows are as they were.
-        closed.withColumn("state", F.lit("closed")).write.mode("append").partitionBy("state").parquet(self.path)
-        opened.write.mode("overwrite").parquet(f"{self.path}/state=open")
         return written
 
+    def backup_path(self, at: datetime) -> str:
+        return f"{self.path}__{at:%Y%m%d%H%M%S}"
+
+    def _begin_anew(self, fresh: DataFrame, at: datetime) -> int:
+        old = self.spark.read.parquet(self.path)
+        old.write.mode("overwrite").partitionBy("closed_on", "closed_by").parquet(self.backup_path(at))
+        self._restart(fresh, "overwrite")
+        return self.current().count()
+
+    def update_if_stale(self, df: DataFrame, metadata: DataFrame, destination: str, sources: list[str], now: datetime, tolerate: timedelta = timedelta(0), force_expired_at: datetime | None = None, **options: object) -> int | None:
+        """`update` where the history is older than a source; None where it is not, and nothing is read."""
+        whole = self.spark.createDataFrame([(NULL_PARTITION, [ANY_PARTITION])], "destination string, sources array<string>")
+        if not detect_staleness(metadata, destination, sources, whole, now, tolerate, force_expired_at):
+            return None
+        return self.update(df, **options)
+
     def views(self, name: str) -> None:
         """Temporary views of the current rows and of both monitors."""
-        latest(self.read()).createOrReplaceTempView(name)
+        latest(self.current()).createOrReplaceTempView(name)
         monitor_revisions(self.read()).createOrReplaceTempView(f"monitor__{name}__snapshot_job")
         monitor_entities(self.read()).createOrReplaceTempView(f"monitor__{name}__entity")
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def assert_golden(store: HistoryTable, df: DataFrame, update_golden: bool = False) -> None:
     """Fail if a result differs from the stored one; a first call, or an update, stores it."""
     if not store.exists():
@@ -219,6 +300,6 @@ def assert_golden(store: HistoryTable, df: DataFrame, update_golden: bool = Fals
     elif update_golden:
         store.update(df, allow_unchanged=True)
     else:
-        found = diff(store.read(), snapshot(df, store.key, store.clock(), "check"))
+        found = diff(store.current(), snapshot(df, store.key, store.clock(), "check"))
         if rows := found.limit(20).collect():
             raise AssertionError(f"the result differs from the stored one: {rows}")

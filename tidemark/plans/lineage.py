@@ -19,17 +19,58 @@ def shard_family(table: Column) -> Column:
     return F.regexp_replace(table, r"\d{8}$", "*")
 
 
-def edges(jobs: DataFrame, begin: str, end: str) -> DataFrame:
-    """(dst, src, n_jobs, n_users, total_bytes, job_latest) from a job log.
+#: Kinds of statements that make an edge.
+STATEMENTS = (
+    "ALTER_TABLE ALTER_VIEW ASSERT CREATE_CLONE_TABLE CREATE_MATERIALIZED_VIEW CREATE_MODEL CREATE_SNAPSHOT_TABLE CREATE_TABLE CREATE_TABLE_AS_SELECT CREATE_VIEW DELETE "
+    "DROP_MATERIALIZED_VIEW DROP_TABLE DROP_VIEW EXPORT_DATA INSERT MERGE SELECT TRUNCATE UPDATE"
+).split()
 
-    The log has (state, error, created, user, bytes, destination, referenced); destination is a node and referenced an
-    array of nodes (project, dataset, table).  A result without a name is the user's.
+#: Days of a log that are read where no window is given.
+DAYS = 30
+
+
+def _reads(jobs: DataFrame, begin: str | None, end: str | None) -> DataFrame:
+    """One row for each table that a finished job of the window reads, with its `dst` and `src`.
+
+    Without a window, the last DAYS days of the log.  A log that has `statement_type` is held to STATEMENTS.
     """
-    done = jobs.filter((F.col("state") == "DONE") & F.col("error").isNull() & F.col("destination").isNotNull()).filter(F.col("created").between(F.lit(begin).cast("timestamp"), F.lit(end).cast("timestamp")))
+    done = jobs.filter((F.col("state") == "DONE") & F.col("error").isNull() & F.col("destination").isNotNull())
+    if "statement_type" in jobs.columns:
+        done = done.filter(F.col("statement_type").isin(STATEMENTS))
+    if begin is None or end is None:
+        # One row.
+        span = jobs.agg(F.max("created").alias("_newest"))
+        done = done.join(F.broadcast(span)).filter(F.col("created") >= F.col("_newest") - F.expr(f"interval {DAYS} days")).drop("_newest")
+    else:
+        done = done.filter(F.col("created").between(F.lit(begin).cast("timestamp"), F.lit(end).cast("timestamp")))
     node = lambda n: F.struct(n["project"].alias("project"), n["dataset"].alias("dataset"), shard_family(n["table"]).alias("table"))
     flat = done.withColumn("ref", F.explode("referenced"))
     dst = F.when(F.col("destination.dataset").startswith("_"), F.struct(F.lit(USER).alias("project"), F.lit(USER).alias("dataset"), F.lit(USER).alias("table"))).otherwise(node(F.col("destination")))
-    return flat.groupBy(dst.alias("dst"), node(F.col("ref")).alias("src")).agg(F.count("*").alias("n_jobs"), F.count_distinct("user").alias("n_users"), F.sum("bytes").alias("total_bytes"), F.max("created").alias("job_latest"))
+    return flat.withColumns({"dst": dst, "src": node(F.col("ref"))})
+
+
+def edges(jobs: DataFrame, begin: str | None = None, end: str | None = None) -> DataFrame:
+    """(dst, src, n_jobs, n_users, total_bytes, job_latest) from a job log.
+
+    The log has (state, error, created, user, bytes, destination, referenced); destination is a node and referenced an
+    array of nodes (project, dataset, table).  A result without a name is the user's.
+    """
+    return _reads(jobs, begin, end).groupBy("dst", "src").agg(F.count("*").alias("n_jobs"), F.count_distinct("user").alias("n_users"), F.sum("bytes").alias("total_bytes"), F.max("created").alias("job_latest"))
+
+
+def attributes(jobs: DataFrame, begin: str | None = None, end: str | None = None, exact: bool = False) -> DataFrame:
+    """(dst, src, query, n_queries, slot_ms, and deciles of processed_ms, wait_ms and slot_ms) of each edge.
+
+    The log has query, processed_ms, wait_ms and slot_ms besides.  `query` is the one with the largest sum of creation
+    times, so one run often and lately; each query is summed up before they are compared.
+    """
+    reads = _reads(jobs, begin, end)
+    sums = reads.groupBy("dst", "src", "query").agg(F.sum(F.unix_timestamp("created")).alias("weight"))
+    top = sums.groupBy("dst", "src").agg(F.max_by("query", F.struct("weight", "query")).alias("query"))
+    deciles = lambda c: F.percentile_approx(c, F.array(*[F.lit(i / 10) for i in range(11)]), 1_000_000 if exact else 10_000).alias(f"{c}__quantiles")
+    queries = F.count_distinct("query") if exact else F.approx_count_distinct("query")
+    rest = reads.groupBy("dst", "src").agg(queries.alias("n_queries"), F.sum("slot_ms").alias("slot_ms"), *[deciles(c) for c in ("processed_ms", "wait_ms", "slot_ms")])
+    return rest.join(top, ["dst", "src"])
 
 
 def name(node: Column) -> Column:

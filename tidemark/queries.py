@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -14,10 +15,10 @@ from tidemark.operators import checks, profile, scd2
 from tidemark.operators.alignment import day_to_day, day_to_day_padded, day_to_week
 from tidemark.operators.labels import merged_labels, partition_labels, view_labels
 from tidemark.operators.ranges import contiguous_run, gaps, refresh_range
-from tidemark.operators.refresh import partition_id, replace_range
+from tidemark.operators.refresh import partition_id, replace_range, update_partitions
 from tidemark.operators.staleness import stale_partitions
-from tidemark.plans.lineage import edges, lineage, mermaid
-from tidemark.sources.tables import data_metadata, parquet
+from tidemark.plans.lineage import attributes, edges, lineage, mermaid
+from tidemark.sources.tables import data_metadata, parquet, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,6 +151,36 @@ def refresh_daily_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within.groupBy("partition_id", "event_type").agg(F.count("*").alias("n"))
 
 
+@query(ORACLES["refresh_daily_event_counts"])
+def refresh_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, by a refresh that writes a table; the table is read back."""
+    path, view = f"{scratch(spark)}/daily", f"events_{uuid.uuid4().hex}"
+    parquet(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).createOrReplaceTempView(view)
+    counts = f"SELECT day, event_type, count(*) AS n FROM {view} WHERE day BETWEEN :begin AND :end GROUP BY day, event_type"
+    try:
+        update_partitions(spark, path, _metadata(spark, sf_dir), "daily", ["events"], day_to_day(_span(spark, sf_dir)), counts, partition_id(F.col("day"), "day"), NOW)
+    finally:
+        spark.catalog.dropTempView(view)
+    return spark.read.parquet(path).select(F.col("partition_id").cast("string").alias("partition_id"), "event_type", "n")
+
+
+@query(
+    f"""{_META}, n as (select id, lm from src union all select '__ANY__', max(lm) from src)
+select 'day' as kind, strftime(d, '%Y%m%d') as partition_id from days join src s on s.id = strftime(d, '%Y%m%d') left join dst on dst.id = s.id where {_BEHIND.format(forced='false')}
+union all select 'any', '__NULL__' from (select max(lm) + interval 1 hour as lm from src) dst where exists (select 1 from src s where {_BEHIND.format(forced='false')})"""
+)
+def staleness_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source day is a table of its own, and the source is all that begin alike."""
+    both = _metadata(spark, sf_dir)
+    source = both.filter("table_name = 'events'").select(F.concat(F.lit("events_"), "partition_id").alias("table_name"), F.lit(None).cast("string").alias("partition_id"), "last_modified")
+    ours = both.filter("table_name = 'daily'")
+    whole = source.agg(F.lit("whole").alias("table_name"), F.lit(None).cast("string").alias("partition_id"), (F.max("last_modified") + F.expr("interval 1 hour")).alias("last_modified"))
+    days = stale_partitions(source.unionByName(ours), "daily", ["events_*"], day_to_day(_span(spark, sf_dir)), NOW)
+    anything = _span(spark, sf_dir).select(F.lit("__NULL__").alias("destination"), F.array(F.lit("__ANY__")).alias("sources"))
+    any_of = stale_partitions(source.unionByName(whole), "whole", ["events_*"], anything, NOW)
+    return days.select(F.lit("day").alias("kind"), "partition_id").unionByName(any_of.select(F.lit("any").alias("kind"), "partition_id"))
+
+
 _MONTHS = "select strftime(o_orderdate, '%Y%m') as partition_id, o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders where {0} group by 1, 2"
 
 
@@ -198,7 +229,7 @@ def label_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = labels.select("table_name", F.explode(F.array(F.struct(F.lit("partition-max").alias("key"), F.col("partition_max").alias("value")), F.struct(F.lit("partition-min").alias("key"), F.col("partition_min").alias("value")))).alias("x")).select("table_name", "x.*")
     orders = parquet(spark, sf_dir, "orders")
     old = orders.groupBy(F.col("o_orderpriority").alias("key")).agg(F.count("*").cast("string").alias("value")).select(F.lit("orders").alias("table_name"), "key", "value")
-    old = old.unionByName(orders.limit(1).select(F.lit("orders").alias("table_name"), F.lit("partition-max").alias("key"), F.lit("none").alias("value")))
+    old = old.unionByName(orders.agg(F.lit("orders").alias("table_name"), F.lit("partition-max").alias("key"), F.lit("none").alias("value")))
     return merged_labels(old, new)
 
 
@@ -318,6 +349,41 @@ def scd2_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(scd2.reconstruct(broken))
 
 
+def _table(spark: SparkSession, sf_dir: str, steps: int = 3) -> scd2.HistoryTable:
+    """A history that is stored, of the first states."""
+    ids, times = iter(f"r{i}" for i in range(steps + 1)), iter(datetime.fromisoformat(t) for t in (T0, T1, T2, T2))
+    table = scd2.HistoryTable(spark, f"{scratch(spark)}/history", "c_custkey", clock=lambda: next(times), new_id=lambda: next(ids))
+    table.init(_customers(spark, sf_dir, 0))
+    for step in range(1, steps):
+        table.update(_customers(spark, sf_dir, step))
+    return table
+
+
+@query(f"with {_STATES} select * from history")
+def scd2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as a table that two updates have written."""
+    return _flat(_table(spark, sf_dir).read())
+
+
+@query(f"with {_STATES} select k as c_custkey, n as c_name, b as c_acctbal from s1")
+def scd2_table_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier state, from the partitions that end later."""
+    return _table(spark, sf_dir).as_of("2024-02-10 00:00:00")
+
+
+@query(
+    f"""with {_STATES} select 'old' as place, k as unique_key, '2024-01-01' as valid_from, null::varchar as valid_to, n as c_name from s0
+union all select 'new', k, '2024-02-01', null, n from s1"""
+)
+def scd2_begin_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other columns: the history of the first state is kept under another name, and one of the second begins."""
+    table = _table(spark, sf_dir, steps=1)
+    table.update(_customers(spark, sf_dir, 1).withColumn("more", F.lit(1)), on_other_columns="recreate")
+    old = spark.read.parquet(table.backup_path(datetime.fromisoformat(T1)))
+    flat = lambda df, place: df.select(F.lit(place).alias("place"), "unique_key", _time("valid_from"), _time("valid_to"), "entity.c_name")
+    return flat(old, "old").unionByName(flat(table.read(), "new"))
+
+
 def _suppliers(spark: SparkSession, sf_dir: str, changed: bool) -> DataFrame:
     df = parquet(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     return df.filter("s_suppkey % 11 <> 0").withColumn("s_name", F.when(F.col("s_suppkey") % 4 == 0, F.lower("s_name")).otherwise(F.col("s_name"))) if changed else df
@@ -328,7 +394,7 @@ def _golden(spark: SparkSession, sf_dir: str, changed: bool) -> DataFrame:
     return scd2.diff(store, scd2.snapshot(_suppliers(spark, sf_dir, changed), "s_suppkey", T1, "now"))
 
 
-@query("select count(*) filter (s_suppkey is null) as n_differences from supplier")
+@query("select count(*) as n_differences from supplier a full join supplier b using (s_suppkey) where a.s_name is distinct from b.s_name or a.s_acctbal is distinct from b.s_acctbal")
 def golden_diff_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(spark, sf_dir, False).agg(F.count("*").alias("n_differences"))
 
@@ -445,6 +511,22 @@ def profile_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.quantiles(parquet(spark, sf_dir, "lineitem"), "l_extendedprice", group_by=["l_returnflag"], exact=True)
 
 
+@query(
+    """with c as (select l_returnflag as g, l_linenumber as v, count(*) as n from lineitem group by all),
+r as (select *, row_number() over (partition by g order by n desc, v::varchar) as i from c), tops as (select g, string_agg(v || ':' || n, ',' order by i) as top_count from r where i <= 5 group by g),
+q as (select l_returnflag as g, quantile_disc(l_linenumber, [0.0, 0.5, 1.0]) as q, quantile_disc(l_linenumber, 0.25) as a, quantile_disc(l_linenumber, 0.75) as b, count(*) as count from lineitem group by 1),
+put as (select g, greatest(0, least(21, floor((v - (a - 1.5 * (b - a))) / ((b - a) / 5.0)) + 1))::int as bucket, sum(c.n) as n from c join q using (g) group by 1, 2),
+bars as (select g, string_agg(bucket || ':' || n::bigint, ',' order by bucket) as histogram from put group by g)
+select '{"l_returnflag":"' || g || '"}' as group_keys, count, top_count, q[1]::double as least, q[2]::double as median, q[3]::double as most, histogram from q join tops using (g) join bars using (g)"""
+)
+def profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each group, with its most frequent values, quantiles and histogram."""
+    rows = profile.full(parquet(spark, sf_dir, "lineitem"), group_by=["l_returnflag"], columns=["l_linenumber"], exact=True)
+    shown = lambda c, a: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a].cast("string"), x["count"].cast("string"))), ",")
+    at = lambda i: F.col("l_linenumber__quantiles")[i]["value"]
+    return rows.select("group_keys", "count", shown("l_linenumber__top_count", "value").alias("top_count"), at(0).alias("least"), at(4).alias("median"), at(8).alias("most"), shown("l_linenumber__histogram", "bucket").alias("histogram"))
+
+
 @query(
     """select count(*) as count, count(l_linenumber) as l_linenumber__nonnull, sum(l_linenumber)::bigint as l_linenumber__sum, round(sum(l_linenumber::double * l_linenumber), 2) as l_linenumber__sum2, round(avg(l_linenumber), 2) as l_linenumber__avg,
 min(l_linenumber) as l_linenumber__min, max(l_linenumber) as l_linenumber__max, count(distinct l_linenumber) as l_linenumber__unique from lineitem"""
@@ -456,8 +538,11 @@ def profile_partition_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.withColumn("l_linenumber__unique", F.col("l_linenumber__unique").cast("long")))
 
 
-def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _jobs(spark: SparkSession, sf_dir: str, more: bool = False) -> DataFrame:
     """A job log made of the events: each is a job that reads one table and writes another."""
+    ms = (F.col("event_id") % 997).cast("long")
+    statement = F.when(F.col("event_id") % 5 == 4, "CALL").otherwise("MERGE")
+    others = [F.col("event_type").alias("query"), statement.alias("statement_type"), *[ms.alias(c) for c in ("processed_ms", "wait_ms", "slot_ms")]] if more else []
     node = lambda n: F.struct(F.lit("p").alias("project"), F.concat(F.lit("d"), F.floor(n / 4).cast("string")).alias("dataset"), F.concat(F.lit("t"), n.cast("string")).alias("table"))
     n = F.col("user_id") % 7
     return parquet(spark, sf_dir, "events").select(
@@ -468,15 +553,30 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("value") * 100).cast("long").alias("bytes"),
         node(n).alias("destination"),
         F.array(node(n + 1 + F.col("event_id") % 2)).alias("referenced"),
+        *others,
     )
 
 
-_JOBS = "jobs as (select user_id % 7 as d, user_id % 7 + 1 + event_id % 2 as s, user_id, ts, floor(value * 100)::bigint as bytes from events where event_id % 13 <> 0 and ts < timestamp '2024-01-21')"
+_JOBS = "jobs as (select user_id % 7 as d, user_id % 7 + 1 + event_id % 2 as s, user_id, ts, floor(value * 100)::bigint as bytes from events where event_id % 13 <> 0 and ts >= (select max(ts) - interval 30 day from events))"
 
 
 @query(f"with {_JOBS} select 't' || d as dst, 't' || s as src, count(*) as n_jobs, count(distinct user_id) as n_users, sum(bytes)::bigint as total_bytes from jobs group by d, s")
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(_jobs(spark, sf_dir), "2024-01-01 00:00:00", "2024-01-20 23:59:59.999999").select(F.col("dst.table").alias("dst"), F.col("src.table").alias("src"), "n_jobs", "n_users", "total_bytes")
+    return edges(_jobs(spark, sf_dir)).select(F.col("dst.table").alias("dst"), F.col("src.table").alias("src"), "n_jobs", "n_users", "total_bytes")
+
+
+@query(
+    f"""with {_JOBS.replace("as bytes from", "as bytes, event_type as query, event_id % 5 as kind, event_id % 997 as ms from")}, kept as (select * from jobs where kind <> 4),
+weights as (select d, s, query, sum(epoch(ts)::bigint) as w from kept group by d, s, query), top as (select d, s, query, row_number() over (partition by d, s order by w desc, query desc) as i from weights),
+rest as (select d, s, count(distinct query) as n_queries, sum(ms)::bigint as slot_ms, quantile_disc(ms, [0.0, 0.5, 1.0]) as q from kept group by d, s)
+select 't' || d as dst, 't' || s as src, query, n_queries, slot_ms, q[1] as fastest, q[2] as median, q[3] as slowest from rest join top using (d, s) where i = 1"""
+)
+def lineage_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each edge, the query that made it most and lately, and deciles of time; one kind of statement makes none."""
+    log = _jobs(spark, sf_dir, more=True)
+    rows = attributes(log, exact=True)
+    q = F.col("processed_ms__quantiles")
+    return rows.select(F.col("dst.table").alias("dst"), F.col("src.table").alias("src"), "query", "n_queries", "slot_ms", q[0].alias("fastest"), q[5].alias("median"), q[10].alias("slowest"))
 
 
 _LINEAGE = f"""with recursive {_JOBS}, e as (select distinct d, s from jobs),
@@ -488,7 +588,7 @@ lines as (select root, d, s, max(depth) as depth from (select * from compact uni
 
 @query(f"{_LINEAGE} select 'p.d' || (root // 4) || '.t' || root as destination, depth, 't' || d as dst, 't' || s as src from lines")
 def lineage_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lineage(edges(_jobs(spark, sf_dir), "2024-01-01 00:00:00", "2024-01-20 23:59:59.999999"))
+    rows = lineage(edges(_jobs(spark, sf_dir)))
     return rows.select("destination", "depth", F.col("dst.table").alias("dst"), F.col("src.table").alias("src"))
 
 
@@ -501,7 +601,7 @@ arrows as (select distinct b.id || ' --> ' || a.id as arrow from lines l join id
 select 'graph LR' || chr(10) || (select string_agg(box, chr(10) order by box) from sets) || chr(10) || (select string_agg(arrow, chr(10) order by arrow) from arrows) as diagram"""
 )
 def lineage_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mermaid(lineage(edges(_jobs(spark, sf_dir), "2024-01-01 00:00:00", "2024-01-20 23:59:59.999999")), "p")
+    return mermaid(lineage(edges(_jobs(spark, sf_dir))), "p")
 
 
 @query("select event_id, 'k' as key, json_extract_string(props, '$.k') as value from events")

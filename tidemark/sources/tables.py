@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,23 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one that the session names, or else below its warehouse, which is shared too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/tidemark/{uuid.uuid4().hex}"
+
+
 def shards(spark: SparkSession, folder: str, prefix: str, first: str | None = None, last: str | None = None) -> DataFrame:
     """All tables `<prefix>YYYYMMDD` of a folder as one, with their date in `table_suffix`.
 
-    The suffix comes from the file's path; a range of dates becomes a filter on it.
+    With both ends of a range, only folders of its months are listed; the days are a filter on the file's path.
     """
-    df = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{prefix}*")
+    names = f"{prefix}*"
+    if first is not None and last is not None and first <= last:
+        (y, m), (to_y, to_m) = ((int(d[:4]), int(d[4:6])) for d in (first, last))
+        months = [f"{i // 12}{i % 12 + 1:02d}" for i in range(y * 12 + m - 1, to_y * 12 + to_m)]
+        names = f"{prefix}{{{','.join(months)}}}*"
+    df = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{names}")
     df = df.withColumn("table_suffix", F.regexp_extract(F.col("_metadata.file_path"), prefix + r"(\d{8})", 1))
     if first is not None:
         df = df.filter(F.col("table_suffix") >= first)
@@ -23,10 +36,11 @@ def shards(spark: SparkSession, folder: str, prefix: str, first: str | None = No
 
 
 def file_metadata(spark: SparkSession, path: str, table_name: str, partition_column: str | None = None) -> DataFrame:
-    """(table_name, partition_id, last_modified) of a Parquet table, by its files' times."""
-    part = F.col(partition_column).cast("string") if partition_column else F.lit(None).cast("string")
-    rows = spark.read.parquet(path).select(part.alias("partition_id"), F.col("_metadata.file_modification_time").alias("at"))
-    return rows.groupBy("partition_id").agg(F.max("at").alias("last_modified")).select(F.lit(table_name).alias("table_name"), "partition_id", "last_modified")
+    """(table_name, partition_id, last_modified) of a Parquet table, by its files' times.  Files are listed, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", F.col("modificationTime").alias("at"))
+    found = F.url_decode(F.regexp_extract("path", f"/{partition_column}=([^/]*)/", 1))
+    part = F.when(found != "__HIVE_DEFAULT_PARTITION__", found) if partition_column else F.lit(None).cast("string")
+    return files.groupBy(part.alias("partition_id")).agg(F.max("at").alias("last_modified")).select(F.lit(table_name).alias("table_name"), "partition_id", "last_modified")
 
 
 def data_metadata(df: DataFrame, table_name: str, partition_id: Column, at: Column) -> DataFrame:

@@ -39,7 +39,7 @@ def keep_history(stream: DataFrame, table: HistoryTable, key: str, at: str, chec
             return
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), at).alias("r")).select("r.*")
         if table.exists():
-            table.update(overlay(table.read(), snapshot(newest, key, datetime.now(), "batch")), allow_unchanged=True)
+            table.update(overlay(table.current(), snapshot(newest, key, datetime.now(), "batch")), allow_unchanged=True)
         else:
             table.init(newest)
 
