@@ -84,6 +84,37 @@ def test_classifier_separates_and_ignores_labels_of_the_held_out(spark):
     assert np.allclose(one.sort_values("doc_id").score, two.sort_values("doc_id").score)
 
 
+def test_classifier_scores_as_plain_densities_do(spark):
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 2, 400)
+    x = rng.normal(0, 1 + kinds[:, None] * 0.5, (400, len(quality_classifier.NAMES))) + kinds[:, None] * 0.7
+    x[:, 1] += x[:, 0]
+    folds = np.arange(400) % 4 + 1
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=quality_classifier.NAMES).assign(label=kinds, fold=folds))
+
+    def plain(shrinkage, known, at):
+        """Log odds by full covariances and their inverses."""
+        out = np.zeros(len(at))
+        pooled = sum(np.cov(x[known & (kinds == k)].T, bias=True) * (known & (kinds == k)).sum() for k in (0, 1)) / known.sum()
+        for k, sign in ((0, -1), (1, 1)):
+            own = x[known & (kinds == k)]
+            cov = (1 - shrinkage.pooled) * np.cov(own.T, bias=True) + shrinkage.pooled * pooled
+            cov = (1 - shrinkage.diagonal) * cov + shrinkage.diagonal * np.diag(np.diag(cov)) + shrinkage.floor * np.eye(len(cov))
+            d = at - own.mean(axis=0)
+            out += sign * (np.log(len(own)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+        return out
+
+    def loss(shrinkage):
+        odds = np.concatenate([plain(shrinkage, folds != f, x[folds == f]) for f in range(1, 5)])
+        sign = np.concatenate([kinds[folds == f] * 2 - 1 for f in range(1, 5)])
+        return np.log1p(np.exp(-odds * sign)).sum()
+
+    model = quality_classifier.fit(rows)
+    best = min(quality_classifier.CHOICES, key=loss)
+    assert model.shrinkage == best
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(-plain(best, np.ones(400, bool), x))))
+
+
 def test_classifier_edge_cases(spark, docs, odd, empty):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1)], "doc_id long, quality int")
     out = quality_classifier.classify(docs, labels).toPandas()
@@ -129,6 +160,37 @@ def test_decontamination_finds_every_edited_copy_beside_an_exact_one(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(*tables).collect()} == wanted
 
 
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    rng = random.Random(31)
+    common = [f"c{i}" for i in range(30)]
+    items = [[rng.choice(common) if rng.random() < 0.3 else f"w{rng.randrange(4000)}" for _ in range(rng.randint(6, 40))] for _ in range(25)]
+    docs = []
+    for i in range(150):
+        words = [rng.choice(common) if rng.random() < 0.3 else f"v{rng.randrange(4000)}" for _ in range(rng.randint(0, 60))]
+        if i % 3 == 0:
+            copy = []
+            for w in rng.choice(items):
+                kind = rng.random()
+                copy += [w] if kind > 0.3 else [w, *(f"x{rng.randrange(99)}" for _ in range(rng.randint(1, 3)))] if kind > 0.15 else [] if kind > 0.08 else ["z"]
+            words[len(words) // 2 : len(words) // 2] = copy
+        docs.append(words)
+    code = {w: i + 2 for i, w in enumerate(sorted({w for x in items + docs for w in x}))}
+    grams = lambda words: {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+    score, seeded = {}, set()
+    for d, words in enumerate(docs):
+        for i, item in enumerate(items):
+            if words:
+                best = decontaminate.align(np.array([[code[w] for w in item]]), np.array([[code[w] for w in words]]))[0][0] / (2 * len(item))
+                if best >= 0.5:
+                    score[d, i] = best
+                    if grams(item) & grams(words):
+                        seeded.add((d, i))
+    found = decontaminate.matches(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.score for r in found.collect()}
+    assert set(got) == seeded and all(abs(got[k] - score[k]) < 1e-9 for k in got)
+    assert len(seeded) >= 0.9 * len(score) > 20
+
+
 def test_decontamination_finds_short_items_and_scripts_without_spaces(spark):
     han, thai = "山川日月水火木金土天地人", "กขคงจฉชซ"
     items = [(1, "quick Brown fox"), (2, "zyzzyva"), (3, han), (4, "two words"), (5, thai), (6, "山川")]
@@ -249,6 +311,20 @@ def test_join_of_many_near_copies_in_small_chunks(spark, monkeypatch):
     assert found == components_by_hand(rows, 3, 90)
 
 
+def test_links_come_from_tries(spark, docs, monkeypatch):
+    """Without the tries' links no two different sets are in one component; with them, all are that should be."""
+    want = components_by_hand(ROWS, 3, 90)
+    linked = len(want) - len({c for _, c in want.values()})
+    monkeypatch.setattr(jaccard_join, "trie_links", lambda rows, percent: pd.DataFrame({"a": [], "b": []}, dtype="int64"))
+    alone = {r.doc_id: r.component_id for r in jaccard_join.link(docs).collect()}
+    sets = {}
+    for doc_id, text, *_ in ROWS:
+        words = tuple(re.findall(WORD, (text or "").translate(UPPER)))
+        sets.setdefault(frozenset(words[i : i + 3] for i in range(max(1, len(words) - 2))) if words else doc_id, []).append(doc_id)
+    assert alone == {d: min(group) for group in sets.values() for d in group}
+    assert linked > len(want) - len(sets)
+
+
 @pytest.mark.parametrize(("n", "percent", "size"), [(3, 90, 11), (5, 80, 8), (1, 50, 1), (3, 90, 29)])
 def test_join_of_a_text_and_the_same_with_one_word_more(spark, n, percent, size):
     rows = []
@@ -292,6 +368,7 @@ def test_url_rules(spark):
     rows = [
         (1, "https://A.Example.NET/en/1?x"), (2, "http://example.net/de/"), (3, "http://net"), (4, "http://x.net?q"), (5, "ftp://b.example.com/de/x#y"), (6, "http://myexample.com/de/x"),
         (7, "http://fr.org/fr/a"), (8, "http://fr.org/frx"), (9, None), (10, "no scheme"), (11, "http://m.ads-track.example.com/en/1"), (12, "http://a.com/p?phpsessid=1"), (13, "http://a.com/p?b=1&phpsessid=1"), (14, "http://a.com/xphpsessid=1"), (1, "https://A.Example.NET/en/1?x"), (15, "://"),
+        (16, "http://evil.com?x.net/"), (17, "http://a.org?u=b.example.com/de/x"), (18, "http://a.org#z.net/"), (19, "http://www.free-bets.org/x"), (20, "http://a.org/?free-bets."),
     ]
     out = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")))
     found = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out.collect())
@@ -303,15 +380,21 @@ def test_url_rules(spark):
     assert rest[7][2:] == ("org/fr/", "allow") and rest[8][2:] == (None, "allow")
     assert rest[9] == ("", "", None, "allow") and rest[10] == ("", "", None, "allow") and rest[15] == ("", "", None, "allow")
     assert [rest[i][2:] for i in (11, 12, 13, 14)] == [(None, "block")] * 3 + [(None, "allow")]
+    assert [rest[i][2:] for i in (16, 17, 18, 19, 20)] == [(None, "allow")] * 3 + [(None, "block"), (None, "allow")]
     assert out.count() == len(rows)
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_rules_have_literal_tokens(spark):
-    assert url_filters.tokens_of("||example.net/en/") == ["en", "example", "net"]
-    assert url_filters.tokens_of("?*phpsessid=") == []
+def test_rules_from_a_table(spark):
+    rules = [("en", "||a.com/en/", "allow", "host"), ("end", "/x.html|", "block", "pattern"), ("any", "/p*q/", "block", "pattern"), ("sep", "||b.com^", "block", "pattern"), ("but", "||b.com^ok^", "allow", "pattern")]
+    table = spark.createDataFrame(rules[:2] + rules[3:], url_filters.RULE_SCHEMA)
+    got = {r.rule: (r.regex, sorted(r.tokens)) for r in url_filters.compiled(table).collect()}
+    assert got["en"][1] == ["a", "com", "en"] and got["end"][1] == ["html", "x"] and got["sep"][1] == ["b", "com"]
+    urls = ["http://b.com", "http://b.com/ok/1", "http://b.com:80/ok", "http://ab.com/", "http://c.com/x.html", "http://c.com/x.html?y", "http://b.comx/"]
+    out = {r.url: r.verdict for r in url_filters.judge(spark.createDataFrame([(u,) for u in urls], "url string"), table).collect()}
+    assert [out[u] for u in urls] == ["block", "allow", "block", "allow", "block", "allow", "allow"]
     with pytest.raises(ValueError, match="literal"):
-        url_filters.judge(spark.createDataFrame([(1, "http://a")], "page_id long, url string"), (url_filters.Rule("any", "a*", "block", "pattern"),))
+        url_filters.judge(spark.createDataFrame([(1, "http://a")], "page_id long, url string"), spark.createDataFrame(rules[2:3], url_filters.RULE_SCHEMA))
 
 
 # --- 6
@@ -338,6 +421,19 @@ def test_shards(docs, odd, empty):
     assert sharding.shard(odd).count() == odd.count() and sharding.shard(empty).count() == 0
 
 
+def test_slots_and_shards_are_uniform(spark):
+    """Chi-square of shard by block of the input, and of slot by block, over 20,000 rows."""
+    out = sharding.shard(spark.range(20000).withColumnRenamed("id", "doc_id")).toPandas()
+    out["from"], out["place"] = out.doc_id // 2000, out.slot // 250
+    for column, kinds in (("shard", 8), ("place", 10)):
+        table = np.zeros((10, kinds))
+        np.add.at(table, (out["from"].to_numpy(), out[column].to_numpy()), 1)
+        expected = table.sum(axis=0) / 10
+        chi = ((table - expected) ** 2 / expected).sum()
+        free = 9 * (kinds - 1)
+        assert abs(chi - free) < 4.5 * np.sqrt(2 * free), column
+
+
 # --- 7
 
 
@@ -370,6 +466,32 @@ def test_repeated_bytes_edge_cases(odd, empty):
     assert row.n_bytes == 150000 and row.n_removed == 150000 - 5 and len(row.kept) == 5 and len(row.spans) == 1
 
 
+def test_repeated_bytes_of_texts_longer_than_a_segment(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    text = " ".join(word() for _ in range(400_000))
+    assert len(text) > suffix_dedup.PIECE
+    edge = suffix_dedup.PIECE
+    rows = [(1, text), (2, text[edge - 500 : edge + 700] + "x" + text[50:400]), (3, "y" * 120 + text[edge - 60 : edge + 200]), (4, text[-300:])]
+    found = suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == removed_by_hand(rows)
+
+
+def test_ranks_are_dense_over_partitions(spark):
+    rng = random.Random(22)
+    rows = [(rng.randrange(40), rng.randrange(3), i // 7, i) for i in range(3000)]
+    out = suffix_dedup.rerank(spark.createDataFrame(rows, "a long, b long, uid long, spot long").repartition(7), ["a"], ["b"]).collect()
+    keys = {(uid, at): (a, b) for a, b, uid, at in rows}
+    place = {k: i for i, k in enumerate(sorted(set(keys.values())))}
+    outer = {a: i for i, a in enumerate(sorted({a for a, _ in keys.values()}))}
+    seen = set()
+    for r in sorted(out, key=lambda r: (r.uid, r.spot)):
+        key = keys[r.uid, r.spot]
+        assert (r.outer, r.inner, r.first) == (outer[key[0]], place[key], key not in seen)
+        seen.add(key)
+    assert len(out) == 3000
+
+
 # --- 8
 
 
@@ -406,6 +528,32 @@ def test_fertility_is_that_of_whole_texts():
     assert np.isclose(row.entropy_ratio, -(p * np.log2(p)).sum() / np.log2(len(ids)))
 
 
+def test_kept_is_what_plain_bands_keep(spark, docs):
+    """Both vocabularies on whole words, quartiles by sorting, fences by hand."""
+    vocab, rows = quality_rules.vocabularies(), []
+    for doc_id, text, lang, *_ in ROWS:
+        words = re.findall(WORD, text or "")
+        ids = [t for w in words for t in vocab.piece.encode(w)]
+        n_bytes, chars, p = sum(len(vocab.byte.encode_ordinary(" " + w)) for w in words), sum(map(len, words)), np.array(list(Counter(ids).values()))
+        values = {} if len(ids) < 2 else {
+            "chars_per_piece": chars / len(ids), "chars_per_byte_token": chars / n_bytes, "fallback_share": float(np.mean([vocab.piece.is_byte(t) for t in ids])),
+            "entropy_ratio": float(-(p / len(ids) * np.log2(p / len(ids))).sum() / np.log2(len(ids))),
+        }
+        rows.append((doc_id, lang, len(ids), values, base_by_hand(text)))
+    want = {}
+    for doc_id, lang, n, values, base in rows:
+        ok = base[0] >= 10 and 100 * base[4] <= 20 * base[0]
+        for m, band in quality_rules.BANDS.items() if values else ():
+            of = sorted(v[m] for _, other, _, v, _ in rows if other == lang and v)
+            q1, q3 = (of[int(np.ceil(q * len(of))) - 1] for q in (0.25, 0.75))
+            wide = np.sqrt(1 + band.short / n)
+            low = -np.inf if band.low is None else q1 - max((q3 - q1) * band.low, band.least) * wide
+            high = np.inf if band.high is None else q3 + max((q3 - q1) * band.high, band.least) * wide
+            ok = ok and low <= values[m] <= high
+        want[doc_id] = ok
+    assert {r.doc_id: r.kept for r in quality_rules.apply(docs).collect()} == want
+
+
 def test_bands_reject_what_leaves_a_languages_range(spark):
     rng = random.Random(8)
     good = [(i, " ".join(rng.choice(["water", "house", "people", "little", "number", "sound", "great"]) + rng.choice(["", "s", "ed"]) for _ in range(60)), "en") for i in range(200)]
@@ -445,7 +593,7 @@ def test_warc_round_trip(spark, tmp_path):
         assert r.record_type == "revisit" or bytes(r.payload) == payload
     import zstandard
 
-    for file in (tmp_path / "warc").glob("part-*"):
+    for file in (tmp_path / "warc").rglob("part-*"):
         data = file.read_bytes()
         assert data[:4] == b"\x5d\x2a\x4d\x18"
         size = int.from_bytes(data[4:8], "little")
@@ -453,6 +601,17 @@ def test_warc_round_trip(spark, tmp_path):
         assert zstandard.ZstdDecompressor(dict_data=book).stream_reader(data[8 + size :]).read(8) == b"WARC/1.1"
 
 
+def test_warc_archives_are_of_bounded_size(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"page {i} " * 100) for i in range(200)] + [(500, "u", "long " * 20000)]
+    path = str(tmp_path / "many")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path, archive_bytes=20000)
+    files = sorted((tmp_path / "many").rglob("part-*"))
+    assert len(files) > 8 and len({f.parent for f in files}) > 4
+    for file in files:
+        assert sum(r[2] for r in list(warc.parse(file.read_bytes()))[:-1]) < 20000
+    assert Counter((r.page_id, bytes(r.payload).decode()) for r in warc.read(spark, path).collect()) == Counter((i, h) for i, _, h in rows)
+
+
 def test_warc_small_payloads_and_empty_table(spark, tmp_path):
     rows = [(1, "a", "abc"), (2, "b", "abc"), (3, "c", "d" * 50), (4, "d", "d" * 50)]
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"), least_bytes=10)
@@ -501,6 +660,52 @@ def test_token_file_layout(docs, tmp_path):
     assert all(c.has_offset_index for c in columns.values())
 
 
+# --- clashing columns
+
+#: Names that the operators use inside, or have used.
+INSIDE = (
+    "row key hash copy part first second third place block start n rows k id id_ source_ size size_ rank tie count cuts chunk parts subject host other path rule verdict cid comp node name rest uid spot "
+    "outer inner at low high open reach gram grams words passage fold label score doc _n _rows _id _size _k _copy _src _sz _row _part _first _cuts _start _place _block _keep _dirty _key _kept _rest _subject _host"
+).split()
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_columns_of_any_name_come_through(spark, half):
+    own = [c for c in INSIDE if c not in ("host", "path", "rule", "verdict")][half::2]
+    wide = spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in own)) for r in ROWS[:25]], DOCS + "".join(f", `{c}` string" for c in own))
+    items = spark.createDataFrame([(1, ROWS[3][1])], "item_id long, text string")
+    found = {
+        "mix": mixing.mix(wide),
+        "shard": sharding.shard(wide).drop("shard", "slot"),
+        "one_of_each": jaccard_join.one_of_each(wide),
+        "clean": decontaminate.clean(wide, items),
+        "keep": quality_rules.keep(wide),
+        "judge": url_filters.judge(wide.withColumn("url", F.lit("http://a.net/"))).drop("url", "host", "path", "rule", "verdict", "pattern_rule"),
+    }
+    want = {r["doc_id"]: tuple(r) for r in wide.collect()}
+    for name, out in found.items():
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and all(tuple(r) == want[r["doc_id"]] for r in rows), name
+    for out in (suffix_dedup.remove(wide), jaccard_join.link(wide), quality_rules.apply(wide), token_output.tokenise(wide), mixing.copies(wide), decontaminate.matches(wide, items)):
+        assert out.count() <= len(want)
+
+
+def test_equal_rows_in_very_many_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MANY", 20)
+    rows = spark.createDataFrame([(1, "same")] * 90 + [(2, "other")] * 3 + [(i, "own") for i in range(10, 50)], "doc_id long, text string")
+    out = sharding.shard(rows).toPandas()
+    counts = out.groupby("shard").size()
+    assert len(out) == 133 and counts.max() - counts.min() <= 1 and (out.doc_id == 1).sum() == 90
+    assert all(sorted(part.slot) == list(range(len(part))) for _, part in out.groupby("shard"))
+
+
+def test_mixing_many_rows_that_are_alike(spark):
+    rows = spark.createDataFrame([(1, "a b c", "s")] * 40 + [(None, "d e", None)] * 30 + [(i, "f g h i", "t") for i in range(5, 25)], "doc_id long, text string, source string")
+    taken = mixing.copies(rows).groupBy("doc_id").agg(F.sum("n_copies").alias("n")).collect()
+    assert Counter(r.doc_id for r in mixing.mix(rows).collect()) == Counter({r.doc_id: r.n for r in taken if r.n})
+
+
 # --- the pipeline
 
 
@@ -524,3 +729,20 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, docs, tmp_path)
     dirty = {r.doc_id for r in decontaminate.matches(kept, spark.read.parquet(str(folder / "benchmark.parquet"))).collect()}
     taken = {r.doc_id: r.n_copies for r in mixing.copies(kept.filter(~F.col("doc_id").isin(list(dirty)))).collect()}
     assert Counter(r.doc_id for r in out.collect()) == Counter({k: v for k, v in taken.items() if v})
+
+
+def test_pipeline_on_the_odd_and_the_empty_table(spark, odd, empty, tmp_path):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    for name, df in (("odd", odd), ("empty", empty)):
+        folder = tmp_path / name
+        df.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(1, ROWS[3][1]), (2, None), (None, "")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        current = spark.read.parquet(str(folder / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES:
+            after = stage(spark, current, str(folder))
+            assert set(df.columns) <= set(after.columns)
+            assert after.count() <= 2 * max(1, current.count())
+            current = after
+        assert (current.count() > 0) == (name == "odd")
