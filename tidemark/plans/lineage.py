@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import scratch
+
 NODE = "struct<project:string,dataset:string,table:string>"
 USER = "(User)"
 
@@ -78,8 +80,10 @@ def name(node: Column) -> Column:
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """A table computed once: in the session's checkpoint folder if it has one, else kept by the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """A table computed once, in files of the shared folder."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lineage(edges: DataFrame, max_depth: int = 50) -> DataFrame:
