@@ -14,7 +14,7 @@ from tidemark.functions.retry import until_success
 from tidemark.model import RefreshOptions, TableRef
 from tidemark.operators import checks, profile, ranges, refresh, scd2
 from tidemark.operators.alignment import day_to_day, day_to_day_padded, day_to_week
-from tidemark.operators.labels import partition_labels, view_labels
+from tidemark.operators.labels import partition_labels, update_labels, view_labels
 from tidemark.operators.staleness import detect_staleness
 from tidemark.plans import columns, lineage
 from tidemark.sources import catalog, tables
@@ -329,6 +329,51 @@ def test_text_helpers(spark):
     assert "| 0 " in text.table_text(spark.range(1).collect())
 
 
+def test_recreation_copies_and_labels_of_the_catalog(spark):
+    with catalog.temporary_database(spark) as name:
+        ref, old, twin = (TableRef(name, t) for t in ("t", "t_old", "twin"))
+        spark.sql(f"CREATE TABLE {ref} (a int COMMENT 'about a', p string) USING parquet PARTITIONED BY (p) COMMENT 'about t' TBLPROPERTIES ('team' = 'x')")
+        spark.sql(f"INSERT INTO {ref} VALUES (1, '20240101'), (2, '20240102'), (3, '20240105')")
+        catalog.copy_table(spark, ref, twin)
+        assert spark.table(str(twin)).count() == 3 and catalog.partition_columns(spark, twin) == [("p", "string")]
+        catalog.recreate(spark, ref, spark.createDataFrame([(1, 2.5, "20240101"), (2, 2.5, "20240103")], "a int, b double, p string"), old)
+        assert spark.table(str(old)).count() == 3 and spark.table(str(ref)).columns == ["a", "b", "p"]
+        assert catalog.table_description(spark, ref) == "about t" and catalog.labels(spark, ref)["team"] == "x"
+        assert spark.table(str(ref)).schema["a"].metadata["comment"] == "about a" and catalog.partition_columns(spark, ref) == [("p", "string")]
+        assert update_labels(spark, name)["t"] == {"partition-min": "20240101", "partition-max": "20240103", "partition-skip": "1"}
+        assert catalog.labels(spark, ref)["partition-skip"] == "1" and catalog.labels(spark, ref)["team"] == "x"
+
+
+def test_lineage_in_descriptions(spark):
+    with catalog.temporary_database(spark) as name:
+        catalog.set_description(spark, name, "about")
+        node = lambda t: ("p", name, t)
+        rows = [("DONE", None, NOW, "u", 1, node("b"), [node("a")]), ("DONE", None, NOW, "u", 1, node("c"), [node("b")]), ("DONE", None, NOW - timedelta(days=40), "u", 1, node("old"), [node("a")])]
+        jobs = spark.createDataFrame(rows, f"state string, error string, created timestamp, user string, bytes long, destination {NODE}, referenced array<{NODE}>")
+        found = lineage.describe(spark, jobs, "p", [name])
+        assert catalog.description(spark, name) == found[name] and found[name].startswith("about\n") and found[name].count(" --> ") == 2 and "old" not in found[name]
+
+
+def test_recorded_column_lineage(spark, tmp_path):
+    spark.range(5).select("id", (F.col("id") * 2).alias("x")).write.parquet(str(tmp_path / "a"))
+    spark.read.parquet(str(tmp_path / "a")).createOrReplaceTempView("rec_a")
+    log = columns.recorded(spark, "r", "SELECT id FROM rec_a", "v1", NOW).unionByName(columns.recorded(spark, "r", "SELECT x AS y, 1 AS one FROM rec_a", "v2", NOW + timedelta(days=1)))
+    row = columns.analyse(log).first()
+    assert (row.revision, [c.column for c in row.column_lineage]) == ("v2", ["y", "one"]) and row.column_lineage[0].lineage[0].fields == ["x"]
+
+
+def test_history_as_sql_functions(spark, tmp_path):
+    clock = iter(datetime(2024, 1, 1) + timedelta(days=i) for i in range(9))
+    table = scd2.HistoryTable(spark, str(tmp_path / "h"), "k", clock=lambda: next(clock))
+    table.init(spark.createDataFrame([(1, "a")], "k long, v string"))
+    table.update(spark.createDataFrame([(1, "b"), (2, "c")], "k long, v string"))
+    table.views("hist_v")
+    assert spark.sql("SELECT v FROM hist_v ORDER BY k").collect() == [("b",), ("c",)]
+    assert spark.sql("SELECT v FROM hist_v__as_of(timestamp '2024-01-01 12:00:00')").collect() == [("a",)]
+    line = spark.sql("SELECT day(at), v FROM hist_v__timeline(array(timestamp '2024-01-01 12:00:00', timestamp '2024-01-02 12:00:00')) ORDER BY 1, 2").collect()
+    assert line == [(1, "a"), (2, "b"), (2, "c")]
+
+
 def test_retry():
     now, waits, tries = [0.0], [], []
 
@@ -364,6 +409,9 @@ def test_catalog_and_sources(spark, tmp_path):
     spark.range(6).withColumn("p", F.col("id") % 2).write.partitionBy("p").parquet(str(tmp_path / "parted"))
     assert {r.partition_id for r in tables.file_metadata(spark, str(tmp_path / "parted"), "t", "p").collect()} == {"0", "1"}
     assert {(r.table_name, r.partition_id, r.n_rows) for r in tables.storage_profile(spark, str(tmp_path / "parted"), "t20240101", "p").collect()} == {("t*", "0", 3), ("t*", "1", 3)}
+    dated = spark.createDataFrame([("20230101", datetime(2023, 1, 2)), ("20231230", datetime(2023, 12, 30, 5)), (None, NOW)], "partition_id string, last_modified timestamp")
+    assert {(r.partition_id, r.creation_delay) for r in tables.dataset_profile(dated, NOW, 365).collect()} == {("20231230", timedelta(hours=5)), (None, None)}
+    assert 0 < tables.sampled(spark.range(1000), 10, 1).count() < 250
 
 
 def test_streams(spark, tmp_path):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.model import TableRef
 from tidemark.operators.ranges import ordinal
+from tidemark.sources import catalog
 
 
 def partition_labels(metadata: DataFrame) -> DataFrame:
@@ -35,3 +37,18 @@ def merged_labels(old: DataFrame, new: DataFrame) -> DataFrame:
     """(table_name, key, value): new labels over old ones; keys that only the old have stay."""
     both = old.withColumnRenamed("value", "_old").join(new, ["table_name", "key"], "full")
     return both.select("table_name", "key", F.coalesce("value", "_old").alias("value"))
+
+
+def update_labels(spark: SparkSession, database: str, dependencies: DataFrame | None = None) -> dict[str, dict[str, str]]:
+    """Label the tables of a database, and with `dependencies` its views, by their partitions; the labels by table.
+
+    Labels are as many as tables; other labels of a table stay.
+    """
+    found = partition_labels(catalog.partition_metadata(spark, database))
+    if dependencies is not None:
+        found = found.unionByName(view_labels(found, dependencies))
+    out = {}
+    for r in found.collect():
+        out[r["table_name"]] = {"partition-min": r["partition_min"], "partition-max": r["partition_max"], "partition-skip": str(r["partition_skip"])}
+        catalog.set_labels(spark, TableRef(database, r["table_name"]), out[r["table_name"]])
+    return out

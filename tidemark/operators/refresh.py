@@ -134,8 +134,3 @@ def update_partitions(
         return Refreshed(first, last, spark.read.parquet(path).count())
     return Refreshed(first, last, write_range(spark, path, fresh, first, last))
 
-
-def recreate_with_comments(old: DataFrame, new: DataFrame) -> DataFrame:
-    """`new` with the column comments and other metadata that columns of the same name had in `old`."""
-    kept = {f.name: f.metadata for f in old.schema if f.metadata}
-    return new.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=kept.get(f.name, f.metadata)) for f in new.schema])

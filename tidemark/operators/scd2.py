@@ -280,8 +280,19 @@ class HistoryTable:
         return self.update(df, **options)
 
     def views(self, name: str) -> None:
-        """Temporary views of the current rows and of both monitors."""
+        """Temporary views of the current rows, of the history and of both monitors, and table functions for SQL:
+        `<name>__as_of(instant)` and `<name>__timeline(array of instants)`."""
         latest(self.current()).createOrReplaceTempView(name)
+        self.read().createOrReplaceTempView(f"{name}__history")
+        row = self.current().select("entity.*").schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in row)
+        named = ", ".join(f"h.entity.`{f.name}`" for f in row)
+        holds = lambda at: f"h.valid_from <= {at} AND (h.valid_to IS NULL OR {at} < h.valid_to)"
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}__as_of(instant TIMESTAMP) RETURNS TABLE({columns}) RETURN SELECT {named} FROM {name}__history h WHERE {holds('instant')}")
+        self.spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}__timeline(instants ARRAY<TIMESTAMP>) RETURNS TABLE(at TIMESTAMP, {columns}) "
+            f"RETURN SELECT t.at, {named} FROM {name}__history h LATERAL VIEW explode(instants) t AS at WHERE {holds('t.at')}"
+        )
         monitor_revisions(self.read()).createOrReplaceTempView(f"monitor__{name}__snapshot_job")
         monitor_entities(self.read()).createOrReplaceTempView(f"monitor__{name}__entity")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.catalog import description, set_description
 from tidemark.sources.tables import scratch
 
 NODE = "struct<project:string,dataset:string,table:string>"
@@ -143,3 +144,16 @@ def spliced(description: str | None, diagram: str) -> str:
     if not found:
         return f"{text}\n{block}" if text else block
     return head + block + rest.partition(END)[2]
+
+
+def describe(spark: SparkSession, jobs: DataFrame, project: str, databases: list[str], begin: str | None = None, end: str | None = None, max_depth: int = 50) -> dict[str, str]:
+    """Put the diagram of each database's lineage, from a job log, into its description; the new texts by database.
+
+    One diagram for each database named comes to the driver.
+    """
+    lines = lineage(edges(jobs, begin, end), max_depth).withColumn("described", F.split("destination", r"\.")[1])
+    out = {}
+    for r in mermaid(lines.filter(F.col("described").isin(databases)), project, ["described"]).collect():
+        out[r["described"]] = spliced(description(spark, r["described"]), r["diagram"])
+        set_description(spark, r["described"], out[r["described"]])
+    return out

@@ -45,6 +45,53 @@ def tables(spark: SparkSession, database: str) -> DataFrame:
     return spark.sql(f"SHOW TABLES IN `{database}`").filter("not isTemporary")
 
 
+def table_description(spark: SparkSession, table: TableRef) -> str | None:
+    """A table's comment."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter(F.col("col_name") == "Comment").collect()
+    return rows[0]["data_type"] if rows else None
+
+
+def partition_metadata(spark: SparkSession, database: str) -> DataFrame:
+    """(table_name, partition_id) of the tables of a database that are partitioned by one column."""
+    out = spark.createDataFrame([], "table_name string, partition_id string")
+    for row in tables(spark, database).collect():
+        ref = TableRef(database, row["tableName"])
+        if len(partition_columns(spark, ref)) == 1:
+            value = F.url_decode(F.regexp_replace("partition", "^[^=]*=", ""))
+            out = out.unionByName(spark.sql(f"SHOW PARTITIONS {ref}").select(F.lit(row["tableName"]).alias("table_name"), value.alias("partition_id")))
+    return out
+
+
+def copy_table(spark: SparkSession, source: TableRef, target: TableRef) -> None:
+    """A new table with the source's layout, properties and rows."""
+    spark.sql(f"CREATE TABLE {target} LIKE {source}")
+    spark.table(str(source)).write.insertInto(str(target))
+
+
+def recreate(spark: SparkSession, table: TableRef, df: DataFrame, backup: TableRef | None = None) -> None:
+    """Put a table of the rows and columns of `df` in a table's place, by name.
+
+    The description, labels, partition columns and the comments of columns that are still there are kept.  The new table
+    is written beside the old one before the names change; the old one stays as `backup`, or is dropped.
+    """
+    parts = [c for c, _ in partition_columns(spark, table) if c in df.columns]
+    about, kept = table_description(spark, table), {k: v for k, v in labels(spark, table).items() if not k.startswith(("spark.", "transient_", "numFiles", "totalSize"))}
+    fresh = TableRef(table.schema, f"{table.table}__{uuid.uuid4().hex[:12]}", table.catalog)
+    writer = with_comments(spark.table(str(table)), df).write.format("parquet")
+    (writer.partitionBy(*parts) if parts else writer).saveAsTable(str(fresh))
+    if about:
+        spark.sql(f"COMMENT ON TABLE {fresh} IS {_quoted(about)}")
+    set_labels(spark, fresh, kept)
+    spark.sql(f"ALTER TABLE {table} RENAME TO {backup}" if backup else f"DROP TABLE {table}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+
+
+def with_comments(old: DataFrame, new: DataFrame) -> DataFrame:
+    """`new` with the column comments and other metadata that columns of the same name had in `old`."""
+    kept = {f.name: f.metadata for f in old.schema if f.metadata}
+    return new.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=kept.get(f.name, f.metadata)) for f in new.schema])
+
+
 @contextmanager
 def temporary_database(spark: SparkSession) -> Iterator[str]:
     """A database that exists within the block."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,18 @@ def storage_profile(spark: SparkSession, path: str, table_name: str, partition_c
     name = F.regexp_replace(F.lit(table_name), r"\d{8}$", "*")
     totals = files.groupBy("partition_id").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"), F.min("at").alias("first_modified"), F.max("at").alias("last_modified"))
     return totals.select(name.alias("table_name"), "*")
+
+
+def dataset_profile(profiles: DataFrame, now: datetime, days: int = 365) -> DataFrame:
+    """Rows of `storage_profile` with `creation_delay`, the time from a partition's day to its last change.
+
+    Partitions whose name is a date that is more than so many days old are left out.
+    """
+    day = F.try_to_timestamp(F.when(F.col("partition_id").rlike(r"^\d{8}$"), F.col("partition_id")), F.lit("yyyyMMdd"))
+    recent = F.coalesce(day > F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"), F.lit(True))
+    return profiles.filter(recent).withColumn("creation_delay", F.col("last_modified") - day)
+
+
+def sampled(df: DataFrame, percent: float, seed: int | None = None) -> DataFrame:
+    """About so many percent of the rows."""
+    return df.sample(percent / 100, seed)
