@@ -338,8 +338,9 @@ def rows_linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     classes = materialise(slim.filter("size > 0").groupBy("cid").agg(first, of).select("cid", "first", "of.*"))
     near = materialise(survivors(slim.select("cid", "p", "hashes"), classes.drop("first"), percent))
-    # Only the texts that stand for a class that is left are read again, for their whole sets.
-    full = sets(keyed.select("key", "text").join(near.select("key").distinct(), "key", "left_semi"), n, percent, levels, whole=True)
+    # Only the texts that stand for a class that is left are read again, for their whole sets.  Neither side is bounded,
+    # so the plan is the same at every size: a join by shuffle.
+    full = sets(keyed.select("key", "text").join(near.select("key").distinct().hint("merge"), "key", "left_semi"), n, percent, levels, whole=True)
     full = materialise(full.select("cid", "size", "hashes").dropDuplicates(["cid"]))
     homes = materialise(home_edges(near, full, percent))
     more = materialise(rest_edges(near, full, components(homes), percent))

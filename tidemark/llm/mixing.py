@@ -106,7 +106,8 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
     taken = copies(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("n_copies").alias("n"), F.count("*").alias("rows"))
     taken = materialise(taken.filter("n > 0")).withColumnsRenamed({"doc_id": "id_", "source": "source_", "size": "size_"})
     each = packed(docs, id=F.col("doc_id"), source=F.col("source"), size=n_words(F.col("text")))
-    joined = each.join(taken, F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_")))
+    # Neither side is bounded, so the plan is the same at every size: a join by shuffle.
+    joined = each.join(taken.hint("merge"), F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_")))
     out = joined.filter("rows = 1").select("row", F.col("n").alias("k"))
     if taken.filter("rows > 1").limit(1).count():
         many = materialise(joined.filter("rows > 1").select("id", "source", "size", "row", "n", "rows", F.xxhash64("row.text").alias("text")))
