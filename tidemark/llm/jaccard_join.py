@@ -23,6 +23,8 @@ A document's set holds the hashes of its distinct n-word shingles.  Two document
 
 Links found inside one component are not all listed: the result is each document's component.
 
+Joins by shingle or class are by shuffle at every size (Spark splits hot keys of such a join): neither side is bounded.
+
 Nulls and edge cases: a text without words, or null, has an empty set and links with nothing (its component is its own
 doc_id); a text of fewer words than a shingle is one shingle, of its whole sequence; a text of any length is one set;
 rows that repeat a doc_id are separate documents; rows with a null doc_id get the component's smallest doc_id, or null;
@@ -158,7 +160,7 @@ def survivors(slim: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """
     each = slim.select("cid", F.posexplode("hashes").alias("place", "hash"), "p").select("cid", (F.col("place") < F.col("p")).alias("indexed"), "hash")
     shared = each.groupBy("hash").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("hash")
-    found = each.join(materialise(shared), "hash").groupBy("cid").agg(F.collect_set("hash").alias("found"), F.collect_set(F.when(F.col("indexed"), F.col("hash"))).alias("index"))
+    found = each.join(materialise(shared).hint("merge"), "hash").groupBy("cid").agg(F.collect_set("hash").alias("found"), F.collect_set(F.when(F.col("indexed"), F.col("hash"))).alias("index"))
     out = classes.join(found, "cid").filter((F.size("found") >= needed(F.col("size"), percent)) & (F.size("index") > 0))
     return out.drop("found")
 
@@ -274,7 +276,7 @@ def home_edges(near: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links among the classes that have the same home."""
     each = near.select("cid", "size", (F.size("index") / F.col("p")).alias("share"), F.explode("index").alias("hash"))
     counts = each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    members = each.join(counts, "hash").groupBy("cid", "size", "share").agg(F.max(F.struct("n", "hash")).alias("top")).select("cid", "size", "share", F.col("top.hash").alias("home"))
+    members = each.join(counts.hint("merge"), "hash").groupBy("cid", "size", "share").agg(F.max(F.struct("n", "hash")).alias("top")).select("cid", "size", "share", F.col("top.hash").alias("home"))
     members = materialise(members)
     homes = members.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.max(F.struct("share", "cid")).alias("hub")).filter("n > 1")
     homes = homes.select("home", F.col("hub.cid").alias("hub"), F.ceil(F.col("weight") / WEIGHT).cast("int").alias("chunks"))
@@ -292,11 +294,11 @@ def gathered(near: DataFrame, comps: DataFrame) -> DataFrame:
     sign = F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sign")
     groups = each.groupBy("hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), sign)
     groups = groups.filter("low <> high").groupBy("n", "sign").agg(F.min("hash").alias("hash"))
-    members = materialise(each.join(groups.select("hash", "n"), "hash"))
+    members = materialise(each.join(groups.select("hash", "n").hint("merge"), "hash"))
     named = members.groupBy("cid").agg(F.max(F.struct("n", "hash")).alias("top")).select("cid", F.col("top.hash").alias("top"))
-    votes = members.join(named, "cid").groupBy("hash", "top").agg(F.count("*").alias("n"))
+    votes = members.join(named.hint("merge"), "cid").groupBy("hash", "top").agg(F.count("*").alias("n"))
     place = votes.groupBy("hash").agg(F.max(F.struct("n", "top")).alias("best")).select("hash", F.col("best.top").alias("place"))
-    return members.join(place, "hash").select("place", "cid", "comp", "weight").distinct()
+    return members.join(place.hint("merge"), "hash").select("place", "cid", "comp", "weight").distinct()
 
 
 def rest_edges(near: DataFrame, full: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
@@ -306,7 +308,7 @@ def rest_edges(near: DataFrame, full: DataFrame, comps: DataFrame, percent: int)
     groups = by_comp.groupBy("hash").agg(F.max(F.struct("n", "comp", "weight")).alias("main"), F.sum("weight").alias("weight"))
     chunks = lambda w: F.greatest(F.lit(1), F.ceil(w / WEIGHT)).cast("int")
     groups = groups.select("hash", F.col("main.comp").alias("main"), chunks(F.col("weight") - F.col("main.weight")).alias("n_walk"), chunks(F.col("main.weight")).alias("n_main"))
-    members = each.join(groups, "hash").withColumn("walks", F.col("comp") != F.col("main"))
+    members = each.join(groups.hint("merge"), "hash").withColumn("walks", F.col("comp") != F.col("main"))
     chunk = F.pmod(F.xxhash64("cid", F.lit(5)), F.when(F.col("walks"), F.col("n_walk")).otherwise(F.col("n_main"))).cast("int")
     members = members.withColumn("chunk", chunk)
     # A task is (shingle, walking chunk a, side, chunk b): side 0 is the main component's chunk b, side 1 another walking chunk.
