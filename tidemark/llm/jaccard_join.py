@@ -364,7 +364,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = rows_linked(docs, n, percent)
     first = found.filter("n_shingles = 0 or key = first_key").groupBy("key")
     keys = materialise(first.agg(F.max(F.expr("n_shingles = 0")).alias("bare"), F.count("*").alias("n")))
-    kept = packed(docs, key=row_key()).join(keys, "key")
+    kept = packed(docs, key=row_key()).join(keys.hint("merge"), "key")
     # Only rows that repeat a key need the shuffle that tells them apart.
     if keys.filter("not bare and n > 1").limit(1).count():
         kept = kept.filter("bare or n = 1").unionByName(kept.filter("not bare and n > 1").dropDuplicates(["key"]))
