@@ -90,7 +90,8 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
             first = np.cumsum(counts) - counts
             owner = np.searchsorted(first + counts, at, side="right")
             whole = [flat[a : a + c].view(np.int64) for a, c in zip(first, counts, strict=True)]
-            yield pd.DataFrame({"item_id": batch["item_id"].values[owner], "place": at - first[owner], "gram": name.view(np.int64), "words": [whole[o] for o in owner]})
+            if len(owner):
+                yield pd.DataFrame({"item_id": batch["item_id"].values[owner], "place": at - first[owner], "gram": name.view(np.int64), "words": [whole[o] for o in owner]})
 
     return items.select("item_id", "text").mapInPandas(run, "item_id long, place int, gram long, words array<long>")
 

@@ -282,6 +282,8 @@ def blocks(docs: DataFrame, length: int, name: int) -> DataFrame:
                 size = np.array([len(t) for t in texts], np.int64)
                 data = b"".join(texts)
                 n = np.array([x.stop - x.start for x in each], np.int64)
+                if not n.sum():
+                    continue
                 # Places count into `data`; `shift` leads back to the text's own.
                 begin, end, shift = (np.repeat(x, n) for x in (np.cumsum(size) - size, np.cumsum(size), np.cumsum(size) - size - np.array(start, np.int64)))
                 uid = np.repeat(batch["uid"].to_numpy()[list(row)], n)
