@@ -139,10 +139,21 @@ def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(split)), counts)[keep]
         counts = np.bincount(owner, minlength=len(split)).astype(np.int64)
         flat = flat[keep]
-    codes, words = pd.factorize(flat)
+    codes, words = factorize(flat, any(text and "\0" in text for text in texts))
     return codes, counts, words
 
 
+def factorize(values: np.ndarray, nulls: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each string among the distinct ones, and those.  pandas reads strings up to a null character, so such are told apart here."""
+    if not nulls:
+        return pd.factorize(values)
+    place: dict[str, int] = {}
+    codes = np.fromiter((place.setdefault(v, len(place)) for v in values), np.int64, len(values))
+    words = np.empty(len(place), object)
+    words[:] = list(place)
+    return codes, words
+
+
 def grams(flat: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of the n-grams within texts; a non-empty text of fewer words is one n-gram."""
     owner = np.repeat(np.arange(len(counts)), counts)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, sharding, suffix_dedup, token_output, url_filters, warc
+from tidemark.llm import bpe, decontaminate, jaccard_join, lexical_search, mixing, quality_classifier, quality_rules, sharding, spelling, suffix_dedup, token_output, url_filters, warc
 from tidemark.llm.common import table, work_dir
 
 
@@ -61,6 +61,18 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(spark, path)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), delete_one_in=199, least_length=6, least_n=5, times=5)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontaminate": op2_decontaminate,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_token_output": op10_token_output,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLES: dict[str, str] = {
@@ -110,4 +125,18 @@ select page_id, host, path, rule, case
     else 'allow' end as verdict from ruled
 """
     % "|".join(f"({'|'.join(first.split())})-({'|'.join(second.split())})" for first, second in url_filters.JUNK_HOSTS.values()),
+    "op11_lexical_search": r"""
+with asked as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+items as (select item_id, term, count(*)::bigint as times from asked group by all),
+words as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+counted as (select doc_id, term, count(*)::bigint as tf from words group by all),
+lengths as (select doc_id, sum(tf)::bigint as n from counted group by doc_id),
+corpus as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from lengths),
+weights as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from counted, corpus group by term),
+placed as (select doc_id, 75 + ((25 * n * n_docs) // n_terms) as m from lengths, corpus),
+scores as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from items join counted using (term) join weights using (term) join placed using (doc_id) group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+""",
 }

@@ -21,12 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordTable, flatten, materialise, pieces, spread, word_codes
+from tidemark.llm.common import WordTable, factorize, flatten, materialise, pieces, spread, word_codes
 
 END_ID = 2
 
@@ -38,8 +37,8 @@ MARKS = "".join(c for c in string.punctuation if c not in "'<>|")
 
 #: Byte-level vocabularies write a byte as its Latin-1 character where that is visible, the others from U+0100 on in turn.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
-_BYTE = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
-BYTE_LEVEL = {c: "".join(_BYTE.get(b, chr(b)) for b in chr(c).encode()) for c in range(128, 256)}
+BYTE = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+BYTE_LEVEL = {c: "".join(BYTE.get(b, chr(b)) for b in chr(c).encode()) for c in range(128, 256)}
 
 #: Options of the files.
 LAYOUT = {
@@ -85,10 +84,11 @@ class WordEncoder:
         """
         stems = [w.rstrip(MARKS).lower() for w in words]
         keys = [s if _plain(s) else w for s, w in zip(stems, words, strict=True)]
-        codes, kinds = pd.factorize(np.array(keys, object))
+        nulls = any("\0" in w for w in words)
+        codes, kinds = factorize(np.array(keys, object), nulls)
         first, size, flat = self.table.look_up(list(kinds))
         first, size = first[codes], size[codes]
-        tail_codes, tails = pd.factorize(np.array([w[len(k) :] for w, k in zip(words, keys, strict=True)], object))
+        tail_codes, tails = factorize(np.array([w[len(k) :] for w, k in zip(words, keys, strict=True)], object), nulls)
         tail_ids, tail_size = flatten([e.ids for e in self.tokenizer.encode_batch_fast(list(tails), add_special_tokens=False)])
         tail_first, tail_size = (np.cumsum(tail_size) - tail_size)[tail_codes], tail_size[tail_codes]
         total = size + tail_size
