@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidemark.functions import assertions, text
@@ -18,6 +19,7 @@ from tidemark.operators.labels import partition_labels, update_labels, view_labe
 from tidemark.operators.staleness import detect_staleness
 from tidemark.plans import columns, lineage
 from tidemark.sources import catalog, tables
+from tidemark.sources.published import Conflict, Published
 from tidemark.streaming import refresh as streaming
 
 NOW = datetime(2024, 1, 1, 12)
@@ -104,22 +106,25 @@ def test_refresh_of_a_table(spark, tmp_path):
     schema = "table_name string, partition_id string, last_modified timestamp"
     go = lambda rows, **o: refresh.update_partitions(spark, path, spark.createDataFrame(rows, schema), "daily", ["events_t"], aligned, query, F.date_format("day", "yyyyMMdd"), NOW + timedelta(hours=1), **o)
     assert go(source, dry_run=True) == refresh.Refreshed("20240101", "20240105", None)
-    assert go(source).rows == 10
+    with pytest.raises(refresh.TableMissing):
+        go(source)
+    assert go(source, auto_recreate="replace_if_changed").rows == 10
     fresh = [("daily", f"2024010{d}", NOW + timedelta(minutes=5)) for d in range(1, 6)]
     assert go(source + fresh) is None
     # The fourth day loses its rows and is stale with the fifth: its partition is empty afterwards.
     spark.createDataFrame([e for e in events if e[1].day != 4], "id long, ts timestamp, kind string").createOrReplaceTempView("events_t")
     assert go(source + fresh[:3]).first == "20240104"
-    stored = spark.read.parquet(path)
-    assert {r.partition_id for r in stored.select(F.col("partition_id").cast("string")).distinct().collect()} == {"20240101", "20240102", "20240103", "20240105"}
+    ids = lambda: {r.partition_id for r in refresh.table_at(spark, path).read().select("partition_id").distinct().collect()}
+    assert ids() == {"20240101", "20240102", "20240103", "20240105"}
     # A day that loses all its rows is emptied; one that never had any is an error.
     spark.createDataFrame([e for e in events if e[1].day not in (4, 5)], "id long, ts timestamp, kind string").createOrReplaceTempView("events_t")
     later = [("events_t", "20240105", NOW + timedelta(hours=2))]
     again = lambda: refresh.update_partitions(spark, path, spark.createDataFrame(source[:4] + later + fresh, schema), "daily", ["events_t"], aligned, query, F.date_format("day", "yyyyMMdd"), NOW + timedelta(hours=3))
     assert again() == refresh.Refreshed("20240105", "20240105", 0)
-    assert {str(r.partition_id) for r in spark.read.parquet(path).select("partition_id").distinct().collect()} == {"20240101", "20240102", "20240103"}
+    assert ids() == {"20240101", "20240102", "20240103"}
     with pytest.raises(refresh.NothingWritten):
         again()
+    assert ids() == {"20240101", "20240102", "20240103"}
     with pytest.raises(refresh.SchemaChanged):
         refresh.update_partitions(spark, path, spark.createDataFrame(source, schema), "daily", ["events_t"], aligned, query.replace("count(*)", "1.5"), F.date_format("day", "yyyyMMdd"), NOW)
     with pytest.raises(ValueError, match="unknown options"):
@@ -160,25 +165,102 @@ def test_history_counts_rows_as_they_change(spark, tmp_path):
     assert table.read().count() == 102 and table.current().select("entity.more").distinct().count() == 1
 
 
-def test_history_update_that_stops_is_finished_once(spark, tmp_path, monkeypatch):
+class Lost(Exception):
+    """Stands for a writer that is lost."""
+
+
+def lose_at(monkeypatch, n):
+    """Let the n-th write of Parquet from now on fail: before it writes, or (half) behind it."""
+    write, count = DataFrameWriter.parquet, [0]
+
+    def parquet(self, *args, **options):
+        count[0] += 1
+        if count[0] == int(n + 0.5):
+            if n % 1 == 0:
+                raise Lost
+            write(self, *args, **options)
+            raise Lost
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+
+
+#: Before and behind each of the writes of an update: its rows, its pointer, and for other columns the backup's pointer.
+MOMENTS = [1, 1.5, 2, 2.5, 3, 3.5]
+
+
+@pytest.mark.parametrize("moment", [m - 0.5 if m % 1 else m for m in MOMENTS])
+@pytest.mark.parametrize("other_columns", [False, True])
+def test_history_is_old_or_new_wherever_an_update_stops(spark, tmp_path, monkeypatch, moment, other_columns):
     clock = iter(datetime(2024, 1, 1) + timedelta(days=i) for i in range(100))
     table = scd2.HistoryTable(spark, str(tmp_path / "h"), "k", clock=lambda: next(clock))
     df = lambda *r: spark.createDataFrame(list(r), "k long, v string")
     table.init(df((1, "a"), (2, "b")))
-    publish = scd2.HistoryTable._publish
-
-    def closes_only(self, revision, day):
-        spark.read.parquet(f"{self.path}__staged/{revision}").filter("valid_to is not null").select(*scd2.COLUMNS).write.parquet(f"{self.path}/closed_on={day}/closed_by={revision}")
-        raise RuntimeError("lost")
-
-    monkeypatch.setattr(scd2.HistoryTable, "_publish", closes_only)
-    with pytest.raises(RuntimeError):
-        table.update(df((1, "x"), (3, "c")))
-    monkeypatch.setattr(scd2.HistoryTable, "_publish", publish)
-    assert table.update(df((1, "x"), (3, "c")), allow_unchanged=True) == 0
-    found = sorted((r.unique_key, r.entity.v, r.valid_to is None) for r in table.read().collect())
-    assert found == [(1, "a", False), (1, "x", True), (2, "b", False), (3, "c", True)]
-    assert {tuple(r)[1:] for r in scd2.validate(table.read()).collect()} == {(0, 0)} and table.recover() == 0
+    fresh = df((1, "x"), (3, "c"))
+    fresh = fresh.withColumn("more", F.lit(1)) if other_columns else fresh
+    shown = lambda: sorted((r.unique_key, r.entity.v, r.valid_to is None) for r in table.read().collect())
+    old = [(1, "a", True), (2, "b", True)]
+    new = [(1, "x", True), (3, "c", True)] if other_columns else [(1, "a", False), (1, "x", True), (2, "b", False), (3, "c", True)]
+    with monkeypatch.context() as patch:
+        lose_at(patch, moment)
+        try:
+            table.update(fresh, on_other_columns="recreate")
+        except Lost:
+            pass
+    assert shown() in (old, new)
+    table.update(fresh, allow_unchanged=True, on_other_columns="recreate")
+    assert shown() == new and {tuple(r)[1:] for r in scd2.validate(table.read()).collect()} == {(0, 0)}
+
+
+@pytest.mark.parametrize("moment", [1, 1.5, 2, 2.5])
+def test_refresh_is_old_or_new_wherever_it_stops(spark, tmp_path, monkeypatch, moment):
+    table = refresh.table_at(spark, str(tmp_path / "t"))
+    rows = lambda *r: spark.createDataFrame(list(r), "v int, partition_id string")
+    refresh.write_range(table, rows((1, "20240101"), (2, "20240102")), "20240101", "20240102")
+    shown = lambda: sorted(map(tuple, table.read().collect()))
+    with monkeypatch.context() as patch:
+        lose_at(patch, moment)
+        try:
+            refresh.write_range(table, rows((3, "20240102"), (4, "20240103")), "20240102", "20240103")
+        except Lost:
+            pass
+    assert shown() in ([(1, "20240101"), (2, "20240102")], [(1, "20240101"), (3, "20240102"), (4, "20240103")])
+    refresh.write_range(table, rows((3, "20240102"), (4, "20240103")), "20240102", "20240103")
+    assert shown() == [(1, "20240101"), (3, "20240102"), (4, "20240103")]
+
+
+def test_published_tables(spark, tmp_path):
+    table = Published(spark, str(tmp_path / "t"), "p")
+    rows = lambda *r: spark.createDataFrame(list(r), "v int, p string")
+    assert not table.exists() and table.version() is None
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    odd = ["a b", "x/y=1%2F", None, "ü:#?*", "20240101"]
+    one = table.stage(rows(*[(i, p) for i, p in enumerate(odd)]), most=F.max("v"))
+    assert one.metrics == {"rows": 5, "most": 4} and not table.exists() and table.unreferenced().count() == 5
+    table.publish(one)
+    assert {r.p for r in table.read().collect()} == set(odd) and table.unreferenced().count() == 0
+    # Another draft takes two keys' place; a third is never published.
+    table.publish(table.stage(rows((7, "a b"), (8, None))), keep=lambda k: k not in ("a b", None))
+    table.stage(rows((9, "lost")))
+    assert sorted((r.v, r.p) for r in table.read().collect() if r.p) == sorted([(7, "a b"), (1, "x/y=1%2F"), (3, "ü:#?*"), (4, "20240101")])
+    assert {r.v for r in table.read(number=1).collect()} == {0, 1, 2, 3, 4} and table.numbers() == [1, 2]
+    assert ["_version=3-" in r.folder for r in table.unreferenced().collect()] == [True]
+    assert {r.v for r in table.read(keep=lambda k: k == "20240101").collect()} == {4}
+    assert {(r.partition_id, r.n_files) for r in table.metadata("t").collect()} == {(p, 1) for p in odd}
+    # The next version has the number of the lost draft, whose rows stay away.
+    table.publish(table.stage(rows((10, "lost"))), keep=lambda k: True)
+    assert {r.v for r in table.read().collect() if r.p == "lost"} == {10}
+    late = table.stage(rows((11, "late")))
+    table.publish(table.stage(rows((12, "first"))), keep=lambda k: True)
+    with pytest.raises(Conflict):
+        table.publish(late)
+    assert {r.v for r in table.read().collect() if r.p in ("late", "first")} == {12}
+    empty = table.publish(table.stage(rows()), keep=None)
+    assert empty.folders == [] and table.read().count() == 0 and table.read().columns == ["v", "p"]
+    other = Published(spark, str(tmp_path / "u"), "p")
+    other.adopt(table.version(1))
+    assert other.read().count() == 5
 
 
 def test_history_update_waits_for_its_sources(spark, tmp_path):

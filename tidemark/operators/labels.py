@@ -39,16 +39,23 @@ def merged_labels(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("table_name", "key", F.coalesce("value", "_old").alias("value"))
 
 
-def update_labels(spark: SparkSession, database: str, dependencies: DataFrame | None = None) -> dict[str, dict[str, str]]:
-    """Label the tables of a database, and with `dependencies` its views, by their partitions; the labels by table.
+def update_labels(spark: SparkSession, database: str) -> dict[str, dict[str, str]]:
+    """Label the tables of a database by their partitions, and its views by those of all tables that they read; the
+    labels by table.
 
-    Labels are as many as tables; other labels of a table stay.
+    What views read is taken from their definitions, through views on views; a table of another database counts with
+    the partitions that it has there.  Labels are as many as tables; other labels of a table stay.
     """
-    found = partition_labels(catalog.partition_metadata(spark, database))
-    if dependencies is not None:
-        found = found.unionByName(view_labels(found, dependencies))
+    reads = catalog.dependencies(spark, database)
+    metadata = catalog.partition_metadata(spark, database)
+    others = {r["table_name"].split(".")[0] for r in reads.filter(F.col("table_name").contains(".") & ~F.col("table_name").contains("/")).select("table_name").distinct().collect()}
+    for other in others:
+        theirs = catalog.partition_metadata(spark, other).withColumn("table_name", F.concat(F.lit(f"{other}."), "table_name"))
+        metadata = metadata.unionByName(theirs)
+    found = partition_labels(metadata)
+    found = found.filter(~F.col("table_name").contains(".")).unionByName(view_labels(found, reads))
     out = {}
     for r in found.collect():
         out[r["table_name"]] = {"partition-min": r["partition_min"], "partition-max": r["partition_max"], "partition-skip": str(r["partition_skip"])}
-        catalog.set_labels(spark, TableRef(database, r["table_name"]), out[r["table_name"]])
+        catalog.set_labels(spark, TableRef(database, r["table_name"]), out[r["table_name"]], view=r["table_name"] in catalog.views(spark, database))
     return out

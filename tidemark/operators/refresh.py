@@ -1,18 +1,19 @@
-"""Refresh of the stale partitions of a Parquet table."""
+"""Refresh of the stale partitions of a table."""
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.model import NULL_PARTITION, RefreshOptions
 from tidemark.operators.ranges import bounds, refresh_range, unit_of
 from tidemark.operators.staleness import stale_partitions
+from tidemark.plans.joblog import JobLog, noted
+from tidemark.sources.published import Published
 
 
 class SchemaChanged(Exception):
@@ -52,48 +53,37 @@ def replace_range(target: DataFrame, fresh: DataFrame, id_column: Column, first:
     return target.filter(~inside).unionByName(checked)
 
 
-def same_schema(a: DataFrame, b: DataFrame) -> bool:
-    shape = lambda df: {f.name: f.dataType.simpleString() for f in df.schema}
-    return shape(a) == shape(b)
+class TableMissing(Exception):
+    """The destination is not there."""
 
 
-def write_range(spark: SparkSession, path: str, fresh: DataFrame, first: str, last: str) -> int:
-    """Put `fresh` (with its ids in `partition_id`) in place of the partitions of a range of the table at `path`.
+def table_at(spark: SparkSession, path: str) -> Published:
+    """The table that a refresh writes at `path`; its partitions are in `partition_id`."""
+    return Published(spark, path, "partition_id")
 
-    The rows are staged in files of `<path>__staged`, since the query may read the table itself.  Spark's dynamic
-    overwrite replaces the partitions that have rows; those of the range that have none any more are overwritten by no
-    rows of their own, which empties them.  A range that has no row before or after is an error.
+
+def write_range(table: Published, fresh: DataFrame, first: str, last: str, anew: bool = False) -> tuple[int, int]:
+    """Put `fresh` (with its ids in `partition_id`) in place of the partitions of a range; the rows written, and their bytes.
+
+    The rows are written once, as folders of a new version, so a query may read the table itself; a partition of the
+    range that has no rows any more is left out of the new version.  A row outside of the range is an error, and so is a
+    range that has no row before or after.  With `anew`, no other partition stays.
     """
-    ordered = fresh.select(*[c for c in fresh.columns if c != "partition_id"], F.col("partition_id").cast("string").alias("partition_id"))
-    place = f"{path}__staged/{uuid.uuid4().hex}"
-    ordered.write.parquet(place)
-    staged = spark.read.schema(ordered.schema).parquet(place)
-    found = staged.agg(F.count("*").alias("rows"), F.count_if(~F.coalesce(in_range(F.col("partition_id"), first, last), F.lit(False))).alias("outside")).first()
-    if found["outside"]:
+    inside = F.coalesce(in_range(F.col("partition_id").cast("string"), first, last), F.lit(False))
+    old = table.version()
+    draft = table.stage(fresh, outside=F.count_if(~inside))
+    if draft.metrics["outside"]:
         raise ValueError(f"the query gave rows outside of {first} to {last}")
-    emptied = [r[0] for r in _stored_ids(spark, path, first, last).join(staged.select("partition_id").distinct(), "partition_id", "left_anti").collect()]
-    if not found["rows"] and not emptied:
+    within = lambda key: first == NULL_PARTITION or (key is not None and first <= key <= last)
+    if not draft.metrics["rows"] and not any(within(f.key) for f in (old.folders if old else [])):
         raise NothingWritten(f"no row for {first} to {last}")
-    if found["rows"]:
-        staged.repartition("partition_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition_id").parquet(path)
-    for value in emptied:
-        _drop_partition(spark, path, value)
-    return found["rows"]
-
+    table.publish(draft, None if anew else lambda key: not within(key))
+    return draft.metrics["rows"], draft.version.bytes
 
-def _stored_ids(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
-    """(partition_id) of the partitions of a range that have rows, if the table is there."""
-    try:
-        stored = spark.read.option("basePath", path).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], "partition_id string")
-    return stored.select(F.col("partition_id").cast("string").alias("partition_id")).filter(in_range(F.col("partition_id"), first, last)).distinct()
 
-
-def _drop_partition(spark: SparkSession, path: str, value: str) -> None:
-    """Overwrite one partition's folder by an empty table of its columns."""
-    folder = f"{path}/partition_id={value}"
-    spark.read.parquet(folder).limit(0).write.mode("overwrite").parquet(folder)
+def same_columns(stored: T.StructType, fresh: T.StructType) -> bool:
+    shape = lambda schema: {f.name: f.dataType.simpleString() for f in schema if f.name != "partition_id"}
+    return shape(stored) == shape(fresh)
 
 
 def update_partitions(
@@ -106,11 +96,14 @@ def update_partitions(
     query: str,
     id_of: Column,
     now: datetime,
+    log: JobLog | None = None,
     **options: object,
 ) -> Refreshed | None:
     """Refresh the table at `path` where it is stale; None if nothing is.
 
-    `query` is SQL that may use :begin and :end; `id_of` gives a row's partition id.
+    `query` is SQL that may use :begin and :end; `id_of` gives a row's partition id.  A table that is not there is an
+    error, or (`replace_if_changed`) is made.  If the query gives other columns, that is an error, or the table begins
+    anew with the refreshed range; the version before can still be read by its number.  With `log`, the run is noted.
     """
     chosen = RefreshOptions.of(options)
     stale = stale_partitions(metadata, destination, sources, alignments, now, chosen.tolerate_staleness, chosen.force_expired_at)
@@ -123,14 +116,14 @@ def update_partitions(
     unit_of(first)
     args = bounds(first, last)
     fresh = spark.sql(query, args={"begin": args[0], "end": args[1]} if args else {}).withColumn("partition_id", id_of)
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        stored = None
-    if stored is not None and not same_schema(stored.withColumn("partition_id", F.col("partition_id").cast("string")), fresh):
-        if chosen.auto_recreate != "replace_if_changed":
-            raise SchemaChanged(f"{stored.schema.simpleString()} and {fresh.schema.simpleString()}")
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("partition_id").parquet(path)
-        return Refreshed(first, last, spark.read.parquet(path).count())
-    return Refreshed(first, last, write_range(spark, path, fresh, first, last))
-
+    table = table_at(spark, path)
+    stored = table.version()
+    replace = chosen.auto_recreate == "replace_if_changed"
+    if stored is None and not replace:
+        raise TableMissing(path)
+    changed = stored is not None and not same_columns(stored.columns, fresh.schema)
+    if changed and not replace:
+        raise SchemaChanged(f"{stored.columns.simpleString()} and {fresh.schema.simpleString()}")
+    with noted(log, destination, fresh, query) as run:
+        run.rows, run.bytes = write_range(table, fresh, first, last, anew=changed)
+    return Refreshed(first, last, run.rows)

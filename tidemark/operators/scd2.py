@@ -11,13 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.model import ANY_PARTITION, NULL_PARTITION
 from tidemark.operators.staleness import detect_staleness
+from tidemark.sources.published import Draft, Published
 
 COLUMNS = ["unique_key", "revision_hash", "valid_from", "valid_to", "entity"]
 
@@ -166,13 +166,11 @@ class NothingChanged(Exception):
 
 @dataclass
 class HistoryTable:
-    """A history stored as Parquet: current rows in one partition, closed rows by the day that they end and the update
-    that closed them, each ordered by `valid_from`.
+    """A history stored as a published table: current rows in one partition, closed rows by the day that they end, each
+    ordered by `valid_from`.
 
-    Only current rows are read and rewritten by an update.  Its rows are staged in `<path>__staged` first, and
-    `<path>__log` says so; then they are put in their places by overwriting, which can be done again.  An update that
-    stops in between is finished by the next one, so no row is closed twice.  Staged rows may be deleted when no update
-    runs.  Readers should not read during an update.
+    Only current rows are read and rewritten by an update: it writes its rows once, as folders of a new version, and its
+    pointer last.  So an update that stops leaves the history as it was, and readers may read at any time.
     """
 
     spark: SparkSession
@@ -181,17 +179,21 @@ class HistoryTable:
     clock: Callable[[], datetime] = datetime.now
     new_id: Callable[[], str] = lambda: uuid.uuid4().hex
 
-    OPEN = "closed_on=open/closed_by=open"
+    OPEN = "open"
+
+    @property
+    def table(self) -> Published:
+        return Published(self.spark, self.path, "closed_on")
 
     def exists(self) -> bool:
-        return _stored(self.spark, self.path) is not None
+        return self.table.exists()
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).select(*COLUMNS)
+        return self.table.read().select(*COLUMNS)
 
     def current(self) -> DataFrame:
         """The open rows, of their partition alone."""
-        return self.spark.read.parquet(f"{self.path}/{self.OPEN}").select(*COLUMNS)
+        return self.table.read(keep=lambda day: day == self.OPEN).select(*COLUMNS)
 
     def as_of(self, at: datetime | str | None) -> DataFrame:
         """The rows that held at an instant, from the partitions that end later."""
@@ -199,78 +201,54 @@ class HistoryTable:
             return latest(self.current())
         # A day of slack, should the session's time zone differ from the writer's.
         later = F.col("closed_on") >= F.date_format(instant(at) - F.expr("interval 1 day"), "yyyyMMdd")
-        return as_of(self.spark.read.parquet(self.path).withColumn("closed_on", F.col("closed_on").cast("string")).filter(later), at)
+        return as_of(self.table.read().filter(later), at)
 
     def init(self, df: DataFrame) -> int:
-        rows = snapshot(df, self.key, self.clock(), self.new_id())
-        self._restart(rows, "errorifexists")
-        return self.current().count()
+        if self.exists():
+            raise ValueError(f"there is a history at {self.path}")
+        return self._begin(snapshot(df, self.key, self.clock(), self.new_id()))
+
+    def _stage(self, rows: DataFrame, **options: object) -> Draft:
+        day = F.coalesce(F.date_format("valid_to", "yyyyMMdd"), F.lit(self.OPEN))
+        return self.table.stage(rows.withColumn("closed_on", day), sort=["valid_from"], **options)
 
-    def _restart(self, rows: DataFrame, mode: str) -> None:
-        parted = rows.withColumns({"closed_on": F.lit("open"), "closed_by": F.lit("open")})
-        parted.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("closed_on", "closed_by").parquet(self.path)
+    def _begin(self, rows: DataFrame) -> int:
+        draft = self._stage(rows)
+        self.table.publish(draft)
+        return draft.metrics["rows"]
 
     def same_columns(self, df: DataFrame) -> bool:
-        stored = self.current().schema["entity"].dataType
+        stored = self.table.version().columns["entity"].dataType
         return [(f.name, f.dataType) for f in stored] == [(f.name, f.dataType) for f in df.schema]
 
-    def _note(self, revision: str, step: str, at: datetime) -> None:
-        day = F.date_format(instant(at), "yyyyMMdd")
-        self.spark.range(1).select(F.lit(revision).alias("revision"), F.lit(step).alias("step"), day.alias("day"), instant(at).alias("at")).coalesce(1).write.mode("append").parquet(f"{self.path}__log")
-
-    def recover(self) -> int:
-        """Finish updates that stopped after they were staged; how many there were."""
-        log = _stored(self.spark, f"{self.path}__log")
-        if log is None:
-            return 0
-        rows = log.groupBy("revision").agg(F.min("day").alias("day"), F.min("at").alias("at"), F.count_if(F.col("step") != "staged").alias("done")).filter("done = 0").orderBy("at").collect()
-        for r in rows:
-            self._publish(r["revision"], r["day"])
-            self._note(r["revision"], "published", r["at"])
-        return len(rows)
-
-    def _publish(self, revision: str, day: str) -> None:
-        """Put staged rows in their places; to do it again changes nothing."""
-        staged = self.spark.read.parquet(f"{self.path}__staged/{revision}")
-        for rows, place in ((staged.filter("valid_to is not null"), f"closed_on={day}/closed_by={revision}"), (staged.filter("valid_to is null"), self.OPEN)):
-            rows.select(*COLUMNS).sortWithinPartitions("valid_from").write.mode("overwrite").parquet(f"{self.path}/{place}")
-
     def update(self, df: DataFrame, allow_unchanged: bool = False, on_other_columns: str = "error", dry_run: bool = False) -> int:
         """Rows closed plus rows opened; with `dry_run`, those that would be, and nothing is written.
 
-        If the columns have changed, that is an error, or (`recreate`) the history is copied to a table named by the
+        If the columns have changed, that is an error, or (`recreate`) the history is kept as a table named by the
         instant and begins anew.
         """
         if on_other_columns not in ("error", "recreate"):
             raise ValueError("on_other_columns is error or recreate")
-        self.recover()
         at, revision = self.clock(), self.new_id()
         fresh = snapshot(df, self.key, at, revision)
         if not self.same_columns(df):
             if on_other_columns == "error" or dry_run:
                 raise ValueError("the columns have changed: move the history away and begin a new one")
-            return self._begin_anew(fresh, at)
+            self.backup(at).adopt(self.table.version())
+            return self._begin(fresh)
         if dry_run:
             return changes(self.current(), fresh, at).count()
-        staged = f"{self.path}__staged/{revision}"
-        rewritten(self.current(), fresh, at).write.parquet(staged)
-        written = self.spark.read.parquet(staged).filter("action <> 'UNCHANGED'").count()
+        draft = self._stage(rewritten(self.current(), fresh, at), drop=["action"], written=F.count_if(F.col("action") != "UNCHANGED"))
+        written = draft.metrics["written"]
         if written:
-            self._note(revision, "staged", at)
-            self._publish(revision, self.spark.range(1).select(F.date_format(instant(at), "yyyyMMdd")).first()[0])
-            self._note(revision, "published", at)
+            self.table.publish(draft, keep=lambda day: day != self.OPEN)
         elif not allow_unchanged:
             raise NothingChanged(self.path)
         return written
 
-    def backup_path(self, at: datetime) -> str:
-        return f"{self.path}__{at:%Y%m%d%H%M%S}"
-
-    def _begin_anew(self, fresh: DataFrame, at: datetime) -> int:
-        old = self.spark.read.parquet(self.path)
-        old.write.mode("overwrite").partitionBy("closed_on", "closed_by").parquet(self.backup_path(at))
-        self._restart(fresh, "overwrite")
-        return self.current().count()
+    def backup(self, at: datetime) -> Published:
+        """The history as it was before it began anew at an instant; its rows are not copied."""
+        return Published(self.spark, f"{self.path}__{at:%Y%m%d%H%M%S}", "closed_on")
 
     def update_if_stale(self, df: DataFrame, metadata: DataFrame, destination: str, sources: list[str], now: datetime, tolerate: timedelta = timedelta(0), force_expired_at: datetime | None = None, **options: object) -> int | None:
         """`update` where the history is older than a source; None where it is not, and nothing is read."""
@@ -297,13 +275,6 @@ class HistoryTable:
         monitor_entities(self.read()).createOrReplaceTempView(f"monitor__{name}__entity")
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def assert_golden(store: HistoryTable, df: DataFrame, update_golden: bool = False) -> None:
     """Fail if a result differs from the stored one; a first call, or an update, stores it."""
     if not store.exists():

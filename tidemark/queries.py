@@ -15,7 +15,7 @@ from tidemark.operators import checks, profile, scd2
 from tidemark.operators.alignment import day_to_day, day_to_day_padded, day_to_week
 from tidemark.operators.labels import merged_labels, partition_labels, view_labels
 from tidemark.operators.ranges import contiguous_run, gaps, refresh_range
-from tidemark.operators.refresh import partition_id, replace_range, update_partitions
+from tidemark.operators.refresh import partition_id, replace_range, table_at, update_partitions
 from tidemark.operators.staleness import stale_partitions
 from tidemark.plans.lineage import attributes, edges, lineage, mermaid
 from tidemark.sources.tables import data_metadata, parquet, scratch
@@ -158,10 +158,10 @@ def refresh_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     parquet(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).createOrReplaceTempView(view)
     counts = f"SELECT day, event_type, count(*) AS n FROM {view} WHERE day BETWEEN :begin AND :end GROUP BY day, event_type"
     try:
-        update_partitions(spark, path, _metadata(spark, sf_dir), "daily", ["events"], day_to_day(_span(spark, sf_dir)), counts, partition_id(F.col("day"), "day"), NOW)
+        update_partitions(spark, path, _metadata(spark, sf_dir), "daily", ["events"], day_to_day(_span(spark, sf_dir)), counts, partition_id(F.col("day"), "day"), NOW, auto_recreate="replace_if_changed")
     finally:
         spark.catalog.dropTempView(view)
-    return spark.read.parquet(path).select(F.col("partition_id").cast("string").alias("partition_id"), "event_type", "n")
+    return table_at(spark, path).read().select("partition_id", "event_type", "n")
 
 
 @query(
@@ -379,7 +379,7 @@ def scd2_begin_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other columns: the history of the first state is kept under another name, and one of the second begins."""
     table = _table(spark, sf_dir, steps=1)
     table.update(_customers(spark, sf_dir, 1).withColumn("more", F.lit(1)), on_other_columns="recreate")
-    old = spark.read.parquet(table.backup_path(datetime.fromisoformat(T1)))
+    old = table.backup(datetime.fromisoformat(T1)).read()
     flat = lambda df, place: df.select(F.lit(place).alias("place"), "unique_key", _time("valid_from"), _time("valid_to"), "entity.c_name")
     return flat(old, "old").unionByName(flat(table.read(), "new"))
 
