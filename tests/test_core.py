@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left, bisect_right
 from datetime import date, datetime, timedelta
+from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.errors import PySparkException
@@ -16,8 +19,10 @@ from tidemark.model import RefreshOptions, TableRef
 from tidemark.operators import checks, profile, ranges, refresh, scd2
 from tidemark.operators.alignment import day_to_day, day_to_day_padded, day_to_week
 from tidemark.operators.labels import partition_labels, update_labels, view_labels
+from tidemark.operators.profile_store import StoredProfile
 from tidemark.operators.staleness import detect_staleness
-from tidemark.plans import columns, lineage
+from tidemark.plans import columns, joblog, lineage
+from tidemark.plans.joblog import JobLog
 from tidemark.sources import catalog, tables
 from tidemark.sources.published import Conflict, Published
 from tidemark.streaming import refresh as streaming
@@ -377,6 +382,48 @@ def test_lineage_of_an_example(spark):
     assert lineage.spliced(once, "x") == "about this\n" + lineage.spliced("", "x")
 
 
+def longest_ways(steps):
+    """The longest way between any two nodes by plain recursion, with cycles as one node as long as they have tables."""
+    nodes = {n for s in steps for n in s}
+    reach = {n: set() for n in nodes}
+    for _ in nodes:
+        for a, b in steps:
+            reach[a] |= {b} | reach[b]
+    part = {n: frozenset({n} | {m for m in reach[n] if n in reach[m]}) for n in nodes}
+
+    def far(p, to):
+        ways = [len(part[b]) + (0 if part[b] == to else far(part[b], to)) for a, b in steps if a in p and b not in p and (part[b] == to or min(to) in reach[b])]
+        return max(ways)
+
+    return {(a, b): len(part[a]) - 1 + (far(part[a], part[b]) if part[a] != part[b] else 0) for a in nodes for b in reach[a] if a != b}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_depths_are_the_longest_ways(spark, seed):
+    rng = random.Random(seed)
+    n = 9
+    steps = sorted({(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(14)) if a != b and (a < b or rng.random() < 0.25)})
+    found = {(r.a, r.b): r.depth for r in lineage.depths(spark.createDataFrame(steps, "a long, b long")).collect()}
+    assert found == longest_ways(steps)
+
+
+def test_lineage_of_a_dense_dataset_and_of_a_long_chain(spark):
+    """All ways through 60 tables that all read one another could never be listed."""
+    node = lambda n: ("p", "d", f"t{n}")
+    dense = [(node(a), node(b)) for a in range(60) for b in range(60) if a != b]
+    lines = lineage.lineage(spark.createDataFrame(dense, f"dst {NODE}, src {NODE}"))
+    assert {tuple(r) for r in lines.groupBy("depth").count().collect()} == {(0, 60 * 59), (50, 60 * 59 * 59)}
+    chain = [(node(a), node(a + 1)) for a in range(200)]
+    lines = lineage.lineage(spark.createDataFrame(chain, f"dst {NODE}, src {NODE}"), max_depth=1000)
+    assert lines.count() == 200 * 201 // 2 and lines.agg(F.max("depth")).first()[0] == 199
+
+
+def test_jobs_that_read_nothing_have_an_edge(spark):
+    rows = [("DONE", None, NOW, "u", 1, ("p", "d", "a"), []), ("DONE", None, NOW, "u", 1, ("p", "d", "b"), [("p", "d", "a")])]
+    jobs = spark.createDataFrame(rows, f"state string, error string, created timestamp, user string, bytes long, destination {NODE}, referenced array<{NODE}>")
+    assert {(r.dst.table, r.src and r.src.table) for r in lineage.edges(jobs).collect()} == {("a", None), ("b", "a")}
+
+
 def test_columns_that_a_query_reads(spark, tmp_path):
     spark.range(5).select("id", (F.col("id") * 2).alias("x"), F.lit("s").alias("y")).write.parquet(str(tmp_path / "a"))
     spark.range(5).select("id", F.lit(1).alias("z"), F.lit(2).alias("unused")).write.parquet(str(tmp_path / "b"))
@@ -411,6 +458,135 @@ def test_text_helpers(spark):
     assert "| 0 " in text.table_text(spark.range(1).collect())
 
 
+def test_column_lineage_of_many_shapes(spark, tmp_path):
+    """Views, unions, structs taken apart and put together, subqueries, shared subqueries, exploded arrays, windows, and
+    tables of the catalog."""
+    with catalog.temporary_database(spark) as name:
+        spark.sql(f"CREATE TABLE {name}.a (id int, s struct<x:int,y:struct<z:string,w:int>>, l array<struct<k:string,v:int>>, g string) USING parquet")
+        spark.sql(f"CREATE TABLE {name}.b (id int, n int, g string) USING parquet")
+        spark.sql(f"CREATE VIEW {name}.v AS SELECT id, s.y AS inner_s, g FROM {name}.a WHERE g <> 'no'")
+        spark.sql(f"CREATE VIEW {name}.vv AS SELECT v.id, v.inner_s.z AS z, b.n FROM {name}.v JOIN {name}.b USING (id)")
+        a, b = f"spark_catalog.{name}.a", f"spark_catalog.{name}.b"
+        of = lambda q: columns.column_lineage(spark, q.replace("$", name))
+        values = lambda q: columns.value_lineage(spark, q.replace("$", name))
+        assert of("SELECT z FROM $.vv") == {"z": [(a, ["g", "id", "s.y.z"]), (b, ["id"])]}
+        assert values("SELECT z, n + 1 AS m, 7 AS c FROM $.vv") == {"z": [(a, ["s.y.z"])], "m": [(b, ["n"])], "c": []}
+        assert values("SELECT t.p, t.q.x AS qx FROM (SELECT named_struct('x', s.x, 'o', n) AS q, upper(s.y.z) AS p FROM $.a JOIN $.b USING (id)) t") == {"p": [(a, ["s.y.z"])], "qx": [(a, ["s.x"])]}
+        assert values("SELECT id, g FROM $.a UNION ALL SELECT n, 'c' FROM $.b") == {"id": [(a, ["id"]), (b, ["n"])], "g": [(a, ["g"])]}
+        assert values("WITH c AS (SELECT g, max(n) AS m FROM $.b GROUP BY g) SELECT c1.m, c2.g FROM c c1 JOIN c c2 ON c1.g = c2.g") == {"m": [(b, ["n"])], "g": [(b, ["g"])]}
+        assert of("SELECT count(*) AS n FROM $.b") == {"n": [(b, [])]}
+        assert values("SELECT e.v, a.id FROM $.a LATERAL VIEW explode(l) t AS e") == {"v": [(a, ["l.v"])], "id": [(a, ["id"])]}
+        assert values("SELECT l[0].k AS k, (SELECT max(n) FROM $.b WHERE b.g = a.g) AS m FROM $.a") == {"k": [(a, ["l.k"])], "m": [(a, ["g"]), (b, ["g", "n"])]}
+        assert values("SELECT sum(n) OVER (PARTITION BY g ORDER BY id) AS r FROM $.b") == {"r": [(b, ["g", "id", "n"])]}
+        assert of("SELECT id FROM $.a WHERE EXISTS (SELECT 1 FROM $.b WHERE b.id = a.id AND b.n > 2)") == {"id": [(a, ["id"]), (b, ["id", "n"])]}
+        assert of("SELECT id FROM (SELECT id, n FROM $.b ORDER BY n LIMIT 3)") == {"id": [(b, ["id", "n"])]}
+        assert of("SELECT DISTINCT g FROM $.b") == {"g": [(b, ["g"])]}
+        assert columns.referenced_tables(spark, f"SELECT 1 FROM {name}.vv") == [a, b]
+        spark.range(3).createOrReplaceTempView("no_table")
+        assert columns.referenced_tables(spark, "SELECT id FROM no_table") == [] and values("SELECT id FROM no_table") == {"id": []}
+
+
+def test_labels_of_views_come_from_what_they_read(spark):
+    with catalog.temporary_database(spark) as name, catalog.temporary_database(spark) as other:
+        for table, days in ((f"{name}.t", (1, 2, 3, 5)), (f"{name}.u", (2, 3, 4)), (f"{other}.w", (3, 4))):
+            spark.sql(f"CREATE TABLE {table} (a int, p string) USING parquet PARTITIONED BY (p)")
+            spark.sql(f"INSERT INTO {table} VALUES " + ", ".join(f"(1, '2024010{d}')" for d in days))
+        spark.sql(f"CREATE VIEW {name}.v1 AS SELECT t.a, t.p FROM {name}.t JOIN {name}.u USING (p)")
+        spark.sql(f"CREATE VIEW {name}.v2 AS SELECT * FROM {name}.v1 WHERE a > 0")
+        spark.sql(f"CREATE VIEW {name}.v3 AS SELECT a FROM {name}.v2 UNION ALL SELECT a FROM {other}.w")
+        assert catalog.views(spark, name) == ["v1", "v2", "v3"]
+        assert {tuple(r) for r in catalog.dependencies(spark, name).collect()} == {(v, t) for v in ("v1", "v2", "v3") for t in ("t", "u")} | {("v3", f"{other}.w")}
+        assert {r.view_name: "JOIN" in r.view_definition for r in catalog.view_definitions(spark, name).collect()} == {"v1": True, "v2": False, "v3": False}
+        found = update_labels(spark, name)
+        assert found["v2"] == {"partition-min": "20240102", "partition-max": "20240104", "partition-skip": "1"}
+        assert found["v3"] == {"partition-min": "20240103", "partition-max": "20240104", "partition-skip": "1"}
+        assert catalog.labels(spark, TableRef(name, "v3"))["partition-min"] == "20240103" and set(found) == {"t", "u", "v1", "v2", "v3"}
+
+
+def test_recreation_keeps_buckets(spark):
+    with catalog.temporary_database(spark) as name:
+        ref = TableRef(name, "t")
+        spark.range(20).selectExpr("id", "id % 3 AS k", "'20240101' AS p").write.partitionBy("p").bucketBy(4, "k").sortBy("id").saveAsTable(f"{name}.t")
+        catalog.recreate(spark, ref, spark.range(5).selectExpr("id", "id % 2 AS k", "1.5 AS more", "'20240102' AS p"))
+        assert catalog.buckets(spark, ref) == (4, ["k"], ["id"]) and spark.table(str(ref)).count() == 5
+
+
+def test_builds_are_logged(spark, tmp_path):
+    log = JobLog(spark, str(tmp_path / "log"))
+    spark.range(4).write.parquet(str(tmp_path / "src" / "a"))
+    rows = spark.read.parquet(str(tmp_path / "src" / "a"))
+    with log.run("out.b", rows, "SELECT", team="x") as run:
+        run.rows = 4
+    with pytest.raises(ValueError), log.run("out.c", rows):
+        raise ValueError("bad")
+    found = {r.destination.table: r for r in log.read().collect()}
+    assert found["b"].rows == 4 and found["b"].labels["team"] == "x" and found["b"].referenced[0].table == "a" and found["b"].error is None
+    assert found["c"].error == "ValueError: bad" and {r.dst.table for r in lineage.edges(log.read()).collect()} == {"b"}
+    assert joblog.users(log.read()).first()["n_failed"] == 1
+
+
+def test_squares_are_summed_exactly(spark):
+    big = [2**63 - 1, -(2**63), 3, None] * 50
+    wide = [Decimal("99999999999999999999999999999999.999999"), Decimal("-0.000001"), Decimal("12345678901234567890.5"), None] * 50
+    narrow = [Decimal("12345678.25"), Decimal("-0.75"), None, Decimal("99999999.99")] * 50
+    df = spark.createDataFrame(list(zip(big, wide, narrow, strict=True)), "a long, b decimal(38,6), c decimal(10,2)")
+    for sketches in (False, True):
+        rows = profile.profile(df.repartition(3), partition=F.col("a").cast("string") if sketches else None, sketches=sketches)
+        row = (profile.merge(rows) if sketches else rows).first()
+        for name, values in (("a", big), ("b", wide), ("c", narrow)):
+            want = float(sum(Fraction(v) ** 2 for v in values if v is not None))
+            assert abs(row[f"{name}__sum2"] - want) <= 4e-16 * want
+    exact = spark.createDataFrame([(10**9 + i,) for i in range(1000)], "a long")
+    assert profile.profile(exact).first()["a__sum2"] == float(sum((10**9 + i) ** 2 for i in range(1000)))
+
+
+def test_merged_sketches_say_what_the_rows_do(spark):
+    df = spark.range(20000).select((F.col("id") % 10).cast("string").alias("p"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("int").alias("v"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("t"), F.lit(None).cast("double").alias("none"))
+    row = profile.shown(profile.merge(profile.profile(df, partition=F.col("p"), columns=["v", "t", "none"], sketches=True))).first()
+    values = sorted(r.v for r in df.select("v").collect())
+    for q in row.v__quantiles:
+        at = q.key / 100 * len(values)
+        assert bisect_left(values, q.value) - 200 <= at <= bisect_right(values, q.value) + 200
+    assert {(x.value, x["count"]) for x in row.t__top_count} == {("a", 6667), ("b", 13333)} and row.none__quantiles is None
+    plain = {r.bucket: r["count"] for r in profile.histogram(df, "v", exact=True).collect()}
+    assert sum(b["count"] for b in row.v__histogram) == pytest.approx(20000, abs=20)
+    assert all(abs(b["count"] - plain[b.bucket]) < 400 for b in row.v__histogram)
+
+
+def test_a_stored_profile_reads_changed_partitions_only(spark, tmp_path):
+    source, kept = Published(spark, str(tmp_path / "t"), "day"), StoredProfile(spark, str(tmp_path / "p"), "day", ["v"])
+    rows = lambda days, v: spark.createDataFrame([(v + i, f"2024010{d}") for d in days for i in range(4)], "v long, day string")
+    source.publish(source.stage(rows(range(1, 6), 0)))
+    assert kept.refresh(source.read(), source.metadata("t")) == [f"2024010{d}" for d in range(1, 6)]
+    assert kept.refresh(source.read(), source.metadata("t")) == []
+    source.publish(source.stage(rows([3, 7], 100)), keep=lambda day: day not in ("20240103", "20240105"))
+    assert kept.stale(source.metadata("t")) == (["20240103", "20240107"], ["20240105"])
+    files = {f.rpartition("/")[0].rpartition("day=")[2][:8] for f in kept.of(source.read(), ["20240103"]).inputFiles()}
+    plan = kept.of(source.read(), ["20240103"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "20240103" in files
+    assert kept.refresh(source.read(), source.metadata("t")) == ["20240103", "20240107"]
+    row = kept.merged().first()
+    assert (row["count"], row.v__sum, row.v__max) == (20, 3 * 6 + 2 * 406, 103) and kept.rows().count() == 5
+
+
+def test_blocks_and_footers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 4000, 1, 40).withColumn("p", F.when(F.col("id") < 100, None).otherwise(F.concat(F.lit("a/"), F.col("id") % 2))).write.partitionBy("p").parquet(path)
+    few, more = tables.sampled_blocks(spark, path, 20, 1), tables.sampled_blocks(spark, path, 60, 1)
+    all_files = len(spark.read.parquet(path).inputFiles())
+    assert 0 < len(few.inputFiles()) < len(more.inputFiles()) < all_files and set(few.inputFiles()) < set(more.inputFiles())
+    assert tables.sampled_blocks(spark, path, 100).count() == 4000 and tables.sampled_blocks(spark, path, 0).count() == 0 and few.columns == ["id", "p"]
+    counts = {r.partition_id: r.n_rows for r in tables.row_counts(spark, path, "p").collect()}
+    assert counts == {None: 100, "a/0": 1950, "a/1": 1950}
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    assert "PushedAggregation: [COUNT(*)]" in tables._pushed_counts(own, path, "p")._jdf.queryExecution().toString()
+    assert {(r.partition_id, r.n_rows) for r in tables.storage_profile(spark, path, "t", "p").collect()} == set(counts.items())
+    old = spark.createDataFrame([("a", NOW - timedelta(days=200)), ("b", NOW)], "partition_id string, last_modified timestamp")
+    assert {r.partition_id: r.storage_tier for r in tables.dataset_profile(old, NOW).collect()} == {"a": "LONG_TERM", "b": "ACTIVE"}
+
+
 def test_recreation_copies_and_labels_of_the_catalog(spark):
     with catalog.temporary_database(spark) as name:
         ref, old, twin = (TableRef(name, t) for t in ("t", "t_old", "twin"))
@@ -419,7 +595,7 @@ def test_recreation_copies_and_labels_of_the_catalog(spark):
         catalog.copy_table(spark, ref, twin)
         assert spark.table(str(twin)).count() == 3 and catalog.partition_columns(spark, twin) == [("p", "string")]
         catalog.recreate(spark, ref, spark.createDataFrame([(1, 2.5, "20240101"), (2, 2.5, "20240103")], "a int, b double, p string"), old)
-        assert spark.table(str(old)).count() == 3 and spark.table(str(ref)).columns == ["a", "b", "p"]
+        assert spark.table(str(old)).count() == 3 and spark.table(str(ref)).columns == ["a", "b", "p"] and spark.table(str(ref)).count() == 2
         assert catalog.table_description(spark, ref) == "about t" and catalog.labels(spark, ref)["team"] == "x"
         assert spark.table(str(ref)).schema["a"].metadata["comment"] == "about a" and catalog.partition_columns(spark, ref) == [("p", "string")]
         assert update_labels(spark, name)["t"] == {"partition-min": "20240101", "partition-max": "20240103", "partition-skip": "1"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,22 +32,77 @@ def leaf_columns(schema: T.StructType, skip: tuple[str, ...] = (), path: str = "
     return out
 
 
+#: Size of the sketches of quantiles: of any value the rank is within about half a percent.  Values that a sketch of
+#: frequent ones tracks: counts are exact where a column has no more.
+KLL_K, TRACKED = 800, 10_000
+
+#: Decimals of 38 digits are cut into limbs of so many, whose sums cannot overflow below 10^19 rows.
+_LIMB = 19
+
+
+def square_limbs(c: Column, kind: T.DataType) -> list[tuple[int, Column]]:
+    """The square of a whole or decimal number as (exponent, limb): the sum of limb * 10^exponent is exact.
+
+    A number of up to 19 digits has a square of 38; a longer one is a * 10^19 + b first.
+    """
+    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+    digits = kind.precision if isinstance(kind, T.DecimalType) else 19
+    whole = T.DecimalType(38, 0)
+    base = F.lit(Decimal(10**_LIMB))
+
+    def split(x: Column, exponent: int) -> list[tuple[int, Column]]:
+        low = (x % base).cast(whole)
+        return [(exponent, low), (exponent + _LIMB, ((x - low) / base).cast(whole))]
+
+    # The digits without a point; all of them fit, since they are as many as the number has.
+    unit = F.translate(F.abs(c).cast("string"), ".", "").cast(whole) if scale else F.abs(c.cast(whole))
+    if digits <= _LIMB:
+        narrow = unit.cast(T.DecimalType(_LIMB, 0))
+        return [(e - 2 * scale, limb) for e, limb in split((narrow * narrow).cast(whole), 0)]
+    low = (unit % base).cast(T.DecimalType(_LIMB, 0))
+    high = ((unit - low) / base).cast(T.DecimalType(_LIMB, 0))
+    parts = [((low * low).cast(whole), 0), ((low * high).cast(whole), _LIMB), ((low * high).cast(whole), _LIMB), ((high * high).cast(whole), 2 * _LIMB)]
+    return [(e - 2 * scale, limb) for x, at in parts for e, limb in split(x, at)]
+
+
+def _limb_name(i: int, exponent: int) -> str:
+    return f"sum2_limb{i}_e{exponent}".replace("-", "m")
+
+
+def limbs_value(sums: list[tuple[int, Column]]) -> Column:
+    """The number that summed limbs make, rounded once: exactly where it has 38 digits at most, else by doubles."""
+    low = min(e for e, _ in sums)
+    wide = T.DecimalType(38, 0)
+    exact = None
+    for e, limb in sums:
+        if e - low > 37:
+            return sum((limb.cast("double") * 10.0**e for e, limb in sums), F.lit(0.0))
+        scaled = F.try_multiply(limb.cast(wide), F.lit(Decimal(10 ** (e - low))))
+        exact = scaled if exact is None else F.try_add(exact, scaled)
+    rounded = sum((limb.cast("double") * 10.0**e for e, limb in sums), F.lit(0.0))
+    return F.coalesce(exact.cast("double") / 10.0**-low if low < 0 else exact.cast("double") * 10.0**low, rounded)
+
+
 def _stats(name: str, path: str, kind: T.DataType, exact: bool, sketches: bool) -> list[Column]:
     c = F.col(path)
     put = lambda stat, e: e.alias(f"{name}__{stat}")
     distinct = F.count_distinct if exact else F.approx_count_distinct
     out = [put("nonnull", F.count(c))]
+    kll = top = None
     if isinstance(kind, NUMBERS):
-        wide = c.cast("double")
-        out += [put("unique", distinct(c)), put("sum", F.sum(c)), put("sum2", F.sum(wide * wide)), put("avg", F.avg(c)), put("min", F.min(c)), put("max", F.max(c))]
+        limbs = [(e, F.sum(limb)) for e, limb in square_limbs(c, kind)]
+        out += [put("unique", distinct(c)), put("sum", F.try_sum(c)), put("sum2", limbs_value(limbs)), put("avg", F.try_avg(c)), put("min", F.min(c)), put("max", F.max(c))]
+        if sketches:
+            out += [put(_limb_name(i, e), limb.cast("decimal(38,0)")) for i, (e, limb) in enumerate(limbs)]
         sketch = c.cast("long") if not isinstance(kind, T.DecimalType) else c.cast("string")
+        kll, top = c.cast("double"), c.cast("string")
     elif isinstance(kind, FLOATS):
         out += [put("sum", F.sum(c)), put("avg", F.avg(c)), put("min", F.min(c)), put("max", F.max(c))]
-        sketch = None
+        sketch, kll = None, c.cast("double")
     elif isinstance(kind, T.StringType):
         n = F.length(c)
         out += [put("unique", distinct(c)), put("avg_len", F.avg(n)), put("min_len", F.min(n)), put("max_len", F.max(n))]
-        sketch = c
+        sketch = top = c
     elif isinstance(kind, TIMES):
         out += [put("min", F.min(c)), put("max", F.max(c))]
         sketch = c.cast("date").cast("string")
@@ -53,13 +110,19 @@ def _stats(name: str, path: str, kind: T.DataType, exact: bool, sketches: bool)
         sketch = None
     if sketches and sketch is not None:
         out.append(put("day_hll" if isinstance(kind, TIMES) else "hll", F.hll_sketch_agg(sketch)))
+    if sketches and kll is not None:
+        # Not-a-numbers have no rank.
+        out.append(put("kll", F.kll_sketch_agg_double(F.when(~F.isnan(kll), kll), F.lit(KLL_K))))
+    if sketches and top is not None:
+        out.append(put("top", F.call_function("approx_top_k_accumulate", top, F.lit(TRACKED))))
     return out
 
 
 def profile(df: DataFrame, partition: Column | None = None, group_by: list[str] = (), columns: list[str] | None = None, exact: bool = False, sketches: bool = False) -> DataFrame:
     """One row per partition and group: count, and the statistics of each column's type, as `<column>__<stat>`.
 
-    One aggregate in one pass.  With `sketches`, HLL sketches are kept, so that profiles can be merged.
+    One aggregate in one pass; a sum that its type cannot hold is null.  With `sketches`, sketches of distinct values (HLL), of quantiles (KLL) and of frequent
+    values are kept, so that profiles can be merged; `shown` reads them.
     """
     keys = _keys(partition, group_by)
     chosen = [x for x in leaf_columns(df.schema, tuple(group_by)) if columns is None or x[0] in columns]
@@ -74,7 +137,7 @@ def _keys(partition: Column | None, group_by: list[str]) -> list[Column]:
 
 
 #: How each statistic of a stored profile is merged with others of its kind.
-_MERGE = {"nonnull": F.sum, "sum": F.sum, "sum2": F.sum, "min": F.min, "max": F.max, "min_len": F.min, "max_len": F.max, "hll": F.hll_union_agg, "day_hll": F.hll_union_agg}
+_MERGE = {"nonnull": F.sum, "sum": F.try_sum, "min": F.min, "max": F.max, "min_len": F.min, "max_len": F.max, "hll": F.hll_union_agg, "day_hll": F.hll_union_agg, "kll": F.kll_merge_agg_double, "top": lambda c: F.call_function("approx_top_k_combine", F.col(c))}
 
 
 def merge(profiles: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -83,7 +146,10 @@ def merge(profiles: DataFrame, by: list[str] = ()) -> DataFrame:
     for c in profiles.columns:
         if "__" in c:
             names[c.rpartition("__")[0]].add(c.rpartition("__")[2])
+    exact = {n: sorted(s for s in stats if s.startswith("sum2_limb")) for n, stats in names.items()}
     merged = [_MERGE[s](f"{n}__{s}").alias(f"{n}__{s}") for n, stats in names.items() for s in sorted(stats) if s in _MERGE]
+    merged += [F.sum(f"{n}__{s}").cast("decimal(38,0)").alias(f"{n}__{s}") for n, limbs in exact.items() for s in limbs]
+    merged += [F.sum(f"{n}__sum2").alias(f"{n}__sum2") for n, stats in names.items() if "sum2" in stats and not exact[n]]
     lengths = [F.sum(F.col(f"{n}__avg_len") * F.col(f"{n}__nonnull")).alias(f"{n}__sum_len") for n, stats in names.items() if "avg_len" in stats]
     out = profiles.groupBy(*by).agg(F.sum("count").alias("count"), *merged, *lengths)
     for n, stats in names.items():
@@ -93,9 +159,59 @@ def merge(profiles: DataFrame, by: list[str] = ()) -> DataFrame:
             out = out.withColumn(f"{n}__avg_len", F.try_divide(F.col(f"{n}__sum_len"), F.col(f"{n}__nonnull"))).drop(f"{n}__sum_len")
         if "hll" in stats:
             out = out.withColumn(f"{n}__unique", F.hll_sketch_estimate(f"{n}__hll"))
+        if exact[n]:
+            sums = [(int(s.rpartition("_e")[2].replace("m", "-")), F.col(f"{n}__{s}")) for s in exact[n]]
+            out = out.withColumn(f"{n}__sum2", limbs_value(sums))
     return out
 
 
+def _quantiles_of(sketch: str) -> Column:
+    """(key, value) of the picked quantiles of a KLL sketch; key is the percentage."""
+    values = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(p / 1000) for p in PICKS]))
+    keys = F.array(*[F.lit(p / 10) for p in PICKS])
+    return F.transform(F.arrays_zip(keys.alias("key"), values.alias("value")), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+
+
+#: Points of a sketch that a histogram counts.
+_POINTS = 1000
+
+
+def _histogram_of(sketch: str) -> Column:
+    """(bucket, low, high, count) of a KLL sketch, with edges as those of `histogram`; of a thousand quantiles, so many
+    lie in a bucket as thousandths of the rows."""
+    points = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit((i + 0.5) / _POINTS) for i in range(_POINTS)]))
+    quarter = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.75)))
+    base, step = quarter[0] - 1.5 * (quarter[1] - quarter[0]), (quarter[1] - quarter[0]) / 5
+    total = F.kll_sketch_get_n_double(sketch)
+    place = F.transform(points, lambda v: F.greatest(F.lit(0), F.least(F.lit(EDGES + 1), F.floor((v - base) / step) + 1)).cast("int"))
+
+    def bar(i: Column) -> Column:
+        low, high = F.when(i > 0, base + step * (i - 1)), F.when(i <= EDGES, base + step * i)
+        return F.struct(i.alias("bucket"), low.alias("low"), high.alias("high"), F.round(F.size(F.filter(place, lambda x: x == i)) * total / _POINTS).cast("long").alias("count"))
+
+    bars = F.filter(F.transform(F.sequence(F.lit(0), F.lit(EDGES + 1)), bar), lambda x: x["count"] > 0)
+    none = F.lit(None).cast("double")
+    return F.when(step > 0, bars).otherwise(F.array(F.struct(F.lit(0).alias("bucket"), none.alias("low"), none.alias("high"), total.alias("count"))))
+
+
+def shown(profiles: DataFrame, top_numbers: int = TOP_NUMBERS, top_texts: int = TOP_TEXTS) -> DataFrame:
+    """Profiles with sketches, merged or not, with what the sketches say in their place.
+
+    A number has `__quantiles` of (key, value) and a `__histogram` of (bucket, low, high, count); numbers and texts have
+    `__top_count` of (value, count).  Frequent values are those that the sketch is sure of: with more distinct values
+    than it tracks, one that is not frequent is left out.
+    """
+    out = profiles
+    for n in [c.removesuffix("__kll") for c in profiles.columns if c.endswith("__kll")]:
+        has = F.col(f"{n}__nonnull") > 0
+        out = out.withColumns({f"{n}__quantiles": F.when(has, _quantiles_of(f"{n}__kll")), f"{n}__histogram": F.when(has, _histogram_of(f"{n}__kll"))})
+    for n in [c.removesuffix("__top") for c in profiles.columns if c.endswith("__top")]:
+        most = top_numbers if f"{n}__kll" in profiles.columns else top_texts
+        found = F.call_function("approx_top_k_estimate", F.col(f"{n}__top"), F.lit(most))
+        out = out.withColumn(f"{n}__top_count", F.transform(found, lambda x: F.struct(x["item"].alias("value"), x["count"].alias("count"))))
+    return out.drop(*[c for c in profiles.columns if c.rpartition("__")[2] in ("kll", "top", "hll", "day_hll") or "__sum2_limb" in c])
+
+
 def top_count(df: DataFrame, column: str, n: int = TOP_NUMBERS, partition: Column | None = None, group_by: list[str] = ()) -> DataFrame:
     """(partition_key, group_keys, value, count) of a column's most frequent values, ties by value.
 

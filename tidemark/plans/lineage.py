@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.catalog import description, set_description
@@ -47,9 +47,10 @@ def _reads(jobs: DataFrame, begin: str | None, end: str | None) -> DataFrame:
     else:
         done = done.filter(F.col("created").between(F.lit(begin).cast("timestamp"), F.lit(end).cast("timestamp")))
     node = lambda n: F.struct(n["project"].alias("project"), n["dataset"].alias("dataset"), shard_family(n["table"]).alias("table"))
-    flat = done.withColumn("ref", F.explode("referenced"))
+    # A job that reads no table keeps one row, without a source.
+    flat = done.withColumn("ref", F.explode_outer("referenced"))
     dst = F.when(F.col("destination.dataset").startswith("_"), F.struct(F.lit(USER).alias("project"), F.lit(USER).alias("dataset"), F.lit(USER).alias("table"))).otherwise(node(F.col("destination")))
-    return flat.withColumns({"dst": dst, "src": node(F.col("ref"))})
+    return flat.withColumns({"dst": dst, "src": F.when(F.col("ref").isNotNull(), node(F.col("ref")))})
 
 
 def edges(jobs: DataFrame, begin: str | None = None, end: str | None = None) -> DataFrame:
@@ -73,41 +74,85 @@ def attributes(jobs: DataFrame, begin: str | None = None, end: str | None = None
     deciles = lambda c: F.percentile_approx(c, F.array(*[F.lit(i / 10) for i in range(11)]), 1_000_000 if exact else 10_000).alias(f"{c}__quantiles")
     queries = F.count_distinct("query") if exact else F.approx_count_distinct("query")
     rest = reads.groupBy("dst", "src").agg(queries.alias("n_queries"), F.sum("slot_ms").alias("slot_ms"), *[deciles(c) for c in ("processed_ms", "wait_ms", "slot_ms")])
-    return rest.join(top, ["dst", "src"])
+    top = top.select(F.col("dst").alias("_dst"), F.col("src").alias("_src"), "query")
+    return rest.join(top, (F.col("dst") == F.col("_dst")) & F.col("src").eqNullSafe(F.col("_src"))).drop("_dst", "_src")
 
 
 def name(node: Column) -> Column:
     return F.concat_ws(".", node["project"], node["dataset"], node["table"])
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """A table computed once, in files of the shared folder."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _settled(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """A table computed once, in files of the shared folder, with its `rows` and other aggregates observed on the way."""
+    path, seen = scratch(df.sparkSession), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()]).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+def reach(steps: DataFrame) -> DataFrame:
+    """(a, b) of all nodes b that some steps (a, b) lead to from a.  Each round doubles the steps; it ends when no pair is added."""
+    found, seen = _settled(steps.select("a", "b").distinct())
+    while True:
+        longer = found.select(F.col("a"), F.col("b").alias("m")).join(found.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        more, now = _settled(found.unionByName(longer).distinct())
+        if now == seen:
+            return more
+        found, seen = more, now
+
+
+def cycles(steps: DataFrame) -> DataFrame:
+    """(node, part, size): the strongly connected part of each node of some steps (a, b), by its smallest node.
+
+    Nodes are in one part if each leads to the other; a node on no cycle is a part of its own.
+    """
+    pairs = reach(steps)
+    mutual = pairs.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    nodes = steps.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    parts = nodes.join(mutual, "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("part"))
+    return _settled(parts.withColumn("size", F.count("*").over(Window.partitionBy("part"))))[0]
+
+
+def depths(steps: DataFrame) -> DataFrame:
+    """(a, b, depth) of all nodes that some steps (a, b) lead to: the steps of the longest way.
+
+    A cycle counts as its tables one after the other, all of them as far away as the last.  So cycles are contracted, and
+    the longest ways over the rest are found by rounds that double them.
+    """
+    parts = cycles(steps)
+    of = lambda side: parts.select(F.col("node").alias(side), F.col("part").alias(f"{side}_part"), F.col("size").alias(f"{side}_size"))
+    between = steps.join(of("a"), "a").join(of("b"), "b").filter("a_part <> b_part")
+    far = between.select(F.col("a_part").alias("a"), F.col("b_part").alias("b"), F.col("b_size").alias("depth")).distinct()
+    far, seen = _settled(far, total=F.sum("depth"))
+    while seen["rows"]:
+        ahead = far.select(F.col("a").alias("m"), "b", F.col("depth").alias("more"))
+        longer = far.withColumnRenamed("b", "m").join(ahead, "m").select("a", "b", (F.col("depth") + F.col("more")).alias("depth"))
+        far, now = _settled(far.unionByName(longer).groupBy("a", "b").agg(F.max("depth").alias("depth")), total=F.sum("depth"))
+        if now == seen:
+            break
+        seen = now
+    starts, ends = of("from"), of("to")
+    apart = far.join(starts, F.col("a") == F.col("from_part")).join(ends, F.col("b") == F.col("to_part"))
+    apart = apart.select(F.col("from").alias("a"), F.col("to").alias("b"), (F.col("depth") + F.col("from_size") - 1).alias("depth"))
+    inside = starts.join(ends, F.col("from_part") == F.col("to_part")).filter("from <> to").select(F.col("from").alias("a"), F.col("to").alias("b"), (F.col("from_size") - 1).alias("depth"))
+    return apart.unionByName(inside)
 
 
 def lineage(edges: DataFrame, max_depth: int = 50) -> DataFrame:
     """(destination, depth, dst, src) of every table: its own edges at depth 0, then those of its sources.
 
-    A step goes on while the current edge stays within a dataset, and never returns to a table on its path.  Then each
-    edge's source brings its own lineage from other datasets, once.  Users' queries are at depth -1 of what they read.  Edges may have a
-    null source.  One join per depth; it ends when no edge is added.
+    Steps go on within a dataset, and the depth of an edge is that of the longest way to its table (`depths`), at most
+    `max_depth`.  Then each edge's source brings its own lineage from other datasets, once.  Users' queries are at depth
+    -1 of what they read.  Edges may have a null source.
     """
     plain = edges.select("dst", "src")
     own = plain.filter((F.col("dst.table") != USER) & ~F.col("dst.dataset").startswith("_"))
-    near = own.select(name(F.col("dst")).alias("destination"), F.lit(0).alias("depth"), "dst", "src", F.array("dst").alias("path"))
-    follow = plain.select(F.col("dst").alias("d2"), F.col("src").alias("s2"))
-    levels, front = [near], near
-    for depth in range(1, max_depth + 1):
-        same = (F.col("dst.project") == F.col("src.project")) & (F.col("dst.dataset") == F.col("src.dataset"))
-        front = front.filter(same & ~F.array_contains("path", F.col("src"))).join(follow, F.col("src") == F.col("d2"))
-        front = front.select("destination", F.lit(depth).alias("depth"), F.col("d2").alias("dst"), F.col("s2").alias("src"), F.concat("path", F.array("d2")).alias("path")).distinct()
-        front = _settled(front)
-        if front.isEmpty():
-            break
-        levels.append(front)
-    compact = reduce(DataFrame.unionByName, levels).groupBy("destination", "dst", "src").agg(F.max("depth").alias("depth"))
+    same = (F.col("dst.project") == F.col("src.project")) & (F.col("dst.dataset") == F.col("src.dataset"))
+    steps = own.filter(same & (F.col("dst") != F.col("src"))).select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct()
+    below = depths(steps).select("a", F.col("b").alias("dst"), F.least("depth", F.lit(max_depth)).cast("int").alias("depth"))
+    near = own.select(name(F.col("dst")).alias("destination"), F.lit(0).alias("depth"), "dst", "src")
+    deeper = below.join(own, "dst").select(name(F.col("a")).alias("destination"), "depth", "dst", "src")
+    compact = near.unionByName(deeper).groupBy("destination", "dst", "src").agg(F.max("depth").alias("depth"))
+    compact, _ = _settled(compact)
     across = compact.filter(F.col("src").isNotNull() & ((F.col("dst.project") != F.col("src.project")) | (F.col("dst.dataset") != F.col("src.dataset"))))
     theirs = compact.select(F.col("destination").alias("via"), F.col("dst").alias("d2"), F.col("src").alias("s2"), F.col("depth").alias("more"))
     far = across.join(theirs, name(F.col("src")) == F.col("via")).groupBy("destination", F.col("d2").alias("dst"), F.col("s2").alias("src")).agg(F.max(F.col("depth") + 1 + F.col("more")).alias("depth"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +16,13 @@ from tidemark.operators.alignment import day_to_day, day_to_day_padded, day_to_w
 from tidemark.operators.labels import merged_labels, partition_labels, view_labels
 from tidemark.operators.ranges import contiguous_run, gaps, refresh_range
 from tidemark.operators.refresh import partition_id, replace_range, table_at, update_partitions
+from tidemark.operators.profile_store import StoredProfile
 from tidemark.operators.staleness import stale_partitions
+from tidemark.plans.columns import recorded
+from tidemark.plans.joblog import JobLog
 from tidemark.plans.lineage import attributes, edges, lineage, mermaid
-from tidemark.sources.tables import data_metadata, parquet, scratch
+from tidemark.sources.published import Published
+from tidemark.sources.tables import data_metadata, parquet, scratch, storage_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,6 +168,81 @@ def refresh_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_at(spark, path).read().select("partition_id", "event_type", "n")
 
 
+@query(
+    """with last as (select max(o_orderdate) as d from orders), first as (select strftime(d - interval 1 month, '%Y%m') as m from last)
+select strftime(o_orderdate, '%Y%m') as partition_id, count(*) as n, round(sum(o_totalprice), 2) as total, 2 as version, (select count(distinct strftime(o_orderdate, '%Y%m')) from orders where strftime(o_orderdate, '%Y%m') >= (select m from first)) as before
+from orders where strftime(o_orderdate, '%Y%m') >= (select m from first) group by 1"""
+)
+def refresh_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refresh whose query gives another column: the table begins anew with the refreshed months, and its version
+    before can still be read."""
+    path, view = f"{scratch(spark)}/monthly", f"orders_{uuid.uuid4().hex}"
+    orders = parquet(spark, sf_dir, "orders").withColumn("month", F.trunc("o_orderdate", "month"))
+    orders.createOrReplaceTempView(view)
+    newest = orders.agg(F.max("month")).first()[0]
+    months = spark.createDataFrame([((newest.replace(day=1) - timedelta(days=1)).strftime("%Y%m"),), (newest.strftime("%Y%m"),)], "id string")
+    aligned = months.select(F.col("id").alias("destination"), F.array("id").alias("sources"))
+    meta = months.select(F.lit("orders").alias("table_name"), F.col("id").alias("partition_id"), F.lit(NOW).alias("last_modified"))
+    of = lambda columns: f"SELECT month, {columns} FROM {view} WHERE month BETWEEN :begin AND :end GROUP BY month"
+    go = lambda columns: update_partitions(spark, path, meta, "monthly", ["orders"], aligned, of(columns), partition_id(F.col("month"), "month"), NOW, auto_recreate="replace_if_changed")
+    try:
+        go("count(*) AS n")
+        go("count(*) AS n, round(sum(o_totalprice), 2) AS total")
+    finally:
+        spark.catalog.dropTempView(view)
+    table = table_at(spark, path)
+    found = table.read().select("partition_id", "n", "total", F.lit(table.version().number).cast("int").alias("version"))
+    return found.withColumn("before", F.lit(table.read(number=1).select("partition_id").distinct().count()).cast("long"))
+
+
+@query(
+    """with d as (select max(ts)::date as d from events) select 'daily' as dst, 'events' as src, 1 as n_jobs, 0 as depth,
+(select count(*) from (select distinct ts::date, event_type from events, d where ts::date >= d - interval 1 day)) as rows"""
+)
+def refresh_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refresh notes itself in a log, from which the table's lineage is read."""
+    base, view = scratch(spark), f"events_{uuid.uuid4().hex}"
+    log = JobLog(spark, f"{base}/log")
+    events = parquet(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    events.createOrReplaceTempView(view)
+    newest = events.agg(F.max("day")).first()[0]
+    span = spark.createDataFrame([(newest - timedelta(days=1), newest)], "first date, last date")
+    meta = span.select(F.explode(F.array("first", "last")).alias("d")).select(F.lit("events").alias("table_name"), F.date_format("d", "yyyyMMdd").alias("partition_id"), F.lit(NOW).alias("last_modified"))
+    counts = f"SELECT day, event_type, count(*) AS n FROM {view} WHERE day BETWEEN :begin AND :end GROUP BY day, event_type"
+    try:
+        update_partitions(spark, f"{base}/daily", meta, "daily", ["events"], day_to_day(span), counts, partition_id(F.col("day"), "day"), NOW, log=log, auto_recreate="replace_if_changed")
+    finally:
+        spark.catalog.dropTempView(view)
+    found = edges(log.read()).select("dst", "src", "n_jobs")
+    rows = log.read().agg(F.sum("rows").alias("rows"))
+    # One row.
+    plain = found.join(lineage(edges(log.read())).select("dst", "src", "depth"), ["dst", "src"]).join(F.broadcast(rows))
+    return plain.select(F.col("dst.table").alias("dst"), F.regexp_replace("src.table", r"\.parquet$", "").alias("src"), F.col("n_jobs").cast("int").alias("n_jobs"), "depth", "rows")
+
+
+@query(
+    """select * from (values ('open', 'lineitem', 'l_extendedprice,l_orderkey,l_returnflag'), ('open', 'orders', 'o_orderkey,o_orderstatus'), ('o_orderstatus', 'lineitem', 'l_orderkey,l_returnflag'),
+('o_orderstatus', 'orders', 'o_orderkey,o_orderstatus')) t(column_name, table_name, fields) join (select 'lineitem' as table_name, count(*) as n_rows from lineitem union all select 'orders', count(*) from orders) using (table_name)"""
+)
+def column_lineage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fields of which tables make each column of a query, with the rows that their tables have."""
+    names = {t: f"{t}_{uuid.uuid4().hex}" for t in ("orders", "lineitem")}
+    for t, view in names.items():
+        parquet(spark, sf_dir, t).createOrReplaceTempView(view)
+    query_text = (
+        f"WITH l AS (SELECT l_orderkey AS k, named_struct('price', l_extendedprice, 'tax', l_tax) AS s FROM {names['lineitem']} WHERE l_returnflag = 'N') "
+        f"SELECT o_orderstatus, sum(l.s.price) AS open FROM {names['orders']} JOIN l ON l.k = o_orderkey GROUP BY o_orderstatus"
+    )
+    try:
+        log = recorded(spark, "open_orders", query_text, "v1", NOW)
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
+    each = log.select(F.col("column").alias("column_name"), F.regexp_extract("location", r"([^/]*)\.parquet$", 1).alias("table_name"), F.array_join("fields", ",").alias("fields"))
+    rows = storage_profile(spark, f"{sf_dir}/lineitem.parquet", "lineitem").unionByName(storage_profile(spark, f"{sf_dir}/orders.parquet", "orders"))
+    return each.join(rows.select("table_name", "n_rows"), "table_name")
+
+
 @query(
     f"""{_META}, n as (select id, lm from src union all select '__ANY__', max(lm) from src)
 select 'day' as kind, strftime(d, '%Y%m%d') as partition_id from days join src s on s.id = strftime(d, '%Y%m%d') left join dst on dst.id = s.id where {_BEHIND.format(forced='false')}
@@ -534,10 +613,75 @@ min(l_linenumber) as l_linenumber__min, max(l_linenumber) as l_linenumber__max,
 def profile_partition_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of months, with sketches, merged into one."""
     months = profile.profile(parquet(spark, sf_dir, "lineitem"), partition=F.date_format("l_shipdate", "yyyyMM"), columns=["l_linenumber"], sketches=True)
-    out = profile.merge(months).drop("l_linenumber__hll")
+    out = profile.merge(months)
+    out = out.drop(*[c for c in out.columns if c.endswith(("__hll", "__kll", "__top")) or "__sum2_limb" in c])
     return _rounded(out.withColumn("l_linenumber__unique", F.col("l_linenumber__unique").cast("long")))
 
 
+@query(
+    """with q as (select unnest([0.0, 1.0, 10.0, 25.0, 50.0, 75.0, 90.0, 99.0, 100.0]) as key), n as (select count(*) as n, count(distinct l_returnflag) as flags from lineitem)
+select key, n, true as within_one_percent from q, n"""
+)
+def profile_merged_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from sketches of months that were merged: each has the rank that it should, by a count of all rows, within one percent."""
+    table = parquet(spark, sf_dir, "lineitem").select("l_shipdate", "l_extendedprice")
+    months = profile.profile(table, partition=F.date_format("l_shipdate", "yyyyMM"), columns=["l_extendedprice"], sketches=True)
+    points = profile.shown(profile.merge(months)).select(F.explode("l_extendedprice__quantiles").alias("q")).select("q.*")
+    # Nine points.
+    beside = table.select("l_extendedprice").join(F.broadcast(points))
+    ranks = beside.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("l_extendedprice") < F.col("value")).alias("below"), F.count_if(F.col("l_extendedprice") <= F.col("value")).alias("up_to"))
+    wanted = F.col("key") / 100 * F.col("n")
+    near = (F.col("below") - 0.01 * F.col("n") <= wanted) & (wanted <= F.col("up_to") + 0.01 * F.col("n"))
+    return ranks.select("key", "n", near.alias("within_one_percent"))
+
+
+@query(
+    """with c as (select l_returnflag as value, count(*) as count from lineitem group by 1 union all select l_linenumber::varchar, count(*) from lineitem where l_linenumber is not null group by 1)
+select case when value in ('A', 'N', 'R') then 'l_returnflag' else 'l_linenumber' end as column_name, value, count from
+  (select *, row_number() over (partition by value in ('A', 'N', 'R') order by count desc, value) as i from c) where value in ('A', 'N', 'R') or i <= 7"""
+)
+def profile_merged_top_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent values from sketches of months that were merged."""
+    months = profile.profile(parquet(spark, sf_dir, "lineitem"), partition=F.date_format("l_shipdate", "yyyyMM"), columns=["l_returnflag", "l_linenumber"], sketches=True)
+    found = profile.shown(profile.merge(months), top_numbers=7)
+    of = lambda c: found.select(F.lit(c).alias("column_name"), F.explode(f"{c}__top_count").alias("x")).select("column_name", "x.value", "x.count")
+    return of("l_returnflag").unionByName(of("l_linenumber"))
+
+
+def _event_days(spark: SparkSession, sf_dir: str, changed: bool) -> DataFrame:
+    """Events by day; changed, those of one day are ten times as large."""
+    events = parquet(spark, sf_dir, "events").select("user_id", "value", F.date_format("ts", "yyyyMMdd").alias("day"))
+    newest = events.agg(F.max("day")).first()[0]
+    return events.filter(F.col("day") == newest).withColumn("user_id", F.col("user_id") * 10) if changed else events
+
+
+@query(
+    """with e as (select case when strftime(ts, '%Y%m%d') = (select max(strftime(ts, '%Y%m%d')) from events) then user_id * 10 else user_id end as user_id from events)
+select count(*) as count, sum(user_id)::bigint as total, sum(user_id::hugeint * user_id)::varchar as squares, min(user_id) as least, max(user_id) as most, 1 as days_profiled from e"""
+)
+def profile_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored profile of all days, brought up to date after one day has changed; only that day is profiled again."""
+    base = scratch(spark)
+    source, kept = Published(spark, f"{base}/events", "day"), StoredProfile(spark, f"{base}/profile", "day", ["user_id"])
+    source.publish(source.stage(_event_days(spark, sf_dir, False)))
+    kept.refresh(source.read(), source.metadata("events"))
+    draft = source.stage(_event_days(spark, sf_dir, True))
+    days = {f.key for f in draft.version.folders}
+    source.publish(draft, keep=lambda day: day not in days)
+    again = kept.refresh(source.read(), source.metadata("events"))
+    out = kept.merged()
+    squares = F.col("user_id__sum2").cast("decimal(38,0)").cast("string")
+    return out.select("count", F.col("user_id__sum").alias("total"), squares.alias("squares"), F.col("user_id__min").alias("least"), F.col("user_id__max").alias("most"), F.lit(len(again)).alias("days_profiled"))
+
+
+@query("select 'orders' as table_name, o_orderstatus as partition_id, count(*) as n_rows from orders group by 2")
+def storage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each partition from the footers of its files."""
+    path = f"{scratch(spark)}/orders"
+    parquet(spark, sf_dir, "orders").write.partitionBy("o_orderstatus").parquet(path)
+    return storage_profile(spark, path, "orders", "o_orderstatus").select("table_name", "partition_id", "n_rows")
+
+
 def _jobs(spark: SparkSession, sf_dir: str, more: bool = False) -> DataFrame:
     """A job log made of the events: each is a job that reads one table and writes another."""
     ms = (F.col("event_id") % 997).cast("long")

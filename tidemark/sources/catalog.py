@@ -127,6 +127,11 @@ def recreate(spark: SparkSession, table: TableRef, df: DataFrame, backup: TableR
     set_labels(spark, fresh, kept)
     spark.sql(f"ALTER TABLE {table} RENAME TO {backup}" if backup else f"DROP TABLE {table}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    if parts:
+        # Some catalogs keep the places that partitions had under the old name.
+        for renamed in [table, backup] if backup else [table]:
+            spark.sql(f"REPAIR TABLE {renamed} DROP PARTITIONS")
+            spark.sql(f"REPAIR TABLE {renamed} ADD PARTITIONS")
 
 
 def buckets(spark: SparkSession, table: TableRef) -> tuple[int, list[str], list[str]]:

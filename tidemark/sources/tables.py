@@ -49,30 +49,78 @@ def data_metadata(df: DataFrame, table_name: str, partition_id: Column, at: Colu
     return df.groupBy(partition_id.alias("partition_id")).agg(F.max(at).alias("last_modified")).select(F.lit(table_name).alias("table_name"), "partition_id", "last_modified")
 
 
+def row_counts(spark: SparkSession, path: str, partition_column: str | None = None) -> DataFrame:
+    """(partition_id, n_rows) of a Parquet table, from the footers of its files: the source counts, and no row is read.
+
+    A session of its own has the settings that this needs; it gives back a row for each partition.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    counts = _pushed_counts(own, path, partition_column).collect()
+    return spark.createDataFrame([(str(r["p"]) if r["p"] is not None else None, r["n"]) for r in counts], "partition_id string, n_rows long")
+
+
+def _pushed_counts(session: SparkSession, path: str, partition_column: str | None) -> DataFrame:
+    # Partitions are counted by what their folders say, as it stands.
+    session.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    table = session.read.parquet(path)
+    if partition_column:
+        return table.groupBy(F.col(partition_column).alias("p")).agg(F.count("*").alias("n"))
+    return table.agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("p"), "n")
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, at, size) of the Parquet files below a place, which are listed and not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select("path", F.col("modificationTime").alias("at"), F.col("length").alias("size"))
+
+
 def storage_profile(spark: SparkSession, path: str, table_name: str, partition_column: str | None = None) -> DataFrame:
     """(table_name, partition_id, n_rows, n_files, n_bytes, first_modified, last_modified) of each partition.
 
-    Names that end in a date are shown as their family.
+    Names that end in a date are shown as their family.  Rows are counted from footers, files are listed.
     """
-    part = F.col(partition_column).cast("string") if partition_column else F.lit(None).cast("string")
-    meta = F.col("_metadata")
-    rows = spark.read.parquet(path).select(part.alias("partition_id"), meta["file_path"].alias("f"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("at"))
-    files = rows.groupBy("partition_id", "f").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("at").alias("at"))
+    found = F.url_decode(F.regexp_extract("path", f"/{partition_column}=([^/]*)/", 1))
+    part = F.when(found != "__HIVE_DEFAULT_PARTITION__", found) if partition_column else F.lit(None).cast("string")
+    totals = listed(spark, path).groupBy(part.alias("partition_id")).agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"), F.min("at").alias("first_modified"), F.max("at").alias("last_modified"))
+    counts = row_counts(spark, path, partition_column).withColumnRenamed("partition_id", "_p")
+    both = totals.join(counts, F.col("partition_id").eqNullSafe(F.col("_p")), "left")
     name = F.regexp_replace(F.lit(table_name), r"\d{8}$", "*")
-    totals = files.groupBy("partition_id").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"), F.min("at").alias("first_modified"), F.max("at").alias("last_modified"))
-    return totals.select(name.alias("table_name"), "*")
+    return both.select(name.alias("table_name"), "partition_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_files", "n_bytes", "first_modified", "last_modified")
+
+
+#: Days after its last change until a partition counts as kept for long.
+ACTIVE_DAYS = 90
 
 
-def dataset_profile(profiles: DataFrame, now: datetime, days: int = 365) -> DataFrame:
-    """Rows of `storage_profile` with `creation_delay`, the time from a partition's day to its last change.
+def dataset_profile(profiles: DataFrame, now: datetime, days: int = 365, active_days: int = ACTIVE_DAYS) -> DataFrame:
+    """Rows of `storage_profile` with `creation_delay`, the time from a partition's day to its last change, and
+    `storage_tier`: ACTIVE, or LONG_TERM where nothing has changed for `active_days`.
 
     Partitions whose name is a date that is more than so many days old are left out.
     """
     day = F.try_to_timestamp(F.when(F.col("partition_id").rlike(r"^\d{8}$"), F.col("partition_id")), F.lit("yyyyMMdd"))
-    recent = F.coalesce(day > F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"), F.lit(True))
-    return profiles.filter(recent).withColumn("creation_delay", F.col("last_modified") - day)
+    at = F.lit(now).cast("timestamp")
+    recent = F.coalesce(day > at - F.expr(f"interval {days} days"), F.lit(True))
+    tier = F.when(F.col("last_modified") > at - F.expr(f"interval {active_days} days"), "ACTIVE").otherwise("LONG_TERM")
+    return profiles.filter(recent).withColumns({"creation_delay": F.col("last_modified") - day, "storage_tier": tier})
 
 
 def sampled(df: DataFrame, percent: float, seed: int | None = None) -> DataFrame:
-    """About so many percent of the rows."""
+    """About so many percent of the rows; all are read."""
     return df.sample(percent / 100, seed)
+
+
+def sampled_blocks(spark: SparkSession, path: str, percent: float, seed: int = 0) -> DataFrame:
+    """The rows of about so many percent of a table's files, drawn by a hash of their place; no other file is opened.
+
+    All rows of a file come or none, so what is near in the table comes together.  100 is the whole table; at any smaller
+    percentage the files of a larger one have those of a smaller.
+    """
+    table = spark.read.parquet(path)
+    draw = F.pmod(F.xxhash64(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(seed)), F.lit(1_000_000)) < F.lit(round(percent * 10_000))
+    chosen = [r["path"] for r in listed(spark, path).filter(draw).select("path").collect()]
+    if not chosen:
+        return table.limit(0)
+    return spark.read.schema(table.schema).option("basePath", path).parquet(*chosen)
