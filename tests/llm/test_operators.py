@@ -191,6 +191,38 @@ def test_decontamination_equals_alignment_of_all_pairs(spark):
     assert len(seeded) >= 0.9 * len(score) > 20
 
 
+def test_a_phrase_that_many_items_share_is_no_seed(spark):
+    rng = random.Random(5)
+    phrase = "which of the following"
+    items = [(f"q{i}", f"{phrase} " + " ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randint(14, 30)))) for i in range(40)]
+    docs = [(f"d{d}", " ".join(f"v{rng.randrange(9000)}" for _ in range(30)) + f" {phrase} v1 v2") for d in range(200)] + [("copy", "some words before " + items[7][1])]
+    docs, items = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
+    known = decontaminate.item_grams(items, 4)
+    name = known.groupBy("gram").count().filter("count = 40").first()["gram"]
+    counted = decontaminate.gram_counts(docs, decontaminate.bitmap(known, F.col("gram")), 4, [])
+    assert {r.gram: r.n for r in counted.filter(F.col("gram") == name).collect()} == {name: 201}
+    seeds = decontaminate.rare_seeds(known, counted)
+    per_item = {r.item_id: (r.seeds, r.all) for r in seeds.groupBy("item_id", F.size("words").alias("all")).agg(F.count("*").alias("seeds")).collect()}
+    assert seeds.filter(F.col("gram") == name).count() == 0 and all(n == size - 3 - (size - 3) // 12 for n, size in per_item.values())
+    assert [(r.doc_id, r.item_id, r.score) for r in decontaminate.matches(docs, items).collect()] == [("copy", "q7", 1.0)]
+
+
+@pytest.mark.parametrize("edits", [0.1, 0.15, 0.2, 0.25])
+def test_recall_of_edited_copies_beside_exact_ones_and_in_groups(spark, edits):
+    """Copies of which words are replaced, each there five times, so that what they keep is more common than what they lost."""
+    rng = random.Random(int(edits * 100))
+    items = [[f"w{rng.randrange(5000)}" for _ in range(rng.randint(16, 59))] for _ in range(60)]
+    rows, wanted = [], set()
+    for i, item in enumerate(items):
+        rows += [(1000 + 3 * i + k, " ".join(item)) for k in range(3)]
+        copy = [w if rng.random() > edits else f"x{rng.randrange(10**6)}" for w in item]
+        rows += [(10_000 + 5 * i + k, f"before{k} " + " ".join(copy)) for k in range(5)]
+        wanted |= {(1000 + 3 * i + k, i) for k in range(3)} | {(10_000 + 5 * i + k, i) for k in range(5)}
+    tables = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(*tables).collect()}
+    assert found <= wanted and len(found) >= 0.97 * len(wanted)
+
+
 def test_decontamination_finds_short_items_and_scripts_without_spaces(spark):
     han, thai = "山川日月水火木金土天地人", "กขคงจฉชซ"
     items = [(1, "quick Brown fox"), (2, "zyzzyva"), (3, han), (4, "two words"), (5, thai), (6, "山川")]

@@ -1,20 +1,23 @@
-"""Benchmark decontamination: n-gram seeds, then local alignment.
+"""Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-Texts are read as normalised words (lower case, letters and digits only; in scripts without spaces each character is one).  One pass over the corpus finds the n-grams
-that any test item has, by a bitmap of fixed size, and keeps the passages around them; a join with the items' n-grams
-removes the bitmap's false hits.  Every n-gram of an item is a seed: which ones an edited copy has kept is not known
-before, and the rarest of a stretch may be just the one that it has lost.  So a copy that keeps any n-gram is aligned.
-Seeds join passages to items, each pair once.  Smith-Waterman alignment of words (match 2, mismatch and gap -1) scores each pair; the
-score is a share of the item's perfect score, and pairs from `least` on are contamination.
+Texts are read as normalised words (lower case, letters and digits only; in scripts without spaces each character is one).
+One pass over the corpus counts the n-grams that any test item has, by a bitmap of fixed size.  An item's seeds are its
+rarest n-grams by that count: of G it leaves out the G / 12 most common ones, such as a phrase that many questions
+share.  So a text that has more than G / 12 of an item's n-grams has a seed of it, whichever they are, and one that has
+fewer if one of them is a seed.  A second pass cuts the passages around seeds; items of like length have one bitmap and
+one margin, so a short item makes short passages whatever other items there are.  A join by seed pairs passages and items,
+each pair once, and removes what bitmaps let through.  Smith-Waterman alignment of words (match 2, mismatch and gap -1)
+scores each pair; the score is a share of the item's perfect score, and pairs from `least` on are contamination.
 
 Joins are by n-gram or passage, never of all with all.  An item found in a third of all documents gives one row per
 document and item; nothing is capped.
 
 Nulls and edge cases: null or empty texts and items have no n-grams and match nothing; an item shorter than n words is
-one seed, looked for in documents as a run of that many words (so an item of one common word is found wherever it is); items or documents that repeat are matched separately.  A document is known by its doc_id and text: rows that
-repeat both are one, a repeated or null doc_id says nothing of other texts, and an item_id that repeats gives one row with
-the best score; a text of any length is read in passages; other columns, whatever their names, come through `clean` as
-they are; empty tables give an empty result.
+one seed, looked for in documents as a run of that many words (so an item of one common word is found wherever it is);
+items or documents that repeat are matched separately.  Ids may be of any type.  A document is known by its doc_id and
+text: rows that repeat both are one, a repeated or null doc_id says nothing of other texts, and an item_id that repeats
+gives one row with the best score; a text of any length is read in passages; other columns, whatever their names, come
+through `clean` as they are; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tidemark.llm.common import bitmap, grams, in_bitmap, materialise, mix64, packed, pieces, spread, word_codes
 
 #: Words of a seed, and the least score.
 N, LEAST = 4, 0.5
 
+#: One in so many of an item's n-grams, the most common ones, are no seeds.  Words of the shortest reach.
+COMMON, LEAST_REACH = 12, 32
+
 #: Words of a passage beyond which it is cut into overlapping ones.
 LONGEST = 2048
 
@@ -80,31 +88,71 @@ def seeds(flat: np.ndarray, counts: np.ndarray, n: int, lengths: list[int]) -> t
 
 
 def item_grams(items: DataFrame, n: int) -> DataFrame:
-    """(item_id, place, gram, words) for each n-gram of each item; `words` is the whole item."""
+    """(item_id, gram, words) for each n-gram of each item; `words` is the whole item."""
+    longs = ArrayType(LongType())
+    schema = StructType([items.schema["item_id"], StructField("gram", LongType()), StructField("words", longs)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].where(batch["text"].notna(), "").tolist()
-            flat, counts = hashed_words(texts)
+            flat, counts = hashed_words([t or "" for t in batch["text"].to_pylist()])
             name, at = grams(flat, counts, n)
             first = np.cumsum(counts) - counts
             owner = np.searchsorted(first + counts, at, side="right")
-            whole = [flat[a : a + c].view(np.int64) for a, c in zip(first, counts, strict=True)]
-            if len(owner):
-                yield pd.DataFrame({"item_id": batch["item_id"].values[owner], "place": at - first[owner], "gram": name.view(np.int64), "words": [whole[o] for o in owner]})
+            whole = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), flat.view(np.int64))
+            of = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch["item_id"].take(of), pa.array(name.view(np.int64)), whole.take(of)], schema.names)
 
-    return items.select("item_id", "text").mapInPandas(run, "item_id long, place int, gram long, words array<long>")
+    return items.select("item_id", "text").mapInArrow(run, schema)
 
 
 def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def passages(docs: DataFrame, bits: np.ndarray, margin: int, n: int, lengths: list[int]) -> DataFrame:
-    """(key, doc_id, at, words, grams) of the passages that have an n-gram of the bitmap, with a margin on each side."""
+def gram_counts(docs: DataFrame, bits: np.ndarray, n: int, lengths: list[int]) -> DataFrame:
+    """(gram, n): in how many texts an n-gram of the bitmap is."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 4 << 20):
+                flat, counts = hashed_words(texts[part])
+                name, at = seeds(flat, counts, n, lengths)
+                hit = in_bitmap(shared.value, name)
+                name, owner = name[hit], np.searchsorted(np.cumsum(counts), at[hit], side="right")
+                order = np.lexsort((owner, name))
+                name, owner = name[order], owner[order]
+                new = np.r_[True, (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])][: len(name)]
+                kinds, times = np.unique(name[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(times)], ["gram", "n"])
+
+    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def rare_seeds(known: DataFrame, counted: DataFrame) -> DataFrame:
+    """(item, item_id, words, reach, gram) of the seeds of each item: all its n-grams but the G / COMMON most common.
+
+    `item` names an item, `reach` is its length as the next power of two, from LEAST_REACH on.
+    """
+    size = F.size("words")
+    reach = F.greatest(F.lit(LEAST_REACH), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size, F.lit(1)).cast("double"))))).cast("int")
+    each = known.withColumn("item", F.xxhash64("item_id", "words")).select("item", "item_id", "words", reach.alias("reach"), "gram").dropDuplicates(["item", "gram"])
+    of = Window.partitionBy("item")
+    ranked = each.join(counted.hint("merge"), "gram", "left").withColumns({"_rank": F.row_number().over(of.orderBy(F.coalesce("n", F.lit(0)), "gram")), "_all": F.count("*").over(of)})
+    return ranked.filter(F.col("_rank") <= F.col("_all") - F.floor(F.col("_all") / COMMON)).drop("_rank", "_all", "n")
+
+
+def passages(docs: DataFrame, bits: dict[int, np.ndarray], least: float, n: int, lengths: list[int]) -> DataFrame:
+    """(key, doc_id, reach, at, words, grams) of the passages that have an n-gram of a bitmap, with a margin on each side.
+
+    There is a bitmap for the items of each reach.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    longs = ArrayType(LongType())
+    schema = StructType([StructField("key", LongType()), docs.schema["doc_id"], StructField("reach", IntegerType()), StructField("at", IntegerType()), StructField("words", longs), StructField("grams", longs)])
 
-    def cut(hits: np.ndarray) -> Iterator[tuple[int, int]]:
+    def cut(hits: np.ndarray, margin: int) -> Iterator[tuple[int, int]]:
         """Runs of hits that lie within the margin of each other, none much longer than LONGEST."""
         breaks = np.flatnonzero(np.diff(hits) > margin) + 1
         for run in np.split(np.arange(len(hits)), breaks):
@@ -116,29 +164,35 @@ def passages(docs: DataFrame, bits: np.ndarray, margin: int, n: int, lengths: li
                 # The next piece begins a margin earlier, so that no copy is cut by both.
                 run = run[min(end, max(1, int(np.searchsorted(hits[run], hits[run[end]] - margin)))) :]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+    def around(flat: np.ndarray, counts: np.ndarray, name: np.ndarray, at: np.ndarray, reach: int) -> Iterator[tuple]:
+        """(text, place of the passage in it, words, n-grams) around hits."""
+        # A copy that scores enough has matched words and gaps: matches count 2, gaps cost 1, and 2 a word is perfect.
+        margin = int(reach * (3 - 2 * least)) + n
+        first = np.cumsum(counts) - counts
+        owner = np.searchsorted(first + counts, at, side="right")
+        for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(owner)) + 1):
+            o = owner[own[0]]
+            for a, b in cut(at[own], margin):
+                low, high = max(first[o], at[own[a]] - margin), min(first[o] + counts[o], at[own[b - 1]] + n + margin)
+                yield o, reach, low - first[o], flat[low:high].view(np.int64), name[own[a:b]].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].where(batch["text"].notna(), "").tolist()
+            texts = [t or "" for t in batch["text"].to_pylist()]
             for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 4 << 20):
                 flat, counts = hashed_words(texts[part])
                 name, at = seeds(flat, counts, n, lengths)
-                hit = np.flatnonzero(in_bitmap(known, name))
-                if not len(hit):
-                    continue
-                name, at = name[hit], at[hit]
-                first = np.cumsum(counts) - counts
-                owner = np.searchsorted(first + counts, at, side="right")
                 rows = []
-                for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(owner)) + 1):
-                    o = owner[own[0]]
-                    for a, b in cut(at[own]):
-                        low, high = max(first[o], at[own[a]] - margin), min(first[o] + counts[o], at[own[b - 1]] + n + margin)
-                        rows.append((batch["key"].iloc[part.start + o], batch["doc_id"].iloc[part.start + o], low - first[o], flat[low:high].view(np.int64), name[own[a:b]].view(np.int64)))
-                out = pd.DataFrame(rows, columns=["key", "doc_id", "at", "words", "grams"])
-                yield out.astype({"doc_id": "Int64"})
+                for reach, known in shared.value.items():
+                    hit = np.flatnonzero(in_bitmap(known, name))
+                    if len(hit):
+                        rows += around(flat, counts, name[hit], at[hit], reach)
+                if rows:
+                    of = pa.array([part.start + int(r[0]) for r in rows], pa.int64())
+                    columns = [pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.list_(pa.int64())), (4, pa.list_(pa.int64())))]
+                    yield pa.RecordBatch.from_arrays([batch["key"].take(of), batch["doc_id"].take(of), *columns], schema.names)
 
-    return docs.select(row_key().alias("key"), "doc_id", "text").mapInPandas(run, "key long, doc_id long, at int, words array<long>, grams array<long>")
+    return docs.select(row_key().alias("key"), "doc_id", "text").mapInArrow(run, schema)
 
 
 def align(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,11 +217,12 @@ def align(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return best, end, last
 
 
-def score_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Align (key, doc_id, at, words, item_id, item) pairs; adds score, first_word and last_word of the copy."""
+def score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Align (key, doc_id, item_id, at, words, item) pairs; gives the ids, score, first_word and last_word of the copy."""
     for batch in batches:
-        width = batch["words"].map(len).to_numpy()
-        tall = batch["item"].map(len).to_numpy()
+        words, item = batch["words"], batch["item"]
+        width, tall = np.diff(words.offsets.to_numpy()), np.diff(item.offsets.to_numpy())
+        words, item = (np.split(x.flatten().to_numpy(zero_copy_only=False), np.cumsum(size)[:-1]) for x, size in ((words, width), (item, tall)))
         order = np.lexsort((tall, width))
         for part in pieces(width[order] * 1, 1 << 18):
             rows = order[part]
@@ -176,39 +231,33 @@ def score_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 a = np.zeros((len(rows), tall[rows].max()), np.int64)
                 b = np.ones((len(rows), width[rows].max()), np.int64)
                 for k, r in enumerate(rows):
-                    a[k, : tall[r]] = batch["item"].iloc[r][::flip]
-                    b[k, : width[r]] = batch["words"].iloc[r][::flip]
+                    a[k, : tall[r]] = item[r][::flip]
+                    b[k, : width[r]] = words[r][::flip]
                 found.append(align(a, b))
             (best, end, _), (_, back, _) = found
             start = width[rows] - 1 - back
-            at = batch["at"].to_numpy()[rows]
-            yield pd.DataFrame(
-                {
-                    "key": batch["key"].iloc[rows].values,
-                    "doc_id": batch["doc_id"].iloc[rows].astype("Int64").values,
-                    "item_id": batch["item_id"].iloc[rows].values,
-                    "score": best / (2.0 * tall[rows]),
-                    "first_word": at + np.minimum(start, end),
-                    "last_word": at + np.maximum(start, end),
-                }
-            )
+            at = batch["at"].to_numpy()[rows].astype(np.int64)
+            of = pa.array(rows)
+            ids = [batch[c].take(of) for c in ("key", "doc_id", "item_id")]
+            values = [best / (2.0 * tall[rows]), at + np.minimum(start, end), at + np.maximum(start, end)]
+            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, values)], ["key", "doc_id", "item_id", "score", "first_word", "last_word"])
 
 
 def row_matches(docs: DataFrame, items: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
     """(key, doc_id, item_id, score, first_word, last_word) of the copies of items in documents."""
     known = materialise(item_grams(items, n))
-    bound = known.agg(F.max(F.size("words"))).first()[0] or 0
-    # A copy that scores enough has matched words and gaps: matches count 2, gaps cost 1, and 2 a word is perfect.
-    margin = int(bound * (3 - 2 * least)) + n
-    short = known.filter(F.size("words") < n).select(F.size("words").alias("size")).distinct().collect()
-    bits = bitmap(known, F.col("gram"))
-    found = passages(docs, bits, margin, n, sorted(r["size"] for r in short)).withColumn("passage", F.xxhash64("key", "at", "words"))
-    found = materialise(found)
-    hits = found.select("passage", F.explode(F.array_distinct("grams")).alias("gram"))
-    pairs = hits.join(known.select("item_id", "gram").distinct(), "gram").select("passage", "item_id").distinct()
-    whole = known.select("item_id", F.col("words").alias("item")).distinct()
-    joined = pairs.join(found.select("passage", "key", "doc_id", "at", "words").dropDuplicates(["passage"]), "passage").join(whole, "item_id")
-    scored = joined.mapInPandas(score_pairs, "key long, doc_id long, item_id long, score double, first_word long, last_word long").filter(F.col("score") >= least)
+    lengths = sorted(r["size"] for r in known.filter(F.size("words") < n).select(F.size("words").alias("size")).distinct().collect())
+    chosen = materialise(rare_seeds(known, gram_counts(docs, bitmap(known, F.col("gram")), n, lengths)))
+    # As many bitmaps as lengths of items have binary logarithms.
+    bits = {r["reach"]: bitmap(chosen.filter(F.col("reach") == r["reach"]), F.col("gram")) for r in chosen.select("reach").distinct().collect()}
+    found = materialise(passages(docs, bits, least, n, lengths).withColumn("passage", F.xxhash64("key", "reach", "at", "words")))
+    hits = found.select("passage", "reach", F.explode(F.array_distinct("grams")).alias("gram"))
+    pairs = hits.join(chosen.select("item", "reach", "gram"), ["gram", "reach"]).select("passage", F.col("item").alias("of")).distinct()
+    whole = chosen.select(F.col("item").alias("of"), "item_id", F.col("words").alias("item")).dropDuplicates(["of"])
+    joined = pairs.join(found.select("passage", "key", "doc_id", "at", "words").dropDuplicates(["passage"]), "passage").join(whole, "of")
+    ids = [StructField("key", LongType()), docs.schema["doc_id"], items.schema["item_id"]]
+    schema = StructType([*ids, StructField("score", DoubleType()), StructField("first_word", LongType()), StructField("last_word", LongType())])
+    scored = joined.select("key", "doc_id", "item_id", "at", "words", "item").mapInArrow(score_pairs, schema).filter(F.col("score") >= least)
     best = scored.groupBy("key", "doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("best"))
     return best.select("key", "doc_id", "item_id", "best.score", "best.first_word", "best.last_word")
 
