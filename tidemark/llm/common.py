@@ -55,6 +55,11 @@ def packed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
 
 
+def type_of(df: DataFrame, name: str) -> str:
+    """The type of a column, as a schema's text has it."""
+    return df.schema[name].dataType.simpleString()
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import global_rank, materialise, n_words, packed
+from tidemark.llm.common import global_rank, materialise, n_words, packed, type_of
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -65,7 +65,7 @@ def copies(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS,
     slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     laid = slim.repartitionByRange(F.col("source").asc_nulls_last(), "size", "doc_id").sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "doc_id")
     # Written once: the partition numbers and local places that follow must never be derived from two different shuffles.
-    laid = materialise(laid.withColumn("_part", F.spark_partition_id()).mapInPandas(_places, "doc_id long, source string, size long, _part int, _place long"))
+    laid = materialise(laid.withColumn("_part", F.spark_partition_id()).mapInPandas(_places, f"doc_id {type_of(docs, 'doc_id')}, source {type_of(docs, 'source')}, size long, _part int, _place long"))
     totals = laid.groupBy("source", "_part").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
     before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = totals.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_size")

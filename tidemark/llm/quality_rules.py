@@ -25,13 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordTable, flatten, materialise, mix64, packed, pieces, spread, word_codes
+from tidemark.llm.common import WordTable, flatten, materialise, mix64, packed, pieces, spread, word_codes, type_of
 
 #: Fixed value: characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 
 MEASURES = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy_ratio")
-SCHEMA = "_key long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_piece double, chars_per_byte_token double, fallback_share double, entropy_ratio double"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_piece double, chars_per_byte_token double, fallback_share double, entropy_ratio double"
 
 
 #: Tokens from which texts no longer vary much more than long ones.
@@ -170,7 +170,7 @@ def measures(docs: DataFrame, piece_file: str | None = None, rank_file: str | No
             for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 3 << 20):
                 yield pd.concat([batch[["_key", "doc_id", "lang"]].iloc[part].reset_index(drop=True), measure(texts[part], vocab)], axis=1)
 
-    return docs.select(row_key().alias("_key"), "doc_id", "lang", "text").mapInPandas(run, SCHEMA)
+    return docs.select(row_key().alias("_key"), "doc_id", "lang", "text").mapInPandas(run, f"_key long, doc_id {type_of(docs, 'doc_id')}, lang string, {SCHEMA}")
 
 
 def language_bands(measured: DataFrame, accuracy: int = 10_000) -> DataFrame:

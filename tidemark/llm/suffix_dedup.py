@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import global_rank, materialise, mix64, pieces, spread
+from tidemark.llm.common import global_rank, materialise, mix64, pieces, spread, type_of
 
 LENGTH, NAME, BLOCK = 100, 40, 16
 
@@ -352,13 +352,14 @@ def remove(docs: DataFrame, length: int = LENGTH, name: int = NAME, texts: bool
     spans (the maximal removed runs, from and to) and kept (the remaining bytes)."""
     data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     rows = docs.select("doc_id", data.alias("data"))
-    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
+    numbered = type_of(docs, "doc_id") in ("tinyint", "smallint", "int", "bigint")
+    odd = not numbered or docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if odd:
         keyed = materialise(rows.select("doc_id", F.xxhash64("doc_id", "data").alias("key"), "data"))
         # Equal rows are told apart by any number, so that many of them are spread over tasks.
         rows = global_rank(keyed.withColumn("tie", F.monotonically_increasing_id()), ["doc_id", "key", "tie"]).select("doc_id", F.col("rank").alias("uid"), "data")
     else:
-        rows = rows.withColumn("uid", F.col("doc_id"))
+        rows = rows.withColumn("uid", F.col("doc_id").cast("long"))
     spans = repeats(rows.select("uid", "data"), length, name)
     each = spans.groupBy("uid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
@@ -371,9 +372,9 @@ def remove(docs: DataFrame, length: int = LENGTH, name: int = NAME, texts: bool
                 kept = b"".join(view[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if merged else raw
                 out.append((doc_id, len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), *(([list(m) for m in merged], kept) if texts else ())))
             frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("spans", "kept") if texts else ())])
-            yield frame.astype({"doc_id": "Int64"})
+            yield frame.astype({"doc_id": "Int64"}) if numbered else frame
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = f"doc_id {type_of(docs, 'doc_id')}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return rows.join(each, "uid", "left").select("doc_id", "data", "spans").mapInPandas(run, schema + (", spans array<array<long>>, kept binary" if texts else ""))
 
 

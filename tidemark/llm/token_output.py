@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordTable, factorize, flatten, materialise, pieces, spread, word_codes
+from tidemark.llm.common import WordTable, factorize, flatten, materialise, pieces, spread, type_of, word_codes
 
 END_ID = 2
 
@@ -51,7 +51,7 @@ LAYOUT = {
     "compression": "snappy",
 }
 
-SCHEMA = "doc_id long, source string, n_tokens int, ids array<int>"
+SCHEMA = "doc_id {0}, source string, n_tokens int, ids array<int>"
 
 
 class WordEncoder:
@@ -142,7 +142,7 @@ def tokenise(docs: DataFrame, file: str | None = None) -> DataFrame:
                 rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["source"], pa.array(n.astype(np.int32)), lists], ["doc_id", "source", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "source", "text").mapInArrow(run, SCHEMA.format(type_of(docs, "doc_id")))
 
 
 def write(docs: DataFrame, path: str, file: str | None = None) -> None:
@@ -152,12 +152,12 @@ def write(docs: DataFrame, path: str, file: str | None = None) -> None:
     tokenise(laid, file).write.options(**LAYOUT).parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """The rows of the token files."""
-    return spark.read.schema(SCHEMA).parquet(path)
+    return spark.read.schema(SCHEMA.format(id_type)).parquet(path)
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
+def digests(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +170,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
     # File names carry the partition number, whose order is that of doc_id.
     number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
-    rows = read(spark, path).select("doc_id", "ids", number.cast("long").alias("file"), F.col("_metadata.row_index").alias("row"))
-    each = materialise(rows.mapInArrow(run, "file long, row long, doc_id long, n_tokens long, ids_crc32 long"))
+    rows = read(spark, path, id_type).select("doc_id", "ids", number.cast("long").alias("file"), F.col("_metadata.row_index").alias("row"))
+    each = materialise(rows.mapInArrow(run, f"file long, row long, doc_id {id_type}, n_tokens long, ids_crc32 long"))
     totals = each.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 #: Magic numbers of the dictionary frame and of the separating skippable frame, little-endian.
 DICTIONARY_MAGIC, EMPTY_FRAME = b"\x5d\x2a\x4d\x18", b"\x50\x2a\x4d\x18\x00\x00\x00\x00"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+WHOLE_URI = "X-Target-URI-Base64"
 RECORD_ID, DATE = "<urn:x-page:%s>", "2024-01-01T00:00:00Z"
 
 #: An archive's dictionary is built from its first records up to so many bytes; this many bytes are also what a task buffers.
@@ -68,7 +69,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = head if refers_to is not None else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        # As it stands; one with line ends, which no header can hold, is written a second time.
+        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        if "\r" in url or "\n" in url:
+            lines.append(f"{WHOLE_URI}: {base64.b64encode(url.encode()).decode()}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
         lines += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
@@ -143,11 +147,11 @@ def parse(archive: bytes) -> Iterator[tuple]:
     stream = io.BufferedReader(_Joined(reader.stream_reader(memoryview(archive)[end:], read_across_frames=True)), 1 << 16)
     number = lambda v: None if v in (None, RECORD_ID % "none") else int(v[len(RECORD_ID) - 3 : -1])
     while line := stream.readline():
-        if line.strip() != b"WARC/1.1":
+        if line != b"WARC/1.1\r\n":
             raise ValueError("a record must begin here")
         fields = {}
-        while line := stream.readline().strip():
-            key, _, value = line.decode().partition(": ")
+        while (line := stream.readline()) != b"\r\n":
+            key, _, value = line.removesuffix(b"\r\n").decode().partition(": ")
             fields[key] = value
         block = stream.read(int(fields["Content-Length"]))
         stream.read(4)
@@ -158,7 +162,7 @@ def parse(archive: bytes) -> Iterator[tuple]:
         if kind == "response" and (size != len(payload) or digest != base64.b32encode(hashlib.sha1(payload).digest()).decode()):
             raise ValueError("payload and digest differ")
         url = fields.get("WARC-Target-URI")
-        url = url if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+        url = base64.b64decode(fields[WHOLE_URI]).decode() if WHOLE_URI in fields else url
         yield number(fields["WARC-Record-ID"]), url, size, digest, kind, number(fields.get("WARC-Refers-To")), payload if kind == "response" else None
 
 
