@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import assertions, text
 from tidemark.functions.retry import until_success
-from tidemark.model import RefreshOptions, TableRef
+from tidemark.model import RefreshOptions, TableRef, parse_interval
 from tidemark.operators import checks, profile, ranges, refresh, scd2
 from tidemark.operators.alignment import day_to_day, day_to_day_padded, day_to_week
 from tidemark.operators.labels import partition_labels, update_labels, view_labels
@@ -331,10 +331,44 @@ def test_checks_and_stages(spark):
     assert checks.remade(stages, "twice", {"base": df.limit(1)}).count() == 2
     stored = spark.createDataFrame([("old", "1"), ("1 + 1", "x")], "signature string, result string")
     assert {tuple(r) for r in checks.outcomes(df, ["1 + 1"], stored).collect()} == {("old", "1"), ("1 + 1", '{"v":2}')}
+    by_key = checks.outcomes(df, ["upper(v)", "k + 1"], spark.createDataFrame([("a", "upper(v)", "old"), ("gone", "k + 1", "kept")], "v string, signature string, result string"), key=["v"])
+    assert {tuple(r) for r in by_key.filter("v is not null").collect()} == {("a", "upper(v)", '{"v":"A"}'), ("a", "k + 1", '{"v":2}'), ("z", "upper(v)", '{"v":"Z"}'), ("z", "k + 1", '{"v":3}'), ("gone", "k + 1", "kept")}
+    assert checks.outcomes(df, ["sum(k)", "max(v)"]).collect() == [("sum(k)", '{"v":4}'), ("max(v)", '{"v":"z"}')]
+    report = checks.spec({"t": df, "u": df}, {"t": {"unique": [["k"]]}, "u": {"nonnull": ["k"]}})
+    assert {tuple(r) for r in checks.passed(report).collect()} == {("t", False), ("u", True)}
     with pytest.raises(AssertionError), checks.should_error():
         pass
 
 
+@pytest.mark.parametrize(
+    "written, months, rest",
+    [
+        ("0-0 0 0:30:0", 0, timedelta(minutes=30)), ("1-2 -3 4:05:06.5", 14, timedelta(days=-3, hours=4, minutes=5, seconds=6.5)), ("-0-1", -1, timedelta()), ("-1:00:00", 0, timedelta(hours=-1)), ("7", 0, timedelta(days=7)),
+        ("PT30M", 0, timedelta(minutes=30)), ("P1Y2M3DT4H5M6S", 14, timedelta(days=3, hours=4, minutes=5, seconds=6)), ("-P1W", 0, timedelta(days=-7)), ("1 month", 1, timedelta()), ("2 days 30 MINUTES", 0, timedelta(days=2, minutes=30)),
+    ],
+)
+def test_intervals(written, months, rest):
+    assert parse_interval(written) == (months, rest)
+
+
+@pytest.mark.parametrize("written", ["", "P", "PT", "soon", "1 fortnight", "1-2-3", "3 x"])
+def test_what_is_no_interval(written):
+    with pytest.raises(ValueError, match="interval"):
+        parse_interval(written)
+
+
+def test_options_from_json():
+    found = RefreshOptions.of('{"tolerate_staleness": "PT1H", "max_update_months": "0-2 0 0:0:0", "force_expired_at": "2024-01-02T03:04:05", "auto_recreate": "replace_if_changed"}')
+    assert found == RefreshOptions(timedelta(hours=1), datetime(2024, 1, 2, 3, 4, 5), 2, auto_recreate="replace_if_changed")
+    with pytest.raises(ValueError, match="months"):
+        RefreshOptions.of({"tolerate_staleness": "P1M"})
+
+
+def test_json_entries_of_a_table_with_such_columns(spark):
+    df = spark.createDataFrame([(1, "k", "v", '{"a": {"b": 1.50}, "": [1, "x"]}')], "id long, key string, value string, j string")
+    assert [tuple(r)[0:1] + tuple(r)[2:] for r in text.json_entries(df, "j").collect()] == [(1, "a.b", "1.50"), (1, "_f1", '[1,"x"]')]
+
+
 def test_assertions(spark):
     df = spark.createDataFrame([(1, "ab"), (None, None)], "n int, s string")
     good = df.select(assertions.sure_range(F.col("n"), 0, 5), assertions.sure_like(F.col("s"), "a%"), assertions.sure_values(F.col("s"), ["ab"]), assertions.sure_eq(F.col("n"), F.col("n")))

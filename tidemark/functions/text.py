@@ -66,7 +66,9 @@ def _inside(value: object) -> str:
 
 def json_entries(df: DataFrame, column: str) -> DataFrame:
     """(all columns, key, value): the leaves of a JSON object, by dotted key, of any depth; arrays stay text, an empty
-    key is `_f<place>`.  A null, and what is no JSON object, has no entry.  One pass, in Arrow batches."""
+    key is `_f<place>`.  A null, and what is no JSON object, has no entry.  Columns of these names are left out of the
+    result, which has its own.  One pass, in Arrow batches."""
+    rest = [f for f in df.schema if f.name not in ("key", "value")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,10 +91,11 @@ def json_entries(df: DataFrame, column: str) -> DataFrame:
                         keys.append(f"{prefix}{key or f'_f{j}'}")
                         values.append(_written(v))
             kept = batch.take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(keys, pa.string()), pa.array(values, pa.string())], [*batch.schema.names, "key", "value"])
+            own = [pa.array(keys, pa.string()), pa.array(values, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[kept[f.name] for f in rest], *own], [*[f.name for f in rest], "key", "value"])
 
     extra = [T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra]))
+    return df.mapInArrow(run, T.StructType([*rest, *extra]))
 
 
 def table_text(rows: list[Row]) -> str:

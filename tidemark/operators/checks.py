@@ -101,13 +101,27 @@ def remade(stages: dict[str, object], final: str, mocks: dict[str, DataFrame] |
     return built[final]
 
 
-def outcomes(df: DataFrame, expressions: list[str], stored: DataFrame | None = None, how: str = "full") -> DataFrame:
-    """(signature, result) of SQL expressions over a table's first row, beside stored ones; fresh results win."""
-    fresh = df.limit(1).select(F.explode(F.array(*[F.struct(F.lit(e).alias("signature"), F.to_json(F.struct(F.expr(e).alias("v"))).alias("result")) for e in expressions])).alias("x")).select("x.*")
+def passed(reports: DataFrame) -> DataFrame:
+    """(target_table, passed): whether all groups of cases of each table passed; one without cases has."""
+    return reports.groupBy("target_table").agg(F.bool_and(F.col("n_cases_failed") == 0).alias("passed"))
+
+
+def outcomes(df: DataFrame, expressions: list[str], stored: DataFrame | None = None, how: str = "full", key: list[str] = ()) -> DataFrame:
+    """(signature, result) of SQL expressions, as JSON, beside stored ones; fresh results win.
+
+    Without a key, each is one value over the whole table (an aggregate, or what needs no column).  With one, each is
+    evaluated for every row, and results go by key and signature: (key columns, signature, result).
+    """
+    value = lambda e: F.to_json(F.struct(F.expr(e).alias("v")), {"ignoreNullFields": "false"})
+    each = F.array(*[F.struct(F.lit(e).alias("signature"), F.col(f"_{i}").alias("result")) for i, e in enumerate(expressions)])
+    named = [value(e).alias(f"_{i}") for i, e in enumerate(expressions)]
+    rows = df.select(*key, *named) if key else df.agg(*named)
+    fresh = rows.select(*key, F.explode(each).alias("x")).select(*key, "x.*")
     if stored is None:
         return fresh
-    old = stored.select("signature", F.col("result").alias("old"))
-    return old.join(fresh, "signature", how).select("signature", F.coalesce("result", "old").alias("result"))
+    by = [*key, "signature"]
+    old = stored.select(*by, F.col("result").alias("old"))
+    return old.join(fresh, by, how).select(*by, F.coalesce("result", "old").alias("result"))
 
 
 @contextmanager
