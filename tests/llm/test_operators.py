@@ -434,6 +434,30 @@ def test_rules_from_a_table(spark):
         url_filters.judge(spark.createDataFrame([(1, "http://a")], "page_id long, url string"), spark.createDataFrame(rules[2:3], url_filters.RULE_SCHEMA))
 
 
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_ten_thousand_rules_joined_by_shuffle_and_by_broadcast(spark, monkeypatch, most):
+    """Host rules on 2,000 sites and their sections, and rules on words of a path, against trying every rule on every URL."""
+    monkeypatch.setattr(url_filters, "BROADCAST_RULES", most)
+    rng = random.Random(9)
+    site = lambda: f"s{rng.randrange(2000)}.{rng.choice(['com', 'org'])}"
+    hosts = {f"{site()}/" + (f"a{rng.randrange(40)}/" if rng.random() < 0.7 else ""): rng.choice(["block", "allow"]) for _ in range(9000)}
+    words = {f"/w{i}/": "allow" if i % 7 == 0 else "block" for i in range(2500)}
+    rules = [(h, f"||{h}", v, "host") for h, v in hosts.items()] + [(w, w, v, "pattern") for w, v in words.items()]
+    assert len(rules) > 10_000
+    urls = [f"http://{rng.choice(['', 'www.', 'x.y.'])}{site()}/a{rng.randrange(40)}/w{rng.randrange(5000)}/p" for _ in range(600)]
+
+    def plain(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        labels = host.split(".")
+        fits = [h for i in range(len(labels)) for k in (0, 1) if (h := ".".join(labels[i:]) + "/" + "/".join(path.split("/")[:k]) + "/" * k) in hosts]
+        word = f"/{path.split('/')[1]}/"
+        best = max(fits, key=len, default=None)
+        return best, hosts[best] if best else words.get(word, "allow")
+
+    out = url_filters.judge(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(rules, url_filters.RULE_SCHEMA))
+    assert {(r.url, r.rule, r.verdict) for r in out.collect()} == {(u, *plain(u)) for u in urls}
+
+
 # --- 6
 
 
