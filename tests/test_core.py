@@ -557,6 +557,14 @@ def test_builds_are_logged(spark, tmp_path):
     assert found["b"].rows == 4 and found["b"].labels["team"] == "x" and found["b"].referenced[0].table == "a" and found["b"].error is None
     assert found["c"].error == "ValueError: bad" and {r.dst.table for r in lineage.edges(log.read()).collect()} == {"b"}
     assert joblog.users(log.read()).first()["n_failed"] == 1
+    history = scd2.HistoryTable(spark, str(tmp_path / "store" / "h"), "id", log=log)
+    history.init(rows)
+    history.update(rows.filter("id < 3"))
+    with pytest.raises(scd2.NothingChanged):
+        history.update(rows.filter("id < 3"))
+    edge = lineage.edges(log.read()).filter("dst.table = 'h'").first()
+    assert (edge.dst.dataset, edge.src.table, edge.n_jobs) == ("store", "a", 2)
+    assert sorted(r.rows for r in log.read().filter("destination.table = 'h' and error is null").collect()) == [1, 4]
 
 
 def test_squares_are_summed_exactly(spark):

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.model import ANY_PARTITION, NULL_PARTITION
 from tidemark.operators.staleness import detect_staleness
+from tidemark.plans.joblog import JobLog, noted
 from tidemark.sources.published import Draft, Published
 
 COLUMNS = ["unique_key", "revision_hash", "valid_from", "valid_to", "entity"]
@@ -178,6 +179,8 @@ class HistoryTable:
     key: str
     clock: Callable[[], datetime] = datetime.now
     new_id: Callable[[], str] = lambda: uuid.uuid4().hex
+    #: Where each init and update is noted, if anywhere.
+    log: JobLog | None = None
 
     OPEN = "open"
 
@@ -206,7 +209,9 @@ class HistoryTable:
     def init(self, df: DataFrame) -> int:
         if self.exists():
             raise ValueError(f"there is a history at {self.path}")
-        return self._begin(snapshot(df, self.key, self.clock(), self.new_id()))
+        with noted(self.log, self.path, df) as run:
+            run.rows = self._begin(snapshot(df, self.key, self.clock(), self.new_id()))
+        return run.rows
 
     def _stage(self, rows: DataFrame, **options: object) -> Draft:
         day = F.coalesce(F.date_format("valid_to", "yyyyMMdd"), F.lit(self.OPEN))
@@ -231,13 +236,20 @@ class HistoryTable:
             raise ValueError("on_other_columns is error or recreate")
         at, revision = self.clock(), self.new_id()
         fresh = snapshot(df, self.key, at, revision)
-        if not self.same_columns(df):
-            if on_other_columns == "error" or dry_run:
-                raise ValueError("the columns have changed: move the history away and begin a new one")
-            self.backup(at).adopt(self.table.version())
-            return self._begin(fresh)
+        same = self.same_columns(df)
+        if not same and (on_other_columns == "error" or dry_run):
+            raise ValueError("the columns have changed: move the history away and begin a new one")
         if dry_run:
             return changes(self.current(), fresh, at).count()
+        with noted(self.log, self.path, df) as run:
+            if same:
+                run.rows = self._replace(fresh, at, allow_unchanged)
+            else:
+                self.backup(at).adopt(self.table.version())
+                run.rows = self._begin(fresh)
+        return run.rows
+
+    def _replace(self, fresh: DataFrame, at: datetime, allow_unchanged: bool) -> int:
         draft = self._stage(rewritten(self.current(), fresh, at), drop=["action"], written=F.count_if(F.col("action") != "UNCHANGED"))
         written = draft.metrics["written"]
         if written:
