@@ -13,7 +13,8 @@ from tidemark.operators import checks, scd2
 from tidemark.operators.alignment import day_to_day
 from tidemark.operators.labels import update_labels
 from tidemark.operators.staleness import detect_staleness
-from tidemark.queries import _BEHIND, _LABELS, _META, _STATES, NOW, T0, T1, _metadata, _span, _suppliers, _table, query
+from tidemark.plans.lineage import edges
+from tidemark.queries import _BEHIND, _LABELS, _META, _STATES, NOW, T0, T1, _jobs, _metadata, _span, _suppliers, _table, query
 from tidemark.sources import catalog
 from tidemark.sources.tables import dataset_profile, parquet, sampled_blocks, scratch, shards, storage_profile
 
@@ -151,3 +152,30 @@ def golden_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = _suppliers(spark, sf_dir, True).withColumn("s_acctbal", F.when(F.col("s_suppkey") % 6 != 0, F.col("s_acctbal"))).orderBy(F.desc("s_suppkey"))
     found = scd2.diff(store.current(), scd2.snapshot(fresh, "s_suppkey", T1, "check"))
     return found.groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(
+    """with jobs as (select user_id % 7 as d, case when event_id % 3 <> 0 then user_id % 7 + 1 + event_id % 2 end as s, user_id from events where event_id % 13 <> 0 and ts >= (select max(ts) - interval 30 day from events))
+select 't' || d as dst, 't' || s as src, count(*) as n_jobs, count(distinct user_id) as n_users from jobs group by d, s"""
+)
+def lineage_edges_of_all_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that read no table have an edge without a source."""
+    log = _jobs(spark, sf_dir)
+    found = log.withColumn("referenced", F.when(F.col("job_id") % 3 != 0, F.col("referenced")).otherwise(F.filter("referenced", lambda _: F.lit(False))))
+    return edges(found).select(F.col("dst.table").alias("dst"), F.col("src.table").alias("src"), "n_jobs", "n_users")
+
+
+@query(
+    """select view_name, table_name, n_rows from (values ('late', 'o'), ('late_lines', 'o'), ('late_lines', 'l')) t(view_name, table_name)
+join (select 'o' as table_name, count(*) as n_rows from orders union all select 'l', count(*) from lineitem) using (table_name)"""
+)
+def view_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that views read, through views too, with the rows that they have."""
+    with catalog.temporary_database(spark) as name:
+        parquet(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").write.saveAsTable(f"{name}.o")
+        parquet(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate").write.saveAsTable(f"{name}.l")
+        spark.sql(f"CREATE VIEW {name}.late AS SELECT * FROM {name}.o WHERE o_orderdate > '1997-01-01'")
+        spark.sql(f"CREATE VIEW {name}.late_lines AS SELECT l.* FROM {name}.l JOIN {name}.late ON l_orderkey = o_orderkey")
+        reads = catalog.dependencies(spark, name).collect()
+        rows = {t: spark.table(f"{name}.{t}").count() for t in ("o", "l")}
+    return spark.createDataFrame([(r["view_name"], r["table_name"], rows[r["table_name"]]) for r in reads], "view_name string, table_name string, n_rows long")

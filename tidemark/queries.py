@@ -690,6 +690,7 @@ def _jobs(spark: SparkSession, sf_dir: str, more: bool = False) -> DataFrame:
     node = lambda n: F.struct(F.lit("p").alias("project"), F.concat(F.lit("d"), F.floor(n / 4).cast("string")).alias("dataset"), F.concat(F.lit("t"), n.cast("string")).alias("table"))
     n = F.col("user_id") % 7
     return parquet(spark, sf_dir, "events").select(
+        F.col("event_id").alias("job_id"),
         F.lit("DONE").alias("state"),
         F.when(F.col("event_id") % 13 == 0, "failed").alias("error"),
         F.col("ts").cast("timestamp").alias("created"),
