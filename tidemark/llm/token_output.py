@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordTable, factorize, flatten, materialise, pieces, spread, type_of, word_codes
+from tidemark.llm.common import WordTable, flatten, materialise, pieces, spread, type_of, word_codes
 
 END_ID = 2
 
@@ -67,41 +67,41 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.table = WordTable(self._encode, KNOWN)
+        self.tails: dict[str, list[int]] = {}
 
-    def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of keys.  A word of Latin-1 letters in lower case is one run that no normaliser changes, so it goes to the model at once."""
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words.
+
+        A word of Latin-1 letters in lower case is one run that no normaliser changes, so it goes to the model at once;
+        marks after it are a run of their own.
+        """
         tokenize = self.tokenizer.model.tokenize
-        lists = [([t.id for t in tokenize(k if k.isascii() else k.translate(BYTE_LEVEL))] if _plain(k) else None) for k in keys]
-        others = [i for i, x in enumerate(lists) if x is None]
-        for i, e in zip(others, self.tokenizer.encode_batch_fast([keys[i] for i in others], add_special_tokens=False), strict=True):
+        lists, others = [], []
+        for i, word in enumerate(words):
+            stem = word.rstrip(MARKS)
+            if _plain(stem):
+                low = stem.lower()
+                ids = [t.id for t in tokenize(low if low.isascii() else low.translate(BYTE_LEVEL))]
+                lists.append(ids + self._tail(word[len(stem) :]) if len(stem) < len(word) else ids)
+            else:
+                lists.append(None)
+                others.append(i)
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False), strict=True):
             lists[i] = e.ids
         return flatten(lists)
 
-    def _words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first place, number of ids) of each distinct word, and the ids that the places count into.
-
-        Marks after a word of letters are a run of their own, so such a word is its letters, in lower case, and its marks.
-        """
-        stems = [w.rstrip(MARKS).lower() for w in words]
-        keys = [s if _plain(s) else w for s, w in zip(stems, words, strict=True)]
-        nulls = any("\0" in w for w in words)
-        codes, kinds = factorize(np.array(keys, object), nulls)
-        first, size, flat = self.table.look_up(list(kinds))
-        first, size = first[codes], size[codes]
-        tail_codes, tails = factorize(np.array([w[len(k) :] for w, k in zip(words, keys, strict=True)], object), nulls)
-        tail_ids, tail_size = flatten([e.ids for e in self.tokenizer.encode_batch_fast(list(tails), add_special_tokens=False)])
-        tail_first, tail_size = (np.cumsum(tail_size) - tail_size)[tail_codes], tail_size[tail_codes]
-        total = size + tail_size
-        start = np.cumsum(total) - total
-        out = np.empty(int(total.sum()), np.int32)
-        out[spread(start, size)] = flat[spread(first, size)]
-        out[spread(start + size, tail_size)] = tail_ids[spread(tail_first, tail_size)]
-        return start, total, out
+    def _tail(self, marks: str) -> list[int]:
+        """Ids of marks that end a word; few words end differently."""
+        if marks not in self.tails:
+            if len(self.tails) >= 10_000:
+                self.tails.clear()
+            self.tails[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+        return self.tails[marks]
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, with the end id after each, and the number of ids of each."""
         codes, counts, words = word_codes(texts)
-        first, size, flat = self._words(words)
+        first, size, flat = self.table.look_up(list(words))
         per_word = size[codes]
         ids = flat[spread(first[codes], per_word)]
         bounds = np.r_[0, np.cumsum(per_word)][np.cumsum(counts)]
@@ -110,6 +110,7 @@ class WordEncoder:
 
 
 def _plain(word: str) -> bool:
+    """Whether a word is of Latin-1 letters, in which no normaliser but that of case changes anything."""
     return word.isalpha() and (word.isascii() or max(word) <= "\xff")
 
 
