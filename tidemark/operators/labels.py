@@ -54,8 +54,8 @@ def update_labels(spark: SparkSession, database: str) -> dict[str, dict[str, str
         metadata = metadata.unionByName(theirs)
     found = partition_labels(metadata)
     found = found.filter(~F.col("table_name").contains(".")).unionByName(view_labels(found, reads))
-    out = {}
+    out, views = {}, set(catalog.views(spark, database))
     for r in found.collect():
         out[r["table_name"]] = {"partition-min": r["partition_min"], "partition-max": r["partition_max"], "partition-skip": str(r["partition_skip"])}
-        catalog.set_labels(spark, TableRef(database, r["table_name"]), out[r["table_name"]], view=r["table_name"] in catalog.views(spark, database))
+        catalog.set_labels(spark, TableRef(database, r["table_name"]), out[r["table_name"]], view=r["table_name"] in views)
     return out
