@@ -728,6 +728,23 @@ def test_word_encoder_equals_the_tokenizer_on_odd_texts():
         assert list(got) == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_runs_are_cut_from_the_bytes_of_a_column():
+    import pyarrow as pa
+
+    codes, counts, found = token_output.runs(pa.array(["The the, THE.\nthe", None, "", " \t", "thé!the", "a\0b a\0c"]))
+    assert [found[c] for c in codes] == ["the", "the", ",", "the", ".", "the", "thé", "!", "the", "a\0b", "a\0c"]
+    assert list(counts) == [6, 0, 0, 0, 3, 2]
+    encoder = token_output.encoder(token_output.word_bpe_path())
+    rng = random.Random(10)
+    alphabet = [*"aZé×÷ñÀß,.!-_(#'’sS1²ª \n\x1c\x85\xa0\0", "̸", "́", "=", "漢", "<|", "|>", "STARTOFTEXT", "endoftext", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts[7] = texts[9] = None
+    ids, n = encoder.column(pa.array(texts, pa.string())[5:])
+    for text, got in zip(texts[5:], np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert list(got) == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+    assert [len(x) for x in encoder.column(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_token_file_layout(docs, tmp_path):
     import pyarrow.parquet as pq
 

@@ -22,16 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordTable, factorize, flatten, materialise, pieces, spread, type_of, word_codes
+from tidemark.llm.common import WordTable, flatten, materialise, pieces, spread, type_of
 
 END_ID = 2
 
 #: Words that a worker keeps.
 KNOWN = 500_000
 
+#: Bytes of text that are worked on at once.
+PIECE = 8 << 20
+
 #: Marks that may follow a word; the apostrophe is not one, since the vocabulary's first split knows endings like 's.
 MARKS = "".join(c for c in string.punctuation if c not in "'<>|")
 
@@ -40,6 +44,11 @@ _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 17
 BYTE = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
 BYTE_LEVEL = {c: "".join(BYTE.get(b, chr(b)) for b in chr(c).encode()) for c in range(128, 256)}
 
+#: What a byte is: ASCII white space, one of MARKS, an ASCII letter, a part of a longer character, or none of these.
+BLANK, MARK, LETTER, HIGH = 1, 2, 4, 8
+BLANKS = b" \t\n\r\x0b\x0c"
+KIND = bytes(BLANK if b in BLANKS else MARK if chr(b) in MARKS else HIGH if b > 127 else LETTER if chr(b).isalpha() else 0 for b in range(256))
+
 #: Options of the files.
 LAYOUT = {
     "parquet.writer.version": "v2",
@@ -58,7 +67,8 @@ class WordEncoder:
     """Ids of texts, by the distinct words that they hold.
 
     The tokenizer works on one run of non-space at a time (its normaliser maps characters one by one, and its first
-    split is at white space), so the ids of a text are those of its words in turn; each distinct word is encoded once.
+    split is at white space and between letters and marks), so the ids of a text are those of its runs in turn; each
+    distinct run is encoded once.
     """
 
     def __init__(self, file: str) -> None:
@@ -69,45 +79,65 @@ class WordEncoder:
         self.table = WordTable(self._encode, KNOWN)
 
     def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of keys.  A word of Latin-1 letters in lower case is one run that no normaliser changes, so it goes to the model at once."""
+        """Ids of keys.  A word of Latin-1 letters is one run that no normaliser changes but to lower case, so it goes to the model at once."""
         tokenize = self.tokenizer.model.tokenize
-        lists = [([t.id for t in tokenize(k if k.isascii() else k.translate(BYTE_LEVEL))] if _plain(k) else None) for k in keys]
-        others = [i for i, x in enumerate(lists) if x is None]
+        lists = [None] * len(keys)
+        others = []
+        for i, key in enumerate(keys):
+            low = key.lower()
+            if _plain(low):
+                lists[i] = [t.id for t in tokenize(low if low.isascii() else low.translate(BYTE_LEVEL))]
+            else:
+                others.append(i)
         for i, e in zip(others, self.tokenizer.encode_batch_fast([keys[i] for i in others], add_special_tokens=False), strict=True):
             lists[i] = e.ids
         return flatten(lists)
 
-    def _words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first place, number of ids) of each distinct word, and the ids that the places count into.
-
-        Marks after a word of letters are a run of their own, so such a word is its letters, in lower case, and its marks.
-        """
-        stems = [w.rstrip(MARKS).lower() for w in words]
-        keys = [s if _plain(s) else w for s, w in zip(stems, words, strict=True)]
-        nulls = "\0" in "".join(words)
-        codes, kinds = factorize(np.array(keys, object), nulls)
-        first, size, flat = self.table.look_up(list(kinds))
-        first, size = first[codes], size[codes]
-        tail_codes, tails = factorize(np.array([w[len(k) :] for w, k in zip(words, keys, strict=True)], object), nulls)
-        tail_ids, tail_size = flatten([e.ids for e in self.tokenizer.encode_batch_fast(list(tails), add_special_tokens=False)])
-        tail_first, tail_size = (np.cumsum(tail_size) - tail_size)[tail_codes], tail_size[tail_codes]
-        total = size + tail_size
-        start = np.cumsum(total) - total
-        out = np.empty(int(total.sum()), np.int32)
-        out[spread(start, size)] = flat[spread(first, size)]
-        out[spread(start + size, tail_size)] = tail_ids[spread(tail_first, tail_size)]
-        return start, total, out
-
-    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def column(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, with the end id after each, and the number of ids of each."""
-        codes, counts, words = word_codes(texts)
-        first, size, flat = self._words(words)
+        codes, counts, words = runs(texts)
+        first, size, flat = self.table.look_up(words)
         per_word = size[codes]
         ids = flat[spread(first[codes], per_word)]
         bounds = np.r_[0, np.cumsum(per_word)][np.cumsum(counts)]
         n = np.diff(np.r_[0, bounds])
         return np.insert(ids, bounds, END_ID), n + 1
 
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.column(pa.array(texts, pa.string()))
+
+
+def runs(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The texts cut into runs that the tokenizer works on one by one: (code of each run, number of runs of each text, the distinct runs).
+
+    Cuts are at ASCII white space, which is dropped, and between letters and marks; only those of ASCII, and marks after
+    a letter of Latin-1, are told from the bytes, so a run may still hold both.  A-Z is lower-cased, but not in the
+    neighbourhood of what may be a special token, which the tokenizer looks for first.
+    """
+    begin, end, raw = text_bytes(texts)
+    data = np.frombuffer(raw, np.uint8)
+    kind = np.frombuffer(raw.translate(KIND), np.uint8)
+    before = np.r_[np.uint8(BLANK), kind[:-1]][: len(kind)]
+    before[begin[begin < len(kind)]] = BLANK
+    new = (kind != BLANK) & ((before == BLANK) | ((before | kind) == MARK | LETTER))
+    marks = np.flatnonzero((before == HIGH) & (kind == MARK))
+    # U+00C0 to U+00FF, which are all letters but for the signs of multiplication and division.
+    new[marks[(data[marks - 2] == 0xC3) & (data[marks - 1] != 0x97) & (data[marks - 1] != 0xB7)]] = True
+    counts = np.diff(np.searchsorted(np.flatnonzero(new), np.r_[begin, end[-1:]]))
+    dense = (raw if b"<|" in raw else raw.lower()).translate(None, BLANKS)
+    places = np.r_[np.flatnonzero(new[kind != BLANK]), len(dense)].astype(np.int32)
+    found = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(dense)).dictionary_encode()
+    return found.indices.to_numpy(), counts, found.dictionary.to_pylist()
+
+
+def text_bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Where each text begins and ends in the UTF-8 bytes of all; a null is empty."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    places = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    held = texts.buffers()[2]
+    raw = held[int(places[0]) : int(places[-1])].to_pybytes() if held is not None else b""
+    return places[:-1] - places[0], places[1:] - places[0], raw
+
 
 def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) <= "\xff")
@@ -135,9 +165,9 @@ def tokenise(docs: DataFrame, file: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file or word_bpe_path())
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), 4 << 20):
-                ids, n = own.texts(texts[part])
+            texts = batch["text"].cast(pa.string())
+            for part in pieces(pc.binary_length(texts).fill_null(0).to_numpy(), PIECE):
+                ids, n = own.column(texts[part])
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), ids.astype(np.int32, copy=False))
                 rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["source"], pa.array(n.astype(np.int32)), lists], ["doc_id", "source", "n_tokens", "ids"])
