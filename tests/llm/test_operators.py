@@ -538,6 +538,40 @@ def test_repeated_bytes_of_texts_longer_than_a_segment(spark):
     assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == removed_by_hand(rows)
 
 
+def test_ranges_of_anchors_are_known_before_they_are_named(spark):
+    from bisect import bisect_right
+
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(600)) for _ in range(150)] + ["x" * 60_000, "é" * 40, ""]
+    docs = spark.createDataFrame([(i, 0, bytearray(t.encode())) for i, t in enumerate(texts)], "uid long, begin long, data binary")
+    bounds = suffix_dedup.ranges(docs, 100, 40)
+    rows = suffix_dedup.positions(docs, 100, 40, bounds).toPandas()
+    keys = list(rows[["name", "rest", "uid", "spot"]].itertuples(index=False, name=None))
+    assert len(bounds) == 3 and list(rows.part) == [bisect_right(bounds, k) for k in keys]
+    # The run of one letter, which is two thirds of the rows, is cut like the others.
+    assert sorted(keys) == sorted(suffix_dedup.positions(docs, 100, 40).toPandas().itertuples(index=False, name=None))
+    assert rows.part.value_counts().max() < len(rows) / 2 and (rows.uid == 150).sum() > len(rows) / 2
+    key = [(rng.randrange(-3, 3), rng.randrange(-2, 2), rng.randrange(3), rng.randrange(3)) for _ in range(500)]
+    some = sorted({*key[:20], (0, -1, -(1 << 63), (1 << 63) - 1)})
+    frame = pd.DataFrame(key, columns=["name", "rest", "uid", "spot"])
+    assert list(suffix_dedup.part_of(frame, some, suffix_dedup.wide(*np.array(some).T))) == [bisect_right(some, k) for k in key]
+
+
+def test_rows_whose_ranges_are_known_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def make(i):
+        made.add(1)
+        return (i // 300, i // 3, i % 50, i, 0)
+
+    source = spark.sparkContext.parallelize(range(900), 3).map(make)
+    rows = spark.createDataFrame(source, "a long, b long, c long, spot long, uid long").withColumn("part", F.col("a").cast("int"))
+    got = {tuple(r) for r in suffix_dedup.rerank(rows, ["a"], ["b"], parts=3).collect()}
+    assert made.value == 900
+    assert got == {tuple(r) for r in suffix_dedup.rerank(rows.drop("part"), ["a"], ["b"]).collect()} and len(got) == 900
+
+
 def test_ranks_are_dense_over_partitions(spark):
     rng = random.Random(22)
     rows = [(rng.randrange(40), rng.randrange(3), i // 7, i) for i in range(3000)]

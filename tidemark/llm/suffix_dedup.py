@@ -23,7 +23,8 @@ anchors need a rank.  The windows that an anchor stands for are a run of starts
    repeat.
 
 Sorts are range-partitioned with the position as last key, so a string that a third of all documents share is spread
-over many tasks.  Ranks are dense: two rows for each partition, with its first and its last pair, tell where its numbers
+over many tasks.  Where the ranges of anchors begin is taken from a sample of short passages, which only balances tasks:
+every anchor of every document is named once and sent to its range.  Ranks are dense: two rows for each partition, with its first and its last pair, tell where its numbers
 start and whether its first class began before.  Names are 64-bit hashes of bytes.
 
 Nulls and edge cases: a null text is empty; documents shorter than `length` bytes keep all; rows with equal doc_ids are
@@ -49,6 +50,9 @@ LENGTH, NAME, BLOCK = 100, 40, 16
 #: Bytes that are worked on at once.
 PIECE = 2 << 20
 
+#: One passage in so many, of so many bytes, shows how names are spread.
+SHOWN, PASSAGE = 16, 512
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -115,12 +119,15 @@ def anchors(names: Names, ends: np.ndarray, own: np.ndarray, length: int, name:
     return at, low, high, wanted
 
 
-def _segments(batch: pd.DataFrame, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, base, own, ends, data) of texts joined to pieces of bounded size; long texts come in segments."""
+def _segments(batch: pd.DataFrame, length: int, most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, base, own, ends, data) of texts joined to pieces of bounded size; long texts come in segments.
+
+    Of each, `own` starts are looked at, `most` at most.
+    """
     found = []
     for row, text in enumerate(_texts(batch)):
         for base in range(0, max(1, len(text)), PIECE):
-            found.append((row, base, PIECE, text if len(text) <= PIECE else text[base : base + PIECE + 2 * length]))
+            found.append((row, base, min(most, PIECE), text if len(text) <= PIECE else text[base : base + PIECE + 2 * length]))
     for part in pieces(np.array([len(x[3]) for x in found], np.int64), PIECE):
         row, base, own, texts = zip(*found[part], strict=True)
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -147,21 +154,56 @@ def run_of(column: str = "spot") -> tuple[Column, Column, Column]:
     return at, high - F.col(column).bitwiseAND(F.lit(255)), high
 
 
-def positions(docs: DataFrame, length: int, name: int) -> DataFrame:
-    """(name, rest, uid, spot) of every anchor of `docs` (uid, data)."""
+def positions(docs: DataFrame, length: int, name: int, bounds: list[tuple] | None = None, most: int = PIECE) -> DataFrame:
+    """(name, rest, uid, spot) of every anchor of `docs` (uid, begin, data); with `bounds`, also part, its range.
+
+    Places count from `begin`; of each row, anchors of its first `most` starts are given.
+    """
+    least = wide(*np.array(bounds, np.int64).reshape(-1, 4).T) if bounds is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            uid = batch["uid"].to_numpy()
-            for row, base, own, ends, data in _segments(batch, length):
+            uid, begin = batch["uid"].to_numpy(), batch["begin"].to_numpy()
+            for row, base, own, ends, data in _segments(batch, length, most):
                 names = Names(data)
                 at, low, high, value = anchors(names, ends, own, length, name)
                 owner = np.searchsorted(ends, at, side="right")
-                shift = base[owner] - np.r_[0, ends][owner]
+                shift = (begin[row] + base)[owner] - np.r_[0, ends][owner]
                 rest = names.of(at + name, np.minimum(ends[owner], at + length))
-                yield _longs(name=value, rest=rest, uid=uid[row[owner]], spot=spot(at + shift, low + shift, high + shift))
+                out = _longs(name=value, rest=rest, uid=uid[row[owner]], spot=spot(at + shift, low + shift, high + shift))
+                yield out if least is None else out.assign(part=part_of(out, bounds, least))
+
+    return docs.select("uid", "begin", "data").mapInPandas(run, "name long, rest long, uid long, spot long" + (", part int" if bounds is not None else ""))
+
+
+def wide(*keys: np.ndarray) -> np.ndarray:
+    """Rows of signed keys as byte strings in the same order."""
+    rows = np.stack([k.astype(np.int64).view(np.uint64) for k in keys], axis=1) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(rows.astype(">u8")).view(f"S{8 * len(keys)}").ravel()
+
+
+def part_of(rows: pd.DataFrame, bounds: list[tuple], least: np.ndarray) -> np.ndarray:
+    """The range of each row: the number of bounds at or before it.  `least` are the bounds by `wide`."""
+    first = np.array([b[0] for b in bounds], np.int64)
+    name = rows["name"].to_numpy()
+    part = np.searchsorted(first, name, side="right")
+    # Few rows have the name of a bound, unless it is a common one; these are compared by all keys.
+    close = np.flatnonzero(np.searchsorted(first, name) < part)
+    part[close] = np.searchsorted(least, wide(*(rows[c].to_numpy()[close] for c in ("name", "rest", "uid", "spot"))), side="right")
+    return part.astype(np.int32)
+
 
-    return docs.select("uid", "data").mapInPandas(run, "name long, rest long, uid long, spot long")
+def ranges(docs: DataFrame, length: int, name: int) -> list[tuple]:
+    """Where the ranges of anchors begin, but the first: one (name, rest, uid, spot) for each partition of a shuffle."""
+    first = F.pmod(F.xxhash64("uid"), F.lit(SHOWN)) * PASSAGE
+    begins = F.when(first < F.octet_length("data"), F.sequence(first, F.octet_length("data").cast("long"), F.lit(SHOWN * PASSAGE).cast("long")))
+    passage = lambda begin: F.struct(begin.alias("begin"), F.substring("data", (begin + 1).cast("int"), F.lit(PASSAGE + 2 * length)).alias("data"))
+    some = docs.select("uid", F.inline(F.transform(begins, passage)))
+    order = ["name", "rest", "uid", "spot"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = materialise(positions(some, length, name, most=PASSAGE)).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    least = laid.groupBy("part").agg(F.min(F.struct(*order)).alias("least")).collect()
+    return sorted(tuple(r["least"]) for r in least)[1:]
 
 
 def _numbered(outer: list[str], inner: list[str], carry: list[str]):
@@ -205,15 +247,17 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
-def rerank(rows: DataFrame, outer: list[str], inner: list[str], carry: str = "") -> DataFrame:
+def rerank(rows: DataFrame, outer: list[str], inner: list[str], carry: str = "", parts: int = 0) -> DataFrame:
     """(uid, spot, carried columns, outer, inner, first): rows sorted by the keys, then by position, with dense ranks.
 
     `outer` and `inner` become the ranks by the outer keys and by all keys; `first` tells the first position of an inner
-    class.  Rows that are unique by their outer keys drop out (but at the ends of partitions).
+    class.  Rows that are unique by their outer keys drop out (but at the ends of partitions).  With `parts`, rows come
+    with the one of so many ranges that they lie in, as `part`; else Spark samples them, which takes a run of its own.
     """
     order = [*outer, *inner, "uid", "spot"]
     names = [c.split()[0] for c in carry.split(",") if c.strip()]
-    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    laid = rows.repartitionById(parts, "part") if parts else rows.repartitionByRange(*order)
+    laid = laid.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     schema = f"uid long, spot long, {carry + ', ' if carry else ''}outer long, inner long, first boolean, part int, ends array<long>"
     made = materialise(laid.mapInPandas(_numbered(outer, inner, names), schema))
     ends: dict[int, list] = {}
@@ -334,7 +378,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME) -> DataFram
     """
     if not 0 <= length - name < 256:
         raise ValueError("a window may have 255 bytes more than a name at most")
-    ranked = rerank(positions(docs, length, name), ["name"], ["rest"])
+    bounds = ranges(docs, length, name)
+    ranked = rerank(positions(docs.withColumn("begin", F.lit(0).cast("long")), length, name, bounds), ["name"], ["rest"], parts=len(bounds) + 1)
     chains = materialise(chained(ranked, length))
     inside = chains.filter("ends and start < at").select("uid", F.col("start").alias("low"), (F.col("at") + length).alias("high"))
     goes_on = shared(chains.filter("low <= high").select("rank", "uid", "at", "low", "high"), "rank")
