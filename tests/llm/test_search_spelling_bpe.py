@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, lexical_search, spelling
-from tidemark.llm.common import word_codes
+from tidemark.llm.common import materialise, word_codes
 from tidemark.llm.token_output import word_bpe_path
 
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -173,6 +173,21 @@ def test_long_chains_of_forms_have_one_root(spark):
     assert set(found.values()) == {"a" * 12}
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df)
+
+    monkeypatch.setattr(spelling, "materialise", noted)
+    words = materialise(spark.createDataFrame(list(some_words(3, 200).items()), "word string, n long"))
+    found = spelling.group(words, 5)
+    found.collect()
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (spelling.near(words), found)]
+    assert len(plans) > 3 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def counted(rows, one_in):
     total = Counter()
     for d, t in rows:

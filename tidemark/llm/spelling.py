@@ -10,6 +10,9 @@ its length that are one such move away, and those of the next length with one le
 cells once.  A cell's words are dealt into chunks of a bounded size, and so are the words of its neighbours, so a group
 of one task is bounded however many words a cell has.
 
+Joins are sort-merge joins by hint.  Spark takes a table of words for as large as its compressed file, also after an
+explode that makes sixteen rows of each, and would broadcast either.
+
 `count` counts words of texts, `near` finds the pairs, `group` gives each word its form and root.
 
 Nulls and edge cases: a null or empty text has no words; a null doc_id counts as the empty text where it decides on
@@ -116,11 +119,11 @@ def near(words: DataFrame) -> DataFrame:
     placed = words.select("word", "n", _cell(F.col("word")).alias("cell"))
     sizes = placed.groupBy("cell").agg(F.count("*").alias("own"))
     meets = sizes.select(F.explode(_moved(F.col("cell"), -1)).alias("cell"), "own").groupBy("cell").agg(F.sum("own").alias("met"))
-    chunks = meets.join(sizes, "cell").select("cell", F.ceil(F.col("own") / LEFT).alias("lefts"), F.ceil(F.col("met") / RIGHT).alias("rights"))
+    chunks = meets.join(sizes.hint("merge"), "cell").select("cell", F.ceil(F.col("own") / LEFT).alias("lefts"), F.ceil(F.col("met") / RIGHT).alias("rights"))
     chunk = lambda n: F.pmod(F.xxhash64("word"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    left = placed.join(chunks, "cell").select("cell", chunk(F.col("lefts")).alias("i"), every(F.col("rights")).alias("j"), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    right = placed.select(F.explode(_moved(F.col("cell"), -1)).alias("cell"), "word", "n").join(chunks, "cell")
+    left = placed.join(chunks.hint("merge"), "cell").select("cell", chunk(F.col("lefts")).alias("i"), every(F.col("rights")).alias("j"), F.col("word").alias("a"), F.col("n").alias("a_n"))
+    right = placed.select(F.explode(_moved(F.col("cell"), -1)).alias("cell"), "word", "n").join(chunks.hint("merge"), "cell")
     right = right.select("cell", every(F.col("lefts")).alias("i"), chunk(F.col("rights")).alias("j"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     key = ["cell", "i", "j"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_pairs, "a string, b string, a_n long, b_n long")
@@ -200,10 +203,10 @@ def group(words: DataFrame, times: int = 5) -> DataFrame:
     # The largest n and, of those, the smallest word.
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form")))
     found = both.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    own = words.join(found, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
+    own = words.join(found.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
     good = F.col("form_n") >= times * F.col("n")
     own = materialise(own.select("word", "n", "n_near", F.when(good, F.col("form")).alias("form"), F.when(good, F.col("form_n")).alias("form_n")))
-    return own.join(_roots(own, times), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return own.join(_roots(own, times).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(own: DataFrame, times: int) -> DataFrame:
@@ -216,7 +219,7 @@ def _roots(own: DataFrame, times: int) -> DataFrame:
     most = own.agg(F.max("n")).first()[0] or 1
     for _ in range(ceil(log(max(2.0, log(most) / log(times) + 1), 2))):
         ahead = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        links = materialise(links.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root")))
+        links = materialise(links.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root")))
     return links
 
 
