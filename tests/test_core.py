@@ -13,6 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from tidemark import queries
 from tidemark.functions import assertions, text
 from tidemark.functions.retry import until_success
 from tidemark.model import RefreshOptions, TableRef, parse_interval
@@ -582,6 +583,33 @@ def test_squares_are_summed_exactly(spark):
     assert profile.profile(exact).first()["a__sum2"] == float(sum((10**9 + i) ** 2 for i in range(1000)))
 
 
+def test_all_digits_of_squares_are_shown(spark):
+    some = {
+        "long": [2**63 - 1, -(2**63), 3, None] * 50,
+        "int": [94_906_267, 1, 0, None],
+        "decimal(38,6)": [Decimal("99999999999999999999999999999999.999999"), Decimal("-0.000001"), None] * 50,
+        "decimal(10,2)": [Decimal("12345678.25"), Decimal("-0.75"), None],
+        "decimal(4,2)": [Decimal("0.05"), None],
+        "byte": [None, 0],
+        "decimal(12,4)": [None],
+        "short": [None],
+    }
+    for kind, values in some.items():
+        df = spark.createDataFrame([(v, str(i % 3)) for i, v in enumerate(values)], f"v {kind}, p string")
+        found = profile.shown(profile.merge(profile.profile(df, partition=F.col("p"), columns=["v"], sketches=True))).first()["v__sum2_exact"]
+        known = [Fraction(v) ** 2 for v in values if v is not None]
+        assert (None if found is None else Fraction(found)) == (sum(known) if known else None)
+    assert found is None and spark.createDataFrame([(10**9 + 7,)], "v long").transform(lambda df: profile.shown(profile.profile(df, sketches=True))).first()["v__sum2_exact"] == str((10**9 + 7) ** 2)
+
+
+def test_a_stored_profile_query_has_all_digits(spark, tmp_path):
+    users = [94_906_267 + i for i in range(20)]
+    rows = spark.createDataFrame([(u, 1.0, datetime(2024, 1, 1 + i % 2)) for i, u in enumerate(users)], "user_id long, value double, ts timestamp_ntz")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    want = sum((u * (10 if i % 2 else 1)) ** 2 for i, u in enumerate(users))
+    assert queries.profile_stored(spark, str(tmp_path)).first().squares == str(want)
+
+
 def test_merged_sketches_say_what_the_rows_do(spark):
     df = spark.range(20000).select((F.col("id") % 10).cast("string").alias("p"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("int").alias("v"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("t"), F.lit(None).cast("double").alias("none"))
     row = profile.shown(profile.merge(profile.profile(df, partition=F.col("p"), columns=["v", "t", "none"], sketches=True))).first()

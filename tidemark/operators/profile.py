@@ -69,6 +69,10 @@ def _limb_name(i: int, exponent: int) -> str:
     return f"sum2_limb{i}_e{exponent}".replace("-", "m")
 
 
+def _exponent(limb_name: str) -> int:
+    return int(limb_name.rpartition("_e")[2].replace("m", "-"))
+
+
 def limbs_value(sums: list[tuple[int, Column]]) -> Column:
     """The number that summed limbs make, rounded once: exactly where it has 38 digits at most, else by doubles."""
     low = min(e for e, _ in sums)
@@ -83,6 +87,23 @@ def limbs_value(sums: list[tuple[int, Column]]) -> Column:
     return F.coalesce(exact.cast("double") / 10.0**-low if low < 0 else exact.cast("double") * 10.0**low, rounded)
 
 
+def limbs_text(sums: list[tuple[int, Column]]) -> Column:
+    """All digits of the number that summed limbs make; a double would keep the first 16 of them."""
+    low, wide, base = min(e for e, _ in sums), T.DecimalType(38, 0), F.lit(Decimal(10**_LIMB))
+    at = {e: [limb.cast(wide) for other, limb in sums if other == e] for e in sorted({e for e, _ in sums})}
+    digits, carry = F.lit(""), F.lit(Decimal(0)).cast(wide)
+    for e, limbs in at.items():
+        value = sum(limbs, carry).cast(wide)
+        own = (value % base).cast(wide)
+        carry = ((value - own) / base).cast(wide)
+        digits = F.concat(F.lpad(own.cast("string"), _LIMB, "0"), digits)
+    digits = F.concat(carry.cast("string"), digits)
+    if low < 0:
+        point = F.length(digits) + low
+        digits = F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.lit(-low)))
+    return F.regexp_replace(digits, "^0+(?=[0-9])", "")
+
+
 def _stats(name: str, path: str, kind: T.DataType, exact: bool, sketches: bool) -> list[Column]:
     c = F.col(path)
     put = lambda stat, e: e.alias(f"{name}__{stat}")
@@ -160,7 +181,7 @@ def merge(profiles: DataFrame, by: list[str] = ()) -> DataFrame:
         if "hll" in stats:
             out = out.withColumn(f"{n}__unique", F.hll_sketch_estimate(f"{n}__hll"))
         if exact[n]:
-            sums = [(int(s.rpartition("_e")[2].replace("m", "-")), F.col(f"{n}__{s}")) for s in exact[n]]
+            sums = [(_exponent(s), F.col(f"{n}__{s}")) for s in exact[n]]
             out = out.withColumn(f"{n}__sum2", limbs_value(sums))
     return out
 
@@ -197,11 +218,15 @@ def _histogram_of(sketch: str) -> Column:
 def shown(profiles: DataFrame, top_numbers: int = TOP_NUMBERS, top_texts: int = TOP_TEXTS) -> DataFrame:
     """Profiles with sketches, merged or not, with what the sketches say in their place.
 
+    A whole or decimal number has `__sum2_exact`, the digits of the sum of squares as text.
     A number has `__quantiles` of (key, value) and a `__histogram` of (bucket, low, high, count); numbers and texts have
     `__top_count` of (value, count).  Frequent values are those that the sketch is sure of: with more distinct values
     than it tracks, one that is not frequent is left out.
     """
     out = profiles
+    limbs = [c for c in profiles.columns if "__sum2_limb" in c]
+    for n in dict.fromkeys(c.rpartition("__")[0] for c in limbs):
+        out = out.withColumn(f"{n}__sum2_exact", limbs_text([(_exponent(c), F.col(f"`{c}`")) for c in limbs if c.rpartition("__")[0] == n]))
     for n in [c.removesuffix("__kll") for c in profiles.columns if c.endswith("__kll")]:
         has = F.col(f"{n}__nonnull") > 0
         out = out.withColumns({f"{n}__quantiles": F.when(has, _quantiles_of(f"{n}__kll")), f"{n}__histogram": F.when(has, _histogram_of(f"{n}__kll"))})

@@ -670,8 +670,7 @@ def profile_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     source.publish(draft, keep=lambda day: day not in days)
     again = kept.refresh(source.read(), source.metadata("events"))
     out = kept.merged()
-    squares = F.col("user_id__sum2").cast("decimal(38,0)").cast("string")
-    return out.select("count", F.col("user_id__sum").alias("total"), squares.alias("squares"), F.col("user_id__min").alias("least"), F.col("user_id__max").alias("most"), F.lit(len(again)).alias("days_profiled"))
+    return out.select("count", F.col("user_id__sum").alias("total"), F.col("user_id__sum2_exact").alias("squares"), F.col("user_id__min").alias("least"), F.col("user_id__max").alias("most"), F.lit(len(again)).alias("days_profiled"))
 
 
 @query("select 'orders' as table_name, o_orderstatus as partition_id, count(*) as n_rows from orders group by 2")
