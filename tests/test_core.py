@@ -388,6 +388,31 @@ def test_profile_skips_arrays_and_flattens_structs(spark):
     assert profile.top_count(flat, "v").first()["count"] == 10
 
 
+@pytest.mark.parametrize(("margin", "accuracy"), [(2e-4, 10_000), (0.0, 2), (0.3, 3)])
+def test_exact_quantiles_do_not_depend_on_sketches(spark, monkeypatch, margin, accuracy):
+    monkeypatch.setattr(profile, "_MARGIN", margin)
+    monkeypatch.setattr(profile, "_ACCURACY", accuracy)
+    rng = random.Random(5)
+    data = [(rng.choice(["x", "y", None]), rng.choice(["a", None]), rng.choice([None, float("nan"), -0.0, 7.0, rng.uniform(-9, 9), rng.uniform(-9e9, 9e9)])) for _ in range(700)] + [("z", "a", None), ("one", "a", 5.0)]
+    df = spark.createDataFrame(data, "p string, g string, v double").repartition(5)
+    picks = (0, 10, 250, 333, 500, 990, 1000)
+    last = lambda v: (v != v, v)  # noqa: E731  not-a-numbers come last
+
+    def wanted(values):
+        values = sorted((v for v in values if v is not None), key=last)
+        return [(p / 10, values[max(1, -(-p * len(values) // 1000)) - 1]) for p in picks] if values else []
+
+    for partition, group_by in ((None, []), (F.col("p"), []), (None, ["g"]), (F.col("p"), ["g"])):
+        key = lambda p, g: (p if partition is not None else None, (f'{{"g":{"null" if g is None else chr(34) + g + chr(34)}}}') if group_by else None)  # noqa: B023, E731
+        groups = {}
+        for p, g, v in data:
+            groups.setdefault(key(p, g), []).append(v)
+        found = profile.quantiles(df, "v", picks, digits=None, partition=partition, group_by=group_by, exact=True).collect()
+        assert sorted(map(repr, ((r.partition_key, r.group_keys, r.key, r.value + 0.0) for r in found))) == sorted(repr((*k, q, v + 0.0)) for k, values in groups.items() for q, v in wanted(values))
+    empty = df.filter("v > 1e300 and v < 0")
+    assert profile.quantiles(empty, "v", picks, exact=True).count() == 0 and profile.histogram(empty, "v", exact=True).count() == 0
+
+
 def test_labels(spark):
     meta = spark.createDataFrame([("t", "20060102"), ("t", "20060105"), ("u", "20060101"), ("u", "20060102")], "table_name string, partition_id string")
     labels = partition_labels(meta)

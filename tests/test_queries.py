@@ -35,5 +35,15 @@ def test_query_equals_its_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_histogram_of_two_million_values_equals_its_sql(spark, tmp_path):
+    """All prices differ, and the share of the last bucket ends in a five at the fifth digit."""
+    con, file = duckdb.connect(), str(tmp_path / "lineitem.parquet")
+    price = "case when i < 300 then 1e7 + i else (i * 1000003 % 2000000) / 100.0 end"
+    con.execute(f"copy (select {price} as l_extendedprice from range(2000000) r(i)) to '{file}' (format parquet)")
+    con.execute(f"create view lineitem as select * from '{file}'")
+    got = entry.queries()["profile_histogram"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.execute(ORACLES["profile_histogram"]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,6 +152,15 @@ def profile(df: DataFrame, partition: Column | None = None, group_by: list[str]
     return df.groupBy(*keys).agg(F.count("*").alias("count"), *stats)
 
 
+#: Columns that tell profiles of a table apart.
+KEYS = ("partition_key", "group_keys")
+
+
+def _varying(partition: Column | None, group_by: list[str]) -> list[str]:
+    """The keys that are not null throughout."""
+    return [name for name, there in zip(KEYS, (partition is not None, bool(group_by)), strict=True) if there]
+
+
 def _keys(partition: Column | None, group_by: list[str]) -> list[Column]:
     part = partition if partition is not None else F.lit(None).cast("string")
     group = F.to_json(F.struct(*group_by), {"ignoreNullFields": "false"}) if group_by else F.lit(None).cast("string")
@@ -247,11 +257,62 @@ def top_count(df: DataFrame, column: str, n: int = TOP_NUMBERS, partition: Colum
     return counts.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
+#: How far to either side of a wanted quantile its bounds lie: a sketch of this accuracy is off by a ten-thousandth at most.
+_MARGIN, _ACCURACY = 2e-4, 10_000
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], *within: Column) -> DataFrame:
+    """A left join by keys that may be null, and by conditions; without keys, `right` has a few rows.
+
+    Of an outer join Spark broadcasts no `left`, which it may take for small by its files.
+    """
+    right = right.withColumnsRenamed({k: f"_{k}" for k in keys}) if keys else F.broadcast(right)
+    same = [F.lit(True), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], *within]
+    return left.join(right, reduce(lambda a, b: a & b, same), "left").drop(*[f"_{k}" for k in keys])
+
+
+def _exact_quantiles(rows: DataFrame, keys: list[str], picks: tuple[int, ...], points: int = 1000) -> DataFrame:
+    """(keys, q) of rows (keys, v): of the n values of a group that are not null, those at the places ceil(pick * n / points), from 1.
+
+    Approximate quantiles at both sides of each pick cut a group's values into bins.  All rows are counted by bin; those of
+    bins with a wanted place are counted by value and put in order.  So the sketches bound what is ordered, and no result
+    depends on them; a wanted bin keeps its two bounds, since another run of a sketch may give others.
+    """
+    rows = rows.filter(F.col("v").isNotNull())
+    cuts = sorted({min(1.0, max(0.0, p / points + side)) for p in picks for side in (-_MARGIN, _MARGIN)})
+    # Sketches of not-a-numbers may give them out of order.
+    bounds = rows.groupBy(*keys).agg(F.sort_array(F.percentile_approx("v", F.array(*[F.lit(c) for c in cuts]), _ACCURACY)).alias("_cuts"))
+    above = reduce(lambda a, b: a + b, [(F.col("v") > F.col("_cuts")[i]).cast("int") for i in range(len(cuts))])
+    cut = lambda i: F.get("_cuts", i)  # noqa: E731  null beyond either end
+    binned = _matched(rows, bounds, keys).withColumn("bin", above).select(*keys, "bin", cut(F.col("bin") - 1).alias("low"), cut(F.col("bin")).alias("high"))
+
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = binned.groupBy(*keys, "bin", "low", "high").agg(F.count("*").alias("n")).withColumns({"before": before, "total": F.sum("n").over(group)})
+    place = lambda p: F.greatest(F.lit(1), F.call_function("div", F.col("total") * p + (points - 1), F.lit(points)))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), (place(p) - F.col("before")).alias("place")) for i, p in enumerate(picks)])
+    here = F.filter(places, lambda x: (x["place"] > 0) & (x["place"] <= F.col("n")))
+    wanted = bins.select(*keys, "bin", "low", "high", here.alias("here")).filter(F.size("here") > 0)
+
+    # At most one bin for each pick of a group; the other rows become one without a bin.
+    found = _matched(rows, wanted, keys, F.coalesce(F.col("v") > F.col("low"), F.lit(True)), F.coalesce(F.col("v") <= F.col("high"), F.lit(True)))
+    found = found.withColumn("v", F.when(F.col("bin").isNotNull(), F.col("v")))
+    values = found.groupBy(*keys, "bin", "v").agg(F.count("*").alias("n"), F.any_value("here").alias("here"))
+    up_to = values.withColumn("up_to", F.sum("n").over(Window.partitionBy(*keys, "bin").orderBy("v")))
+    at = up_to.select(*keys, "v", F.explode(F.filter("here", lambda x: (x["place"] > F.col("up_to") - F.col("n")) & (x["place"] <= F.col("up_to")))).alias("x"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("x.i").alias("i"), F.col("v").alias("v"))))
+    return at.groupBy(*keys).agg(F.transform(listed, lambda x: x["v"]).alias("q"))
+
+
 def quantiles(df: DataFrame, column: str, picks: tuple[int, ...] = PICKS, points: int = 1000, digits: int | None = 6, partition: Column | None = None, group_by: list[str] = (), exact: bool = False) -> DataFrame:
     """(partition_key, group_keys, key, value) of picked quantiles; key is the percentage."""
-    wanted = F.array(*[F.lit(p / points) for p in picks])
-    found = F.percentile_approx(column, wanted, 1_000_000 if exact else 10_000)
-    rows = df.groupBy(*_keys(partition, group_by)).agg(found.alias("q"))
+    keys = _keys(partition, group_by)
+    if exact:
+        names = _varying(partition, group_by)
+        rows = _exact_quantiles(df.select(*keys, F.col(column).alias("v")), names, picks, points)
+        rows = rows.select(*[F.col(n) if n in names else F.lit(None).cast("string").alias(n) for n in KEYS], "q")
+    else:
+        rows = df.groupBy(*keys).agg(F.percentile_approx(column, F.array(*[F.lit(p / points) for p in picks]), _ACCURACY).alias("q"))
     each = rows.select("partition_key", "group_keys", F.posexplode("q").alias("i", "value"))
     key = F.element_at(F.array(*[F.lit(100.0 * p / points) for p in picks]), F.col("i") + 1)
     value = F.col("value") if digits is None else F.round("value", digits)
@@ -261,12 +322,12 @@ def quantiles(df: DataFrame, column: str, picks: tuple[int, ...] = PICKS, points
 def histogram(df: DataFrame, column: str, exact: bool = False) -> DataFrame:
     """(bucket, low, high, count, ratio) of a numeric column.
 
-    Edges lie a fifth of the interquartile range apart, from 1.5 ranges below the lower quartile to 1.5 above the upper;
+    Edges lie a fifth of the interquartile range apart (its quartiles as SQL has them, with `exact`), from 1.5 ranges below the lower quartile to 1.5 above the upper;
     the first and last buckets are open.  Without spread there is one bucket.
     """
     value = F.col(column).cast("double")
     rows = df.filter(value.isNotNull()).select(value.alias("v"))
-    spread = rows.agg(F.percentile_approx("v", F.array(F.lit(0.25), F.lit(0.75)), 1_000_000 if exact else 10_000).alias("q"))
+    spread = _exact_quantiles(rows, [], (250, 750)) if exact else rows.agg(F.percentile_approx("v", F.array(F.lit(0.25), F.lit(0.75)), _ACCURACY).alias("q"))
     spread = spread.select((F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("base"), ((F.col("q")[1] - F.col("q")[0]) / 5).alias("step"))
     # `spread` is one row.
     place = F.when(F.col("step") > 0, F.greatest(F.lit(0), F.least(F.lit(EDGES + 1), F.floor((F.col("v") - F.col("base")) / F.col("step")) + 1))).otherwise(F.lit(0))
@@ -274,7 +335,9 @@ def histogram(df: DataFrame, column: str, exact: bool = False) -> DataFrame:
     low = F.when(F.col("step") <= 0, F.col("_min")).when(F.col("bucket") > 0, F.col("base") + F.col("step") * (F.col("bucket") - 1)).otherwise(F.lit(float("-inf")))
     high = F.when(F.col("step") <= 0, F.col("_max")).when(F.col("bucket") <= EDGES, F.col("base") + F.col("step") * F.col("bucket")).otherwise(F.lit(float("inf")))
     total = F.sum("count").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return counted.select("bucket", low.alias("low"), high.alias("high"), "count", F.round(F.col("count") / total, 4).alias("ratio"))
+    # Ties as SQL's round on doubles has them: by the product, not by the digits that a double shows.
+    ratio = F.round(F.col("count") / total * 1e4) / 1e4
+    return counted.select("bucket", low.alias("low"), high.alias("high"), "count", ratio.alias("ratio"))
 
 
 def full(df: DataFrame, partition: Column | None = None, group_by: list[str] = (), columns: list[str] | None = None, exact: bool = False) -> DataFrame:
@@ -304,7 +367,11 @@ def full(df: DataFrame, partition: Column | None = None, group_by: list[str] = (
         out = joined(out, first.groupBy(*keys).agg(*[listed(n) for n, _, _ in counted]))
     if numbers:
         each = df.select(*_keys(partition, group_by), F.explode(F.array(*[F.struct(F.lit(n).alias("c"), F.col(p).cast("double").alias("v")) for n, p in numbers])).alias("x")).select(*keys, "x.*").filter("v is not null")
-        points = each.groupBy(*keys, "c").agg(F.percentile_approx("v", F.array(*[F.lit(p / 1000) for p in PICKS]), 1_000_000 if exact else 10_000).alias("q"))
+        if exact:
+            points = _exact_quantiles(each, [*_varying(partition, group_by), "c"], PICKS)
+            points = points.select(*[F.col(k) if k in points.columns else F.lit(None).cast("string").alias(k) for k in keys], "c", "q")
+        else:
+            points = each.groupBy(*keys, "c").agg(F.percentile_approx("v", F.array(*[F.lit(p / 1000) for p in PICKS]), _ACCURACY).alias("q"))
         low, high = F.col("q")[PICKS.index(250)], F.col("q")[PICKS.index(750)]
         points = points.withColumns({"base": low - 1.5 * (high - low), "step": (high - low) / 5})
         edged = joined(each.withColumnRenamed("c", "_c"), points, "inner").filter(F.col("c") == F.col("_c"))
